@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, simhash, toxicity
+from . import bpe, decontaminate, quality, simhash, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,7 +31,23 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op3_quality, op5_toxicity, op10_simhash)}
+#: The 256 bytes' vocabulary of 50,256 tokens and the end of text.
+VOCABULARY, END_OF_DOCUMENT = 50_257, 0
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), VOCABULARY, END_OF_DOCUMENT)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("ids")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_quality, op5_toxicity, op7_bpe, op10_simhash)}
 
 OP1_SQL = r"""
 WITH d AS (
