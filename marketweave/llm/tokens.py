@@ -11,6 +11,7 @@ so that numpy unpacks whole blocks at once and any range of ids is found without
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -232,6 +233,7 @@ _loaded: dict[str, tuple] = {}
 def _encoder(path: str):
     """The tokenizer of this Python worker, the id of a line break, and whether words may be encoded apart."""
     if path not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
