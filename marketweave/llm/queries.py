@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, simhash, tokens, toxicity, warc
+from . import bpe, decontaminate, quality, simhash, tokens, toxicity, vptree, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,7 +52,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).drop("url")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_quality, op5_toxicity, op7_bpe, op8_warc, op10_simhash)}
+def op9_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vptree.build_index(vectors), vectors.where(F.col("vec_id") % 100 == 0), k=10, factor=1.0)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_quality, op5_toxicity, op7_bpe, op8_warc, op9_vptree, op10_simhash)}
 
 OP1_SQL = r"""
 WITH d AS (
@@ -81,4 +87,13 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = last OR page_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
 FROM k"""
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op8_warc": OP8_SQL}
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.e, v.e) AS score FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op8_warc": OP8_SQL, "op9_vptree": OP9_SQL}
