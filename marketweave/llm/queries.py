@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, simhash, tokens, toxicity, vptree, warc
+from . import bpe, decontaminate, pii, quality, simhash, tokens, toxicity, vptree, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), VOCABULARY, END_OF_DOCUMENT)
 
 
+#: Of surrogates in the registered queries; a deployment passes its own secret.
+SURROGATE_KEY = "marketweave"
+
+
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,7 +65,7 @@ def op9_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(vptree.build_index(vectors), vectors.where(F.col("vec_id") % 100 == 0), k=10, factor=1.0)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_quality, op5_toxicity, op7_bpe, op8_warc, op9_vptree, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_quality, op5_toxicity, op6_surrogates, op7_bpe, op8_warc, op9_vptree, op10_simhash)}
 
 OP1_SQL = r"""
 WITH d AS (
