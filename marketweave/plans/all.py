@@ -1,3 +1,3 @@
 """Importing this registers all queries of this folder."""
 
-from . import portfolio  # noqa: F401
+from . import portfolio, relational  # noqa: F401

@@ -65,7 +65,9 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         if sql is not None:
             views = ", ".join(f"{v} AS ({VIEWS[v]})" for v in _needed(sql))
             body = sql.strip()
-            if views:
+            if views and body[:15].upper() == "WITH RECURSIVE ":
+                body = f"WITH RECURSIVE {views}, {body[15:]}"
+            elif views:
                 body = f"WITH {views}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {views} {body}"
             ORACLE_SQL[name] = body
         return f
