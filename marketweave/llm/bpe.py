@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import words
+from . import common, words
 
 NONE = np.int64(1 << 40)
 
@@ -131,7 +131,7 @@ class Ranks:
         ids, counts = self.replay([pieces[k] for k in rest]) if len(rest) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         place = np.arange(len(pieces))
         place[rest] = len(pieces) + np.arange(len(rest))
-        return words.gather(np.concatenate([rank, ids]), np.concatenate([np.ones(len(pieces), np.int64), counts]), place)
+        return words.gather(np.concatenate([rank, ids]).astype(np.int32), np.concatenate([np.ones(len(pieces), np.int64), counts]), place)
 
 
 _loaded: dict[tuple[str, str], tuple] = {}
@@ -164,6 +164,7 @@ def encode_texts(texts: pa.Array, path: str, pattern: str) -> tuple[np.ndarray,
 
     def joined(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = find.findall("\n".join(some) + "\n") if some else []  # before a blank, a line break is a piece of its own
+        some.clear()
         breaks = np.array([k for k, p in enumerate(found) if p == "\n"], np.int64)
         return of([p for p in found if p != "\n"], np.diff(breaks, prepend=-1) - 1)
 
@@ -176,12 +177,13 @@ def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs with ids (array of int) in place of text. Null texts count as empty; repeated rows are encoded alike; a column called ids is replaced."""
+    common.narrow_batches(docs.sparkSession)
     kept = docs.drop("ids")
     names = [c for c in kept.columns if c != "text"]
     fields = [f for f in kept.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in words.bounded(batches):
+        for b in batches:
             ids = _lists(*encode_texts(b.column("text"), path, pattern))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], ids], [*names, "ids"])
 

@@ -49,6 +49,11 @@ def forget() -> None:
             return
 
 
+def narrow_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """From now on, the session hands Python workers at most about size bytes at once (one row at least): whole texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it: cuts lineage, survives lost executors."""
     spark = df.sparkSession

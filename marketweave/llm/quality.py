@@ -135,6 +135,7 @@ def scores(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Da
     texts, y = common.labelled_sample(docs, labels, "quality", ~held_out(), how.per_class, how.max_bytes)
     model = docs.sparkSession.sparkContext.broadcast(fit(texts, y, how))
 
+    common.narrow_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:

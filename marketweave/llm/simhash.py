@@ -45,6 +45,8 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash (of the whole text) and fp (signed long) of each row; other columns of docs are ignored."""
 
+    common.narrow_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = pa.array([fingerprint(t) for t in b.column("text").to_pylist()], pa.int64())

@@ -270,10 +270,11 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit integers, end_id appended) of each row; null texts count as empty, other columns are ignored."""
+    common.narrow_batches(docs.sparkSession)
     tail = np.array([] if end_id is None else [end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in words.bounded(batches):
+        for b in batches:
             flat, counts = encode_texts(b.column("text"), tokenizer)
             ends = np.cumsum(counts)
             ids = [np.concatenate([flat[e - n : e], tail]).astype("<u4").tobytes() for e, n in zip(ends, counts)]

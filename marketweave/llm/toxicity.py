@@ -109,6 +109,7 @@ def score(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Dat
     model = docs.sparkSession.sparkContext.broadcast(fit(texts, y, how))
     keyed = docs.withColumn("__held_out", held_out())
 
+    common.narrow_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:

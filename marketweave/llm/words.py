@@ -7,7 +7,7 @@ such blanks, together with the blank before it, is called a word here.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -18,29 +18,19 @@ BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u2000-\u200f\u2028
 CUT = re.compile(f"(?<=[^{BLANKS}]) (?=[^{BLANKS}])")
 EDGE = re.compile(f"^(?:$|[{BLANKS}])|[{BLANKS}]$")
 INNER = re.compile(f"[{BLANKS}]")
-#: Bytes of text that are encoded together.
-BATCH_BYTES = 32_000_000
-
 #: From words to their ids, one after another, and the number of ids of each.
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
-def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows, with about BATCH_BYTES of column text at most in a batch, or a single row."""
-    for b in batches:
-        size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy()
-        block = np.cumsum(size, dtype=np.int64) // BATCH_BYTES
-        at = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), b.num_rows]
-        for i, j in zip(at, at[1:]):
-            if j > i:
-                yield b.slice(i, j - i)
-
-
 def gather(flat: np.ndarray, counts: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of lists laid end to end in flat, those numbered take, end to end, and their lengths."""
     starts, n = (np.cumsum(counts) - counts)[take], counts[take]
     ends = np.cumsum(n)
-    return flat[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    place = np.repeat((starts - (ends - n)).astype(kind), n)
+    place += np.arange(total, dtype=kind)
+    return flat[place], n
 
 
 def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -58,9 +48,11 @@ def _encoded(lists: pa.ListArray, many: Encode, single: Encode) -> tuple[np.ndar
     used = np.flatnonzero(np.bincount(code, minlength=2))
     number = np.zeros(2 * len(texts) + 2, np.int64)
     number[used] = np.arange(len(used))
-    spelled = [" " + texts[c >> 1] if c & 1 else texts[c >> 1] for c in used.tolist()]
     odd = np.array([c % 2 == 0 or INNER.search(texts[c >> 1]) is not None for c in used.tolist()], bool)
-    parts = [f([w for w, o in zip(spelled, odd) if o == flag]) for f, flag in ((many, False), (single, True))]
+    apart = single([" " + texts[c >> 1] if c & 1 else texts[c >> 1] for c in used[odd].tolist()])
+    alike = [" " + texts[c >> 1] for c in used[~odd].tolist()]
+    del texts
+    parts = [many(alike), apart]
     ids, counts = (np.concatenate([parts[0][k], parts[1][k]]) for k in (0, 1))
     place = np.zeros(len(used), np.int64)
     place[~odd], place[odd] = np.arange(len(used) - odd.sum()), np.arange(odd.sum()) + (len(used) - odd.sum())
