@@ -1,3 +1,3 @@
 """Importing this registers all queries of this folder."""
 
-from . import portfolio, relational, text  # noqa: F401
+from . import entities, portfolio, relational, text  # noqa: F401

@@ -29,6 +29,10 @@ VIEWS = {
         avg(l_extendedprice / l_quantity) AS close, sum(l_quantity) AS volume FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 0 GROUP BY p_type, CAST(l_shipdate AS DATE)""",
     "fx_financial_snapshots": """SELECT o_custkey AS entity_id, CAST(o_orderdate AS DATE) AS as_of_date, max(o_totalprice) AS market_cap, min(o_orderkey) AS id FROM orders GROUP BY o_custkey, CAST(o_orderdate AS DATE)""",
     "fx_crawler_run_stats": """SELECT event_id AS id, user_id % 20 AS run_id, event_type AS source, value AS duration_ms, ts AS created_at FROM events""",
+    "fx_aliases": """SELECT ticker, alias, alias_type, weight FROM (
+        SELECT lpad(CAST(item_id AS VARCHAR(20)), 6, '0') AS ticker, translate(split_part(replace(text, chr(10), ' '), ' ', 2), '.,', '') AS alias, 'official_name' AS alias_type, CAST(1.0 AS DOUBLE) AS weight FROM benchmark
+        UNION ALL SELECT lpad(CAST(item_id AS VARCHAR(20)), 6, '0'), translate(split_part(replace(text, chr(10), ' '), ' ', 3), '.,', ''), 'corp_name', CAST(0.95 AS DOUBLE) FROM benchmark
+        UNION ALL SELECT lpad(CAST(item_id AS VARCHAR(20)), 6, '0'), translate(split_part(replace(text, chr(10), ' '), ' ', 5), '.,', ''), 'short', CAST(0.9 AS DOUBLE) FROM benchmark) AS t WHERE length(alias) >= 2""",
     "fx_codes": """SELECT p_type AS code, row_number() OVER (ORDER BY p_type) AS pos FROM (SELECT DISTINCT p_type FROM part) AS t""",
     "fx_portfolios": """SELECT 'equal' AS portfolio_id, pos AS asset_pos, code, CAST(1 AS DOUBLE) AS weight FROM fx_codes
         UNION ALL SELECT 'balanced', pos, lower(code), CAST(CASE WHEN pos = 1 THEN 60 ELSE 40 END AS DOUBLE) FROM fx_codes WHERE pos <= 2
