@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, quality, simhash, tokens, toxicity, vptree, warc
+from . import bpe, decontaminate, pii, quality, simhash, spans, tokens, toxicity, vptree, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,7 +69,7 @@ def op9_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(vptree.build_index(vectors), vectors.where(F.col("vec_id") % 100 == 0), k=10, factor=1.0)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_quality, op5_toxicity, op6_surrogates, op7_bpe, op8_warc, op9_vptree, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_quality, op4_sentence_spans, op5_toxicity, op6_surrogates, op7_bpe, op8_warc, op9_vptree, op10_simhash)}
 
 OP1_SQL = r"""
 WITH d AS (
