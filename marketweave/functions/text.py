@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ NUMERIC_CONTEXT = r"(?i)\d+(?:\.\d+)?%|\d+\s*(?:원|억|조|만)|실적|매출|
 SECTIONS = ["conclusion", "evidence", "risk", "checkpoint", "final"]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once per row even where use refers to it for each element of an array."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def compact(text: Column) -> Column:
     """Runs of white space become one blank; none at the ends; null becomes empty."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
@@ -163,7 +169,8 @@ def sanitize(line: Column, longest: int = 220) -> Column:
 def sanitize_lines(lines: Column, longest: int = 220, most: int = 6) -> Column:
     """Sanitised lines that aren't empty, the first of those that differ by case only, most at most."""
     clean = F.filter(F.transform(lines, lambda x: sanitize(x, longest)), lambda x: x != "")
-    return F.slice(F.filter(clean, lambda x, i: ~F.exists(F.slice(clean, F.lit(1), i), lambda y: F.lower(y) == F.lower(x))), 1, most)
+    first = lambda c: F.filter(c, lambda x, i: ~F.exists(F.slice(c, F.lit(1), i), lambda y: F.lower(y) == F.lower(x)))
+    return F.slice(let(clean, first), 1, most)
 
 
 def section(line: Column) -> Column:

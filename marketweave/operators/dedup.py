@@ -210,8 +210,10 @@ def compressed_cards(cards: DataFrame, keys: Sequence[str], order: Sequence[Colu
 def without_boilerplate(docs: DataFrame, text: str = "text", longest: int = 80, least: int = 4) -> DataFrame:
     """docs without lines of at most longest characters that stand least times in their document, and without lines of symbols only."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), t.compact)
-    low = F.transform(lines, F.lower)
-    counted = F.transform(F.array_distinct(low), lambda x: F.when((F.length(x) <= longest) & (x != ""), x))
-    repeated = F.filter(counted, lambda x: x.isNotNull() & (F.size(F.filter(low, lambda y: y == x)) >= least))
-    kept = F.filter(lines, lambda x: ~F.array_contains(repeated, F.lower(x)) & x.rlike(r"[\p{L}\p{N}]"))
+
+    def keep(all_: Column, low: Column) -> Column:
+        often = lambda x: (F.length(x) <= longest) & (x != "") & (F.size(F.filter(low, lambda y: y == F.lower(x))) >= least)
+        return F.filter(all_, lambda x: ~often(x) & x.rlike(r"[\p{L}\p{N}]"))
+
+    kept = t.let(lines, lambda a: t.let(F.transform(a, F.lower), lambda low: keep(a, low)))
     return docs.withColumn(text, F.array_join(kept, "\n"))

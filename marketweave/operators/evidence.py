@@ -141,7 +141,7 @@ def focus(docs: DataFrame, text: str, words: Sequence[str], longest: int = 600,
     """Adds focus: lines with a keyword and the line behind each, in order, within longest characters; the first lines of the text if there is none."""
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), t.compact), lambda x: x != "")
     key = lambda x: _any(F.lower(x), words)
-    kept = F.filter(lines, lambda x, i: key(x) | ((i > 0) & key(F.get(lines, i - 1))))
+    kept = t.let(lines, lambda a: F.filter(a, lambda x, i: key(x) | ((i > 0) & key(F.get(a, i - 1)))))
     start = F.struct(F.lit(0).alias("n"), F.expr("cast(array() as array<string>)").alias("out"))
     inside = F.aggregate(kept, start, lambda a, x: F.when(a["n"] + F.length(x) + 1 <= longest, F.struct((a["n"] + F.length(x) + 1).alias("n"), F.concat(a["out"], F.array(x)).alias("out"))).otherwise(F.struct(F.lit(longest).alias("n"), a["out"].alias("out"))), lambda a: a["out"])
     return docs.withColumn("focus", F.when(F.size(inside) > 0, inside).otherwise(F.slice(lines, 1, fallback)))

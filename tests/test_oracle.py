@@ -15,7 +15,7 @@ SOME = ["b5_buy_and_hold", "b6_rebalanced_by_fold", "b9_metrics", "p7_displayabl
 
 def plain(v):
     if isinstance(v, float):
-        return round(v, 6) + 0.0
+        return float(f"{v:.9g}") + 0.0
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, (list, tuple)):
