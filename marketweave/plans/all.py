@@ -1,3 +1,3 @@
 """Importing this registers all queries of this folder."""
 
-from . import entities, evidence, portfolio, relational, sources, text  # noqa: F401
+from . import entities, evidence, portfolio, relational, sources, summaries, text  # noqa: F401
