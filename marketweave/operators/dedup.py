@@ -167,37 +167,38 @@ def _same_story(a: dict, b: dict) -> bool:
 
 
 def curated(rows: DataFrame, scope: str, limit: int) -> DataFrame:
-    """Representatives of stories in order of place with similar_count, limit over all scopes.
+    """Representatives of stories, the best limit over all scopes: scope, id, rank_score, similar_count.
 
-    rows: scope, id, place (unique over all), url, title. Greedy within a scope: a row joins the first earlier representative that tells its story, else it
-    becomes one; only representatives among the first limit of all scopes take in others. Scopes are cut to a few hundred rows before.
+    rows: scope, id, rank_score, event_s, url, title; larger rank_score, event_s, id come first. Greedy within a scope: a row joins the first earlier representative that
+    tells its story, else it becomes one; only representatives among the first limit of all scopes take in others. Scopes are cut to a few hundred rows before; the
+    best of all scopes are a top-k, not a global sort.
     """
-    prepared = rows.select(scope, "id", "place", t.normalize_url(F.col("url")).alias("url"), t.title_key(F.col("title")).alias("key"), t.title_tokens(F.col("title")).alias("words"))
+    order = ["rank_score", "event_s", "id"]
+    prepared = rows.select(F.col(scope).alias(scope), *order, t.normalize_url(F.col("url")).alias("url"), t.title_key(F.col("title")).alias("key"), t.title_tokens(F.col("title")).alias("words"))
     kind = dict(rows.dtypes)[scope]
 
     def walk(part: pd.DataFrame, accepted: set | None) -> list[tuple]:
         reps, out = [], []
-        for r in part.sort_values("place").to_dict("records"):
+        for r in part.sort_values(order, ascending=False).to_dict("records"):
             item = {**r, "norm": " ".join(r["words"]), "words": set(r["words"])}
             hit = next((x for x in reps if _same_story(item, x)), None)
             if hit is None and (accepted is None or r["id"] in accepted):
                 reps.append(item)
                 hit = item
             if hit is not None:
-                out.append((r[scope], r["id"], r["place"], hit["id"]))
+                out.append((r[scope], r["id"], r["rank_score"], r["event_s"], hit["id"]))
         return out
 
-    columns = [scope, "id", "place", "representative"]
-    schema = f"{scope} {kind}, id long, place int, representative long"
+    columns = [scope, "id", "rank_score", "event_s", "representative"]
+    schema = f"{scope} {kind}, id long, rank_score double, event_s long, representative long"
     first = prepared.groupBy(scope).applyInPandas(lambda p: pd.DataFrame(walk(p, None), columns=columns), schema)
-    accepted = first.where("id = representative").orderBy("place", "id").limit(limit).select(F.col(scope).alias(scope), F.col("id").alias("ok"))
+    accepted = first.where("id = representative").orderBy(*[F.col(c).desc() for c in order]).limit(limit).select(F.col(scope).alias(scope), F.col("id").alias("ok"))
 
     def again(key: tuple, part: pd.DataFrame, ok: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(walk(part, set(ok["ok"])), columns=columns)
 
     second = prepared.groupBy(scope).cogroup(accepted.groupBy(scope)).applyInPandas(again, schema)
-    counts = second.groupBy(scope, F.col("representative").alias("id")).agg((F.count("*") - 1).alias("similar_count"), F.min("place").alias("place"))
-    return counts.select(scope, "id", "place", "similar_count")
+    return second.groupBy(scope, F.col("representative").alias("id")).agg(F.max("rank_score").alias("rank_score"), (F.count("*") - 1).alias("similar_count"))
 
 
 def compressed_cards(cards: DataFrame, keys: Sequence[str], order: Sequence[Column], most: int = 120) -> DataFrame:

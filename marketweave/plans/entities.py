@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -74,10 +74,9 @@ def d10(s: SparkSession, d: str) -> DataFrame:
 
 @register("d6_curated_feed")
 def d6(s: SparkSession, d: str) -> DataFrame:
-    """Feed of 200: ranked within a stock, places made unique over all stocks."""
-    found = dedup.ranked(docs(s, d), "stock_code").where("place <= 400")
-    order = Window.orderBy(F.col("rank_score").desc(), F.col("event_time").desc(), F.col("id").desc())
-    return dedup.curated(found.withColumn("place", F.row_number().over(order)), "stock_code", 200)
+    """Feed of 200: ranked and cut within a stock, then curated."""
+    found = dedup.ranked(docs(s, d), "stock_code").where("place <= 400").withColumn("event_s", F.unix_timestamp("event_time"))
+    return dedup.curated(found, "stock_code", 200)
 
 
 @register("d12_without_boilerplate", rf"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: {C.format('x')}) AS l FROM documents),

@@ -16,7 +16,11 @@ from .registry import register, view
 
 def scratch(s: SparkSession, name: str) -> str:
     """A new folder that all executors see."""
-    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marketweave-")
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="marketweave-")
     return f"{base}/marketweave-{name}-{uuid.uuid4().hex}"
 
 

@@ -101,8 +101,8 @@ def test_fuzzy_titles_find_near_spellings(spark):
 
 
 def test_curation_joins_stories_and_respects_the_limit(spark):
-    rows = spark.createDataFrame([("s", 1, 1, "http://x/1", "alpha beta gamma delta"), ("s", 2, 2, "http://x/2", "alpha beta gamma delta extra"), ("s", 3, 3, "http://x/1", "other title words"), ("t", 4, 4, "http://x/9", "alpha beta gamma delta"), ("s", 5, 5, "http://x/5", "fifth story here now")], "stock string, id long, place int, url string, title string")
-    assert sorted(tuple(x) for x in dedup.curated(rows, "stock", 2).collect()) == [("s", 1, 1, 2), ("t", 4, 4, 0)]
+    rows = spark.createDataFrame([("s", 1, 0.9, 1, "http://x/1", "alpha beta gamma delta"), ("s", 2, 0.8, 1, "http://x/2", "alpha beta gamma delta extra"), ("s", 3, 0.7, 1, "http://x/1", "other title words"), ("t", 4, 0.6, 1, "http://x/9", "alpha beta gamma delta"), ("s", 5, 0.5, 1, "http://x/5", "fifth story here now")], "stock string, id long, rank_score double, event_s long, url string, title string")
+    assert sorted(tuple(x) for x in dedup.curated(rows, "stock", 2).collect()) == [("s", 1, 0.9, 2), ("t", 4, 0.6, 0)]
 
 
 def test_centrality_of_a_star(spark):
