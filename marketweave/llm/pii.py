@@ -16,19 +16,25 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Kinds and their patterns, tried from left to right at each place. Names follow their title, which stays.
+#: Titles by gender, words before a quoted secret, and patterns by kind, tried from left to right at each place. A title or such a word belongs to
+#: the match, as its prefix, and stays. Each pattern fails at its first character almost everywhere, as whole texts are searched.
+MEN, WOMEN = r"Mr\.?|Mister|Herrn?|Monsieur|Señor|Signor|господин|г-н", r"Mrs\.?|Ms\.?|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Signora|госпожа|г-жа"
+KEYWORD = r"(?i:token|secret|password|passwd|api_key|apikey) ?[=:] ?[\"']"
 KINDS = {
-    "email": r"(?<![\w.+-])[\p{L}\p{N}_][\p{L}\p{N}._%+-]{0,63}@[\p{L}\p{N}](?:[\p{L}\p{N}.-]{0,252}[\p{L}\p{N}])?\.\p{L}{2,24}(?![\p{L}\p{N}])",
-    "secret": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64}|(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,64})\b|(?<=(?i:token|secret|password|passwd|api_key|apikey) ?[=:] ?[\"'])[^\"'\s]{6,128}(?=[\"'])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_][\p{L}\p{N}._%+-]{0,63}+@[\p{L}\p{N}](?:[\p{L}\p{N}.-]{0,252}[\p{L}\p{N}])?\.\p{L}{2,24}(?![\p{L}\p{N}])",
+    "keyword": KEYWORD + r"[^\"'\s]{6,128}(?=[\"'])",
+    "secret": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64}|(?=[0-9A-Fa-f]{32})(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,64})\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b",
-    "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?<sep>[ -])\d{4}\k<sep>\d{4}\k<sep>\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]|\.\d)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\w-])",
-    "male": r"(?<=(?<![\p{L}\p{N}])(?:Mr\.?|Mister|Herrn?|Monsieur|Señor|Signor|господин|г-н) )\p{Lu}\p{L}+(?:[ -]\p{Lu}\p{L}+){0,2}",
-    "female": r"(?<=(?<![\p{L}\p{N}])(?:Mrs\.?|Ms\.?|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Signora|госпожа|г-жа) )\p{Lu}\p{L}+(?:[ -]\p{Lu}\p{L}+){0,2}",
+    "card": r"(?=\d)(?<![\w.-])(?:\d{13,19}|\d{4}(?<sep>[ -])\d{4}\k<sep>\d{4}\k<sep>\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]|\.\d)",
+    "ssn": r"(?=\d)(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "ip": r"(?=\d)(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
+    "phone": r"(?=[+(\d])(?:(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\w-]))",
+    "name": rf"(?=[MHSFг])(?<![\p{{L}}\p{{N}}])(?:{MEN}|{WOMEN}) \p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+PREFIX = rf"^(?:(?:{MEN}|{WOMEN}) (?=\p{{Lu}})|{KEYWORD})"
+#: What every match holds: a digit, an at sign, a quotation mark, or the start of a title. Most documents have none of these.
+MARKS, TITLE_STARTS = "[0-9@\"']", ("Mr", "Mister", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mademoiselle", "Señor", "Signor", "господин", "госпожа", "г-н", "г-жа")
 DIGITS = ("card", "ssn", "phone")
 #: Given names that surrogates are drawn from, and syllables of their family names, by script.
 GIVEN = {
@@ -43,17 +49,24 @@ MAX_ENTITIES, MAX_ROUNDS = 200_000, 40
 DOC = ["doc_id", "text_hash"]
 
 
-def kind_of(mention: Column) -> Column:
-    """The kind of a mention that ANY has matched without its surroundings: names are what no other kind can be."""
+def private(text: Column) -> Column:
+    """Whether a text holds an entity; false for null. Cheap tests come first."""
+    marked = reduce(lambda a, w: a | F.contains(text, F.lit(w)), TITLE_STARTS, text.rlike(MARKS))
+    return F.coalesce(marked & text.rlike(ANY), F.lit(False))
+
+
+def kind_of(prefix: Column, mention: Column) -> Column:
+    """The kind of what ANY has matched behind its prefix."""
     digits = F.regexp_replace(mention, r"\D", "")
     return (
-        F.when(F.contains(mention, F.lit("@")) & mention.rlike(r"^[^\s@]+@[^\s@]+\.\p{L}+$"), "email")
+        F.when(prefix.rlike("[\"']$"), "secret")
+        .when(prefix != "", "name")
+        .when(F.contains(mention, F.lit("@")) & mention.rlike(r"^[^\s@]+@[^\s@]+\.\p{L}+$"), "email")
         .when(mention.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(mention.rlike(r"^\d[\d -]*$") & (F.length(digits) >= 13) & (F.length(digits) <= 19), "card")
         .when(mention.rlike(r"^[+(]?\d[\d ().-]*$") & ~mention.rlike(r"^\d+$"), "phone")
         .when(mention.rlike(r"^[A-Z]{2}\d{2}[ 0-9A-Z]{11,36}$") & (F.length(F.regexp_replace(mention, " ", "")) >= 15) & (F.length(F.regexp_replace(mention, " ", "")) <= 34), "iban")
-        .when(mention.rlike(r"^\p{Lu}\p{L}+([ -]\p{Lu}\p{L}+){0,2}$") & ~mention.rlike(r"\d"), "name")
         .otherwise("secret")
     )
 
@@ -122,18 +135,13 @@ def _propose(key: str, d: DataFrame) -> Column:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, i (place in the text's row of entities), mention, kind, gender (names) of each entity of each different text."""
-    found = docs.where(F.col("text").rlike(ANY)).select("doc_id", F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(DOC)
-    one = found.select(*DOC, F.posexplode(F.arrays_zip(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("m"), _before("text").alias("b"))).alias("i", "e"))
-    kind = kind_of(F.col("e.m"))
-    woman = F.col("e.b").rlike(r"(?:Mrs\.?|Ms\.?|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Signora|госпожа|г-жа) $")
-    return one.select(*DOC, "i", F.col("e.m").alias("mention"), kind.alias("kind"), F.when(kind == "name", F.when(woman, "female").otherwise("male")).alias("gender"))
-
-
-def _before(text: str) -> Column:
-    """The last characters before each entity."""
-    parts = F.split(F.col(text), ANY, -1)
-    return F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.right(p, F.lit(16)))
+    """doc_id, text_hash, i (place in the text's row of entities), prefix (title or keyword), mention, kind, gender (names) of each entity of each different text."""
+    found = docs.where(private(F.col("text"))).select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("m"))
+    one = found.dropDuplicates(DOC).select(*DOC, F.posexplode("m").alias("i", "whole"))
+    cut = one.withColumn("prefix", F.regexp_extract("whole", PREFIX, 0)).withColumn("mention", F.expr("substring(whole, length(prefix) + 1)"))
+    kind = kind_of(F.col("prefix"), F.col("mention"))
+    woman = F.col("prefix").rlike(rf"^(?:{WOMEN}) $")
+    return cut.select(*DOC, "i", "prefix", "mention", kind.alias("kind"), F.when(kind == "name", F.when(woman, "female").otherwise("male")).alias("gender"))
 
 
 def _words(found: DataFrame) -> DataFrame:
@@ -196,17 +204,17 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     named = keyed.join(common.small(book.withColumnRenamed("gender", "__gender"), MAX_ENTITIES), ["kind", "entity", "part", "__gender"])
     spelled = named.withColumn("new", _spelled(F.col("kind"), F.col("word"), F.col("surrogate")))
     # Put names together again: the separators between their words are those of the mention.
-    whole = spelled.groupBy(*DOC, "i", "mention", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "new"))), lambda x: x["new"]).alias("parts"))
+    whole = spelled.groupBy(*DOC, "i", "prefix", "mention", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "new"))), lambda x: x["new"]).alias("parts"))
     gaps = F.split("mention", r"\p{L}+", -1)
     name = F.array_join(F.zip_with(gaps, F.concat(F.col("parts"), F.array(F.lit(""))), lambda g, p: F.concat(g, p)), "")
-    whole = whole.withColumn("new", F.when(F.col("kind") == "name", name).otherwise(F.element_at("parts", 1)))
+    whole = whole.withColumn("new", F.concat("prefix", F.when(F.col("kind") == "name", name).otherwise(F.element_at("parts", 1))))
     per_doc = whole.groupBy(*DOC).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]).alias("__new"), F.sort_array(F.collect_set("kind")).alias("entity_kinds"))
     per_doc = per_doc.select(*DOC, "__new", "entity_kinds").withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
-    touched = docs.where(F.col("text").rlike(ANY)).withColumn("__own", F.xxhash64("text"))
+    touched = docs.where(private(F.col("text"))).withColumn("__own", F.xxhash64("text"))
     joined = touched.join(per_doc, touched["doc_id"].eqNullSafe(per_doc["__doc"]) & (touched["__own"] == per_doc["__hash"]))
     text = F.array_join(F.zip_with(F.split("text", ANY, -1), F.concat(F.col("__new"), F.array(F.lit(""))), lambda g, e: F.concat(g, e)), "")
     cols = docs.columns
     changed = joined.withColumn("text", text).withColumn("n_entities", F.size("__new").cast("long")).select(*cols, "n_entities", "entity_kinds")
-    same = docs.where(~F.coalesce(F.col("text").rlike(ANY), F.lit(False)))
+    same = docs.where(~private(F.col("text")))
     return same.withColumn("n_entities", F.lit(0).cast("long")).withColumn("entity_kinds", F.expr("array()").cast("array<string>")).unionByName(changed)
