@@ -259,3 +259,13 @@ def kind_label(kind: Column) -> Column:
 def compact_payload(payload: Column, most: int = 10, item: int = 500, whole: int = 1000) -> Column:
     """A map of arrays of text with at most most items of item characters each; keys with no items keep an empty array."""
     return F.transform_values(payload, lambda k, v: F.transform(F.slice(v, 1, most), lambda x: F.left(x, F.lit(item))))
+
+
+def doc_type(raw: Column) -> Column:
+    """news, report or filing by its usual names; anything else counts as news."""
+    low = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
+    return F.when(low.isin("report", "research"), "report").when(low.isin("filing", "disclosure"), "filing").otherwise("news")
+
+
+def impact_label(impact: Column) -> Column:
+    return F.when(impact == "positive", "긍정").when(impact == "negative", "부정").otherwise("중립")

@@ -183,3 +183,20 @@ def first_known(parts: Sequence[DataFrame], key: str) -> DataFrame:
         p = p.withColumn("origin", F.lit(i))
         out = p if out is None else out.unionByName(p)
     return r.top_per_key(out, [key], [F.col("origin")])
+
+
+def item_lines(cards_: DataFrame) -> DataFrame:
+    """item_id, lines (a line per section, six at most, none twice) and one_liner of each card."""
+    part = lambda name, c: F.when(t.compact(c) != "", F.concat(F.lit(f"{name}: "), c))
+    raw = F.array_compact(F.array(
+        part("conclusion", F.col("fact_headline")), part("evidence", F.get("facts", F.lit(0))), part("evidence", F.get("facts", F.lit(1))), part("risk", F.col("risk_note")),
+        F.concat(F.lit("checkpoint: "), F.get("topics", F.lit(0))), part("final", F.col("interpretation")),
+    ))
+    return cards_.select("item_id", t.sanitize_lines(raw).alias("lines"), t.one_liner(F.lit(None).cast("string"), F.col("facts"), F.col("fact_headline"), F.col("risk_note")).alias("one_liner"))
+
+
+def labelled_sections(summaries: DataFrame, lines: str) -> DataFrame:
+    """item_id, section, texts in order of summaries whose lines name a section."""
+    each = summaries.select("item_id", F.posexplode(lines).alias("pos", "line")).withColumn("section", t.section(F.col("line")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", t.section_body(F.col("line")).alias("x")))), lambda v: v["x"])
+    return each.where("section IS NOT NULL").groupBy("item_id", "section").agg(ordered.alias("texts"))

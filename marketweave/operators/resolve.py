@@ -195,3 +195,20 @@ def synced_sectors(external: DataFrame, existing: DataFrame, inferred: DataFrame
     parts = [p.select("code", "sector_code", "confidence", F.lit(n).alias("p"), F.lit(o).alias("origin")) for n, (o, p) in enumerate((("external", external), ("existing", existing), ("inferred", inferred)))]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return both.withColumn("r", F.rank().over(Window.partitionBy("code").orderBy("p"))).where("r = 1").drop("p", "r")
+
+
+def stock_aliases(stocks: DataFrame, generic: Sequence[str]) -> DataFrame:
+    """code, alias from code, name and queries (array): also without legal forms; no generic words, no single characters, of numbers those of six digits only. Aliases of a stock differ by more than case."""
+    bare = lambda c: t.compact(F.regexp_replace(c, r"주식회사|\(주\)", ""))
+    raw = F.concat(F.array("code", "name"), F.coalesce("queries", F.expr("cast(array() as array<string>)")))
+    each = stocks.select("code", F.posexplode(F.flatten(F.transform(raw, lambda c: F.array(t.compact(c), bare(c))))).alias("pos", "alias"))
+    good = each.where((F.length("alias") >= 2) & ~F.lower("alias").isin([g.lower() for g in generic]) & ~(F.col("alias").rlike(r"^\d+$") & (F.length("alias") != 6)))
+    return good.groupBy("code", F.lower("alias").alias("k")).agg(F.min_by("alias", "pos").alias("alias")).select("code", "alias")
+
+
+def mapping_rows(primary: DataFrame, sectors: DataFrame) -> DataFrame:
+    """id, entity_type, entity_id, score, is_primary: the ticker row of each document and, if it has one, that of its best sector, which is primary where no ticker is."""
+    tickers = primary.select("id", F.lit("ticker").alias("entity_type"), F.col("ticker").alias("entity_id"), "score", (F.col("ticker") != "UNASSIGNED").alias("is_primary"))
+    best = sectors.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("k"), "sector")).alias("b"))
+    other = best.join(primary.select("id", "ticker"), "id", "left").select("id", F.lit("sector").alias("entity_type"), F.col("b.sector").alias("entity_id"), (-F.col("b.k")).alias("score"), (F.coalesce("ticker", F.lit("UNASSIGNED")) == "UNASSIGNED").alias("is_primary"))
+    return tickers.unionByName(other)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import dedup
 from ..operators import evidence as e
 from ..operators import relational as r
+from ..functions import text as t
+from ..operators import resolve
 from ..operators import summaries as m
 from .evidence import NEGATIVE, POSITIVE, _chosen, docs
 from .registry import register, view
@@ -94,3 +96,35 @@ def e19(s: SparkSession, d: str) -> DataFrame:
     weeks = docs(s, d).groupBy(F.col("stock_code").alias("entity_id")).agg(F.count_if(day.between("2023-12-29", "2024-01-04")).alias("this_week"), F.count_if(day.between("2023-12-22", "2023-12-28")).alias("week_before"))
     changes = e.digest_changes(_chosen(s, d), _chosen(s, d).limit(0), ["entity_id"]).select("entity_id", F.slice("change_lines", 1, 3).alias("preview"))
     return weeks.join(changes, "entity_id", "left").select("entity_id", "this_week", "week_before")
+
+
+@register("e6_item_lines")
+def e6(s: SparkSession, d: str) -> DataFrame:
+    return e.item_lines(e.cards(docs(s, d)))
+
+
+@register("e18_sections")
+def e18(s: SparkSession, d: str) -> DataFrame:
+    return e.labelled_sections(e.item_lines(e.cards(docs(s, d))), "lines")
+
+
+@register("r1_stock_aliases", """WITH a AS (SELECT code, code AS alias FROM fx_stocks UNION SELECT code, name FROM fx_stocks UNION SELECT code, brand FROM fx_stocks WHERE lower(brand) <> 'brand#11') SELECT DISTINCT code, alias FROM a""")
+def r1(s: SparkSession, d: str) -> DataFrame:
+    return resolve.stock_aliases(view(s, d, "fx_stocks").withColumn("queries", F.array("brand", F.upper("name"), F.lit("77"), F.lit("x"))), ["Brand#11"])
+
+
+@register("r11_mapping_rows", """WITH p AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'UNASSIGNED' ELSE stock_code END AS ticker, relevance_score AS score FROM fx_documents)
+  SELECT id, 'ticker' AS entity_type, ticker AS entity_id, score, ticker <> 'UNASSIGNED' AS is_primary FROM p UNION ALL SELECT id, 'sector', 'A', CAST(6 AS DOUBLE), ticker = 'UNASSIGNED' FROM p WHERE id % 2 = 0""")
+def r11(s: SparkSession, d: str) -> DataFrame:
+    found = view(s, d, "fx_documents")
+    primary = found.select("id", F.when(F.col("id") % 3 == 0, "UNASSIGNED").otherwise(F.col("stock_code")).alias("ticker"), F.col("relevance_score").alias("score"))
+    pair = lambda name, score: F.struct(F.lit(name).alias("sector"), F.lit(score).alias("score"))
+    sectors = found.where("id % 2 = 0").select("id", F.explode(F.array(pair("B", 6.0), pair("A", 6.0), pair("C", 5.0))).alias("x")).select("id", "x.*")
+    return resolve.mapping_rows(primary, sectors)
+
+
+@register("f22_doc_types", "SELECT id, doc_type AS kind, CASE lang WHEN 'en' THEN '긍정' WHEN 'de' THEN '부정' ELSE '중립' END AS label FROM fx_documents")
+def f22(s: SparkSession, d: str) -> DataFrame:
+    raw = F.when(F.col("doc_type") == "report", " Research ").when(F.col("doc_type") == "filing", "DISCLOSURE").otherwise("blog")
+    impact = F.when(F.col("lang") == "en", "positive").when(F.col("lang") == "de", "negative")
+    return view(s, d, "fx_documents").select("id", t.doc_type(raw).alias("kind"), t.impact_label(impact).alias("label"))
