@@ -49,7 +49,7 @@ def forget() -> None:
             return
 
 
-def narrow_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+def narrow_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """From now on, the session hands Python workers at most about size bytes at once (one row at least): whole texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 

@@ -26,6 +26,8 @@ from pyspark.sql.types import StructType
 
 from . import common, words
 
+#: Repeated words whose ids a Python worker remembers.
+KNOWN_WORDS = 250_000
 HEAD, TAIL, BLOCK_IDS = struct.Struct("<4sHHI"), struct.Struct("<QQQQ"), 8192
 WRITE_SCHEMA, READ_SCHEMA = "doc_id long, ids binary", "doc_id long, start long, n_tokens long, ids binary"
 
@@ -231,7 +233,7 @@ _loaded: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
-    """The tokenizer of this Python worker, the id of a line break, and whether words may be encoded apart."""
+    """The tokenizer of this Python worker, the id of a line break, whether words may be encoded apart, and the ids of words seen before."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -242,7 +244,7 @@ def _encoder(path: str):
         pre = state.get("pre_tokenizer") or {}
         line = t.encode("\n", add_special_tokens=False).ids
         apart = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not state.get("normalizer") and len(line) == 1
-        _loaded[path] = (t, line[0] if line else -1, apart)
+        _loaded[path] = (t, line[0] if line else -1, apart, {})
     return _loaded[path]
 
 
@@ -251,21 +253,37 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
     Where the pattern of the tokenizer allows it, each different word of the texts is encoded once, thousands of them in one call with line breaks between.
     """
-    t, line, apart = _encoder(path)
+    t, line, apart, known = _encoder(path)
 
     def plain(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(some, add_special_tokens=False)]
         return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
 
+    def single(some: list[str], _) -> tuple[np.ndarray, np.ndarray]:
+        return plain(some)
+
     def joined(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        texts = ["\n".join(some[i : i + 2000]) + "\n" for i in range(0, len(some), 2000)]
-        flat, _ = plain(texts)
+        flat, _ = plain(["\n".join(some[i : i + 2000]) + "\n" for i in range(0, len(some), 2000)])
         breaks = np.flatnonzero(flat == line)
         return np.delete(flat, breaks), np.diff(breaks, prepend=-1) - 1
 
+    def many(some: list[str], often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        old = np.array([w in known for w in some], bool)
+        ids, counts = joined([w for w, o in zip(some, old) if not o])
+        have = [known[w] for w, o in zip(some, old) if o]
+        place = np.zeros(len(some), np.int64)
+        place[~old], place[old] = np.arange(len(counts)), len(counts) + np.arange(len(have))
+        if len(known) < KNOWN_WORDS:
+            ends = np.cumsum(counts)
+            new = np.flatnonzero(~old)
+            for k in np.flatnonzero(often[new])[: KNOWN_WORDS - len(known)].tolist():
+                known[some[new[k]]] = ids[ends[k] - counts[k] : ends[k]].tobytes()
+        counts = np.concatenate([counts, np.array([len(x) // 4 for x in have], np.int64)])
+        return words.gather(np.concatenate([ids, np.frombuffer(b"".join(have), np.uint32)]), counts, place)
+
     if not apart:
         return plain([x or "" for x in texts.to_pylist()])
-    return words.by_word(texts, joined, plain)
+    return words.by_word(texts, many, single)
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFrame:

@@ -16,10 +16,11 @@ import pyarrow.compute as pc
 #: Characters that one of the pattern engines takes for white space; no cut next to them.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
 CUT = re.compile(f"(?<=[^{BLANKS}]) (?=[^{BLANKS}])")
-EDGE = re.compile(f"^(?:$|[{BLANKS}])|[{BLANKS}]$")
-INNER = re.compile(f"[{BLANKS}]")
-#: From words to their ids, one after another, and the number of ids of each.
-Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+#: For Arrow: a blank beside white space or at an end; any white space.
+HARD, INNER = f"^ | $| [{BLANKS}]|[{BLANKS}] ", f"[{BLANKS}]"
+
+#: From words to their ids, one after another, and the number of ids of each. The flags tell words that occur more than once among the texts.
+Encode = Callable[[list[str], np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def gather(flat: np.ndarray, counts: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,18 +42,21 @@ def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _encoded(lists: pa.ListArray, many: Encode, single: Encode) -> tuple[np.ndarray, np.ndarray]:
     flat = lists.flatten().dictionary_encode()
+    inner = pc.match_substring_regex(flat.dictionary, INNER).to_numpy(zero_copy_only=False)
     texts = flat.dictionary.to_pylist()
     sizes = pc.list_value_length(lists).to_numpy()
     code = flat.indices.to_numpy().astype(np.int64) * 2 + 1
     code[np.cumsum(sizes) - sizes] -= 1  # the first word of a text has no blank before it
-    used = np.flatnonzero(np.bincount(code, minlength=2))
-    number = np.zeros(2 * len(texts) + 2, np.int64)
-    number[used] = np.arange(len(used))
-    odd = np.array([c % 2 == 0 or INNER.search(texts[c >> 1]) is not None for c in used.tolist()], bool)
-    apart = single([" " + texts[c >> 1] if c & 1 else texts[c >> 1] for c in used[odd].tolist()])
-    alike = [" " + texts[c >> 1] for c in used[~odd].tolist()]
+    often = np.bincount(code, minlength=2)
+    used = np.flatnonzero(often)
+    often = often[used] > 1
+    number = np.zeros(2 * len(texts) + 2, np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    odd = (used % 2 == 0) | inner[used >> 1] if len(texts) else np.zeros(0, bool)
+    apart = single([" " + texts[c >> 1] if c & 1 else texts[c >> 1] for c in used[odd].tolist()], often[odd])
+    alike = [" " + texts[c] for c in (used[~odd] >> 1).tolist()]
     del texts
-    parts = [many(alike), apart]
+    parts = [many(alike, often[~odd]), apart]
     ids, counts = (np.concatenate([parts[0][k], parts[1][k]]) for k in (0, 1))
     place = np.zeros(len(used), np.int64)
     place[~odd], place[odd] = np.arange(len(used) - odd.sum()), np.arange(odd.sum()) + (len(used) - odd.sum())
@@ -63,15 +67,12 @@ def _encoded(lists: pa.ListArray, many: Encode, single: Encode) -> tuple[np.ndar
 def by_word(texts: pa.Array, many: Encode, single: Encode) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, end to end, and the number of ids of each. many gets words of visible characters behind one blank, single the others."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.split_pattern(texts, " ")
-    flat = lists.flatten().dictionary_encode()
-    edge = np.array([EDGE.search(w) is not None for w in flat.dictionary.to_pylist()], bool)
-    sizes = pc.list_value_length(lists).to_numpy()
-    hard = sums(edge[flat.indices.to_numpy()].astype(np.int64), sizes) > 0  # texts with a blank beside white space or at an end
+    hard = pc.match_substring_regex(texts, HARD).to_numpy(zero_copy_only=False)
     if not hard.any():
-        return _encoded(lists, many, single)
-    cut = pa.array([CUT.split(t) for t in texts.filter(pa.array(hard)).to_pylist()], lists.type)
-    parts = [_encoded(x, many, single) for x in (lists.filter(pa.array(~hard)), cut)]
+        return _encoded(pc.split_pattern(texts, " "), many, single)
+    plain = pc.split_pattern(texts.filter(pa.array(~hard)), " ")
+    cut = pa.array([CUT.split(t) for t in texts.filter(pa.array(hard)).to_pylist()], plain.type)
+    parts = [_encoded(x, many, single) for x in (plain, cut)]
     ids, counts = (np.concatenate([parts[0][k], parts[1][k]]) for k in (0, 1))
     place = np.zeros(len(texts), np.int64)
     place[~hard], place[hard] = np.arange((~hard).sum()), np.arange(hard.sum()) + (~hard).sum()
