@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,21 +27,27 @@ NUMBER = r"[-+]?\d+(?:[.,]\d+)?%?"
 
 
 def _any(text: Column, words: Sequence[str]) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    """Whether text, computed once, holds any of the words."""
+    return t.let(text, lambda v: reduce(lambda a, w: a | F.contains(v, F.lit(w)), words, F.lit(False)))
+
+
+def count_words(text: Column, words: Sequence[str]) -> Column:
+    """How many of the words text, computed once, holds."""
+    return t.let(text, lambda v: reduce(lambda a, w: a + F.contains(v, F.lit(w)).cast("int"), words, F.lit(0)))
 
 
 def facts(text: Column, hint: Column, most: int = 3) -> Column:
     """The first different sentences of 12 characters at least with a number, a date or hint, filled up with the first sentences of the text and then by repetition."""
     every = F.array_distinct(F.filter(t.sentences(text), lambda s: F.length(s) >= 12))
-    anchored = F.filter(every, lambda s: s.rlike(NUMBER) | ((hint != "") & F.contains(F.lower(s), F.lower(hint))))
-    ordered = F.slice(F.array_union(anchored, every), 1, most)
-    return F.when(F.size(ordered) == 0, F.expr("array()").cast("array<string>")).otherwise(F.slice(F.concat(ordered, F.array_repeat(F.element_at(ordered, -1), most)), 1, most))
+    anchored = lambda v: F.filter(v, lambda s: s.rlike(NUMBER) | ((hint != "") & F.contains(F.lower(s), F.lower(hint))))
+    filled = lambda o: F.when(F.size(o) == 0, o).otherwise(F.slice(F.concat(o, F.array_repeat(F.element_at(o, -1), most)), 1, most))
+    return t.let(t.let(every, lambda v: F.slice(F.array_union(anchored(v), v), 1, most)), filled)
 
 
 def topics(text: Column, rules: dict[str, list[str]] = TOPICS, most: int = 6) -> Column:
     """Topics with a keyword in the text, "general" for none."""
-    low = F.lower(t.compact(text))
-    found = F.slice(F.array_compact(F.array(*[F.when(_any(low, ws), F.lit(k)) for k, ws in rules.items()])), 1, most)
+    named = lambda v: F.array(*[F.when(reduce(lambda a, w: a | F.contains(v, F.lit(w)), ws, F.lit(False)), F.lit(k)) for k, ws in rules.items()])
+    found = F.slice(F.array_compact(t.let(F.lower(t.compact(text)), named)), 1, most)
     return F.when(F.size(found) == 0, F.array(F.lit("general"))).otherwise(found)
 
 
@@ -124,8 +131,7 @@ def sentiment(docs: DataFrame, key: str, order: Sequence[Column], positive: Sequ
     """key, label, confidence from words of the newest documents: each document counts once for each word of a list."""
     top = r.top_per_key(docs, [key], order, newest)
     low = F.lower(F.concat_ws(" ", "title", "body"))
-    hits = lambda words: F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)))
-    a = top.groupBy(key).agg((F.sum(hits(positive)) - F.sum(hits(negative))).alias("gap"))
+    a = top.groupBy(key).agg((F.sum(count_words(low, positive)) - F.sum(count_words(low, negative))).alias("gap"))
     label = F.when(F.col("gap") > 0, "positive").when(F.col("gap") < 0, "negative").otherwise("neutral")
     return a.select(key, label.alias("label"), F.round(F.least(F.lit(0.9), 0.55 + step * F.abs("gap")), 4).alias("confidence"))
 

@@ -103,8 +103,7 @@ def capped_scores(docs: DataFrame, mapped: DataFrame, gate: float = 0.8, cap: fl
 
 def contains_any(text: Column, queries: Column) -> Column:
     """Whether a text holds any string of an array, whatever the case."""
-    low = F.lower(text)
-    return F.exists(queries, lambda q: F.contains(low, F.lower(q)))
+    return F.element_at(F.transform(F.array(F.lower(text)), lambda v: F.exists(queries, lambda q: F.contains(v, F.lower(q)))), 1)  # the text is lower-cased once
 
 
 def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:

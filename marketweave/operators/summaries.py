@@ -43,7 +43,7 @@ def stock_summaries(docs: DataFrame, risks: Sequence[str], checks: Sequence[str]
     """stock_code, line_no, text, source_id: six lines from the newest documents (id, stock_code, title, body, event_time): conclusion, two of evidence, the first risk and checkpoint, verdict."""
     top = _newest(docs, "stock_code", newest).withColumn("fact", fact_sentence(F.col("title"), F.col("body")))
     low = F.lower(F.concat_ws(" ", "title", "body"))
-    has = lambda words: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(low, w))
+    has = lambda words: e.count_words(low, [w.lower() for w in words]) > 0
     pick = lambda when: F.min_by(F.struct("fact", "id"), F.when(when, F.col("n")))
     a = top.groupBy("stock_code").agg(pick(F.col("n") == 1).alias("a"), pick(F.col("n") == 2).alias("b"), pick(has(risks)).alias("r"), pick(has(checks)).alias("c"))
     mood = e.sentiment(docs, "stock_code", [F.col("event_time").desc(), F.col("id").desc()], positive, negative, newest)
@@ -97,6 +97,6 @@ def reports(cards: DataFrame, keys: Sequence[str], first: str, last: str, change
 def economy_score(text: Column, blob: Column, macro: Sequence[str], policy: Sequence[str], shared: Sequence[str], hints: Sequence[str]) -> Column:
     """4, and 1 for each macro and each policy keyword in a text, 1 for a source of economic news, 10 at most. Shared keywords count on both lists."""
     low = F.lower(t.compact(text))
-    hits = lambda words: F.size(F.filter(F.array(*[F.lit(w) for w in dict.fromkeys(words)]), lambda w: F.contains(low, w)))
+    hits = lambda words: e.count_words(low, list(dict.fromkeys(words)))
     known = F.exists(F.array(*[F.lit(h) for h in hints]), lambda h: F.contains(F.lower(blob), h)).cast("int")
     return F.least(F.lit(10.0), 4.0 + hits([*macro, *shared]) + hits([*policy, *shared]) + known)
