@@ -72,13 +72,14 @@ def fit(texts: list[str], y: list[int], how: Training) -> Model:
     if len(set(y)) < 2:
         return Model(np.zeros(n, np.float32), 30.0 if y and y[0] == 1 else -30.0)
     sets = [np.unique(grams(t)) for t in texts]
-    row, col = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
-    pos, neg = (np.bincount(col[target[row] == k], minlength=n).astype(float) for k in (1, 0))
+    pos, neg = np.zeros(n), np.zeros(n)
+    for k, label in zip(sets, y):
+        (pos if label else neg)[k] += 1
     p, q = pos + how.smoothing, neg + how.smoothing
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio[(pos + neg < how.least_docs) | (np.abs(ratio) < how.least_ratio)] = 0
-    keep = ratio[col] != 0
-    row, col = row[keep], col[keep]
+    sets = [k[ratio[k] != 0] for k in sets]
+    row, col = np.repeat(np.arange(len(sets)), [len(k) for k in sets]), np.concatenate(sets)
     used, col = np.unique(col, return_inverse=True)
     x = ratio[used][col]
     w, b = np.zeros(len(used)), 0.0
