@@ -63,10 +63,13 @@ def _rarest(words_of: DataFrame, index: DataFrame, window: int) -> DataFrame:
 
 
 def alignments(index: DataFrame, words_of: DataFrame, window: int) -> DataFrame:
-    """Candidate shifts of an item against a document in which the two rarest terms of some window stand at their offsets: doc, item, shift."""
+    """Candidate shifts of an item against a document in which the two rarest terms of some window stand at their offsets: doc, item, shift.
+
+    shift is negative where a document begins inside an item.
+    """
     anchors = common.store(_rarest(words_of, index, window), "anchors")
     firsts = common.small(anchors, MAX_TERMS)
-    one = index.withColumnRenamed("term", "term1").join(firsts, "term1").withColumn("shift", F.col("pos") - F.col("q1")).where("shift >= 0").drop("pos", "term1")
+    one = index.withColumnRenamed("term", "term1").join(firsts, "term1").withColumn("shift", F.col("pos") - F.col("q1")).drop("pos", "term1")
     alone = one.where("term2 IS NULL").select(*DOC, *ITEM, "shift")
     seconds = index.join(common.small(anchors.where("term2 IS NOT NULL").select(F.col("term2").alias("term")).distinct(), MAX_TERMS), "term")
     both = one.where("term2 IS NOT NULL").select(*DOC, *ITEM, "shift", F.col("term2").alias("term"), (F.col("shift") + F.col("q2")).alias("pos"))

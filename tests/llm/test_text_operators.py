@@ -56,6 +56,15 @@ def test_contamination_equals_brute_force(spark):
     assert clean.columns == docs(spark, rows).columns and clean.count() == sum(not e[-1] for e in expected)
 
 
+def test_contamination_of_documents_that_begin_inside_an_item(spark):
+    item = [f"item{k}" for k in range(40)]
+    rows = [(1, " ".join(item[5:35])), (2, " ".join(item[5:16] + ["other", "words"])), (3, " ".join(item[31:] + ["too", "short"]))]
+    bench = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.contamination(docs(spark, rows), bench).collect()}
+    assert got == {1: (30, 30, 1, True), 2: (13, 11, 1, True), 3: (11, 0, 0, False)}
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs(spark, rows), bench).collect()] == [3]
+
+
 def test_contamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs(spark, []), none).count() == 0
