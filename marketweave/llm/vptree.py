@@ -37,8 +37,9 @@ class Node:
 @dataclass
 class Tree:
     vectors: np.ndarray  # different vectors, in leaf order
-    ids: list[np.ndarray]  # of each vector, all ids that have it, ascending
+    ids: list[np.ndarray]  # of each vector, the different ids that have it, ascending
     root: Node
+    several: bool  # whether an id has more than one vector
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -51,12 +52,12 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def build(ids: np.ndarray, vectors: np.ndarray, seed: int = 0) -> Tree:
-    """One tree over all rows; equal vectors share an entry, so any number of copies costs one distance."""
+    """One tree over all rows; equal vectors share an entry, so any number of copies costs one distance. Repeated rows count once."""
     order = np.lexsort((ids,))
     ids, vectors = ids[order], vectors[order]
     different, number = np.unique(vectors, axis=0, return_inverse=True)
     by = np.argsort(number.ravel(), kind="stable")
-    groups = np.split(ids[by], np.cumsum(np.bincount(number.ravel(), minlength=len(different)))[:-1])
+    groups = [np.unique(g) for g in np.split(ids[by], np.cumsum(np.bincount(number.ravel(), minlength=len(different)))[:-1])]
     rng, placed = np.random.default_rng(seed), []
 
     def grow(rows: np.ndarray) -> Node:
@@ -73,13 +74,14 @@ def build(ids: np.ndarray, vectors: np.ndarray, seed: int = 0) -> Tree:
 
     root = grow(np.arange(len(different)))
     order = np.concatenate(placed) if placed else np.zeros(0, int)
-    return Tree(different[order], [groups[k] for k in order], root)
+    return Tree(different[order], [groups[k] for k in order], root, sum(map(len, groups)) > len(np.unique(ids)))
 
 
 def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest of each query among the tree's rows but itself: query number, id, distance. Ties go to smaller ids.
 
-    Of equal vectors the k + 1 smallest ids are enough: one of them may be the query itself, later ones lose every tie.
+    An id with several vectors is as far as the nearest of them. Of equal vectors the k + 1 smallest ids are enough: one of them may be the query itself, later ones lose every tie,
+    even if some have been found by a nearer vector.
     """
     best_d, best_i = np.full((len(queries), k), np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
 
@@ -91,6 +93,11 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, factor: flo
         d[ids[at][:, None] == cand[None]] = np.inf
         all_d = np.concatenate([best_d[at], d], 1)
         all_i = np.concatenate([best_i[at], np.broadcast_to(cand, d.shape)], 1)
+        if tree.several:  # all but the nearest vector of an id go before the cut to k
+            by_id = np.lexsort((all_d, all_i), axis=1)
+            same = np.take_along_axis(all_i, by_id, 1)
+            row, col = np.nonzero(same[:, 1:] == same[:, :-1])
+            all_d[row, by_id[row, col + 1]] = np.inf
         if all_d.shape[1] > 4 * k:  # keep all that tie with the k-th
             edge = np.partition(all_d, k - 1, axis=1)[:, k - 1 : k]
             cols = np.flatnonzero((all_d <= edge).any(0))
@@ -127,8 +134,9 @@ def usable(v: Column) -> Column:
 
 
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Stores and returns the trees (dim, shard, tree) of vectors (vec_id, embedding). Vectors of different length are kept in different trees."""
+    """Stores and returns the trees (dim, shard, tree) of vectors (vec_id, embedding), each different row once. Vectors of different length are kept in different trees."""
     kept = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    kept = common.store(kept.distinct(), "vectors")
     shards = max(1, -(-kept.count() // shard_rows))
     dealt = kept.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
 
@@ -162,10 +170,11 @@ def _block(index: DataFrame, queries: list, k: int, factor: float) -> DataFrame:
 
 
 def nearest(index: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0, block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score of the k nearest rows to each of queries (vec_id, embedding) but itself, as far as there are so many.
+    """query_id, rank (from 1), vec_id, score of the k nearest ids to each of queries (vec_id, embedding) but itself, as far as there are so many.
 
     Unusable vectors and null ids take no part. Queries come in blocks of a fixed number of rows; results of several blocks are stored one by one. Rows
-    that repeat a query's id are its copies: the query has one result per different id, by the first of its vectors.
+    that repeat a query's id are its copies: the query has one result per different id, by the first of its vectors. Repeated rows of the index
+    count once, and an id with several vectors by the nearest of them; all of an id's vectors of one length lie in one tree, so shards share no id.
     """
     v = F.col("embedding").cast("array<double>")
     kept = queries.select(F.col("vec_id").cast("long").alias("query_id"), v.alias("v")).where(F.col("query_id").isNotNull() & usable(F.col("v")))
@@ -176,7 +185,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1
         rows = kept.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()
         found = _block(index, rows, k, factor)
         order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-        top = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         parts.append(common.store(top, "nearest") if blocks > 1 else top)
     while len(parts) > 1:
         parts = [parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]

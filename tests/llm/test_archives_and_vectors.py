@@ -73,6 +73,30 @@ def test_factor_one_is_exact(spark, shard_rows):
     assert got == brute(rows, queries, 10)
 
 
+@pytest.mark.parametrize("shard_rows", [150, 10_000])
+def test_repeated_rows_and_ids_with_several_vectors(spark, shard_rows):
+    rng = random.Random(3)
+    rows = [(i, [float(np.float32(rng.gauss(0, 1))) for _ in range(4)]) for i in range(300)]
+    rows += [(400 + i, rows[5][1]) for i in range(15)]
+    queries = [0, 5, 100, 299]
+
+    def found(rows):
+        df = table(spark, rows)
+        return sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in vptree.nearest(vptree.build_index(df, shard_rows), table(spark, [rows[q] for q in queries])).collect())
+
+    assert found(rows + rows) == found(rows) == brute(rows, queries, 10)
+    # Ids 350 and 400 stand many times beside query 0 and query 5; only their nearest vectors count, once each.
+    near = [(350, [x + 0.001 * j for x in rows[0][1]]) for j in range(1, 40)] + [(400, rows[5][1])] * 12 + [(7, [x + 0.01 for x in rows[5][1]])]
+    least = {}
+    for q in queries:
+        for i, v in rows + near:
+            if i != q:
+                d = float(np.sqrt(((np.array(v, np.float32).astype(float) - np.array(rows[q][1])) ** 2).sum()))
+                least[q, i] = min(d, least.get((q, i), d))
+    expected = [(q, r + 1, i, round(d, 9)) for q in queries for r, (d, i) in enumerate(sorted((d, i) for (p, i), d in least.items() if p == q)[:10])]
+    assert found(rows + near) == sorted(expected)
+
+
 def test_relaxed_search_keeps_most_neighbours(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(2000)]
