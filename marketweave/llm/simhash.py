@@ -10,7 +10,7 @@ most) differ pairwise in two bits at most, and any two that differ in one or two
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,13 +125,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """docs with one row of each group: that with the smallest doc_id. Same columns.
 
-    Rows of one group that share that doc_id are reduced to one (with the smallest hash of the text); rows with a null doc_id stay.
+    groups gives doc_id, component_id and text_hash per row. Rows of one group that share that doc_id are reduced to one (with the smallest hash of the text); rows with a null doc_id stay.
     """
     keys = ["doc_id", "text_hash"]
-    found = common.store(near_duplicates(docs), "groups")
+    found = common.store(groups(docs), "groups")
     gone = common.small(common.store(found.where("doc_id <> component_id").select(*keys).distinct(), "dropped"), MAX_DROPPED)
     keyed = docs.withColumn("__hash", F.xxhash64("text"))
     kept = keyed.join(gone.withColumnRenamed("text_hash", "__hash"), ["doc_id", "__hash"], "left_anti")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marketweave.llm import bpe, decontaminate, pii, quality, simhash, spans, tokens, toxicity
+from marketweave.llm import bpe, copies, decontaminate, pii, quality, simhash, spans, tokens, toxicity
 
 tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, term string, pos int, fp long, score double"
@@ -149,6 +150,63 @@ def test_dedup_keeps_one_row_of_each_group(spark):
     assert simhash.dedup(docs(spark, [])).count() == 0
 
 
+def shingle_sets(rows):
+    out = []
+    for _, t in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if x]
+        out.append(frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))))
+    return out
+
+
+def near_copies(rows):
+    """The component of each row: sets of five-word runs with a Jaccard similarity of 0.8 or more, by comparing all with all that share a run."""
+    sets, holders = shingle_sets(rows), {}
+    kinds = sorted(set(sets), key=sorted)
+    for k, s in enumerate(kinds):
+        for g in s:
+            holders.setdefault(g, []).append(k)
+    pairs = {(a, b) for ks in holders.values() for a in ks for b in ks if a < b}
+    at = groups(range(len(kinds)), [(a, b) for a, b in pairs if 5 * len(kinds[a] & kinds[b]) >= 4 * len(kinds[a] | kinds[b])])
+    number = {s: k for k, s in enumerate(kinds)}
+    return [at[number[s]] for s in sets]
+
+
+def test_pipeline_stage_drops_near_copies_that_simhash_misses(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(6)
+    word = lambda: rng.choice("abcdefghij") + str(rng.randint(0, 9999))
+    common, rows = " ".join(word() for _ in range(30)), some_texts(8, 20)
+    for g in range(12):
+        w = [word() for _ in range(rng.choice((12, 60, 150, 400)))] + common.split()
+        for c in range(12):
+            x = list(w)
+            for _ in range(c % 5 * len(w) // 60):
+                x[rng.randrange(len(x))] = word()
+            rows.append((1000 + 20 * g + c, " ".join(x)))
+    at, least = near_copies(rows), {}
+    for (i, _), c in zip(rows, at):
+        if i is not None:
+            least[c] = min(i, least.get(c, i))
+    expected = sorted([(i, least.get(c)) for (i, _), c in zip(rows, at)], key=repr)
+    assert sorted([tuple(r)[:2] for r in copies.groups(docs(spark, rows)).collect()], key=repr) == expected
+    kept = {r["doc_id"] for r in cp.near_duplicates(spark, docs(spark, rows), "").collect()}
+    assert kept == {i for i, c in expected if i == c} | {None}
+    assert copies.groups(docs(spark, [])).count() == 0
+
+
+def test_near_copies_of_the_test_data(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    table = spark.read.parquet(path)
+    rows = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]
+    at, least = near_copies(rows), {}
+    for (i, _), c in zip(rows, at):
+        least[c] = min(i, least.get(c, i))
+    assert sorted(tuple(r)[:2] for r in copies.groups(table).collect()) == sorted((i, least[c]) for (i, _), c in zip(rows, at))
+
+
 SENTENCE = re.compile(r"(?<=[.!?][ \t\n\x0b\f\r])(?=\S)|(?<=\n)(?=\S)")
 
 
