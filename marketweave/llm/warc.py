@@ -3,7 +3,8 @@
 Format "warc", option path. A record is a gzip member of its own whose extra field tells the member's length. The reader plans byte ranges of files as
 partitions, looks for the first record in its range, inflates no more than the headers of a record, and goes on to the next record (by the extra field,
 or by inflating into nothing in archives of other writers) unless the record passes the pushed predicates and its payload is wanted (option payload).
-Files that end in .warc hold plain records and are one partition each.
+Bytes that only look like a member are passed over; a record whose body is damaged keeps what its headers say and has no payload. Files that end in .warc
+hold plain records and are one partition each.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .tokens import _fs
 WRITE_SCHEMA = "page_id long, url string, payload binary, refers_to long"
 READ_SCHEMA = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, headers map<string,string>, payload binary"
 HTTP, REVISIT = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MAGIC, SPLIT, STEP, ROWS, BATCH_BYTES = b"\x1f\x8b\x08", 64 << 20, 1 << 16, 2000, 16 << 20
+MAGIC, SPLIT, STEP, HEAD_STEP, ROWS, BATCH_BYTES = b"\x1f\x8b\x08", 64 << 20, 1 << 16, 1 << 12, 2000, 16 << 20
 MAX_DIGESTS = 500_000
 
 
@@ -96,24 +97,28 @@ class _Writer(DataSourceArrowWriter):
 
 
 class _Stream:
-    """Sequential access from an offset, with skips."""
+    """Access from an offset, with skips; holds a step or what was asked for."""
 
     def __init__(self, f, at: int, size: int):
         self.f, self.at, self.size, self.buffer = f, at, size, b""
 
     def fill(self, n: int) -> bool:
         """At least n bytes in the buffer, unless the file ends."""
-        while len(self.buffer) < n:
-            self.f.seek(self.at + len(self.buffer))
-            got = self.f.read(max(STEP, n - len(self.buffer)))
-            if not got:
-                return False
-            self.buffer += got
-        return True
+        if len(self.buffer) < n:
+            parts, have = [self.buffer], len(self.buffer)
+            while have < n:
+                self.f.seek(self.at + have)
+                got = self.f.read(max(STEP, n - have))
+                if not got:
+                    break
+                parts.append(got)
+                have += len(got)
+            self.buffer = b"".join(parts)
+        return len(self.buffer) >= n
 
-    def skip(self, n: int) -> None:
-        self.buffer = self.buffer[n:]
-        self.at += n
+    def move(self, at: int) -> None:
+        self.buffer = self.buffer[at - self.at :] if at >= self.at else b""
+        self.at = at
 
 
 class _Member:
@@ -121,44 +126,44 @@ class _Member:
 
     def __init__(self, s: _Stream):
         s.fill(24)
-        b, self.s = s.buffer, s
-        self.length = struct.unpack_from("<Q", b, 16)[0] if len(b) >= 24 and b[3] & 4 and b[12:14] == b"MW" else None
-        self.z, self.out, self.used = zlib.decompressobj(31), b"", 0
+        b, self.s, self.start = s.buffer, s, s.at
+        self.length = struct.unpack_from("<Q", b, 16)[0] if _tells_length(b) else None
+        self.z, self.out = zlib.decompressobj(31), bytearray()
 
-    def more(self) -> bool:
-        if self.z.eof or not self.s.fill(self.used + 1):
+    def more(self, most: int = STEP) -> bool:
+        if self.z.eof or not self.s.fill(1):
             return False
-        piece = self.s.buffer[self.used : self.used + STEP]
-        got = self.z.decompress(piece, STEP)
+        piece = self.s.buffer[:STEP]
+        self.out += self.z.decompress(piece, most)
         rest = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
-        self.used += len(piece) - len(rest)
-        self.out += got
+        self.s.move(self.s.at + len(piece) - len(rest))
         return True
 
     def until(self, n: int) -> bytes:
-        while len(self.out) < n and self.more():
+        while len(self.out) < n and self.more(max(STEP, n - len(self.out))):
             pass
-        return self.out[:n]
+        return bytes(self.out[:n])
 
     def end(self) -> None:
         """Moves the stream behind the member."""
         if self.length is None:
             while self.more():
-                self.out = b""
-        self.s.skip(self.length or max(1, self.used))
+                self.out.clear()
+        else:
+            self.s.move(self.start + self.length)
 
 
 class _Plain:
     """One record of an archive without compression."""
 
     def __init__(self, s: _Stream):
-        self.s, self.length = s, None
+        self.s, self.start, self.length = s, s.at, 1
 
     @property
     def out(self) -> bytes:
         return self.s.buffer
 
-    def more(self) -> bool:
+    def more(self, most: int = STEP) -> bool:
         return self.s.fill(len(self.s.buffer) + 1)
 
     def until(self, n: int) -> bytes:
@@ -166,17 +171,34 @@ class _Plain:
         return self.s.buffer[:n]
 
     def end(self) -> None:
-        self.s.skip(self.length)
+        self.s.move(self.start + self.length)
+
+
+def _tells_length(b: bytes) -> bool:
+    """Whether a gzip member begins with the extra field MW."""
+    return len(b) >= 24 and bool(b[3] & 4) and b[12:16] == b"MW\x08\0"
+
 
+def _starts_member(b: bytes, at: int, size: int) -> bool:
+    """Whether these bytes, at this place of a file of this size, can begin a gzip member: no reserved flag is set, and a told length ends inside the file."""
+    return len(b) >= 18 and b[:3] == MAGIC and b[3] < 32 and (not _tells_length(b) or 24 <= struct.unpack_from("<Q", b, 16)[0] <= size - at)
 
-def _head(m) -> tuple[dict[str, str], int] | None:
-    """The fields of a record and where its block starts."""
-    while b"\r\n\r\n" not in m.out:
-        if (len(m.out) >= 5 and m.out[:5] != b"WARC/") or not m.more():
+
+def _head(m) -> tuple[dict[str, str], int, int] | None:
+    """The fields of a record, where its block starts and the size of the block; None if it isn't a record."""
+    seen = 0
+    while (at := m.out.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+        seen = len(m.out)
+        if (seen >= 5 and m.out[:5] != b"WARC/") or not m.more(HEAD_STEP):
             return None
-    at = m.out.index(b"\r\n\r\n")
-    lines = m.out[:at].decode("utf-8", "surrogatepass").split("\r\n")
-    return ({k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, at + 4) if lines[0].startswith("WARC/") else None
+    raw = bytes(m.out[:at])
+    try:
+        lines = raw.decode("utf-8", "surrogatepass").split("\r\n")
+    except UnicodeDecodeError:
+        lines = raw.decode("utf-8", "replace").split("\r\n")
+    fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    size = fields.get("Content-Length", "0")
+    return (fields, at + 4, int(size)) if lines[0].startswith("WARC/") and size.isascii() and size.isdigit() else None
 
 
 def _page(urn: str | None) -> int | None:
@@ -238,49 +260,51 @@ class _Reader(DataSourceReader):
         gz, rows, held = partition.file.endswith(".gz"), [], 0
         with fs.open_input_file(partition.file) as f:
             s = _Stream(f, partition.start, f.size())
-            while True:
-                if gz and not self._seek(s, partition.end):
-                    break
-                if s.at >= partition.end or not s.fill(1):
-                    break
+            while self._seek(s, partition.end, gz):
                 m = (_Member if gz else _Plain)(s)
-                head = _head(m)
-                if head is None:
-                    if not gz:
-                        break
-                    s.skip(1)
+                try:
+                    found = _head(m)
+                except zlib.error:
+                    found = None
+                if found is None:  # only looked like the beginning of a record
+                    s.move(m.start + 1)
                     continue
-                h, at = head
-                size = int(h.get("Content-Length", "0"))
+                h, at, size = found
                 if not gz:
                     m.length = at + size + 4
                 row = _columns(h)
-                if self._wanted(row):
-                    row["payload"] = None
-                    if row["record_type"] != "revisit" and (self.payload or row["payload_bytes"] is None or row["payload_digest"] is None):
-                        block = m.until(at + size)[at:]
-                        body = block.partition(b"\r\n\r\n")[2] if "msgtype=response" in h.get("Content-Type", "") else block
-                        if self.payload:
-                            row["payload"] = body
-                        row["payload_bytes"], row["payload_digest"] = len(body), digest(body)
-                        held += len(body)
-                    rows.append(row)
-                    if len(rows) >= ROWS or held >= BATCH_BYTES:
-                        yield self._batch(rows)
-                        rows, held = [], 0
-                m.end()
+                try:
+                    if self._wanted(row):
+                        row["payload"] = None
+                        rows.append(row)
+                        if row["record_type"] != "revisit" and (self.payload or row["payload_bytes"] is None or row["payload_digest"] is None):
+                            block = m.until(at + size)
+                            body = block[block.find(b"\r\n\r\n", at) + 4 :] if "msgtype=response" in h.get("Content-Type", "") else block[at:]
+                            if self.payload:
+                                row["payload"] = body
+                            row["payload_bytes"], row["payload_digest"] = len(body), digest(body)
+                            held += len(body)
+                    m.end()
+                except zlib.error:  # a damaged record: what its headers say stays, without payload
+                    s.move(m.start + (m.length or 1))
+                if len(rows) >= ROWS or held >= BATCH_BYTES:
+                    yield self._batch(rows)
+                    rows, held = [], 0
         if rows:
             yield self._batch(rows)
 
     @staticmethod
-    def _seek(s: _Stream, end: int) -> bool:
-        """Moves to the next place before end that looks like a gzip member."""
-        while s.at < end and s.fill(3):
-            k = s.buffer.find(MAGIC)
+    def _seek(s: _Stream, end: int, gz: bool) -> bool:
+        """Moves to the next place before end that looks like the beginning of a record; false if there is none."""
+        mark = MAGIC if gz else b"WARC/"
+        while s.at < end and s.fill(len(mark)):
+            k = s.buffer.find(mark)
+            s.move(s.at + (k if k >= 0 else len(s.buffer) - len(mark) + 1))
             if k >= 0:
-                s.skip(k)
-                return s.at < end
-            s.skip(len(s.buffer) - 2)
+                s.fill(24)
+                if s.at < end and (not gz or _starts_member(s.buffer, s.at, s.size)):
+                    return True
+                s.move(s.at + 1)
         return False
 
     @staticmethod
@@ -324,11 +348,14 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     records.write.format("warc").mode("append").save(path)
 
 
-def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """All records under path; filters on record_type, url, ids, digest and headers['...'] reach the reader."""
+def read(spark: SparkSession, path: str, payload: bool = True, split: int = SPLIT) -> DataFrame:
+    """All records under path; filters on record_type, url, ids, digest and headers['...'] reach the reader, for which the session's push-down for Python sources is set.
+
+    split is the size of a partition in bytes.
+    """
     spark.dataSource.register(Warc)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("split", split).load(path)
 
 
 def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

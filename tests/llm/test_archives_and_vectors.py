@@ -1,6 +1,8 @@
 import gzip
 import math
 import random
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -33,7 +35,7 @@ def test_small_payloads_are_all_responses(spark, tmp_path):
 def test_ranges_filters_and_foreign_archives(spark, tmp_path):
     rows = [(i, f"http://x/{i}", f"<p>{i} " + "text " * 200) for i in range(300)]
     warc.write(pages(spark, rows).coalesce(1), str(tmp_path / "w"))
-    df = spark.read.format("warc").option("split", "3000").load(str(tmp_path / "w"))
+    df = warc.read(spark, str(tmp_path / "w"), split=3000)
     assert df.rdd.getNumPartitions() > 5 and sorted(r["page_id"] for r in df.collect()) == list(range(300))
     some = warc.read(spark, str(tmp_path / "w"), payload=False).where("url = 'http://x/7' OR url = 'x'").collect()
     assert [r["page_id"] for r in some] == [7] and some[0]["payload"] is None and some[0]["payload_bytes"] == len(rows[7][2])
@@ -46,6 +48,47 @@ def test_ranges_filters_and_foreign_archives(spark, tmp_path):
     assert sorted(r["page_id"] for r in got) == sorted(2 * list(range(300))) and {bytes(r["payload"]) for r in got} == {h.encode() for _, _, h in rows}
 
 
+def stored(raw):
+    """A gzip member without compression and without the extra field, so that its payload stands in the file as it is."""
+    c = zlib.compressobj(0, zlib.DEFLATED, 31)
+    return c.compress(raw) + c.flush()
+
+
+def test_bytes_that_look_like_members(spark, tmp_path):
+    """Payloads full of gzip magic, read in ranges that begin inside them."""
+    false = [b"\x1f\x8b\x08\xff", b"\x1f\x8b\x08\0", b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x0c\0MW\x08\0" + b"\xff" * 8, b"\x1f\x8b\x08"]
+    for name, make in (("stored", stored), ("own", warc.member)):
+        (tmp_path / name).mkdir()
+        raw = [(random.Random(i).randbytes(3000) + false[i % 4]) * 3 for i in range(40)]
+        (tmp_path / name / "a.warc.gz").write_bytes(b"".join(make(warc.record(i, None, x, None, "2024-01-01T00:00:00Z")) for i, x in enumerate(raw)))
+        got = warc.read(spark, str(tmp_path / name), split=1700).collect()
+        assert {r["page_id"]: bytes(r["payload"]) for r in got} == dict(enumerate(raw)) and len(got) == 40
+
+
+def test_damaged_records_do_not_stop_a_reader(spark, tmp_path):
+    records = [warc.record(i, f"http://x/{i}", random.Random(i).randbytes(100_000), None, "2024-01-01T00:00:00Z") for i in range(4)]
+    (tmp_path / "w").mkdir()
+    for name, make in (("own", warc.member), ("other", gzip.compress)):
+        parts = [make(r) for r in records]
+        at = len(parts[1]) // 2
+        parts[1] = parts[1][:at] + b"\xff" * 40 + parts[1][at + 40 :]
+        (tmp_path / "w" / f"{name}.warc.gz").write_bytes(b"".join(parts) + parts[0][:9])
+    plain = records[0] + b"WARC/1.1\r\nContent-Length: many\r\n\r\n" + b"no record\r\n\r\n" + records[2] + b"WARC/1.1\r\n"
+    (tmp_path / "w" / "c.warc").write_bytes(plain)
+    got = warc.read(spark, str(tmp_path / "w")).collect()
+    whole = sorted(r["page_id"] for r in got if r["payload"] is not None)
+    assert whole == sorted(2 * [0, 2, 3] + [0, 2]) and [r["url"] for r in got if r["payload"] is None] == 2 * ["http://x/1"]
+
+
+def test_large_payloads_are_read_in_linear_time(tmp_path):
+    raw = random.Random(0).randbytes(64 << 20)
+    (tmp_path / "a.warc.gz").write_bytes(stored(warc.record(1, None, raw, None, "2024-01-01T00:00:00Z")))
+    reader = warc._Reader(f"file://{tmp_path}", True, 1 << 40)
+    began = time.process_time()
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert rows[0]["payload"] == raw and time.process_time() - began < 5
+
+
 def table(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
