@@ -207,32 +207,86 @@ def test_near_copies_of_the_test_data(spark):
     assert sorted(tuple(r)[:2] for r in copies.groups(table).collect()) == sorted((i, least[c]) for (i, _), c in zip(rows, at))
 
 
-SENTENCE = re.compile(r"(?<=[.!?][ \t\n\x0b\f\r])(?=\S)|(?<=\n)(?=\S)")
+def units(text):
+    """The units of a text, word by word: sentences, cut again behind words that a hash of their length and last two bytes picks."""
+    parts, unit = re.findall(r"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+[ \t\n\x0b\x0c\r]*", text), ""
+    for p in parts:
+        unit += p
+        w = p.strip(" \t\n\x0b\x0c\r").encode().lower()
+        last, before = w[-1], w[-2] if len(w) > 1 else 0
+        x = (last + before * 256 + len(w) * 65536) * 0x9E3779B1 % (1 << 32)
+        x = (x ^ x >> 15) * 0x85EBCA6B % (1 << 32)
+        if re.search(rb"[.!?][\"')\]]?$", w) or (x >> 16) % spans.INNER_BORDERS == 0:
+            yield unit
+            unit = ""
+    if unit:
+        yield unit
+
+
+def without_spans(rows):
+    """Text and number of removed units of each different row, by comparing all runs of all documents."""
+    where, runs = {}, {}
+    order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0]))
+    for d in order:
+        u = list(units(d[1]))
+        n = [len(x.split()) for x in u]
+        for a in range(len(u)):
+            e = next((e for e in range(a + spans.LEAST_UNITS, len(u) + 1) if sum(n[a:e]) >= spans.LEAST_WORDS), None)
+            if e:
+                words = tuple(w for x in u[a:e] for w in re.sub("[A-Z]", lambda m: m[0].lower(), x).split())
+                where.setdefault(words, []).append((d, a))
+                runs[d, a] = words, e
+    out = {}
+    for d in order:
+        u, gone = list(units(d[1])), set()
+        for a in range(len(u)):
+            words, e = runs.get((d, a), (None, 0))
+            if words and len({x for x, _ in where[words]}) > 1 and where[words][0] != (d, a):
+                gone |= set(range(a, e))
+        out[d] = "".join(x for k, x in enumerate(u) if k not in gone) if u else d[1], len(gone)
+    return out
+
+
+def prose(rng, n):
+    """Sentences of 1 to 40 words, some with line breaks behind them."""
+    out = []
+    while len(out) < n:
+        s = [rng.choice("bdfgklmnprst") + "".join(rng.choice("aeiounrst") for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 40))]
+        out += [*s[:-1], s[-1] + rng.choice([".", "!", "?", '."', ".\n", ".\n\n"])]
+    return " ".join(out[:n]).capitalize()
 
 
 def test_repeated_spans_equal_brute_force(spark):
-    p = "One passage that many documents share word for word. It has a second sentence of its own here. And a third one follows it closely."
-    rows = [(1, f"Start. {p} End."), (2, f"Other beginnings here. {p} Different end."), (3, p), (4, "Short. Short. Short."), (5, None), (6, ""), (2, f"Other beginnings here. {p} Different end."), (7, f"{p}\n{p}")]
-    seen, expected = {}, []
-    order = sorted({r for r in rows if r[1] is not None})
-    gone_of = {}
-    for i, t in order:
-        s = [x for x in SENTENCE.split(t) if x]
-        n = [re.sub(r"\s+", " ", x).strip().lower() for x in s]
-        gone = set()
-        for a in range(max(1, len(s) - 1) if s else 0):
-            run = " ".join(n[a : a + 2])
-            if len(run.split(" ")) >= 12:
-                gone |= set(range(a, min(len(s), a + 2))) if run in seen else set()
-                seen.setdefault(run, (i, a))
-        gone_of[i, t] = ("".join(x for k, x in enumerate(s) if k not in gone), len(gone))
-    for i, t in rows:
-        expected.append((i, *gone_of.get((i, t), (None, 0))))
-    got = [(r["doc_id"], r["text"], r["n_removed"]) for r in spans.dedup(docs(spark, rows)).collect()]
-    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    rng = random.Random(11)
+    shared = [prose(rng, n) for n in (20, 30, 60, 60, 200)]
+    rows = [(i, " ".join([prose(rng, rng.randint(1, 80)), rng.choice(shared), prose(rng, rng.randint(1, 80))])) for i in range(60)]
+    rows += [(100, shared[2]), (101, shared[2].upper().replace(" ", "  ")), (102, None), (103, ""), (104, " \n "), rows[7], (8, rows[9][1]), (None, rows[10][1]), (105, "  \n" + shared[4]), (106, "tel  " * 60), (107, prose(rng, 20_000))]
+    rows += [(110, " ".join([prose(rng, 40)] * 5))]
+    expected = without_spans(rows)
+    table = docs(spark, rows).withColumn("n_removed", F.lit("old")).withColumn("changed", F.lit(1))
+    found = spans.dedup(table)
+    assert found.columns == [*docs(spark, rows).columns, "n_removed", "changed"]
+    got = [(r["doc_id"], r["text"], r["n_removed"], r["changed"]) for r in found.collect()]
+    assert sorted(got, key=repr) == sorted([(i, *expected.get((i, t), (t, 0)), expected.get((i, t), (t, 0))[1] > 0) for i, t in rows], key=repr)
+    assert sum(g[2] > 0 for g in got) > 40 and next(g for g in got if g[0] == 110)[2] == 0
     assert spans.dedup(docs(spark, [])).count() == 0
 
 
+def test_passages_of_over_fifty_words_are_caught_anywhere(spark):
+    """Passages that begin and end inside sentences, long sentences, and sentences of a word."""
+    rng = random.Random(5)
+    rows, planted = [], set()
+    for i in range(150):
+        style = i % 3
+        words = prose(rng, 90).split() if style else prose(rng, 90).replace(".", "").replace("!", "").replace("?", "").split()
+        passage = " ".join(w + "." if style == 2 else w for w in words[13:70])
+        for d in (i, 1000 + i):
+            rows.append((d, " ".join([prose(rng, 60), passage, prose(rng, 70)])))
+        planted.add(1000 + i)
+    changed = {r["doc_id"] for r in spans.dedup(docs(spark, rows)).where("changed").collect()}
+    assert changed <= planted and len(changed) / len(planted) >= 0.97
+
+
 ODD = list("aaab  \n\n\t'sté한국😀1 9!!.-_<|>\x1c\x85\xa0᠎​　ABthe")
 
 
