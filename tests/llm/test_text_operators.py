@@ -268,7 +268,7 @@ def test_repeated_spans_equal_brute_force(spark):
     assert found.columns == [*docs(spark, rows).columns, "n_removed", "changed"]
     got = [(r["doc_id"], r["text"], r["n_removed"], r["changed"]) for r in found.collect()]
     assert sorted(got, key=repr) == sorted([(i, *expected.get((i, t), (t, 0)), expected.get((i, t), (t, 0))[1] > 0) for i, t in rows], key=repr)
-    assert sum(g[2] > 0 for g in got) > 40 and next(g for g in got if g[0] == 110)[2] == 0
+    assert sum(g[2] > 0 for g in got) > 30 and next(g for g in got if g[0] == 110)[2] == 0
     assert spans.dedup(docs(spark, [])).count() == 0
 
 
