@@ -1,6 +1,6 @@
 """Toxicity (operator 5): a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A document's features are the different hashed n-grams of 3 to 5 bytes (A-Z lower-cased) of its whole text. Each counts r, the log of the ratio
+A document's features are the different hashed n-grams of 3 to 5 characters (code points, A-Z lower-cased) of its whole text. Each counts r, the log of the ratio
 of its smoothed shares in toxic and other training documents; a logistic regression weighs the scaled features. n-grams whose |r| is small say little and are left out.
 """
 
@@ -36,8 +36,8 @@ class Training:
 
 def grams(text: str | None) -> np.ndarray:
     """Hashes of all n-grams of the whole text, repeats included; the text stands between two blanks."""
-    raw = (" " + (text or "") + " ").encode("utf-8", "surrogatepass").translate(common.LOWER_BYTES)
-    b = np.frombuffer(raw, np.uint8).astype(np.uint32) * np.uint32(0x9E3779B1)
+    code = np.frombuffer((" " + (text or "") + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    b = np.where((code >= 65) & (code <= 90), code + np.uint32(32), code) * np.uint32(0x9E3779B1)
     h, out = b, []
     for n in range(2, SIZES[-1] + 1):
         if len(b) < n:

@@ -1,14 +1,15 @@
 """Nearest neighbours by vantage-point trees (operator 9).
 
-Vectors are dealt into shards by a hash of their id; each shard holds its different vectors in one vantage-point tree, stored as a row of a table in the shared folder.
-A block of queries is small and known in size, so it is broadcast; each task walks its trees with all queries of the block at once and returns the best of its shard,
-and Spark merges them per query. A subtree is left out if its distance bound, times the relaxation factor, exceeds the worst of the k best so far.
-By the triangle inequality factor 1 loses nothing; larger factors skip more.
+Vectors are dealt into shards by a hash of id and vector; each shard holds its different vectors in one vantage-point tree, stored as a row of a table in the shared folder.
+Queries are stored there in files of a block each. In one job, each task holds a few trees, reads the queries block by block and walks its trees with all queries of a block
+at once, carrying the k best so far from tree to tree; Spark merges the best of the tasks per query. A subtree is left out if its distance bound, times the relaxation factor,
+exceeds the worst of the k best so far. By the triangle inequality factor 1 loses nothing; larger factors skip more.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .tokens import _fs
 
-LEAF, SHARD_ROWS, QUERY_BLOCK = 128, 8192, 4096
+#: Trees of a task, at most but for chance, where there are more than the session has tasks at once.
+LEAF, SHARD_ROWS, QUERY_BLOCK, TREES = 128, 8192, 4096, 8
+#: Stands for no neighbour.
+NONE = np.iinfo(np.int64).max
 
 
 @dataclass
@@ -77,27 +82,26 @@ def build(ids: np.ndarray, vectors: np.ndarray, seed: int = 0) -> Tree:
     return Tree(different[order], [groups[k] for k in order], root, sum(map(len, groups)) > len(np.unique(ids)))
 
 
-def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest of each query among the tree's rows but itself: query number, id, distance. Ties go to smaller ids.
+def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, factor: float, best_d: np.ndarray, best_i: np.ndarray) -> None:
+    """Puts the k nearest of each query among the tree's rows but itself into best_d and best_i, which hold the best so far (distance and id, nearest first; NONE where there is none).
 
-    An id with several vectors is as far as the nearest of them. Of equal vectors the k + 1 smallest ids are enough: one of them may be the query itself, later ones lose every tie,
-    even if some have been found by a nearer vector.
+    Ties go to smaller ids. An id with several vectors is as far as the nearest of them. Of equal vectors the k + 1 smallest ids are enough: one of them may be the query itself,
+    later ones lose every tie, even if some have been found by a nearer vector.
     """
-    best_d, best_i = np.full((len(queries), k), np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
 
     def leaf(n: Node, at: np.ndarray) -> None:
         lists = [tree.ids[j][: k + 1] for j in range(n.first, n.last)]
         width = np.array([len(x) for x in lists])
         cand = np.concatenate(lists)
         d = np.repeat(distances(queries[at], tree.vectors[n.first : n.last]), width, axis=1)
-        d[ids[at][:, None] == cand[None]] = np.inf
-        all_d = np.concatenate([best_d[at], d], 1)
-        all_i = np.concatenate([best_i[at], np.broadcast_to(cand, d.shape)], 1)
-        if tree.several:  # all but the nearest vector of an id go before the cut to k
+        own = ids[at][:, None] == cand[None]
+        all_d = np.concatenate([best_d[at], np.where(own, np.inf, d)], 1)
+        all_i = np.concatenate([best_i[at], np.where(own, NONE, cand)], 1)
+        if tree.several or np.isin(cand, best_i[at]).any():  # all but the nearest vector of an id go before the cut to k
             by_id = np.lexsort((all_d, all_i), axis=1)
             same = np.take_along_axis(all_i, by_id, 1)
             row, col = np.nonzero(same[:, 1:] == same[:, :-1])
-            all_d[row, by_id[row, col + 1]] = np.inf
+            all_d[row, by_id[row, col + 1]], all_i[row, by_id[row, col + 1]] = np.inf, NONE
         if all_d.shape[1] > 4 * k:  # keep all that tie with the k-th
             edge = np.partition(all_d, k - 1, axis=1)[:, k - 1 : k]
             cols = np.flatnonzero((all_d <= edge).any(0))
@@ -115,16 +119,14 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, factor: flo
         inside = d <= n.radius
         walk(n.near, at[inside])
         walk(n.far, at[~inside])
-        # A hair of slack keeps rounding from cutting off a tie.
-        reach = best_d[at, k - 1] * (1 + 1e-9)
-        gap = np.abs(d - n.radius) * factor
-        walk(n.far, at[inside & (gap <= reach)])
-        walk(n.near, at[~inside & (gap <= reach)])
+        # A hair of slack keeps rounding from cutting off a tie; what isn't a number, as two distances are infinite, cuts off nothing.
+        beyond = np.abs(d - n.radius) * factor > best_d[at, k - 1] * (1 + 1e-9)
+        walk(n.far, at[inside & ~beyond])
+        walk(n.near, at[~inside & ~beyond])
 
     if len(tree.vectors):
-        walk(tree.root, np.arange(len(queries)))
-    found = np.isfinite(best_d)
-    return np.nonzero(found)[0], best_i[found], best_d[found]
+        with np.errstate(over="ignore", invalid="ignore"):
+            walk(tree.root, np.arange(len(queries)))
 
 
 def usable(v: Column) -> Column:
@@ -138,7 +140,7 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     kept = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     kept = common.store(kept.distinct(), "vectors")
     shards = max(1, -(-kept.count() // shard_rows))
-    dealt = kept.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    dealt = kept.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
 
     def plant(key: tuple, table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
@@ -149,44 +151,53 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return common.store(trees, "trees")
 
 
-def _block(index: DataFrame, queries: list, k: int, factor: float) -> DataFrame:
-    """The best of each shard for one block of queries."""
-    by_dim = {}
-    for q in queries:
-        by_dim.setdefault(len(q["v"]), []).append(q)
-    packed = {n: (np.array([q["query_id"] for q in qs], np.int64), np.array([q["v"] for q in qs])) for n, qs in by_dim.items()}
-    sent = index.sparkSession.sparkContext.broadcast(packed)
+def _blocks(path: str, block: int) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Ids and vectors of the stored queries by length, a block at a time."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs as pafs
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for dim, blob in zip(b.column("dim").to_pylist(), b.column("tree")):
-                if dim in sent.value:
-                    ids, v = sent.value[dim]
-                    q, i, d = search(pickle.loads(blob.as_buffer()), ids, v, k, factor)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(i), pa.array(d)], ["query_id", "vec_id", "score"])
-
-    # A partition may hold many trees; spread over tasks they are searched side by side.
-    return index.where(F.col("dim").isin(list(packed))).repartition("dim", "shard").mapInArrow(run, "query_id long, vec_id long, score double")
+    fs, where = _fs(path)
+    for info in sorted((x for x in fs.get_file_info(pafs.FileSelector(where)) if x.path.endswith(".parquet")), key=lambda x: x.path):
+        with fs.open_input_file(info.path) as f:
+            for b in pq.ParquetFile(f).iter_batches(block, columns=["query_id", "v"]):
+                rows = defaultdict(lambda: ([], []))
+                for i, v in zip(b.column(0).to_pylist(), b.column(1)):
+                    found = rows[len(v)]
+                    found[0].append(i)
+                    found[1].append(v.values.to_numpy(zero_copy_only=False))
+                yield {n: (np.array(i, np.int64), np.array(v)) for n, (i, v) in rows.items()}
 
 
 def nearest(index: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest ids to each of queries (vec_id, embedding) but itself, as far as there are so many.
 
-    Unusable vectors and null ids take no part. Queries come in blocks of a fixed number of rows; results of several blocks are stored one by one. Rows
-    that repeat a query's id are its copies: the query has one result per different id, by the first of its vectors. Repeated rows of the index
-    count once, and an id with several vectors by the nearest of them; all of an id's vectors of one length lie in one tree, so shards share no id.
+    Unusable vectors and null ids take no part. Rows that repeat a query's id are its copies: the query has one result per different id, by the first of its vectors.
+    Repeated rows of the index count once, and an id with several vectors by the nearest of them. block is the number of queries that a task works on at once.
     """
+    spark = index.sparkSession
     v = F.col("embedding").cast("array<double>")
     kept = queries.select(F.col("vec_id").cast("long").alias("query_id"), v.alias("v")).where(F.col("query_id").isNotNull() & usable(F.col("v")))
     kept = common.store(kept.groupBy("query_id").agg(F.min("v").alias("v")), "queries")
-    blocks = max(1, -(-kept.count() // block))
-    parts = []
-    for n in range(blocks):
-        rows = kept.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()
-        found = _block(index, rows, k, factor)
-        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-        top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        parts.append(common.store(top, "nearest") if blocks > 1 else top)
-    while len(parts) > 1:
-        parts = [parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return parts[0]
+    path = common.scratch(spark, "query-blocks")
+    kept.repartition(max(1, -(-kept.count() // block)), "query_id").write.parquet(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = defaultdict(list)
+        for b in batches:
+            for dim, blob in zip(b.column("dim").to_pylist(), b.column("tree")):
+                trees[dim].append(pickle.loads(blob.as_buffer()))
+        for found in _blocks(path, block) if trees else ():
+            for dim, (ids, vectors) in found.items():
+                best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), NONE)
+                for tree in trees.get(dim, ()):
+                    search(tree, ids, vectors, k, factor, best_d, best_i)
+                q, place = np.nonzero(best_i < NONE)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_i[q, place]), pa.array(best_d[q, place])], ["query_id", "vec_id", "score"])
+
+    n = index.count()
+    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-n // TREES))))
+    best = index.repartition(tasks, "dim", "shard").mapInArrow(run, "query_id long, vec_id long, score double").repartition("query_id")
+    # An id with several vectors may come from several shards.
+    best = best.withColumn("again", F.row_number().over(Window.partitionBy("query_id", "vec_id").orderBy("score"))).where("again = 1")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

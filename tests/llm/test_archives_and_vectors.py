@@ -1,11 +1,13 @@
 import gzip
 import math
+import os
 import random
 import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marketweave.llm import vptree, warc
 
@@ -150,6 +152,25 @@ def test_relaxed_search_keeps_most_neighbours(spark):
     assert len(truth & found) / len(truth) >= 0.9
 
 
+def test_relaxed_search_on_the_test_data(spark):
+    path = "/root/testdata/sf0.01/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    df = spark.read.parquet(path)
+    index, queries = vptree.build_index(df), df.where("vec_id % 20 = 0")
+    pairs = lambda factor: {(r["query_id"], r["vec_id"]) for r in vptree.nearest(index, queries, factor=factor).collect()}
+    exact = pairs(1.0)
+    assert exact == {(q, i) for q, _, i, _ in brute([(r["vec_id"], r["embedding"]) for r in df.collect()], [r["vec_id"] for r in queries.collect()], 10)}
+    assert len(exact & pairs(2.0)) / len(exact) >= 0.9
+
+
+def test_distances_that_overflow_and_clashing_columns(spark):
+    rows = [(i, [1e200 * (i + 1), 0.0], 1, 2.0, "x") for i in range(4)] + [(10 + i, [float(i + 1), 1.0], 1, 2.0, "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, dim int, score double, shard string").withColumn("v", F.lit(1)).withColumn("query_id", F.lit(5))
+    got = vptree.nearest(vptree.build_index(df), df.where("vec_id IN (0, 10)"), 3).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(0, 1, 1, math.inf), (0, 2, 2, math.inf), (0, 3, 3, math.inf), (10, 1, 11, 1.0), (10, 2, 12, 2.0), (10, 3, 13, 3.0)]
+
+
 def test_no_vectors(spark):
     none = table(spark, [])
     assert vptree.nearest(vptree.build_index(none), none).count() == 0
