@@ -158,13 +158,12 @@ def encode_texts(texts: pa.Array, path: str, pattern: str) -> tuple[np.ndarray,
         flat, n = words.gather(ids, counts, code.indices.to_numpy())
         return flat, words.sums(n, per_word)
 
-    def single(some: list[str], _) -> tuple[np.ndarray, np.ndarray]:
+    def single(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [find.findall(w) for w in some]
         return of([p for ps in found for p in ps], np.array([len(ps) for ps in found], np.int64))
 
-    def joined(some: list[str], _) -> tuple[np.ndarray, np.ndarray]:
-        found = find.findall("\n".join(some) + "\n") if some else []  # before a blank, a line break is a piece of its own
-        some.clear()
+    def joined(some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = find.findall("\n".join(some.to_pylist()) + "\n") if len(some) else []  # before a blank, a line break is a piece of its own
         breaks = np.array([k for k, p in enumerate(found) if p == "\n"], np.int64)
         return of([p for p in found if p != "\n"], np.diff(breaks, prepend=-1) - 1)
 

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -26,8 +27,8 @@ from pyspark.sql.types import StructType
 
 from . import common, words
 
-#: Repeated words whose ids a Python worker remembers.
-KNOWN_WORDS = 250_000
+#: Words whose ids a Python worker remembers, the first that it meets: some 40 bytes each.
+KNOWN_WORDS = 1_000_000
 HEAD, TAIL, BLOCK_IDS = struct.Struct("<4sHHI"), struct.Struct("<QQQQ"), 8192
 WRITE_SCHEMA, READ_SCHEMA = "doc_id long, ids binary", "doc_id long, start long, n_tokens long, ids binary"
 
@@ -229,11 +230,28 @@ def read_range(path: str, start: int, stop: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
+class Known:
+    """Words and their ids, one after another, in flat arrays."""
+
+    def __init__(self):
+        self.words, self.ids, self.counts = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Of each word, its number here or -1."""
+        return np.array(pc.fill_null(pc.index_in(words, self.words), -1), np.int64)
+
+    def add(self, words: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        n = min(len(words), KNOWN_WORDS - len(self.words))
+        if n > 0:
+            self.words = pa.concat_arrays([self.words, words[:n]])
+            self.ids, self.counts = np.concatenate([self.ids, ids[: counts[:n].sum()]]), np.concatenate([self.counts, counts[:n]])
+
+
 _loaded: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
-    """The tokenizer of this Python worker, the id of a line break, whether words may be encoded apart, and the ids of words seen before."""
+    """The tokenizer of this Python worker, the id of a line break, whether words may be encoded apart, and the words met before."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -244,7 +262,7 @@ def _encoder(path: str):
         pre = state.get("pre_tokenizer") or {}
         line = t.encode("\n", add_special_tokens=False).ids
         apart = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not state.get("normalizer") and len(line) == 1
-        _loaded[path] = (t, line[0] if line else -1, apart, {})
+        _loaded[path] = (t, line[0] if line else -1, apart, Known())
     return _loaded[path]
 
 
@@ -259,31 +277,25 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         found = [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(some, add_special_tokens=False)]
         return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
 
-    def single(some: list[str], _) -> tuple[np.ndarray, np.ndarray]:
-        return plain(some)
-
-    def joined(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def joined(some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        some = some.to_pylist()
         flat, _ = plain(["\n".join(some[i : i + 2000]) + "\n" for i in range(0, len(some), 2000)])
         breaks = np.flatnonzero(flat == line)
         return np.delete(flat, breaks), np.diff(breaks, prepend=-1) - 1
 
-    def many(some: list[str], often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        old = np.array([w in known for w in some], bool)
-        ids, counts = joined([w for w, o in zip(some, old) if not o])
-        have = [known[w] for w, o in zip(some, old) if o]
-        place = np.zeros(len(some), np.int64)
-        place[~old], place[old] = np.arange(len(counts)), len(counts) + np.arange(len(have))
-        if len(known) < KNOWN_WORDS:
-            ends = np.cumsum(counts)
-            new = np.flatnonzero(~old)
-            for k in np.flatnonzero(often[new])[: KNOWN_WORDS - len(known)].tolist():
-                known[some[new[k]]] = ids[ends[k] - counts[k] : ends[k]].tobytes()
-        counts = np.concatenate([counts, np.array([len(x) // 4 for x in have], np.int64)])
-        return words.gather(np.concatenate([ids, np.frombuffer(b"".join(have), np.uint32)]), counts, place)
+    def many(some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        place = known.places(some)
+        new = place < 0
+        fresh = some.filter(pa.array(new))
+        ids, counts = joined(fresh)
+        place[new] = len(known.words) + np.arange(len(counts))
+        found = words.gather(np.concatenate([known.ids, ids]), np.concatenate([known.counts, counts]), place)
+        known.add(fresh, ids, counts)
+        return found
 
     if not apart:
-        return plain([x or "" for x in texts.to_pylist()])
-    return words.by_word(texts, many, single)
+        return plain(pc.fill_null(texts, "").to_pylist())
+    return words.by_word(texts, many, plain)
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFrame:

@@ -19,8 +19,9 @@ CUT = re.compile(f"(?<=[^{BLANKS}]) (?=[^{BLANKS}])")
 #: For Arrow: a blank beside white space or at an end; any white space.
 HARD, INNER = f"^ | $| [{BLANKS}]|[{BLANKS}] ", f"[{BLANKS}]"
 
-#: From words to their ids, one after another, and the number of ids of each. The flags tell words that occur more than once among the texts.
-Encode = Callable[[list[str], np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: From words of visible characters, all behind one blank (which they hold), to their ids, one after another, and the number of ids of each; and the same for any texts.
+Many = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+Single = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
 def gather(flat: np.ndarray, counts: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,23 +41,21 @@ def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-def _encoded(lists: pa.ListArray, many: Encode, single: Encode) -> tuple[np.ndarray, np.ndarray]:
+def _encoded(lists: pa.ListArray, many: Many, single: Single) -> tuple[np.ndarray, np.ndarray]:
     flat = lists.flatten().dictionary_encode()
     inner = pc.match_substring_regex(flat.dictionary, INNER).to_numpy(zero_copy_only=False)
-    texts = flat.dictionary.to_pylist()
+    n = len(flat.dictionary)
     sizes = pc.list_value_length(lists).to_numpy()
     code = flat.indices.to_numpy().astype(np.int64) * 2 + 1
     code[np.cumsum(sizes) - sizes] -= 1  # the first word of a text has no blank before it
-    often = np.bincount(code, minlength=2)
-    used = np.flatnonzero(often)
-    often = often[used] > 1
-    number = np.zeros(2 * len(texts) + 2, np.int32)
+    used = np.flatnonzero(np.bincount(code, minlength=2))
+    number = np.zeros(2 * n + 2, np.int32)
     number[used] = np.arange(len(used), dtype=np.int32)
-    odd = (used % 2 == 0) | inner[used >> 1] if len(texts) else np.zeros(0, bool)
-    apart = single([" " + texts[c >> 1] if c & 1 else texts[c >> 1] for c in used[odd].tolist()], often[odd])
-    alike = [" " + texts[c] for c in (used[~odd] >> 1).tolist()]
-    del texts
-    parts = [many(alike, often[~odd]), apart]
+    odd = (used % 2 == 0) | inner[used >> 1] if n else np.zeros(0, bool)
+    few = zip(flat.dictionary.take(pa.array(used[odd] >> 1)).to_pylist(), used[odd].tolist())
+    apart = single([" " + w if c & 1 else w for w, c in few])
+    blank = pa.scalar(" ", pa.large_string())
+    parts = [many(pc.binary_join_element_wise(blank, flat.dictionary.take(pa.array(used[~odd] >> 1)), pa.scalar("", pa.large_string()))), apart]
     ids, counts = (np.concatenate([parts[0][k], parts[1][k]]) for k in (0, 1))
     place = np.zeros(len(used), np.int64)
     place[~odd], place[odd] = np.arange(len(used) - odd.sum()), np.arange(odd.sum()) + (len(used) - odd.sum())
@@ -64,14 +63,14 @@ def _encoded(lists: pa.ListArray, many: Encode, single: Encode) -> tuple[np.ndar
     return out, sums(n, sizes)
 
 
-def by_word(texts: pa.Array, many: Encode, single: Encode) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, end to end, and the number of ids of each. many gets words of visible characters behind one blank, single the others."""
+def by_word(texts: pa.Array, many: Many, single: Single) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, end to end, and the number of ids of each. many gets different words of visible characters behind one blank, single the others."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     hard = pc.match_substring_regex(texts, HARD).to_numpy(zero_copy_only=False)
     if not hard.any():
         return _encoded(pc.split_pattern(texts, " "), many, single)
     plain = pc.split_pattern(texts.filter(pa.array(~hard)), " ")
-    cut = pa.array([CUT.split(t) for t in texts.filter(pa.array(hard)).to_pylist()], plain.type)
+    cut = pa.array([CUT.split(t) for t in texts.filter(pa.array(hard)).to_pylist()], pa.large_list(pa.large_string()) if pa.types.is_large_list(plain.type) else plain.type)
     parts = [_encoded(x, many, single) for x in (plain, cut)]
     ids, counts = (np.concatenate([parts[0][k], parts[1][k]]) for k in (0, 1))
     place = np.zeros(len(texts), np.int64)
