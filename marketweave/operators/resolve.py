@@ -23,37 +23,60 @@ SECTOR_WORDS = {
 LATIN = r"^[a-z0-9.\-]+$"
 
 
-def contains_alias(text: Column, alias: Column) -> Column:
-    """Latin aliases stand between characters that are neither letters nor digits; others anywhere. Both sides are lower case."""
+#: Most terms of aliases that a plan holds as constants; beyond that texts and aliases are shuffled by term.
+MAX_TERMS = 5_000
+#: Around each run of letters and digits, so that borders of words can be found by plain search; before a term that may stand inside a word.
+OPEN, CLOSE, INSIDE = "\x01", "\x02", "\x03"
+
+
+def marked(text: Column) -> Column:
+    """A lower-case text with its runs of a-z and 0-9 between marks."""
+    return F.regexp_replace(F.translate(text, OPEN + CLOSE, ""), "([a-z0-9]+)", f"{OPEN}$1{CLOSE}")
+
+
+def contains_alias(text: Column, alias: Column, text_marked: Column | None = None) -> Column:
+    """Latin aliases stand between characters that are neither letters nor digits; others anywhere. Both sides are lower case. text_marked is marked(text), if it is at hand."""
+    found = F.contains(marked(text) if text_marked is None else text_marked, marked(alias))
+    # An alias that begins or ends with a full stop or hyphen must not touch a word there.
     quoted = F.concat(F.lit(r"(?<![a-z0-9])\Q"), alias, F.lit(r"\E(?![a-z0-9])"))
-    return F.when((text == "") | (alias == ""), False).when(alias.rlike(LATIN), F.regexp_like(text, quoted)).otherwise(F.contains(text, alias))
+    latin = F.when(alias.rlike("^[a-z0-9]") & alias.rlike("[a-z0-9]$"), found).otherwise(F.regexp_like(text, quoted))
+    return F.when((text == "") | (alias == ""), False).when(alias.rlike(LATIN), latin).otherwise(F.contains(text, alias))
+
+
+def _latin_terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)))
 
 
 def _terms(text: Column) -> Column:
     """Words of Latin letters and digits, and all pairs of neighbouring characters of other words."""
-    latin = F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))
     other = F.filter(F.split(text, r"\s+"), lambda w: w.rlike(r"[^\x00-\x7f]"))
-    pairs = F.flatten(F.transform(other, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))))
-    return F.array_distinct(F.concat(latin, pairs))
+    pairs = F.flatten(F.transform(other, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.concat(F.lit(INSIDE), F.substring(w, i, F.lit(2))))))
+    return F.array_distinct(F.concat(_latin_terms(text), pairs))
 
 
 def _term_of_alias(alias: Column) -> Column:
     word = F.regexp_extract(F.regexp_extract(alias, r"[^\s]*[^\x00-\x7f][^\s]*", 0), r"..?", 0)
-    return F.when(alias.rlike(LATIN), F.regexp_extract(alias, "[a-z0-9]+", 0)).when(word != "", word).otherwise(F.regexp_extract(alias, "[a-z0-9]+", 0))
+    return F.when(alias.rlike(LATIN), F.regexp_extract(alias, "[a-z0-9]+", 0)).when(word != "", F.concat(F.lit(INSIDE), word)).otherwise(F.regexp_extract(alias, "[a-z0-9]+", 0))
 
 
-def alias_matches(texts: DataFrame, aliases: DataFrame, fields: list[str]) -> DataFrame:
-    """id, the alias's columns and <field>_hit for each text (lower-case columns fields) and each alias that some field holds.
+def alias_matches(texts: DataFrame, aliases: DataFrame, fields: list[str], keep: Sequence[str] = ()) -> DataFrame:
+    """id, the alias's columns, texts' columns keep and <field>_hit for each text (lower-case columns fields) and each alias that some field holds.
 
-    aliases: alias_l (lower case) and further columns. An alias of one character, or one that starts or ends inside a word of other letters, is found
-    if its first pair of characters is.
+    aliases: alias_l (lower case) and further columns. An alias of several words, or one that starts or ends inside a word of other letters, is found if its first word or pair of
+    characters is. Where the aliases' terms are few (counted), each text looks for them in its own row and nothing of it is shuffled; the result is the same either way.
     """
-    everything = F.concat_ws(" ", *fields)
-    terms = texts.select("id", F.explode(_terms(everything)).alias("term"))
-    found = terms.join(aliases.withColumn("term", _term_of_alias(F.col("alias_l"))), "term").drop("term").distinct()
-    joined = found.join(texts.select("id", *fields), "id")
-    hits = [contains_alias(F.col(f), F.col("alias_l")).alias(f"{f}_hit") for f in fields]
-    return joined.select(*found.columns, *hits).where(" OR ".join(f"{f}_hit" for f in fields))
+    known = aliases.withColumn("term", _term_of_alias(F.col("alias_l"))).where("term <> ''")
+    terms = [r["term"] for r in known.select("term").distinct().limit(MAX_TERMS + 1).collect()]
+    everything, of_alias = F.concat_ws(" ", *fields), aliases.columns
+    if len(terms) <= MAX_TERMS:
+        words = lambda inside: F.array(*[F.lit(x) for x in terms if x.startswith(INSIDE) == inside]).cast("array<string>")
+        mine = F.concat(F.array_intersect(_latin_terms(everything), words(False)), F.filter(words(True), lambda x: F.contains(everything, F.substring(x, 2, 2))))
+        found = texts.select("id", *keep, *fields, *[marked(F.col(f)).alias(f"__{f}") for f in fields], F.explode(mine).alias("term")).join(F.broadcast(known), "term")
+    else:
+        ids = texts.select("id", F.explode(_terms(everything)).alias("term")).join(known, "term").drop("term").distinct()
+        found = ids.join(texts.select("id", *keep, *fields, *[marked(F.col(f)).alias(f"__{f}") for f in fields]), "id")
+    hits = [contains_alias(F.col(f), F.col("alias_l"), F.col(f"__{f}")).alias(f"{f}_hit") for f in fields]
+    return found.select("id", *keep, *of_alias, *hits).where(" OR ".join(f"{f}_hit" for f in fields))
 
 
 def alias_rows(tickers: DataFrame) -> DataFrame:
@@ -88,14 +111,14 @@ def ticker_scores(items: DataFrame, aliases: DataFrame, fuzzy: bool = False, mos
     its aliases (longest first) and never exceed 12 on the way.
     """
     texts = items.select("id", *[F.lower(t.compact(F.col(c))).alias(c) for c in ("title", "lead", "body")])
+    texts = texts.withColumn("numbers", t.numeric_context(F.concat_ws(" ", "title", "lead", "body")))
     known = aliases.select(F.upper("ticker").alias("ticker"), "alias", F.lower(t.compact(F.col("alias"))).alias("alias_l"), F.lower("alias_type").alias("alias_type"), "weight")
-    hits = alias_matches(texts, known, ["title", "lead", "body"]).withColumn("fuzzy_hit", F.lit(False))
+    hits = alias_matches(texts, known, ["title", "lead", "body"], ["numbers"]).withColumn("fuzzy_hit", F.lit(False))
     if fuzzy:
         near = fuzzy_titles(texts, known).join(known, "alias_l").withColumn("near", F.lit(True))
         keys = ["id", *known.columns]
-        hits = hits.drop("fuzzy_hit").join(near.select(*keys, "near"), keys, "full_outer").fillna(False, ["title_hit", "lead_hit", "body_hit", "near"]).withColumn("fuzzy_hit", F.col("near") & ~F.col("title_hit")).drop("near")
-    context = texts.select("id", t.numeric_context(F.concat_ws(" ", "title", "lead", "body")).alias("numbers"))
-    hits = hits.join(context, "id")
+        hits = hits.drop("fuzzy_hit", "numbers").join(near.select(*keys, "near"), keys, "full_outer").fillna(False, ["title_hit", "lead_hit", "body_hit", "near"])
+        hits = hits.withColumn("fuzzy_hit", F.col("near") & ~F.col("title_hit")).drop("near").join(texts.select("id", "numbers"), "id")
     pts = lambda c, n: F.when(c, n).otherwise(0.0)
     exact = F.col("alias_type").isin("official_name", "corp_name")
     ambiguous = (F.length("alias_l") <= 2) | F.col("alias_l").isin(AMBIGUOUS)
