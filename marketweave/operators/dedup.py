@@ -12,10 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as t
+from . import relational as r
 
 WEEK_S = 7 * 24 * 3600
 #: Words of events that make two headlines of one week the same story.
-EVENT_WORDS = "주주총회 주총 경영권 지배구조 거버넌스 실적 가이던스 수주 규제 소송 제재 합병 인수 공급망 배당 증자".split()
+EVENT_WORDS = ["주주총회", "주총", "경영권", "지배구조", "거버넌스", "실적", "가이던스", "수주", "규제", "소송", "제재", "합병", "인수", "공급망", "배당", "증자"]
+#: Rows that a feed takes from its newest documents, for each row that it shows.
+DEPTH = 4
+
+
+def newest(docs: DataFrame, feed: str, limit: int) -> DataFrame:
+    """The newest documents (event_time, then id) of each feed, DEPTH times as many as it will show. Titles are compared and ranked among these alone, as the cut is part of a feed."""
+    by = Window.partitionBy(feed).orderBy(F.col("event_time").desc(), F.col("id").desc())
+    return docs.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= DEPTH * limit).drop("__n")
 
 
 def identity_key(source: Column, url: Column, title: Column, published_at: Column) -> Column:
@@ -42,7 +51,7 @@ def content_duplicates(items: DataFrame) -> DataFrame:
 
 
 def title_pairs(docs: DataFrame, scope: str) -> DataFrame:
-    """scope, a, b (a < b) and overlap of documents (id, title) of one scope that share a title word."""
+    """scope, a, b (a < b) and overlap of documents (id, title) of one scope that share a title word. A scope is a feed that newest() has cut, so its pairs are bounded."""
     words = docs.select(scope, "id", F.array_distinct(t.title_tokens(F.col("title"))).alias("w"))
     each = words.select(scope, "id", F.explode("w").alias("word"))
     pairs = each.withColumnRenamed("id", "a").join(each.withColumnRenamed("id", "b"), [scope, "word"]).where("a < b").groupBy(scope, "a", "b").agg(F.count("*").alias("overlap"))
@@ -75,7 +84,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def similar_lines(docs: DataFrame, scope: str, line: str, when: str) -> DataFrame:
     """Pairs of one scope whose one-liners tell the same story: by words, or within a week by fewer words or by their characters."""
     titled = docs.withColumn("title", F.col(line))
-    texts = docs.select(scope, "id", t.compact(F.lower(line)).alias("line"), F.unix_timestamp(when).alias("s"))
+    texts = docs.select(scope, "id", F.array_join(t.title_tokens(F.col(line)), " ").alias("line"), F.unix_timestamp(when).alias("s"))
     pairs = title_pairs(titled, scope).join(texts.withColumnsRenamed({"id": "a", "line": "x", "s": "s_a"}), [scope, "a"]).join(texts.withColumnsRenamed({"id": "b", "line": "y", "s": "s_b"}), [scope, "b"])
     o, small, large = F.col("overlap"), F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     words = (F.col("x") == F.col("y")) | ((F.length("x") >= 16) & (F.length("y") >= 16) & (F.contains("x", "y") | F.contains("y", "x"))) | ((o >= 4) & (o / small >= 0.55))
@@ -119,7 +128,7 @@ def _centrality(ids: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, st
 
 
 def centrality(nodes: DataFrame, edges: DataFrame, scope: str, steps: int = 30, stop: float = 1e-6) -> DataFrame:
-    """scope, id, eigen from 0 to 1 by power iteration. A scope is a feed cut to a few hundred rows before, so it fits one task."""
+    """scope, id, eigen from 0 to 1 by power iteration. A scope is a feed that newest() has cut, so it fits one task."""
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(left["id"].unique())
@@ -154,51 +163,90 @@ def ranked(docs: DataFrame, scope: str) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(order)).drop("degree", "eigen")
 
 
-def _same_story(a: dict, b: dict) -> bool:
-    if a["url"] and a["url"] == b["url"] or a["key"] and a["key"] == b["key"]:
+def _alike(words: tuple[str, set], seen: tuple[str, set], least: int, small_share: float, large_share: float) -> bool:
+    """Equal, one within the other from least characters on, or enough shared words of the smaller or of the larger."""
+    (x, u), (y, v) = words, seen
+    if x == y or min(len(x), len(y)) >= least and (x in y or y in x):
+        return True
+    both = len(u & v)
+    return both >= 3 and both / min(len(u), len(v)) >= small_share or both >= 4 and both / max(len(u), len(v)) >= large_share
+
+
+def _same_line(words: tuple[str, set], seen: tuple[str, set], seconds: float) -> bool:
+    """Whether two one-liners tell one story; within a week fewer words or like characters are enough."""
+    (x, u), (y, v) = words, seen
+    both = len(u & v)
+    if x == y or min(len(x), len(y)) >= 16 and (x in y or y in x) or both >= 4 and both / min(len(u), len(v)) >= 0.55:
         return True
-    x, y, u, v = a["norm"], b["norm"], a["words"], b["words"]
-    if not x or not y:
+    if seconds > WEEK_S:
         return False
-    if x == y or len(x) >= 12 and len(y) >= 12 and (x in y or y in x):
+    if both >= 4 and (both / min(len(u), len(v)) >= 0.32 or both / max(len(u), len(v)) >= 0.28):
         return True
-    both, small, large = len(u & v), min(len(u), len(v)), max(len(u), len(v))
-    return bool(small) and (both >= 3 and both / small >= 0.8 or both >= 4 and both / large >= 0.67)
+    r = ratio(x, y)
+    return r >= 0.62 or r >= 0.55 and any(w in x and w in y for w in EVENT_WORDS)
+
+
+def _walk(rows: list[dict], limit: int, lines: bool) -> list[list]:
+    """Representatives of rows (in order) with the number of later rows that repeat them: [row, count], limit at most. Rows are compared within a scope."""
+    shown: list[list] = []
+    for row in rows:
+        title, line = (" ".join(row["words"]), set(row["words"])), (" ".join(row["line_words"]), set(row["line_words"]))
+        mine = [x for x in shown if x[0]["scope"] == row["scope"]]
+        hit = next((x for x in mine if row["url"] and row["url"] == x[0]["url"]), None)
+        hit = hit or next((x for x in mine if row["key"] and row["key"] == x[0]["key"]), None)
+        hit = hit or next((x for x in mine if title[0] and x[2][0] and _alike(title, x[2], 12, 0.8, 0.67)), None)
+        if lines:
+            hit = hit or next((x for x in mine if line[0] and x[3][0] and _same_line(line, x[3], abs(row["event_s"] - x[0]["event_s"]))), None)
+        if hit:
+            hit[1] += 1
+        elif len(shown) < limit:
+            shown.append([row, 0, title, line])
+    return shown
+
+
+def _compared(rows: DataFrame, scope: str, *more: str) -> DataFrame:
+    """What the walk compares: scope, id, event_s, url, key, words, line_words, and columns more."""
+    line = t.title_tokens(F.col("line")) if "line" in rows.columns else F.expr("cast(array() as array<string>)")
+    return rows.select(F.col(scope).alias("scope"), "id", F.unix_timestamp("event_time").alias("event_s"), t.normalize_url(F.col("url")).alias("url"), t.title_key(F.col("title")).alias("key"), t.title_tokens(F.col("title")).alias("words"), line.alias("line_words"), *more)
+
+
+def curated(rows: DataFrame, feed: str, scope: str, limit: int) -> DataFrame:
+    """What each feed shows: feed, scope, id, rank_score, place (from 1), similar_count (rows of the feed that repeat it).
+
+    rows: feed, scope, id, rank_score, event_time, url, title, line (one-liner), source, doc_type, relevance_score, matched_alias, of feeds that newest() has cut, so a feed fits one task.
+    Rows that may be shown are walked from the best: one that repeats a representative of its scope by address, title or one-liner counts there, others become one until limit are.
+    """
+    shown = rows.where(r.displayable(F.col("title"), F.col("source"), F.col("doc_type"), F.col("relevance_score"), F.col("matched_alias")))
+    kinds = dict(rows.dtypes)
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        best = part.sort_values(["rank_score", "event_s", "id"], ascending=False).to_dict("records")
+        out = [(key[0], x["scope"], x["id"], x["rank_score"], k + 1, n) for k, (x, n, *_) in enumerate(_walk(best, limit, True))]
+        return pd.DataFrame(out, columns=[feed, scope, "id", "rank_score", "place", "similar_count"])
+
+    return _compared(shown, scope, F.col(feed).alias("__feed"), "rank_score").groupBy("__feed").applyInPandas(run, f"{feed} {kinds[feed]}, {scope} {kinds[scope]}, id long, rank_score double, place int, similar_count long")
 
 
-def curated(rows: DataFrame, scope: str, limit: int) -> DataFrame:
-    """Representatives of stories, the best limit over all scopes: scope, id, rank_score, similar_count.
+def related(docs: DataFrame, items: DataFrame, scope: str, limit: int) -> DataFrame:
+    """items' id and related (ids, newest first): the newest documents of the same scope but the item itself that don't repeat one another by address or title, limit at most.
 
-    rows: scope, id, rank_score, event_s, url, title; larger rank_score, event_s, id come first. Greedy within a scope: a row joins the first earlier representative that
-    tells its story, else it becomes one; only representatives among the first limit of all scopes take in others. Scopes are cut to a few hundred rows before; the
-    best of all scopes are a top-k, not a global sort.
+    The newest DEPTH times limit count. As the answer differs only for items among the newest, it is worked out once per scope and once for each of those.
     """
-    order = ["rank_score", "event_s", "id"]
-    prepared = rows.select(F.col(scope).alias(scope), *order, t.normalize_url(F.col("url")).alias("url"), t.title_key(F.col("title")).alias("key"), t.title_tokens(F.col("title")).alias("words"))
-    kind = dict(rows.dtypes)[scope]
-
-    def walk(part: pd.DataFrame, accepted: set | None) -> list[tuple]:
-        reps, out = [], []
-        for r in part.sort_values(order, ascending=False).to_dict("records"):
-            item = {**r, "norm": " ".join(r["words"]), "words": set(r["words"])}
-            hit = next((x for x in reps if _same_story(item, x)), None)
-            if hit is None and (accepted is None or r["id"] in accepted):
-                reps.append(item)
-                hit = item
-            if hit is not None:
-                out.append((r[scope], r["id"], r["rank_score"], r["event_s"], hit["id"]))
-        return out
-
-    columns = [scope, "id", "rank_score", "event_s", "representative"]
-    schema = f"{scope} {kind}, id long, rank_score double, event_s long, representative long"
-    first = prepared.groupBy(scope).applyInPandas(lambda p: pd.DataFrame(walk(p, None), columns=columns), schema)
-    accepted = first.where("id = representative").orderBy(*[F.col(c).desc() for c in order]).limit(limit).select(F.col(scope).alias(scope), F.col("id").alias("ok"))
-
-    def again(key: tuple, part: pd.DataFrame, ok: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(walk(part, set(ok["ok"])), columns=columns)
-
-    second = prepared.groupBy(scope).cogroup(accepted.groupBy(scope)).applyInPandas(again, schema)
-    return second.groupBy(scope, F.col("representative").alias("id")).agg(F.max("rank_score").alias("rank_score"), (F.count("*") - 1).alias("similar_count"))
+    depth, kind = DEPTH * limit, dict(docs.dtypes)[scope]
+    by = Window.partitionBy(scope).orderBy(F.col("event_time").desc(), F.col("id").desc())
+    top = docs.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= depth + 1)
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        rows = part.sort_values("__n").to_dict("records")
+        out = []
+        for skip in [None, *[x["id"] for x in rows]]:
+            kept = [x for x in rows if x["id"] != skip][:depth]
+            out.append((key[0], skip, [x["id"] for x, *_ in _walk(kept, limit, False)]))
+        return pd.DataFrame(out, columns=[scope, "item", "related"]).astype({"item": "Int64"})
+
+    answers = _compared(top, scope, "__n").groupBy("scope").applyInPandas(run, f"{scope} {kind}, item long, related array<long>")
+    own = items.select(scope, "id").join(answers.where("item IS NOT NULL").select(scope, F.col("item").alias("id"), F.col("related").alias("own")), [scope, "id"], "left")
+    return own.join(answers.where("item IS NULL").select(scope, "related"), scope).select("id", F.coalesce("own", "related").alias("related"))
 
 
 def compressed_cards(cards: DataFrame, keys: Sequence[str], order: Sequence[Column], most: int = 120) -> DataFrame:

@@ -38,7 +38,12 @@ def count_words(text: Column, words: Sequence[str]) -> Column:
 
 def facts(text: Column, hint: Column, most: int = 3) -> Column:
     """The first different sentences of 12 characters at least with a number, a date or hint, filled up with the first sentences of the text and then by repetition."""
-    every = F.array_distinct(F.filter(t.sentences(text), lambda s: F.length(s) >= 12))
+    return facts_of(t.sentences(text), hint, most)
+
+
+def facts_of(sentences: Column, hint: Column, most: int = 3) -> Column:
+    """facts() of a text whose sentences are at hand."""
+    every = F.array_distinct(F.filter(sentences, lambda s: F.length(s) >= 12))
     anchored = lambda v: F.filter(v, lambda s: s.rlike(NUMBER) | ((hint != "") & F.contains(F.lower(s), F.lower(hint))))
     filled = lambda o: F.when(F.size(o) == 0, o).otherwise(F.slice(F.concat(o, F.array_repeat(F.element_at(o, -1), most)), 1, most))
     return t.let(t.let(every, lambda v: F.slice(F.array_union(anchored(v), v), 1, most)), filled)
@@ -53,7 +58,7 @@ def topics(text: Column, rules: dict[str, list[str]] = TOPICS, most: int = 6) ->
 
 def risk_note(text: Column) -> Column:
     """The first sentence with a risk keyword."""
-    return F.coalesce(F.get(F.filter(t.sentences(text), lambda s: _any(F.lower(s), RISKS)), F.lit(0)), F.lit(NO_RISK))
+    return F.coalesce(F.get(F.filter(t.sentences(text), lambda s: F.lower(s).rlike("|".join(RISKS))), F.lit(0)), F.lit(NO_RISK))
 
 
 def hedged(text: Column) -> Column:
@@ -66,10 +71,11 @@ def cards(docs: DataFrame) -> DataFrame:
     """A card for each document (id, stock_code, market, title, body, source, doc_type, url, published_at) with a title: card_id is a hash of the document."""
     kind = r.card_source_type(F.col("doc_type"), F.col("source"))
     both = F.concat_ws(" ", "title", "body")
-    return docs.where(t.compact(F.col("title")) != "").select(
+    split = docs.where(t.compact(F.col("title")) != "").withColumn("__s", t.sentences(F.col("body")))
+    return split.select(
         F.sha2(F.col("id").cast("string"), 256).alias("card_id"), F.col("id").alias("item_id"), F.lit("ticker").alias("entity_type"), F.col("stock_code").alias("entity_id"), "market",
         kind.alias("source_type"), t.url_hash(F.col("url")).alias("source_url_hash"), "published_at", t.sanitize(F.col("title")).alias("fact_headline"),
-        facts(F.col("body"), F.col("stock_code")).alias("facts"), hedged(F.get(t.sentences(F.col("body")), F.lit(0))).alias("interpretation"), risk_note(both).alias("risk_note"), topics(both).alias("topics"), r.card_weight(kind).alias("confidence_weight"),
+        facts_of(F.col("__s"), F.col("stock_code")).alias("facts"), hedged(F.get("__s", F.lit(0))).alias("interpretation"), risk_note(both).alias("risk_note"), topics(both).alias("topics"), r.card_weight(kind).alias("confidence_weight"),
     )
 
 
@@ -114,6 +120,41 @@ def digest_changes(chosen: DataFrame, earlier: DataFrame, keys: Sequence[str], m
     return lines.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]).alias("change_lines"))
 
 
+def week_lines(events: DataFrame, keys: Sequence[str], last: str) -> DataFrame:
+    """keys, d7_lines: how the 7 days to last compare with the 7 before, from events (event_time, kind, impact)."""
+    day = F.to_date("event_time")
+    now, before = day.between(F.date_sub(F.lit(last), 6), F.lit(last)), day.between(F.date_sub(F.lit(last), 13), F.date_sub(F.lit(last), 7))
+    kinds = {"all": F.lit(True), "reports": F.col("kind") == "report", "bad": F.col("impact") == "negative"}
+    a = events.groupBy(*keys).agg(*[F.count_if(w & k).alias(f"{n}_{p}") for n, k in kinds.items() for p, w in (("now", now), ("before", before))])
+    gap = F.col("all_now") - F.col("all_before")
+    #: The wording of the lines.
+    lines = [
+        ("all", F.format_string("+ 최근 7일 이벤트 %d건 (직전 7일 %d건, 변화 %s)", "all_now", "all_before", F.concat(F.when(gap > 0, "+").otherwise(""), gap.cast("string")))),
+        ("reports", F.format_string("+ 리포트 %d건 (직전 7일 %d건)", "reports_now", "reports_before")), ("bad", F.format_string("− 부정 신호 %d건 (직전 7일 %d건)", "bad_now", "bad_before")),
+    ]
+    found = F.array_compact(F.array(*[F.when(F.col(f"{n}_now") + F.col(f"{n}_before") > 0, x) for n, x in lines]))
+    return a.select(*keys, F.when(F.size(found) == 0, F.array(F.lit("유의미한 변화 없음"))).otherwise(found).alias("d7_lines"))
+
+
+def change_snapshots(events: DataFrame, changes: DataFrame, keys: Sequence[str], last: str, preview: int = 1) -> DataFrame:
+    """keys, d1_lines (changes of the digest) and d7_lines (of the week), each with its first lines as preview and whether there are more."""
+    joined = week_lines(events, keys, last).join(changes.withColumnRenamed("change_lines", "d1_lines"), list(keys), "left")
+    joined = joined.withColumn("d1_lines", F.coalesce("d1_lines", F.expr("cast(array() as array<string>)")))
+    more = [x for c in ("d1", "d7") for x in (F.slice(f"{c}_lines", 1, preview).alias(f"{c}_preview"), (F.size(f"{c}_lines") > preview).alias(f"{c}_more"))]
+    return joined.select(*keys, "d1_lines", "d7_lines", *more)
+
+
+def open_questions(chosen: DataFrame, entities: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, questions: two per entity, about the first topic of its first numbered card; entities without cards get general ones."""
+    #: The wording of the questions.
+    none = ["Q1) 다음 공시에서 실적과 수요 신호가 함께 확인될까요? (cards: -)", "Q2) 현재 리스크가 다음 분기 숫자에 반영될 시점은 언제일까요? (cards: -)"]
+    topic = F.coalesce(F.get(F.filter(F.transform("topics", t.compact), lambda x: x != ""), F.lit(0)), F.lit("핵심 지표"))
+    first = chosen.where("n = 1").select(*keys, F.array(
+        F.format_string("Q1) 다음 업데이트에서 '%s' 신호가 강화될까요? (cards: %s)", topic, "alias"), F.format_string("Q2) 현재 리스크가 실적·밸류에이션에 미칠 영향은 얼마나 될까요? (cards: %s)", "alias"),
+    ).alias("questions"))
+    return entities.select(*keys).distinct().join(first, list(keys), "left").withColumn("questions", F.coalesce("questions", F.array(*[F.lit(x) for x in none])))
+
+
 def report_ready(cards_: DataFrame, keys: Sequence[str], least: int = 12) -> DataFrame:
     """keys, cards, ready: enough cards, two of research or a filing, and two topics."""
     a = cards_.groupBy(*keys).agg(F.count("*").alias("cards"), F.count_if(F.col("source_type") == "research").alias("k"), F.count_if(F.col("source_type") == "filing").alias("f"), F.size(F.array_distinct(F.flatten(F.collect_set("topics")))).alias("topics"))

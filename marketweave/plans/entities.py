@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -21,11 +21,20 @@ def docs(s: SparkSession, d: str) -> DataFrame:
     return found.withColumn("event_time", r.event_time(found))
 
 
+def feed(s: SparkSession, d: str) -> DataFrame:
+    """The feed of each stock."""
+    return dedup.newest(docs(s, d), "stock_code", SHOWN)
+
+
 def items(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "fx_documents").select("id", "title", F.substring("body", 1, 200).alias("lead"), "body")
+    """Documents with their lead: the first paragraph, else the title."""
+    return view(s, d, "fx_documents").select("id", "title", t.lead(F.col("body"), F.col("title")).alias("lead"), "body")
 
 
-TITLES = f"w AS (SELECT id, stock_code, list_filter({WORDS}, lambda w: length(w) > 1)[1:20] AS l FROM fx_documents), n AS (SELECT id, stock_code, list_distinct(l) AS l, array_to_string(l, ' ') AS x FROM w)"
+#: Rows that a stock's feed shows; it takes four times as many of the newest.
+SHOWN = 40
+CUT = f"fd AS (SELECT * FROM fx_documents QUALIFY row_number() OVER (PARTITION BY stock_code ORDER BY {EVENT} DESC, id DESC) <= {4 * SHOWN})"
+TITLES = f"{CUT}, w AS (SELECT id, stock_code, list_filter({WORDS}, lambda w: length(w) > 1)[1:20] AS l FROM fd), n AS (SELECT id, stock_code, list_distinct(l) AS l, array_to_string(l, ' ') AS x FROM w)"
 PAIRS = f"{TITLES}, p AS (SELECT a.stock_code, a.id AS a, b.id AS b, a.x AS x, b.x AS y, len(list_intersect(a.l, b.l)) AS o, least(len(a.l), len(b.l)) AS lo, greatest(len(a.l), len(b.l)) AS hi FROM n a JOIN n b ON a.stock_code = b.stock_code AND a.id < b.id WHERE len(list_intersect(a.l, b.l)) > 0)"
 
 
@@ -43,40 +52,50 @@ def d2(s: SparkSession, d: str) -> DataFrame:
 
 @register("d4_similar_titles", f"""WITH {PAIRS} SELECT stock_code, a, b, o AS overlap FROM p WHERE x = y OR (length(x) >= 12 AND length(y) >= 12 AND (contains(x, y) OR contains(y, x))) OR (o >= 3 AND o / lo >= 0.8) OR (o >= 4 AND o / hi >= 0.67)""")
 def d4(s: SparkSession, d: str) -> DataFrame:
-    return dedup.similar_titles(view(s, d, "fx_documents"), "stock_code")
+    return dedup.similar_titles(feed(s, d), "stock_code")
+
+
+def _line() -> Column:
+    """The one-liner of a document."""
+    return t.one_liner(F.lit(None).cast("string"), t.sentences(F.col("body")), F.col("title"), F.col("lang"))
 
 
 @register("d5_similar_lines")
 def d5(s: SparkSession, d: str) -> DataFrame:
-    return dedup.similar_lines(docs(s, d).withColumn("line", F.substring("body", 60, 100)), "stock_code", "line", "event_time")
+    return dedup.similar_lines(feed(s, d).withColumn("line", _line()), "stock_code", "line", "event_time")
 
 
 @register("d8_title_graph", f"WITH {PAIRS} SELECT stock_code, a, b, round(least(o / lo, 1.0), 6) AS weight FROM p WHERE o >= 2 AND o / lo >= 0.34")
 def d8(s: SparkSession, d: str) -> DataFrame:
-    return dedup.title_graph(view(s, d, "fx_documents"), "stock_code").withColumn("weight", F.round("weight", 6))
+    return dedup.title_graph(feed(s, d), "stock_code").withColumn("weight", F.round("weight", 6))
 
 
 @register("d8_degrees", f"WITH {PAIRS}, e AS (SELECT stock_code, a, b, least(o / lo, 1.0) AS w FROM p WHERE o >= 2 AND o / lo >= 0.34) SELECT stock_code, id, round(sum(w), 6) AS degree FROM (SELECT stock_code, a AS id, w FROM e UNION ALL SELECT stock_code, b, w FROM e) AS t GROUP BY stock_code, id")
 def d8_degrees(s: SparkSession, d: str) -> DataFrame:
-    return dedup.degrees(dedup.title_graph(view(s, d, "fx_documents"), "stock_code"), "stock_code").withColumn("degree", F.round("degree", 6))
+    return dedup.degrees(dedup.title_graph(feed(s, d), "stock_code"), "stock_code").withColumn("degree", F.round("degree", 6))
 
 
 @register("d9_centrality")
 def d9(s: SparkSession, d: str) -> DataFrame:
-    found = view(s, d, "fx_documents")
+    found = feed(s, d)
     return dedup.centrality(found.select("stock_code", "id"), dedup.title_graph(found, "stock_code"), "stock_code").withColumn("eigen", F.round("eigen", 6))
 
 
 @register("d10_ranked_feed")
 def d10(s: SparkSession, d: str) -> DataFrame:
-    return dedup.ranked(docs(s, d), "stock_code").select("stock_code", "id", "rank_score", "place")
+    return dedup.ranked(feed(s, d), "stock_code").select("stock_code", "id", "rank_score", "place")
+
+
+def market_feed(s: SparkSession, d: str, limit: int = 100) -> DataFrame:
+    """What each market's feed shows."""
+    found = docs(s, d).join(view(s, d, "fx_stocks").select(F.col("code").alias("stock_code"), "market"), "stock_code")
+    ranked = dedup.ranked(dedup.newest(found, "market", limit), "market").withColumn("line", _line()).withColumn("matched_alias", F.when(F.col("id") % 2 == 0, F.col("lang")))
+    return dedup.curated(ranked, "market", "stock_code", limit)
 
 
 @register("d6_curated_feed")
 def d6(s: SparkSession, d: str) -> DataFrame:
-    """Feed of 200: ranked and cut within a stock, then curated."""
-    found = dedup.ranked(docs(s, d), "stock_code").where("place <= 400").withColumn("event_s", F.unix_timestamp("event_time"))
-    return dedup.curated(found, "stock_code", 200)
+    return market_feed(s, d).select("market", "stock_code", "id", "rank_score", "place")
 
 
 @register("d12_without_boilerplate", rf"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: {C.format('x')}) AS l FROM documents),
@@ -86,7 +105,9 @@ def d12(s: SparkSession, d: str) -> DataFrame:
     return dedup.without_boilerplate(view(s, d, "documents").select("doc_id", "text"))
 
 
-HITS = rf"""i AS (SELECT id, lower({C.format('title')}) AS title, lower({C.format('substr(body, 1, 200)')}) AS lead, lower({C.format('body')}) AS body FROM fx_documents),
+#: The first paragraph of a body, else the title.
+LEAD = rf"coalesce(list_filter(list_transform(regexp_split_to_array(body, '\n+'), lambda p: {C.format('p')}), lambda p: length(p) >= 1)[1], {C.format('title')})"
+HITS = rf"""i AS (SELECT id, lower({C.format('title')}) AS title, lower({C.format(LEAD)}) AS lead, lower({C.format('body')}) AS body FROM fx_documents),
 k AS (SELECT *, lower(alias) AS al, CASE WHEN regexp_matches(lower(alias), '^[a-z0-9.\-]+$') THEN '(^|[^a-z0-9])' || regexp_escape(lower(alias)) || '($|[^a-z0-9])' ELSE regexp_escape(lower(alias)) END AS re FROM fx_aliases),
 h AS (SELECT id, ticker, alias, alias_type, weight, regexp_matches(title, re) AS t, regexp_matches(lead, re) AS l, regexp_matches(body, re) AS b, regexp_matches(title || ' ' || lead || ' ' || body, '\d+(\.\d+)?%|\d+\s*(원|억|조|만)|실적|매출|영업이익|eps|목표가|가이던스|전망') AS num, al FROM i, k WHERE contains(body, al) OR contains(title, al)),
 s AS (SELECT *, (CASE WHEN t THEN CASE WHEN alias_type = 'short' THEN 5.0 ELSE 6.0 END ELSE 0 END + CASE WHEN l THEN 4 ELSE 0 END + CASE WHEN b THEN 2 ELSE 0 END + CASE WHEN num THEN 2 ELSE 0 END - CASE WHEN length(al) <= 2 OR al IN ('group', 'energy', 'finance') THEN 3 ELSE 0 END) * greatest(0.5, least(1.2, weight)) AS p FROM h WHERE t OR l OR b),
@@ -118,7 +139,7 @@ def _count(words: list[str], column: str) -> str:
 SECTORS = " UNION ALL ".join(
     f"SELECT id, '{k}' AS sector, {_count(ws, 'title')} AS a, {_count(ws, 'lead')} AS b, {_count(ws, 'body')} AS c, " + " + ".join(f"CAST(contains(title || ' ' || lead || ' ' || body, '{w}') AS INT)" for w in ws) + " AS e, num FROM v" for k, ws in WORDS_HERE.items()
 )
-SECTOR_SQL = rf"""v AS (SELECT id, lower({C.format('title')}) AS title, lower({C.format('substr(body, 1, 200)')}) AS lead, lower({C.format('body')}) AS body, regexp_matches(lower(title || ' ' || body), '\d+(\.\d+)?%|\d+\s*(원|억|조|만)|실적|매출|영업이익|eps|목표가|가이던스|전망') AS num FROM fx_documents),
+SECTOR_SQL = rf"""v AS (SELECT id, lower({C.format('title')}) AS title, lower({C.format(LEAD)}) AS lead, lower({C.format('body')}) AS body, regexp_matches(lower(title || ' ' || body), '\d+(\.\d+)?%|\d+\s*(원|억|조|만)|실적|매출|영업이익|eps|목표가|가이던스|전망') AS num FROM fx_documents),
 q AS (SELECT id, sector, round(least(10.0, 4.0 + a * 2.0 + b * 1.5 + c * 1.0 + (e - a) * 0.5 + CASE WHEN num THEN 1.0 ELSE 0.0 END), 2) AS score FROM ({SECTORS}) AS u WHERE e > 0)"""
 
 

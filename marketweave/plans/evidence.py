@@ -129,12 +129,11 @@ def e13(s: SparkSession, d: str) -> DataFrame:
     return e.timeline(docs(s, d).select("id", F.col("doc_type").alias("kind"), "event_time"), F.lit(AS_OF).cast("timestamp"), 7, ["news", "filing"])
 
 
-@register("e14_digest_sections", """SELECT stock_code AS digest_id, CAST(id % 2 AS INT) AS pos, CASE id % 2 WHEN 0 THEN 'risk' END AS section, CASE id % 2 WHEN 0 THEN lang ELSE 'note ' || lang END AS text, CASE id % 2 WHEN 0 THEN ['C1', 'C2'] ELSE CAST([] AS VARCHAR[]) END AS cards FROM fx_documents WHERE id < 2 OR id BETWEEN 14 AND 15""")
+@register("e14_digest_sections", """SELECT CAST(id AS VARCHAR) AS digest_id, CAST(i AS INT) AS pos, CASE i WHEN 0 THEN 'risk' END AS section, CASE i WHEN 0 THEN lang ELSE 'note ' || source END AS text, CASE i WHEN 0 THEN ['C1', 'C2'] ELSE CAST([] AS VARCHAR[]) END AS cards FROM fx_documents, (SELECT unnest([0, 1]) AS i) AS x""")
 def e14(s: SparkSession, d: str) -> DataFrame:
-    some = view(s, d, "fx_documents").where("id < 2 OR id BETWEEN 14 AND 15")
-    line = F.when(F.col("id") % 2 == 0, F.concat(F.lit("risk: "), "lang", F.lit(" (cards: C1, C2)"))).otherwise(F.concat(F.lit("note "), "lang", F.lit(" (cards: -)")))
-    one = some.select(F.col("stock_code").alias("digest_id"), "id", F.array(line).alias("lines"))
-    return e.digest_sections(one, "lines").join(one.select("digest_id", "id"), "digest_id").select("digest_id", (F.col("id") % 2).cast("int").alias("pos"), "section", "text", "cards")
+    """A digest of two lines from each document."""
+    lines = F.array(F.concat(F.lit("risk: "), "lang", F.lit(" (cards: C1, C2)")), F.concat(F.lit("note "), "source", F.lit(" (cards: -)")))
+    return e.digest_sections(view(s, d, "fx_documents").select(F.col("id").cast("string").alias("digest_id"), lines.alias("lines")), "lines")
 
 
 @register("e15_parse_status", f"SELECT doc_id, CASE WHEN length({C.format('text')}) >= 400 THEN 'ok' WHEN length({C.format('text')}) >= 80 THEN 'partial' ELSE 'empty' END AS status FROM documents")
@@ -147,13 +146,28 @@ def e15_focus(s: SparkSession, d: str) -> DataFrame:
     return e.focus(view(s, d, "documents"), "text", POSITIVE).select("doc_id", "focus")
 
 
-@register("e16_derived_profiles")
+@register("e16_derived_profiles", f"""WITH k AS (SELECT stock_code, trim({C.format('title')} || ' ' || left({C.format('body')}, 180)) AS snippet, row_number() OVER (PARTITION BY stock_code ORDER BY {EVENT} DESC, id DESC) AS n FROM fx_documents),
+  b AS (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY n) AS m FROM k WHERE n <= 120 AND snippet <> ''), w AS (SELECT stock_code, unnest(regexp_extract_all(lower(snippet), '[a-z가-힣]{{2,}}')) AS term FROM b WHERE m <= 20),
+  c AS (SELECT stock_code, term, row_number() OVER (PARTITION BY stock_code ORDER BY count(*) DESC, term) AS place FROM w WHERE term NOT IN ('the', 'die', 'que', 'of') GROUP BY stock_code, term)
+  SELECT stock_code, string_agg(term, ', ' ORDER BY place) AS profile FROM c WHERE place <= 5 GROUP BY stock_code""")
 def e16(s: SparkSession, d: str) -> DataFrame:
+    """Keywords of twenty snippets (title and 180 characters of the body) of a stock's newest documents."""
     newest = r.top_per_key(docs(s, d), ["stock_code"], [F.col("event_time").desc(), F.col("id").desc()], 120)
-    terms = e.keywords(newest, "stock_code", F.left("body", F.lit(400)), STOP, 5)
+    snippets = newest.withColumn("snippet", t.compact(F.concat_ws(" ", t.compact(F.col("title")), F.left(t.compact(F.col("body")), F.lit(180))))).where("snippet <> ''")
+    some = r.top_per_key(snippets, ["stock_code"], [F.col("event_time").desc(), F.col("id").desc()], 20)
+    terms = e.keywords(some, "stock_code", F.col("snippet"), STOP, 5)
     return terms.groupBy("stock_code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]), ", ").alias("profile"))
 
 
+@register("e8_open_questions", f"""WITH {TOPICS}, c AS (SELECT d.stock_code AS entity_id, d.id, d.doc_type, CASE WHEN len(l) = 0 THEN 'general' ELSE l[1] END AS topic, row_number() OVER (PARTITION BY stock_code ORDER BY published_at DESC, d.id DESC) AS n FROM fx_documents d JOIN t USING (id)
+  WHERE published_at IS NOT NULL AND CAST(published_at AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-03' AND {C.format('title')} <> ''), f AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n) AS k FROM c WHERE n <= 200 AND doc_type <> 'filing'),
+  x AS (SELECT DISTINCT stock_code AS entity_id FROM fx_documents)
+  SELECT x.entity_id, CASE WHEN topic IS NULL THEN ['Q1) 다음 공시에서 실적과 수요 신호가 함께 확인될까요? (cards: -)', 'Q2) 현재 리스크가 다음 분기 숫자에 반영될 시점은 언제일까요? (cards: -)']
+    ELSE ['Q1) 다음 업데이트에서 ' || chr(39) || topic || chr(39) || ' 신호가 강화될까요? (cards: C1)', 'Q2) 현재 리스크가 실적·밸류에이션에 미칠 영향은 얼마나 될까요? (cards: C1)'] END AS questions FROM x LEFT JOIN f ON f.entity_id = x.entity_id AND k = 1""")
+def e8_questions(s: SparkSession, d: str) -> DataFrame:
+    return e.open_questions(_chosen(s, d), docs(s, d).select(F.col("stock_code").alias("entity_id")), ["entity_id"])
+
+
 @register("e17_profile_priority", "SELECT code, CASE WHEN market = 'US' THEN name ELSE brand END AS text, CASE WHEN market = 'US' THEN 0 ELSE 1 END AS origin FROM fx_stocks")
 def e17(s: SparkSession, d: str) -> DataFrame:
     stocks = view(s, d, "fx_stocks")

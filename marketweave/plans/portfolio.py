@@ -42,10 +42,10 @@ def b1(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(p.normalise_weights(view(spark, d, "fx_portfolios")))
 
 
-@register("b2_missing_prices", """SELECT portfolio_id, upper(code) AS code FROM (SELECT portfolio_id, code, weight FROM fx_portfolios UNION ALL SELECT 'unknown', p_name, 1.0 FROM part WHERE p_partkey <= 40) AS t
+@register("b2_missing_prices", """SELECT portfolio_id, upper(code) AS code FROM (SELECT portfolio_id, code, weight FROM fx_portfolios UNION ALL SELECT 'unknown', p_name, 1.0 FROM part) AS t
   WHERE weight > 0 AND upper(code) NOT IN (SELECT upper(stock_code) FROM fx_price_bars WHERE close > 0)""")
 def b2(spark: SparkSession, d: str) -> DataFrame:
-    other = view(spark, d, "part").where("p_partkey <= 40").select(F.lit("unknown").alias("portfolio_id"), F.col("p_partkey").alias("asset_pos"), F.col("p_name").alias("code"), F.lit(1.0).alias("weight"))
+    other = view(spark, d, "part").select(F.lit("unknown").alias("portfolio_id"), F.col("p_partkey").alias("asset_pos"), F.col("p_name").alias("code"), F.lit(1.0).alias("weight"))
     return p.missing_codes(view(spark, d, "fx_portfolios").unionByName(other), view(spark, d, "fx_price_bars"))
 
 

@@ -11,6 +11,7 @@ from ..operators import relational as r
 from ..functions import text as t
 from ..operators import resolve
 from ..operators import summaries as m
+from .entities import market_feed
 from .evidence import NEGATIVE, POSITIVE, _chosen, docs
 from .registry import register, view
 
@@ -60,12 +61,11 @@ def j15(s: SparkSession, d: str) -> DataFrame:
     return joined.where("ticker IS NULL OR (ticker = stock_code AND score >= 0.55)").orderBy(F.col("event_time").desc(), F.col("id").desc()).limit(160).select("id", "name", "quality")
 
 
-@register("j19_related_documents", f"SELECT a.id, list(b.id ORDER BY b.t DESC, b.id DESC)[1:5] AS related FROM fx_documents a JOIN (SELECT id, stock_code, {EVENT} AS t FROM fx_documents) AS b ON a.stock_code = b.stock_code AND a.id <> b.id WHERE a.doc_type = 'report' AND (b.t < coalesce(a.published_at, a.collected_at) OR (b.t = coalesce(a.published_at, a.collected_at) AND b.id < a.id)) GROUP BY a.id")
+@register("j19_related_documents")
 def j19(s: SparkSession, d: str) -> DataFrame:
-    """The five documents of the same stock before each report: a window, not a join with itself."""
-    last_five = Window.partitionBy("stock_code").orderBy("event_time", "id").rowsBetween(-5, -1)
-    before = docs(s, d).withColumn("related", F.reverse(F.collect_list("id").over(last_five)))
-    return before.where("doc_type = 'report'").select("id", "related").where(F.size("related") > 0)
+    """Five documents of the same stock for each report."""
+    found = docs(s, d)
+    return dedup.related(found, found.where("doc_type = 'report'"), "stock_code", 5)
 
 
 @register("j21_sector_lines", f"SELECT sector_code, title AS line FROM (SELECT k.sector_code, d.title, row_number() OVER (PARTITION BY k.sector_code ORDER BY {EVENT} DESC NULLS LAST, d.id DESC) AS n FROM (SELECT DISTINCT sector_code FROM fx_stock_sector_map) AS k LEFT JOIN fx_stock_sector_map m ON m.sector_code = k.sector_code LEFT JOIN fx_documents d ON d.stock_code = m.stock_code) AS t WHERE n = 1")
@@ -77,25 +77,31 @@ def j21(s: SparkSession, d: str) -> DataFrame:
 
 @register("a14_similar_counts")
 def a14(s: SparkSession, d: str) -> DataFrame:
-    pairs = dedup.similar_titles(view(s, d, "fx_documents"), "stock_code")
-    return pairs.groupBy("stock_code", F.col("a").alias("id")).agg(F.count("*").alias("similar_count"))
+    return market_feed(s, d).select("market", "id", "similar_count")
 
 
 @register("f14_title_copies")
 def f14(s: SparkSession, d: str) -> DataFrame:
-    """Lines that copy their title (ratio 0.9) are blanked."""
-    line = F.substring("body", 1, 78)
+    """First sentences that copy their title (ratio 0.9) are blanked."""
+    line = F.get(t.sentences(F.col("body")), F.lit(0))
     close = dedup.sequence_ratio(F.lower(line), F.lower("title"))
     return view(s, d, "fx_documents").select("id", F.when(close >= 0.9, "").otherwise(line).alias("line"))
 
 
-@register("e19_change_snapshots", """SELECT stock_code AS entity_id, this_week, week_before FROM (SELECT stock_code, count(*) FILTER (WHERE CAST(coalesce(published_at, collected_at) AS DATE) BETWEEN DATE '2023-12-29' AND DATE '2024-01-04') AS this_week,
-  count(*) FILTER (WHERE CAST(coalesce(published_at, collected_at) AS DATE) BETWEEN DATE '2023-12-22' AND DATE '2023-12-28') AS week_before FROM fx_documents GROUP BY stock_code) AS t""")
+@register("e19_change_snapshots", """WITH c AS (SELECT stock_code AS entity_id, count(*) FILTER (WHERE day BETWEEN DATE '2023-12-29' AND DATE '2024-01-04') AS a, count(*) FILTER (WHERE day BETWEEN DATE '2023-12-22' AND DATE '2023-12-28') AS b,
+    count(*) FILTER (WHERE doc_type = 'report' AND day BETWEEN DATE '2023-12-29' AND DATE '2024-01-04') AS ra, count(*) FILTER (WHERE doc_type = 'report' AND day BETWEEN DATE '2023-12-22' AND DATE '2023-12-28') AS rb,
+    count(*) FILTER (WHERE bad AND day BETWEEN DATE '2023-12-29' AND DATE '2024-01-04') AS na, count(*) FILTER (WHERE bad AND day BETWEEN DATE '2023-12-22' AND DATE '2023-12-28') AS nb
+    FROM (SELECT *, CAST(coalesce(published_at, collected_at) AS DATE) AS day, contains(lower(body), 'reing') AS bad FROM fx_documents) AS d GROUP BY stock_code),
+  w AS (SELECT entity_id, list_filter([CASE WHEN a + b > 0 THEN '+ 최근 7일 이벤트 ' || a || '건 (직전 7일 ' || b || '건, 변화 ' || CASE WHEN a > b THEN '+' ELSE '' END || (a - b) || ')' END, CASE WHEN ra + rb > 0 THEN '+ 리포트 ' || ra || '건 (직전 7일 ' || rb || '건)' END, CASE WHEN na + nb > 0 THEN '− 부정 신호 ' || na || '건 (직전 7일 ' || nb || '건)' END], lambda x: x IS NOT NULL) AS l FROM c),
+  n AS (SELECT stock_code AS entity_id, id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS h, doc_type, row_number() OVER (PARTITION BY stock_code ORDER BY published_at DESC, id DESC) AS n FROM fx_documents WHERE published_at IS NOT NULL AND CAST(published_at AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-03' AND trim(regexp_replace(title, '\\s+', ' ', 'g')) <> ''),
+  m AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n) AS k FROM n WHERE n <= 200 AND doc_type <> 'filing'),
+  g AS (SELECT entity_id, max(CASE WHEN regexp_matches(lower(h), 'risk|downgrade|decline|weak|cut|하락|악화') THEN '-' ELSE '+' END || ' ' || h || ' (cards: C1)') FILTER (WHERE k = 1) AS d1, count(*) AS lines FROM m GROUP BY entity_id)
+  SELECT w.entity_id, CASE WHEN d1 IS NULL THEN CAST([] AS VARCHAR[]) ELSE [d1] END AS d1_preview, coalesce(lines, 0) > 1 AS d1_more, CASE WHEN len(l) = 0 THEN ['유의미한 변화 없음'] ELSE l[1:1] END AS d7_preview, len(l) > 1 AS d7_more FROM w LEFT JOIN g USING (entity_id)""")
 def e19(s: SparkSession, d: str) -> DataFrame:
-    day = F.to_date("event_time")
-    weeks = docs(s, d).groupBy(F.col("stock_code").alias("entity_id")).agg(F.count_if(day.between("2023-12-29", "2024-01-04")).alias("this_week"), F.count_if(day.between("2023-12-22", "2023-12-28")).alias("week_before"))
-    changes = e.digest_changes(_chosen(s, d), _chosen(s, d).limit(0), ["entity_id"]).select("entity_id", F.slice("change_lines", 1, 3).alias("preview"))
-    return weeks.join(changes, "entity_id", "left").select("entity_id", "this_week", "week_before")
+    events = docs(s, d).select(F.col("stock_code").alias("entity_id"), "event_time", F.col("doc_type").alias("kind"), e.impact(F.col("body"), [], ["reing"]).alias("impact"))
+    changes = e.digest_changes(_chosen(s, d), _chosen(s, d).limit(0), ["entity_id"])
+    snapshot = e.change_snapshots(events, changes, ["entity_id"], "2024-01-04")
+    return snapshot.select("entity_id", "d1_preview", "d1_more", "d7_preview", "d7_more")
 
 
 @register("e6_item_lines")
