@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by merge replay (operator 7).
 
-A task gathers the different pieces of its documents into one vocabulary and merges all of them together: an index leads from the rank of a pair to the
+A worker gathers the different pieces of its documents that it hasn't met before into one vocabulary and merges all of them together: an index leads from the rank of a pair to the
 places where it stands in any piece, the ranks are worked off from the lowest, each at all its places at once, and only the neighbours of a merged place get new
 index entries. Pieces in which a merge opens a pair of lower rank than its own are merged again one pair at a time, as their order could differ.
 """
@@ -57,14 +57,23 @@ class Ranks:
         return self.text[np.repeat(self.start[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
     def one(self, piece: bytes) -> list[int]:
-        """A single piece, pair by pair."""
+        """A single piece, pair by pair: the lowest rank first, of equal ones the first from the left."""
         parts = [bytes([b]) for b in piece]
-        while len(parts) > 1:
-            rank, i = min((self.rank.get(parts[i] + parts[i + 1], NONE), i) for i in range(len(parts) - 1))
-            if rank == NONE:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.rank[p] for p in parts]
+        after, before = [*range(1, len(parts)), -1], [-1, *range(len(parts) - 1)]
+        heap = [(r, i) for i in range(len(parts) - 1) if (r := self.rank.get(parts[i] + parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if j < 0 or not parts[i] or self.rank.get(parts[i] + parts[j]) != r:
+                continue  # one of the two has been merged since
+            parts[i], parts[j], after[i] = parts[i] + parts[j], b"", after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] >= 0 and (r := self.rank.get(parts[k] + parts[after[k]])) is not None:
+                    heapq.heappush(heap, (r, k))
+        return [self.rank[p] for p in parts if p]
 
     def replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, end to end, and the number of each; pieces aren't empty."""
@@ -138,19 +147,19 @@ _loaded: dict[tuple[str, str], tuple] = {}
 
 
 def _load(path: str, pattern: str):
-    """Ranks and compiled pattern of this Python worker."""
+    """Ranks and compiled pattern of this Python worker, and the words that it has met."""
     if (path, pattern) not in _loaded:
         import regex
 
         with open(path, "rb") as f:
             tokens = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _loaded[path, pattern] = Ranks(tokens), regex.compile(pattern)
+        _loaded[path, pattern] = Ranks(tokens), regex.compile(pattern), words.Known()
     return _loaded[path, pattern]
 
 
 def encode_texts(texts: pa.Array, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts, end to end, and the number of each."""
-    ranks, find = _load(path, pattern)
+    ranks, find, known = _load(path, pattern)
 
     def of(found: list[str], per_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         code = pa.array(found, pa.large_string()).dictionary_encode()
@@ -167,7 +176,7 @@ def encode_texts(texts: pa.Array, path: str, pattern: str) -> tuple[np.ndarray,
         breaks = np.array([k for k, p in enumerate(found) if p == "\n"], np.int64)
         return of([p for p in found if p != "\n"], np.diff(breaks, prepend=-1) - 1)
 
-    return words.by_word(texts, joined, single)
+    return words.by_word(texts, lambda some: known.encoded(some, joined), single)
 
 
 def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:

@@ -46,7 +46,7 @@ def forget() -> None:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # noqa: BLE001  the session may have ended already
-            return
+            continue
 
 
 def narrow_batches(spark: SparkSession, size: int = 4 << 20) -> None:
@@ -82,12 +82,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, max_bytes: int) -> tuple[list[str], list[int]]:
-    """Whole texts and labels of a bounded sample: of rows that satisfy train, at most per_class of each label and max_bytes in all.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, max_bytes: int) -> DataFrame:
+    """Whole texts (text) and labels (y) of a bounded sample: of rows that satisfy train, at most per_class of each label and max_bytes in all.
 
     Rows are taken in the order of a hash of doc_id, so the sample depends on neither partitions nor their order. A doc_id with
-    several labels counts with the largest, one with several texts with the smallest. The bound makes the pick safe to broadcast
-    and the texts safe to bring to the driver; it does not grow with the corpus.
+    several labels counts with the largest, one with several texts with the shortest (of equal ones that with the smallest hash). Sizes are added up before any text is moved, so
+    the bound holds for what is shuffled, too; it does not grow with the corpus.
     """
     from pyspark.sql import Window
 
@@ -95,7 +95,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     known = labels.select("doc_id", y.alias("y")).where(y.isin(0, 1) & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max("y").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     pick = known.where("y = 0").orderBy(*order).limit(per_class).unionByName(known.where("y = 1").orderBy(*order).limit(per_class))
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(pick), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    total = F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = texts.withColumn("total", total).where(F.col("total") <= max_bytes).select("text", "y").toPandas()
-    return rows["text"].tolist(), rows["y"].astype(int).tolist()
+    mine = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(pick), "doc_id")
+    sized = mine.groupBy("doc_id").agg(F.min(F.struct(F.octet_length("text").cast("long").alias("n"), F.xxhash64("text").alias("h"))).alias("s")).select("doc_id", "s.*")
+    total = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = sized.withColumn("total", total).where(F.col("total") <= max_bytes).select(F.col("doc_id").alias("id"), "h")
+    return mine.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("h"))).dropDuplicates(["doc_id"]).select("doc_id", "text", "y")

@@ -132,7 +132,8 @@ def scores(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Da
     Null and empty texts are scored as one chunk of zero bytes. labels with null or other values than 0 and 1 are ignored; with one label or none the
     score is constant. Repeated rows score alike; empty docs give an empty result; other columns are ignored.
     """
-    texts, y = common.labelled_sample(docs, labels, "quality", ~held_out(), how.per_class, how.max_bytes)
+    rows = common.labelled_sample(docs, labels, "quality", ~held_out(), how.per_class, how.max_bytes).orderBy("doc_id").toPandas()
+    texts, y = rows["text"].tolist(), rows["y"].astype(int).tolist()
     model = docs.sparkSession.sparkContext.broadcast(fit(texts, y, how))
 
     common.narrow_batches(docs.sparkSession)

@@ -27,8 +27,6 @@ from pyspark.sql.types import StructType
 
 from . import common, words
 
-#: Words whose ids a Python worker remembers, the first that it meets: some 40 bytes each.
-KNOWN_WORDS = 1_000_000
 HEAD, TAIL, BLOCK_IDS = struct.Struct("<4sHHI"), struct.Struct("<QQQQ"), 8192
 WRITE_SCHEMA, READ_SCHEMA = "doc_id long, ids binary", "doc_id long, start long, n_tokens long, ids binary"
 
@@ -230,23 +228,6 @@ def read_range(path: str, start: int, stop: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
-class Known:
-    """Words and their ids, one after another, in flat arrays."""
-
-    def __init__(self):
-        self.words, self.ids, self.counts = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def places(self, words: pa.Array) -> np.ndarray:
-        """Of each word, its number here or -1."""
-        return np.array(pc.fill_null(pc.index_in(words, self.words), -1), np.int64)
-
-    def add(self, words: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
-        n = min(len(words), KNOWN_WORDS - len(self.words))
-        if n > 0:
-            self.words = pa.concat_arrays([self.words, words[:n]])
-            self.ids, self.counts = np.concatenate([self.ids, ids[: counts[:n].sum()]]), np.concatenate([self.counts, counts[:n]])
-
-
 _loaded: dict[str, tuple] = {}
 
 
@@ -262,7 +243,7 @@ def _encoder(path: str):
         pre = state.get("pre_tokenizer") or {}
         line = t.encode("\n", add_special_tokens=False).ids
         apart = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not state.get("normalizer") and len(line) == 1
-        _loaded[path] = (t, line[0] if line else -1, apart, Known())
+        _loaded[path] = (t, line[0] if line else -1, apart, words.Known())
     return _loaded[path]
 
 
@@ -283,19 +264,9 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         breaks = np.flatnonzero(flat == line)
         return np.delete(flat, breaks), np.diff(breaks, prepend=-1) - 1
 
-    def many(some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        place = known.places(some)
-        new = place < 0
-        fresh = some.filter(pa.array(new))
-        ids, counts = joined(fresh)
-        place[new] = len(known.words) + np.arange(len(counts))
-        found = words.gather(np.concatenate([known.ids, ids]), np.concatenate([known.counts, counts]), place)
-        known.add(fresh, ids, counts)
-        return found
-
     if not apart:
         return plain(pc.fill_null(texts, "").to_pylist())
-    return words.by_word(texts, many, plain)
+    return words.by_word(texts, lambda some: known.encoded(some, joined), plain)
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFrame:

@@ -71,14 +71,13 @@ def fit(texts: list[str], y: list[int], how: Training) -> Model:
     target = np.asarray(y, float)
     if len(set(y)) < 2:
         return Model(np.zeros(n, np.float32), 30.0 if y and y[0] == 1 else -30.0)
-    sets = [np.unique(grams(t)) for t in texts]
     pos, neg = np.zeros(n), np.zeros(n)
-    for k, label in zip(sets, y):
-        (pos if label else neg)[k] += 1
+    for t, label in zip(texts, y):
+        (pos if label else neg)[np.unique(grams(t))] += 1
     p, q = pos + how.smoothing, neg + how.smoothing
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio[(pos + neg < how.least_docs) | (np.abs(ratio) < how.least_ratio)] = 0
-    sets = [k[ratio[k] != 0] for k in sets]
+    sets = [k[ratio[k] != 0] for k in (np.unique(grams(t)) for t in texts)]
     row, col = np.repeat(np.arange(len(sets)), [len(k) for k in sets]), np.concatenate(sets)
     used, col = np.unique(col, return_inverse=True)
     x = ratio[used][col]
@@ -95,6 +94,19 @@ def fit(texts: list[str], y: list[int], how: Training) -> Model:
     return Model(full, float(b))
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, how: Training) -> Model:
+    """The model of the labelled sample among docs; it is fitted in a task, and only its weights come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((i, t, y) for b in batches for i, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y"))))
+        model = fit([t for _, t, _ in rows], [y for *_, y in rows], how)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias])], ["weight", "bias"])
+
+    sample = common.labelled_sample(docs, labels, "toxic", ~held_out(), how.per_class, how.max_bytes)
+    found = sample.repartition(1).mapInArrow(run, "weight binary, bias double").first()
+    return Model(np.frombuffer(found["weight"], np.float32), found["bias"]) if found else fit([], [], how)
+
+
 def held_out():
     """Rows that are never learnt from: crc32(doc_id as text) mod 5 is 0."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -106,11 +118,11 @@ def score(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Dat
     Null and empty texts get the score of a text without n-grams but blanks. labels with null or other values than 0 and 1 are ignored; with
     one label or none the score is constant. Repeated rows score alike. Empty docs give an empty result.
     """
-    texts, y = common.labelled_sample(docs, labels, "toxic", ~held_out(), how.per_class, how.max_bytes)
-    model = docs.sparkSession.sparkContext.broadcast(fit(texts, y, how))
+    model = docs.sparkSession.sparkContext.broadcast(_fitted(docs, labels, how))
     keyed = docs.withColumn("__held_out", held_out())
 
     common.narrow_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:

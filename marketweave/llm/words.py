@@ -24,6 +24,10 @@ Many = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 Single = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
+#: Words whose ids a Python worker remembers, the first that it meets: some 40 bytes each.
+KNOWN_WORDS = 1_000_000
+
+
 def gather(flat: np.ndarray, counts: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of lists laid end to end in flat, those numbered take, end to end, and their lengths."""
     starts, n = (np.cumsum(counts) - counts)[take], counts[take]
@@ -41,6 +45,27 @@ def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
+class Known:
+    """Words that a worker has met and their ids, one after another, in flat arrays."""
+
+    def __init__(self):
+        self.words, self.ids, self.counts = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def encoded(self, some: pa.Array, new: Many) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words; those not met before are encoded by new, and remembered while there is room."""
+        place = np.array(pc.fill_null(pc.index_in(some, self.words), -1), np.int64)
+        missing = place < 0
+        fresh = some.filter(pa.array(missing))
+        ids, counts = new(fresh)
+        place[missing] = len(self.words) + np.arange(len(counts))
+        found = gather(np.concatenate([self.ids, ids.astype(np.uint32)]), np.concatenate([self.counts, counts]), place)
+        n = min(len(fresh), KNOWN_WORDS - len(self.words))
+        if n > 0:
+            self.words = pa.concat_arrays([self.words, fresh[:n]])
+            self.ids, self.counts = np.concatenate([self.ids, ids[: counts[:n].sum()].astype(np.uint32)]), np.concatenate([self.counts, counts[:n]])
+        return found
+
+
 def _encoded(lists: pa.ListArray, many: Many, single: Single) -> tuple[np.ndarray, np.ndarray]:
     flat = lists.flatten().dictionary_encode()
     inner = pc.match_substring_regex(flat.dictionary, INNER).to_numpy(zero_copy_only=False)
