@@ -257,8 +257,11 @@ def kind_label(kind: Column) -> Column:
 
 
 def compact_payload(payload: Column, most: int = 10, item: int = 500, whole: int = 1000) -> Column:
-    """A map of arrays of text with at most most items of item characters each; keys with no items keep an empty array."""
-    return F.transform_values(payload, lambda k, v: F.transform(F.slice(v, 1, most), lambda x: F.left(x, F.lit(item))))
+    """A JSON object as a map of texts: scalars as they are, lists as JSON lists of most items of item characters at most, anything else cut to whole characters. Other JSON is kept whole under "raw", cut likewise; null for no JSON."""
+    short = lambda v: F.to_json(F.transform(F.slice(F.try_variant_get(v, "$", "array<variant>"), 1, most), lambda x: F.left(x.cast("string"), F.lit(item))))
+    one = lambda k, v: F.when(F.schema_of_variant(v).startswith("ARRAY"), short(v)).when(F.schema_of_variant(v).startswith("OBJECT"), F.left(F.to_json(v), F.lit(whole))).otherwise(v.cast("string"))
+    parsed = F.try_parse_json(payload)
+    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), F.transform_values(F.try_variant_get(parsed, "$", "map<string,variant>"), one)).when(parsed.isNotNull(), F.create_map(F.lit("raw"), F.left(payload, F.lit(whole))))
 
 
 def doc_type(raw: Column) -> Column:
@@ -267,5 +270,12 @@ def doc_type(raw: Column) -> Column:
     return F.when(low.isin("report", "research"), "report").when(low.isin("filing", "disclosure"), "filing").otherwise("news")
 
 
+def profile_source_label(source: Column) -> Column:
+    """The display name of a profile's source."""
+    names = {"manual": "수동 입력", "naver_profile": "네이버 금융", "yahoo_profile": "Yahoo Finance", "derived_docs": "뉴스/리포트 기반"}
+    key = F.lower(F.trim(source))
+    return F.coalesce(*[F.when(key == k, v) for k, v in names.items()], F.lit("내부 프로필"))
+
+
 def impact_label(impact: Column) -> Column:
     return F.when(impact == "positive", "긍정").when(impact == "negative", "부정").otherwise("중립")

@@ -186,13 +186,31 @@ def relevance(docs: DataFrame, aliases: DataFrame) -> DataFrame:
     return j.select("id", "code", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(score, 4))).alias("score"), F.col("aliases"))
 
 
-def primary_ticker(scores: DataFrame, gate: float = 0.55) -> DataFrame:
-    """id, ticker, score: the best stock of each document; a lead of less than .08 costs .08; none below gate."""
-    by = Window.partitionBy("id").orderBy(F.col("score").desc(), "code")
-    a = scores.withColumn("r", F.row_number().over(by)).withColumn("next", F.lead("score").over(by)).where("r = 1")
-    tight = F.col("next").isNotNull() & (F.col("score") - F.col("next") < 0.08)
-    final = F.round(F.when(tight, F.col("score") - 0.08).otherwise(F.col("score")), 4)
-    return a.select("id", F.when(final >= gate, F.col("code")).otherwise("UNASSIGNED").alias("ticker"), final.alias("score"))
+def with_unmatched(scores: DataFrame, docs: DataFrame, stocks: DataFrame, base: float = 0.22, first: int = 5) -> DataFrame:
+    """scores (id, code, score) and rows for stocks without an alias in a filing of docs (id, source, hint): these score base too. Only the best few and the lead of the best matter,
+    so the hinted stock and the first stocks by rank (code, rank) stand for all of them."""
+    filings = docs.where(F.col("source").isin("sec_edgar", "opendart"))
+    top = stocks.orderBy(F.coalesce("rank", F.lit(99999)), "code").limit(first).agg(F.collect_list("code").alias("top"))
+    pairs = filings.withColumn("one", F.lit(1)).join(F.broadcast(top.withColumn("one", F.lit(1))), "one")
+    each = pairs.select("id", F.explode(F.array_distinct(F.array_compact(F.concat("top", F.array("hint"))))).alias("code"))
+    known = each.join(stocks.select("code"), "code", "left_semi")
+    return scores.select("id", "code", "score").unionByName(known.join(scores, ["id", "code"], "left_anti").select("id", "code", F.lit(base).alias("score")))
+
+
+def primary_ticker(scores: DataFrame, docs: DataFrame, words: Sequence[str], gate: float = 0.55, raw_gate: float = 8.0) -> DataFrame:
+    """id, ticker, score: the best stock of each document with scores above 0; none below the gates (raw_gate counts tenths).
+
+    docs: id, title, body, hint (a stock or null). A text with one of words is ambiguous and its scores count 0.92; the hinted stock gets 0.02 and wins ties; a lead of less than .08 costs .08.
+    """
+    text = F.lower(F.concat_ws(" ", t.compact(F.col("title")), t.compact(F.col("body"))))
+    context = docs.select("id", text.rlike("|".join(words) if words else "$.").alias("ambiguous"), F.upper("hint").alias("hint"))
+    hinted = F.coalesce(F.upper("code") == F.col("hint"), F.lit(False))
+    s = scores.where("score > 0").join(context, "id").withColumn("hinted", hinted).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") * F.when(F.col("ambiguous"), 0.92).otherwise(1.0) + F.when(F.col("hinted"), 0.02).otherwise(0.0))))
+    by = Window.partitionBy("id").orderBy(F.col("score").desc(), F.col("hinted").desc(), "code")
+    a = s.withColumn("r", F.row_number().over(by)).withColumn("next", F.lead("score").over(by)).where("r = 1")
+    tight = F.col("next").isNotNull() & (F.round(F.col("score") - F.col("next"), 9) < 0.08)
+    final = F.round(F.when(tight, F.greatest(F.lit(0.0), F.col("score") - 0.08)).otherwise(F.col("score")), 4)
+    return a.select("id", F.when(final >= max(gate, raw_gate / 10), F.col("code")).otherwise("UNASSIGNED").alias("ticker"), final.alias("score"))
 
 
 def routed(decided: DataFrame, tickers: DataFrame, most: int = 3) -> DataFrame:

@@ -191,10 +191,27 @@ def r3(s: SparkSession, d: str) -> DataFrame:
     return _relevance(s, d)
 
 
-@register("r4_primary_ticker", f"""WITH {RELEVANCE}, w AS (SELECT id, code, score, lead(score) OVER v AS next, row_number() OVER v AS n FROM e WINDOW v AS (PARTITION BY id ORDER BY score DESC, code)),
-  f AS (SELECT id, code, round(CASE WHEN score - next < 0.08 THEN score - 0.08 ELSE score END, 4) AS score FROM w WHERE n = 1) SELECT id, CASE WHEN score >= 0.55 THEN code ELSE 'UNASSIGNED' END AS ticker, score FROM f""")
+#: A word that makes texts ambiguous here.
+UNSURE = ["tionen"]
+ALL_SCORES = f"""{RELEVANCE}, u AS (SELECT code FROM fx_stocks ORDER BY coalesce(rank, 99999), code LIMIT 5), l AS (SELECT d.id, c.code FROM fx_documents d, (SELECT code FROM fx_stocks) AS c WHERE d.source = 'sec_edgar' AND (c.code = d.stock_code OR c.code IN (SELECT code FROM u))),
+  a AS (SELECT id, code, score FROM e UNION ALL SELECT id, code, CAST(0.22 AS DOUBLE) FROM l WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.id = l.id AND e.code = l.code))"""
+
+
+def _all_scores(s: SparkSession, d: str) -> DataFrame:
+    found = docs(s, d).withColumn("hint", F.col("stock_code"))
+    return resolve.with_unmatched(_relevance(s, d), found, view(s, d, "fx_stocks"))
+
+
+@register("j11_market_scores", f"WITH {ALL_SCORES} SELECT id, code, score FROM a")
+def j11(s: SparkSession, d: str) -> DataFrame:
+    return _all_scores(s, d)
+
+
+@register("r4_primary_ticker", f"""WITH {ALL_SCORES}, b AS (SELECT a.id, a.code, a.code = d.stock_code AS hinted, greatest(0.0, least(1.0, a.score * CASE WHEN contains(lower(d.title || ' ' || d.body), '{UNSURE[0]}') THEN 0.92::DOUBLE ELSE 1.0::DOUBLE END + CASE WHEN a.code = d.stock_code THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END)) AS score FROM a JOIN fx_documents d USING (id) WHERE a.score > 0),
+  w AS (SELECT id, code, score, lead(score) OVER v AS next, row_number() OVER v AS n FROM b WINDOW v AS (PARTITION BY id ORDER BY score DESC, hinted DESC, code)),
+  f AS (SELECT id, code, round(CASE WHEN round(score - next, 9) < 0.08 THEN greatest(0.0, score - 0.08) ELSE score END, 4)::DOUBLE AS score FROM w WHERE n = 1) SELECT id, CASE WHEN score >= 0.8 THEN code ELSE 'UNASSIGNED' END AS ticker, score FROM f""")
 def r4(s: SparkSession, d: str) -> DataFrame:
-    return resolve.primary_ticker(_relevance(s, d))
+    return resolve.primary_ticker(_all_scores(s, d), docs(s, d).withColumn("hint", F.col("stock_code")), UNSURE)
 
 
 @register("r2_alias_rows", """WITH n AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS ticker, c_mktsegment || ' Inc' AS o, c_name AS c FROM customer),

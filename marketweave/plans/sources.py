@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import relational as r
+from ..sources import schemas
 from ..sources import payloads as p
 from ..streaming import jobs
 from .registry import register, view
@@ -28,6 +28,14 @@ def _ordered(order: str, value):
     return F.transform(F.array_sort(F.collect_list(F.struct(order, value.alias("v")))), lambda x: x["v"])
 
 
+@register("s1_typed_scan", "SELECT id, stock_code, source, doc_type, title, body, url, CAST(NULL AS VARCHAR) AS url_hash, published_at, collected_at, relevance_score, CAST(NULL AS VARCHAR) AS matched_alias FROM fx_documents")
+def s1(s: SparkSession, d: str) -> DataFrame:
+    """Documents stored without two of their columns and with another, read by the declared schema."""
+    path = scratch(s, "documents")
+    view(s, d, "fx_documents").write.parquet(path)
+    return schemas.scan(s, path, "documents")
+
+
 @register("s2_price_payload", "SELECT stock_code, trade_date, round(close, 9) AS close, CAST(volume AS DOUBLE) AS volume FROM fx_price_bars WHERE dayofyear(trade_date) % 13 <> 0")
 def s2(s: SparkSession, d: str) -> DataFrame:
     bars = view(s, d, "fx_price_bars").withColumn("at", F.unix_timestamp(F.col("trade_date").cast("timestamp")) + 3600)
@@ -113,7 +121,7 @@ def _raw(docs: DataFrame) -> DataFrame:
     n = F.col("doc_id")
     link = F.concat(F.lit("https://News.example.com//a/"), F.floor(n / 3).cast("string"), F.lit("?utm_source=x#top"))
     when = (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=n.cast("int")))
-    return docs.select(n.alias("item_id"), F.left("text", F.lit(60)).alias("title"), F.substring("text", 61, 200).alias("snippet"), link.alias("link"), F.when(n % 2 == 0, when).alias("published"), when.alias("updated"))
+    return docs.select(n.alias("item_id"), F.left("text", F.lit(60)).alias("title"), F.substring("text", F.lit(61), F.length("text")).alias("snippet"), link.alias("link"), F.when(n % 2 == 0, when).alias("published"), when.alias("updated"))
 
 
 @register("t1_feed_items", "SELECT doc_id AS item_id, sha256('https://news.example.com/a/' || (doc_id // 3)) AS url_hash, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS INT)) AS published_at FROM documents WHERE trim(regexp_replace(left(text, 60), '\\s+', ' ', 'g')) <> ''")
@@ -147,8 +155,8 @@ def t2(s: SparkSession, d: str) -> DataFrame:
 @register("t4_mapped_batches", "SELECT doc_id AS item_id, CASE WHEN doc_id % 2 = 0 THEN 'mapped' ELSE 'skipped' END AS status FROM documents WHERE trim(regexp_replace(left(text, 60), '\\s+', ' ', 'g')) <> ''")
 def t4(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "t4")
-    work = jobs.guarded(lambda b: b.withColumn("status", F.when(F.col("item_id") % 2 == 0, "mapped").otherwise("skipped")), ["item_id"])
-    jobs.per_batch(_stream(s, d), path, ["item_id"], work, f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    work = lambda b: b.withColumn("status", F.when(F.col("item_id") % 2 == 0, "mapped").otherwise("skipped"))
+    jobs.per_batch(_stream(s, d), path, ["item_id"], work, f"{path}-state", ["item_id"]).trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(path).select("item_id", "status")
 
 
@@ -158,12 +166,11 @@ def t5(s: SparkSession, d: str) -> DataFrame:
     stream = _files(s, d, "lineitem").join(view(s, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     rows = stream.select(F.col("p_type").alias("stock_code"), F.to_date("l_shipdate").alias("trade_date"), F.col("l_extendedprice").alias("close"), F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("version"))
     jobs.upsert_bars(rows, path, f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    last = r.top_per_key(s.read.parquet(path), ["stock_code", "trade_date"], [F.col("state").desc()])
-    return last.select("stock_code", "trade_date", "close")
+    return jobs.bars(s, path).select("stock_code", "trade_date", "close")
 
 
 @register("t3_marked_duplicates", """SELECT doc_id AS item_id, lag(doc_id) OVER w AS duplicate_of, CASE WHEN lag(doc_id) OVER w IS NULL THEN 'new' ELSE 'skipped' END AS status
-  FROM (SELECT doc_id, sha256(trim(regexp_replace(left(text, 60), '\\s+', ' ', 'g')) || chr(10) || trim(regexp_replace(substr(text, 61, 200), '\\s+', ' ', 'g'))) AS h FROM documents WHERE trim(regexp_replace(left(text, 60), '\\s+', ' ', 'g')) <> '') AS t WINDOW w AS (PARTITION BY h ORDER BY doc_id)""")
+  FROM (SELECT doc_id, sha256(trim(regexp_replace(left(text, 60), '\\s+', ' ', 'g')) || chr(10) || trim(regexp_replace(substr(text, 61), '\\s+', ' ', 'g'))) AS h FROM documents WHERE trim(regexp_replace(left(text, 60), '\\s+', ' ', 'g')) <> '') AS t WINDOW w AS (PARTITION BY h ORDER BY doc_id)""")
 def t3(s: SparkSession, d: str) -> DataFrame:
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return _finished(s, jobs.mark_duplicates(_stream(s, d)), "t3").select("item_id", "duplicate_of", "status")

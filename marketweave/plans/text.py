@@ -125,14 +125,19 @@ def f24(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("id", t.body_text(F.col("title"), F.col("lang"), F.col("body")).alias("body"))
 
 
-@register("f10_fact_preservation")
+FACT_TOKENS = r"list_transform(regexp_extract_all({0}, '{1}'), lambda x: upper(regexp_replace(x, '[\s,]', '', 'g')))"
+
+
+@register("f10_fact_preservation", f"""WITH k AS (SELECT doc_id, {FACT_TOKENS.format('text', t.FACT_TOKEN)} AS v, upper(regexp_replace(regexp_replace(text, chr(10) || '[\\s\\S]*$', ''), '[\\s,]', '', 'g')) AS line FROM documents)
+  SELECT doc_id, CAST(len(v) AS INT) AS tokens, CASE WHEN len(v) = 0 THEN 1.0 ELSE round(len(list_filter(v, lambda x: contains(line, x))) / len(v), 6) END AS kept FROM k""")
 def f10(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "documents").select("doc_id", F.size(t.fact_tokens(F.col("text"))).alias("tokens"), F.round(t.preservation(F.col("text"), F.substring("text", 1, 500)), 6).alias("kept"))
+    """How much of a document its first line preserves."""
+    return view(s, d, "documents").select("doc_id", F.size(t.fact_tokens(F.col("text"))).alias("tokens"), F.round(t.preservation(F.col("text"), F.substring_index("text", "\n", 1)), 6).alias("kept"))
 
 
 @register("f23_packed_lines")
 def f23(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "documents").select("doc_id", t.pack_words(F.substring("text", 1, 900)).alias("lines"))
+    return view(s, d, "documents").select("doc_id", t.pack_words(F.col("text")).alias("lines"))
 
 
 @register("f16_sections", "SELECT id, CASE id % 3 WHEN 0 THEN 'risk' WHEN 1 THEN 'final' END AS section, CASE WHEN id % 3 = 2 THEN 'other: ' || lang ELSE lang END AS body FROM fx_documents")
@@ -152,11 +157,27 @@ def f26(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("id", t.bracket_label(F.concat(F.lit(" ["), "lang", F.lit("] "), "title")).alias("label"), t.kind_label(F.col("doc_type")).alias("kind"))
 
 
-@register("f13_one_liners")
+LIKE = "(length(a) > 0 AND length(b) > 0 AND (a = b OR contains(a, b) OR contains(b, a) OR len(list_intersect(u, v)) / len(u) >= 0.7))"
+
+
+@register("f13_one_liners", f"""WITH s AS (SELECT id, lang, {C.format('title')} AS title, list_filter({SENTENCES.format(C.format('body'))}, lambda x: x <> '') AS l FROM fx_documents),
+  e AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS n, title FROM s), k AS (SELECT id, n, line, lower({C.format('line')}) AS a, lower(title) AS b FROM e), w AS (SELECT *, list_distinct(string_split(a, ' ')) AS u, list_distinct(string_split(b, ' ')) AS v FROM k),
+  f AS (SELECT id, arg_min({C.format('line')}, n) AS line FROM w WHERE NOT {LIKE} GROUP BY id)
+  SELECT s.id, left(coalesce(f.line, nullif(s.lang, ''), s.title), 120) AS line FROM s LEFT JOIN f USING (id)""")
 def f13(s: SparkSession, d: str) -> DataFrame:
-    return docs(s, d).select("id", t.one_liner(F.lit(None).cast("string"), t.sentences(F.substring("body", 1, 1000)), F.col("title"), F.col("lang")).alias("line"))
+    return docs(s, d).select("id", t.one_liner(F.lit(None).cast("string"), t.sentences(F.col("body")), F.col("title"), F.col("lang")).alias("line"))
+
+
+@register("f27_labels", """SELECT id, CASE doc_type WHEN 'report' THEN '리포트' WHEN 'filing' THEN '공시' ELSE '뉴스' END AS kind, CASE WHEN contains(lower(body), 'erhe') THEN '긍정' WHEN contains(lower(body), 'reing') THEN '부정' ELSE '중립' END AS impact,
+  CASE lang WHEN 'en' THEN 'Yahoo Finance' WHEN 'de' THEN '수동 입력' WHEN 'fr' THEN '뉴스/리포트 기반' ELSE '내부 프로필' END AS profile FROM fx_documents""")
+def f27(s: SparkSession, d: str) -> DataFrame:
+    source = F.when(F.col("lang") == "en", " Yahoo_Profile").when(F.col("lang") == "de", "manual").when(F.col("lang") == "fr", "derived_docs").otherwise(F.col("lang"))
+    impact = F.when(F.contains(F.lower("body"), F.lit("erhe")), "positive").when(F.contains(F.lower("body"), F.lit("reing")), "negative")
+    return docs(s, d).select("id", t.kind_label(F.col("doc_type")).alias("kind"), t.impact_label(impact).alias("impact"), t.profile_source_label(source).alias("profile"))
 
 
-@register("f28_payloads")
+@register("f28_payloads", """SELECT id, title, CAST(id AS VARCHAR) AS number, list_transform(string_split(body, chr(10))[1:10], lambda x: left(x, 500)) AS lines, '{"lang":"' || lang || '","source":"' || source || '"}' AS tags FROM fx_documents""")
 def f28(s: SparkSession, d: str) -> DataFrame:
-    return docs(s, d).select("id", t.compact_payload(F.create_map(F.lit("lines"), F.split("body", "\n"), F.lit("title"), F.array("title"))).alias("payload"))
+    payload = F.to_json(F.struct("title", F.col("id").alias("number"), F.split("body", "\n").alias("lines"), F.struct("lang", "source").alias("tags")))
+    kept = docs(s, d).select("id", t.compact_payload(payload).alias("p"))
+    return kept.select("id", F.col("p.title").alias("title"), F.col("p.number").alias("number"), F.from_json("p.lines", "array<string>").alias("lines"), F.col("p.tags").alias("tags"))

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import text as t
-from ..operators import sinks
 
 
 def feed_items(raw: DataFrame) -> DataFrame:
@@ -26,10 +25,13 @@ def first_per_url(items: DataFrame, lateness: str = "7 days") -> DataFrame:
 
 
 class _LastItem(StatefulProcessor):
-    """Per content hash, the item seen last."""
+    """Per content hash, the item seen last, as long as it is remembered."""
+
+    def __init__(self, remembered_ms: int):
+        self.remembered_ms = remembered_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "item_id long")
+        self.last = handle.getValueState("last", "item_id long", self.remembered_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         found = pd.concat(list(rows)).sort_values(["published_at", "item_id"])
@@ -43,42 +45,60 @@ class _LastItem(StatefulProcessor):
         pass
 
 
-def mark_duplicates(items: DataFrame) -> DataFrame:
-    """item_id, content_hash, duplicate_of (the item of the same content that came before), status."""
+def mark_duplicates(items: DataFrame, remembered_days: float = 30) -> DataFrame:
+    """item_id, content_hash, duplicate_of (the item of the same content that came before), status. A content not met for remembered_days is forgotten, so state is bounded."""
     schema = "item_id long, content_hash string, duplicate_of long, status string"
-    return items.groupBy("content_hash").transformWithStateInPandas(_LastItem(), schema, "Append", "None")
+    return items.groupBy("content_hash").transformWithStateInPandas(_LastItem(int(remembered_days * 86_400_000)), schema, "Append", "ProcessingTime")
+
 
+def per_batch(stream: DataFrame, target: str, keys: list[str], work: Callable[[DataFrame], DataFrame], checkpoint: str, keep: list[str] | None = None) -> DataStreamWriter:
+    """Applies work to each micro-batch and writes the result under target by batch number. A batch that is run again replaces its own output, so a restart repeats nothing.
 
-def per_batch(stream: DataFrame, target: str, keys: list[str], work: Callable[[DataFrame], DataFrame], checkpoint: str) -> DataStreamWriter:
-    """Applies work to each micro-batch and appends it under target by batch number. A batch that is run again replaces its own output, so a restart repeats nothing."""
+    With keep, a batch whose work or writing fails doesn't stop the stream: its rows are written with these columns and status error, for a later attempt. Work is evaluated once.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        work(batch).dropDuplicates(keys).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        to = f"{target}/batch={number}"
+        try:
+            done = work(batch)
+            (done if keep is None else done.select(*keep, "status")).dropDuplicates(keys).write.mode("overwrite").parquet(to)
+        except Exception:
+            if keep is None:
+                raise
+            batch.select(*keep).withColumn("status", F.lit("error")).dropDuplicates(keys).write.mode("overwrite").parquet(to)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
-def guarded(work: Callable[[DataFrame], DataFrame], keep: list[str]) -> Callable[[DataFrame], DataFrame]:
-    """work whose failure marks all rows of the batch with status error instead of stopping the stream; keep are the columns that stay."""
+BAR = ["stock_code", "trade_date"]
 
-    def run(batch: DataFrame) -> DataFrame:
-        try:
-            done = work(batch).select(*keep, "status")
-            done.count()
-            return done
-        except Exception:  # noqa: BLE001  the failure becomes a status, as the rows' owner retries them
-            return batch.select(*keep).withColumn("status", F.lit("error"))
 
-    return run
+def _numbers(spark: SparkSession, target: str, kind: str) -> list[int]:
+    """Numbers of the written folders <kind>=<number> under target."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/{kind}=*/_SUCCESS")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in found)
+
+
+def bars(spark: SparkSession, target: str) -> DataFrame:
+    """The table that upsert_bars keeps under target: the last whole state and the corrections written since, of each bar the latest version."""
+    states = _numbers(spark, target, "state")
+    paths = [f"{target}/state={states[-1]}"] if states else []
+    paths += [f"{target}/delta={n}" for n in _numbers(spark, target, "delta") if not states or n > states[-1]]
+    found = spark.read.parquet(*paths)
+    return found.groupBy(*BAR).agg(F.max_by(F.struct(*found.columns), "version").alias("r")).select("r.*")
+
 
+def upsert_bars(stream: DataFrame, target: str, checkpoint: str, compact_every: int = 32) -> DataStreamWriter:
+    """Late corrections (stock_code, trade_date, close, version) overwrite earlier bars. A batch writes its own latest versions only; every compact_every batches the whole state is written.
 
-def upsert_bars(stream: DataFrame, target: str, checkpoint: str) -> DataStreamWriter:
-    """Late corrections (stock_code, trade_date, close, version) overwrite earlier bars: each batch writes the next state of the table under target."""
+    A batch that is run again replaces its own folders. bars() reads the table.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        path = lambda n: f"{target}/state={n}"
-        old = spark.read.parquet(path(number - 1)) if number else batch.limit(0)
-        sinks.upsert(old, batch, ["stock_code", "trade_date"], "version").write.mode("overwrite").parquet(path(number))
+        latest = batch.groupBy(*BAR).agg(F.max_by(F.struct(*batch.columns), "version").alias("r")).select("r.*")
+        latest.write.mode("overwrite").parquet(f"{target}/delta={number}")
+        if (number + 1) % compact_every == 0:
+            bars(batch.sparkSession, target).write.mode("overwrite").parquet(f"{target}/state={number}")
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
