@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -419,6 +420,115 @@ def test_surrogates_keep_identity_format_and_distinctness(spark):
     assert pii.replace(docs(spark, []), "key").count() == 0
 
 
+def replaced(spark, texts):
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["text"] for r in pii.replace(docs(spark, rows), "key").collect()}
+    return [got[i] for i, _ in rows]
+
+
+def test_secrets_of_any_length_and_make(spark):
+    rng = random.Random(3)
+    letters = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(16))
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(1000)) + "x"
+    hexadecimal = "".join(rng.choice("0123456789abcdef") for _ in range(126)) + "a1"
+    pem = "".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(64))
+    secrets = ["AKIA" + letters, "ghp_" + "a" * 36, "gho_" + "b" * 50, "github_pat_" + "c" * 30, "sk-proj-" + long[:60] + "q", hexadecimal]
+    quoted = ['password = "********"', "secret: '------'", f'api_key="{long[:150]}"', f'token = "{long}"', 'passwd="......"', 'token="......"']
+    texts = [f"before {x} after" for x in secrets] + quoted + [f"-----BEGIN RSA PRIVATE KEY-----\n{pem}\n{pem}\n-----END RSA PRIVATE KEY-----"] + [f"word {k} {x}" for k, x in enumerate(secrets)]
+    got = replaced(spark, texts)
+    for x, old, new in zip(secrets, texts, got):
+        assert x not in new and re.fullmatch(r"before \S+ after", new) and len(new) >= len(old)
+    for old, new in zip(quoted, got[len(secrets) :]):
+        head = re.match(r".*?[\"']", old)[0]
+        assert new != old and new.startswith(head) and new[-1] == old[-1] and len(new) >= len(old)
+    key = got[len(secrets) + len(quoted)]
+    assert pem not in key and re.fullmatch(r"-----BEGIN RSA PRIVATE KEY-----\n.{64}\n.{64}\n-----END RSA PRIVATE KEY-----", key)
+    assert [g.split()[1] for g in got[: len(secrets)]] == [g.split()[2] for g in got[-len(secrets) :]]  # the same surrogate everywhere
+    assert len({g.split('"')[1] for g in got if g.startswith(("passwd", "token=")) and "......" not in g}) == 1
+
+
+def test_numbers_addresses_and_titles(spark):
+    texts = ["call 555.123.4567 or 06131/123456 or 0171 1234567 or 010-1234-5678 now", "host 2001:db8:85a3::8a2e:370:7334 and fe80::1, time 12:34:56, std::vector a::b", "Dr. Anna Lee and Prof. Bruno Lee met Mr. 김철수 and Mrs. 김철수", "v 1.2.3.4567 and 3.141592653 stay, 12/2024 and 2024/123456 too"]
+    a, b, c, d = replaced(spark, texts)
+    assert re.fullmatch(r"call \d{3}\.\d{3}\.\d{4} or \d{5}/\d{6} or \d{4} \d{7} or \d{3}-\d{4}-\d{4} now", a) and not any(x in a for x in ("555.123.4567", "06131/123456", "0171 1234567", "010-1234-5678"))
+    assert "2001:db8:85a3::8a2e:370:7334" not in b and "fe80::1," not in b and b.endswith("time 12:34:56, std::vector a::b")
+    names = re.fullmatch(r"Dr\. (\w+) (\w+) and Prof\. (\w+) (\w+) met Mr\. ([가-힣]{3}) and Mrs\. ([가-힣]{3})", c).groups()
+    assert names[1] == names[3] != "Lee" and names[4] == names[5] != "김철수" and {names[0], names[2]} <= set(pii.GIVEN["both", "latin"])
+    assert d == texts[3]
+
+
+JAVA_ONLY = [("(?<sep>", "(?P<sep>"), (r"\k<sep>", "(?P=sep)"), (r"\p{IsHangul}", r"\p{Hangul}")]
+
+
+def kind_of(prefix, mention):
+    digits = re.sub(r"\D", "", mention)
+    if prefix:
+        return "secret" if prefix[-1] in "\"'-" else "name"
+    if re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\W\d_]+", mention):
+        return "email"
+    if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", mention, re.ASCII):
+        return "ip"
+    if ":" in mention and re.fullmatch("[0-9A-Fa-f:]+", mention):
+        return "ipv6"
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", mention, re.ASCII):
+        return "ssn"
+    if re.fullmatch(r"\d[\d -]*", mention, re.ASCII) and 13 <= len(digits) <= 19:
+        return "card"
+    if re.fullmatch(r"[+(]?\d[\d ()./-]*", mention, re.ASCII) and not mention.isdigit():
+        return "phone"
+    return "iban" if re.fullmatch(r"[A-Z]{2}\d{2}[ 0-9A-Z]{11,36}", mention) and 15 <= len(mention.replace(" ", "")) <= 34 else "secret"
+
+
+def spelled(kind, word, new):
+    if kind in ("card", "ssn", "phone", "iban"):
+        left = iter(new)
+        keep = (lambda c: c == " ") if kind == "iban" else (lambda c: not c.isdigit())
+        return "".join(c if keep(c) else next(left) for c in word) + "".join(left)
+    if kind == "secret":
+        return "".join((c or "").upper() if m and m.isupper() else c or "" for m, c in itertools.zip_longest(word, new))
+    if word == word.upper() != word.lower():
+        return new.upper()
+    return new[0].upper() + new[1:].lower() if kind == "name" and word[0].isupper() else new
+
+
+def test_replacement_equals_another_implementation(spark):
+    """Entities found by another pattern engine and put in from the dictionary, whose surrogates differ from one another and from all entities."""
+    import regex
+
+    pattern, head = pii.ANY, pii.PREFIX
+    for a, b in JAVA_ONLY:
+        pattern, head = pattern.replace(a, b), head.replace(a, b)
+    find, prefix, women, both = regex.compile(pattern), regex.compile(head), regex.compile(f"(?:{pii.WOMEN}) "), regex.compile(f"(?:{pii.BOTH}) ")
+    path = "/root/testdata/sf0.01/documents.parquet"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(path).collect()] if os.path.exists(path) else []
+    rows += [(10_000, "word " * 20_000 + "a@b.org"), (10_001, "x" * 100_000 + " +1 555 010 0007"), (10_002, "Mr. John Smith, Dr. Smith"), (10_002, "Mr. John Smith, Dr. Smith"), (10_003, None), (None, "")]
+    table = docs(spark, rows).withColumn("n_entities", F.lit("old")).withColumn("entity_kinds", F.lit(1)).withColumn("kind", F.lit("k")).withColumn("surrogate", F.lit("s"))
+    book = {tuple(r)[:4]: r["surrogate"] for r in pii.dictionary(pii._words(pii.mentions(table)), "key").collect()}
+    for kind in {k[0] for k in book}:
+        real, new = {k[1] for k in book if k[0] == kind}, [v for k, v in book.items() if k[0] == kind]
+        assert len(set(new)) == len(new) and not real & set(new)
+    canonical = lambda k, w: re.sub(r"\D", "", w) if k in ("card", "ssn", "phone") else w.replace(" ", "") if k == "iban" else w.lower()
+    expected = []
+    for i, text in rows:
+        kinds = set()
+
+        def new(m):
+            before = (prefix.match(m[0]) or [""])[0]
+            mention, kind = m[0][len(before) :], kind_of(before, m[0][len(before) :])
+            kinds.add(kind)
+            if kind != "name":
+                return before + spelled(kind, mention, book[kind, canonical(kind, mention), "", ""])
+            gender = "female" if women.fullmatch(before) else "both" if both.fullmatch(before) else "male"
+            words = regex.findall(r"\p{L}+|\P{L}+", mention)
+            last = max(k for k, w in enumerate(words) if w[0].isalpha())
+            return before + "".join(spelled(kind, w, book[kind, w.lower(), "family" if k == last else "given", "" if k == last else gender]) if w[0].isalpha() else w for k, w in enumerate(words))
+
+        done = None if text is None else find.sub(new, text)
+        expected.append((i, done, len(find.findall(text or "")), sorted(kinds)))
+    got = [(r["doc_id"], r["text"], r["n_entities"], r["entity_kinds"]) for r in pii.replace(table, "key").collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
 def test_surrogates_are_drawn_again_until_they_differ(spark):
     """Two-digit domains do not exist, so short secrets make collisions likely."""
     words = spark.createDataFrame([("name", f"n{i}", "given", "male", "latin") for i in range(60)], "kind string, entity string, part string, gender string, script string")
