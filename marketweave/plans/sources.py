@@ -173,4 +173,4 @@ def t5(s: SparkSession, d: str) -> DataFrame:
   FROM (SELECT doc_id, sha256(trim(regexp_replace(left(text, 60), '\\s+', ' ', 'g')) || chr(10) || trim(regexp_replace(substr(text, 61), '\\s+', ' ', 'g'))) AS h FROM documents WHERE trim(regexp_replace(left(text, 60), '\\s+', ' ', 'g')) <> '') AS t WINDOW w AS (PARTITION BY h ORDER BY doc_id)""")
 def t3(s: SparkSession, d: str) -> DataFrame:
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return _finished(s, jobs.mark_duplicates(_stream(s, d)), "t3").select("item_id", "duplicate_of", "status")
+    return _finished(s, jobs.mark_duplicates(_stream(s, d), 3650, "3650 days"), "t3").select("item_id", "duplicate_of", "status")

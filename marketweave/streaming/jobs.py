@@ -25,30 +25,41 @@ def first_per_url(items: DataFrame, lateness: str = "7 days") -> DataFrame:
 
 
 class _LastItem(StatefulProcessor):
-    """Per content hash, the item seen last, as long as it is remembered."""
+    """Per content hash, the item seen last; forgotten when the watermark is remembered_ms beyond it."""
 
     def __init__(self, remembered_ms: int):
         self.remembered_ms = remembered_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "item_id long", self.remembered_ms)
+        self.handle, self.last = handle, handle.getValueState("last", "item_id long, until_ms long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         found = pd.concat(list(rows)).sort_values(["published_at", "item_id"])
-        before = self.last.get()[0] if self.last.exists() else None
+        before, until = self.last.get() if self.last.exists() else (None, 0)
         ids = [int(x) for x in found["item_id"]]
         earlier = [before, *ids[:-1]]
-        self.last.update((ids[-1],))
+        until = max(until, int(found["published_at"].max().timestamp() * 1000) + self.remembered_ms)
+        self.last.update((ids[-1], until))
+        self.handle.registerTimer(until)
         yield pd.DataFrame({"item_id": ids, "content_hash": key[0], "duplicate_of": pd.array(earlier, dtype="Int64"), "status": ["new" if e is None else "skipped" for e in earlier]})
 
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self.last.get()[1] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
 
-def mark_duplicates(items: DataFrame, remembered_days: float = 30) -> DataFrame:
-    """item_id, content_hash, duplicate_of (the item of the same content that came before), status. A content not met for remembered_days is forgotten, so state is bounded."""
+def mark_duplicates(items: DataFrame, remembered_days: float = 30, lateness: str = "7 days") -> DataFrame:
+    """item_id, content_hash, duplicate_of (the item of the same content that came before), status.
+
+    A content that did not return within remembered_days (by published_at, behind a watermark of lateness) is forgotten, so state is bounded; a table never forgets.
+    """
     schema = "item_id long, content_hash string, duplicate_of long, status string"
-    return items.groupBy("content_hash").transformWithStateInPandas(_LastItem(int(remembered_days * 86_400_000)), schema, "Append", "ProcessingTime")
+    grouped = items.withWatermark("published_at", lateness).groupBy("content_hash")
+    return grouped.transformWithStateInPandas(_LastItem(int(remembered_days * 86_400_000)), schema, "Append", "EventTime")
 
 
 def per_batch(stream: DataFrame, target: str, keys: list[str], work: Callable[[DataFrame], DataFrame], checkpoint: str, keep: list[str] | None = None) -> DataStreamWriter:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from marketweave.functions import text as t
 from marketweave.operators import dedup, evidence, resolve, sinks
 from marketweave.operators import relational as r
-from marketweave.sources import payloads
+from marketweave.sources import payloads, schemas
+from marketweave.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 4, 12)
 
@@ -100,9 +101,72 @@ def test_fuzzy_titles_find_near_spellings(spark):
     assert [(x["id"], x["alias_l"]) for x in resolve.fuzzy_titles(texts, aliases).collect()] == [(1, "microsoft")]
 
 
-def test_curation_joins_stories_and_respects_the_limit(spark):
-    rows = spark.createDataFrame([("s", 1, 0.9, 1, "http://x/1", "alpha beta gamma delta"), ("s", 2, 0.8, 1, "http://x/2", "alpha beta gamma delta extra"), ("s", 3, 0.7, 1, "http://x/1", "other title words"), ("t", 4, 0.6, 1, "http://x/9", "alpha beta gamma delta"), ("s", 5, 0.5, 1, "http://x/5", "fifth story here now")], "stock string, id long, rank_score double, event_s long, url string, title string")
-    assert sorted(tuple(x) for x in dedup.curated(rows, "stock", 2).collect()) == [("s", 1, 0.9, 2), ("t", 4, 0.6, 0)]
+FEED = "market string, stock string, id long, rank_score double, hour int, url string, title string, line string, source string, doc_type string, relevance_score double, matched_alias string"
+
+
+def feed(spark, rows):
+    """Rows (stock, id, rank_score, hours after T0, url, title, line[, relevance]) of one feed, displayable unless relevance says otherwise."""
+    full = [("m", r[0], r[1], r[2], r[3], r[4], r[5], r[6], "naver_news", "report", r[7] if len(r) > 7 else 0.9, None) for r in rows]
+    return spark.createDataFrame(full, FEED).withColumn("event_time", F.lit(T0) + F.make_dt_interval(hours=F.col("hour")))
+
+
+def shown(spark, rows, limit):
+    return {x["id"]: (x["place"], x["similar_count"]) for x in dedup.curated(feed(spark, rows), "market", "stock", limit).collect()}
+
+
+def test_curation_counts_repeats_at_their_representative(spark):
+    story = "alpha beta gamma delta"
+    rows = [
+        ("s", 1, 0.95, 0, "http://x/1", story, "one line about nothing else at all"),
+        ("s", 2, 0.90, 0, "http://x/2", story + " extra", "second summary with quite other words"),  # title within a title
+        ("s", 3, 0.85, 0, "http://x/1#top", "unlike any other title here", "third summary differs from all of them"),  # same address
+        ("t", 4, 0.80, 0, "http://x/1", story, "another stock's story stays its own"),
+        ("s", 5, 0.75, 0, "http://x/5", "fifth headline stands alone", "merger of north and south works approved today"),
+        ("s", 6, 0.70, 100, "http://x/6", "sixth headline is different", "merger approved for north and south plants of works"),  # one-liner, within a week
+        ("s", 7, 0.65, 24 * 30, "http://x/7", "seventh title has own words", "north wind and south wind merger story told elsewhere again"),
+        ("s", 8, 0.60, 0, "http://x/8", "short", "hidden since its title is too short"),
+        ("s", 9, 0.55, 0, "http://x/9", "ninth title with little relevance", "hidden for its relevance", 0.01),
+        ("s", 10, 0.50, 0, "http://x/2", "tenth has the address of the second", "its address was never shown"),
+    ]
+    assert shown(spark, rows, 10) == {1: (1, 2), 4: (2, 0), 5: (3, 1), 7: (4, 0), 10: (5, 0)}
+    assert shown(spark, rows, 2) == {1: (1, 2), 4: (2, 0)}
+    assert shown(spark, [("s", i, 0.5 - i / 100, 0, f"http://y/{i}", story, "") for i in range(3)], 5) == {0: (1, 2)}
+    assert shown(spark, rows[:0], 5) == {}
+
+
+def test_related_documents_leave_out_the_item_and_repeats(spark):
+    titles = ["alpha beta gamma delta", "alpha beta gamma delta more", "third story of the day", "fourth story here now", "fifth thing entirely"]
+    rows = [("s", i, T0 - dt.timedelta(hours=i), f"http://x/{i if i != 3 else 2}", x) for i, x in enumerate(titles)] + [("t", 9, T0, "http://x/9", "other stock")]
+    docs = spark.createDataFrame(rows, "stock string, id long, event_time timestamp, url string, title string")
+    got = {x["id"]: x["related"] for x in dedup.related(docs, docs, "stock", 3).collect()}
+    assert got == {0: [1, 2, 4], 1: [0, 2, 4], 2: [0, 3, 4], 3: [0, 2, 4], 4: [0, 2], 9: []}
+    old = docs.unionByName(spark.range(20).select(F.lit("s").alias("stock"), (F.col("id") + 100).alias("id"), (F.lit(T0) + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("event_time"), F.lit("http://same").alias("url"), F.lit("equal headline again").alias("title")))
+    assert {x["id"]: x["related"] for x in dedup.related(old, docs.where("id = 4"), "stock", 3).collect()} == {4: [119]}  # of the twelve newest
+
+
+def test_newest_rows_of_a_feed_come_first(spark):
+    docs = spark.range(50).select((F.col("id") % 2).alias("market"), "id", (F.lit(T0) + F.make_dt_interval(hours=(F.col("id") / 4).cast("int"))).alias("event_time"))
+    assert sorted(x["id"] for x in dedup.newest(docs, "market", 2).collect()) == list(range(34, 50))
+
+
+def test_ranking_equals_its_formula(spark):
+    titles = ["alpha beta gamma", "alpha beta delta", "alpha beta gamma delta", "lonely words here", "gamma delta epsilon"]
+    docs = spark.createDataFrame([("s", i, x, "naver_news" if i % 2 else "sec_edgar", "report" if i == 2 else "news", i / 4, T0 + dt.timedelta(hours=i)) for i, x in enumerate(titles)], "stock string, id long, title string, source string, doc_type string, relevance_score double, event_time timestamp")
+    words = [set(x.split()) for x in titles]
+    weight = {(i, j): len(words[i] & words[j]) / 3 if min(len(words[i]), len(words[j])) == 3 else 0 for i in range(5) for j in range(5) if i != j and len(words[i] & words[j]) >= 2}
+    degree, v = [sum(w for (i, _), w in weight.items() if i == k) for k in range(5)], [0.2] * 5
+    for _ in range(30):
+        new = [sum(w * v[j] for (i, j), w in weight.items() if i == k) for k in range(5)]
+        norm = sum(x * x for x in new) ** 0.5
+        new = [x / norm for x in new]
+        done, v = sum(abs(x - y) for x, y in zip(new, v)) < 1e-6, new
+        if done:
+            break
+    scale = lambda xs: [(x - min(xs)) / (max(xs) - min(xs)) for x in xs]
+    prior = [0.9 if i == 2 else 0.55 if i % 2 else 0.8 for i in range(5)]
+    expected = [round(0.45 * i / 4 + 0.35 * (0.65 * scale(v)[i] + 0.35 * scale(degree)[i]) + 0.15 * i / 4 + 0.05 * prior[i], 6) for i in range(5)]
+    got = {x["id"]: x["rank_score"] for x in dedup.ranked(docs, "stock").collect()}
+    assert all(abs(got[i] - expected[i]) < 2e-6 for i in range(5))
 
 
 def test_centrality_of_a_star(spark):
@@ -122,6 +186,64 @@ def test_facts_prefer_numbers_and_are_filled_up(spark):
     assert value(spark, evidence.facts(F.lit(None).cast("string"), F.lit(""))) == []
 
 
+def test_fact_tokens_and_how_many_a_summary_keeps(spark):
+    text = "On 2024-03-05 EPS rose 12.5% to 3,400 in Q2"
+    assert value(spark, t.fact_tokens(F.lit(text))) == ["2024-03-05", "EPS", "12.5%", "3,400"]
+    assert value(spark, t.preservation(F.lit(text), F.lit("EPS at 3400"))) == 0.5 and value(spark, t.preservation(F.lit("none here"), F.lit(""))) == 1.0
+
+
+def test_words_are_packed_into_lines(spark):
+    text = " ".join(f"word{i}" for i in range(200))
+    lines = value(spark, t.pack_words(F.lit(text)))
+    assert len(lines) == 5 and all(len(x) <= 110 for x in lines) and text.startswith(" ".join(lines)) and all(len(a) + 1 + len(b.split()[0]) > 110 for a, b in zip(lines, lines[1:]))
+
+
+def test_payloads_of_all_kinds(spark):
+    payload = '{"a": "x", "n": 5, "none": null, "list": ["' + "y" * 600 + '", 2], "many": [' + ",".join(map(str, range(20))) + '], "object": {"k": "' + "z" * 2000 + '"}}'
+    got = value(spark, t.compact_payload(F.lit(payload)))
+    assert (got["a"], got["n"], got["none"]) == ("x", "5", None) and got["list"] == '["' + "y" * 500 + '","2"]' and got["many"].count(",") == 9 and len(got["object"]) == 1000
+    assert value(spark, t.compact_payload(F.lit("[1, 2]"))) == {"raw": "[1, 2]"} and value(spark, t.compact_payload(F.lit("no json"))) is None
+
+
+def test_a_failing_batch_is_marked_and_the_stream_goes_on(spark, tmp_path):
+    for n in range(2):
+        spark.createDataFrame([(10 * n + i,) for i in range(3)], "item_id long").coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
+    calls = []
+
+    def work(batch):
+        calls.append(1)
+        ok = batch.withColumn("status", F.lit("mapped"))
+        return ok if len(calls) > 1 else ok.withColumn("status", F.raise_error(F.lit("bad batch")).cast("string"))
+
+    stream = spark.readStream.schema("item_id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    jobs.per_batch(stream, f"{tmp_path}/out", ["item_id"], work, f"{tmp_path}/state", ["item_id"]).trigger(availableNow=True).start().awaitTermination(120)
+    got = {x["item_id"]: x["status"] for x in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert len(got) == 6 and sorted(got.values()) == ["error"] * 3 + ["mapped"] * 3 and len(calls) == 2
+
+
+def test_bars_are_compacted_and_corrected(spark, tmp_path):
+    for n in range(5):
+        rows = [("A", dt.date(2024, 1, d), float(10 * n + d), n) for d in range(1, 4) if (d + n) % 2] + [("B", dt.date(2024, 1, 1), float(-n), -n)]
+        spark.createDataFrame(rows, "stock_code string, trade_date date, close double, version int").coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
+    stream = spark.readStream.schema("stock_code string, trade_date date, close double, version int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    jobs.upsert_bars(stream, f"{tmp_path}/out", f"{tmp_path}/state", compact_every=2).trigger(availableNow=True).start().awaitTermination(120)
+    got = {(x["stock_code"], x["trade_date"].day): x["close"] for x in jobs.bars(spark, f"{tmp_path}/out").collect()}
+    assert got == {("A", 1): 41.0, ("A", 2): 32.0, ("A", 3): 43.0, ("B", 1): 0.0} and jobs._numbers(spark, f"{tmp_path}/out", "state") == [1, 3]
+
+
+def test_typed_scans_add_and_leave_out_columns(spark, tmp_path):
+    spark.createDataFrame([("5", "x", 1)], "id string, title string, other int").write.parquet(f"{tmp_path}/d")
+    got = schemas.scan(spark, f"{tmp_path}/d", "documents")
+    assert got.columns[:2] == ["id", "stock_code"] and "other" not in got.columns and got.first()["id"] == 5 and got.first()["url"] is None
+
+
+def test_primary_ticker_with_hint_ambiguity_and_gates(spark):
+    docs = spark.createDataFrame([(1, "plain", "text", "B"), (2, "unsure words", "", None), (3, "plain", "", "C"), (4, "plain", "", None)], "id long, title string, body string, hint string")
+    scores = spark.createDataFrame([(1, "A", 0.9), (1, "B", 0.88), (2, "A", 1.0), (3, "A", 0.5), (3, "C", 0.86), (4, "A", 0.0)], "id long, code string, score double")
+    got = {x["id"]: (x["ticker"], x["score"]) for x in resolve.primary_ticker(scores, docs, ["unsure"]).collect()}
+    assert got == {1: ("B", 0.82), 2: ("A", 0.92), 3: ("C", 0.88)}
+
+
 def test_article_text_takes_the_innermost_container():
     html = "<body><p>outer paragraph text</p><article><p>short</p><p>inner <b>paragraph</b> text</p><script>x</script></article></body>"
     assert payloads.article_text(html) == "inner paragraph text"
