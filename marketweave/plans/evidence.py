@@ -37,6 +37,15 @@ TOPIC_LIST = "[" + ", ".join(f"CASE WHEN {_any('x', ws)} THEN '{k}' END" for k,
 TOPICS = f"t AS (SELECT id, list_filter({TOPIC_LIST}, lambda k: k IS NOT NULL)[1:6] AS l FROM (SELECT id, lower({C.format(chr(34) + 'b' + chr(34))}) AS x FROM (SELECT id, title || ' ' || body AS b FROM fx_documents) AS w) AS z)"
 
 
+URL = r"""lower(regexp_extract(url, '^([a-zA-Z]+):', 1)) || '://' || lower(regexp_extract(url, '//([^/?#]*)', 1)) || regexp_replace(coalesce(nullif(regexp_extract(url, '//[^/?#]*([^?#]*)', 1), ''), '/'), '/+', '/', 'g')"""
+QUERY = r"""list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]+=.+') AND NOT regexp_matches(lower(p), '^(utm_source|utm_medium|utm_campaign|utm_term|utm_content|fbclid|gclid|smid|from)=')))"""
+CARDS = f"""{FACTS}, {TOPICS}, cb AS (SELECT *, {C.format('title')} AS h, {_sent('body')} AS s, {_sent("(title || ' ' || body)")} AS b, {URL} AS base, {QUERY} AS uq FROM fx_documents),
+cards AS (SELECT sha256(CAST(cb.id AS VARCHAR)) AS card_id, cb.id AS item_id, 'ticker' AS entity_type, stock_code AS entity_id, CASE WHEN cb.id % 2 = 0 THEN 'KR' ELSE 'US' END AS market, CASE doc_type WHEN 'report' THEN 'research' WHEN 'filing' THEN 'filing' ELSE 'news' END AS source_type,
+  sha256(base || CASE WHEN len(uq) > 0 THEN '?' || array_to_string(uq, '&') ELSE '' END) AS source_url_hash, published_at, left(h, 220) AS fact_headline, facts,
+  CASE WHEN len(s) = 0 THEN '{e.NO_SIGNAL}' WHEN {_any('lower(s[1])', e.HEDGES)} THEN trim(s[1]) ELSE trim(s[1]) || '{e.HEDGE}' END AS interpretation, coalesce(list_filter(b, lambda x: {_any('lower(x)', e.RISKS)})[1], '{e.NO_RISK}') AS risk_note,
+  CASE WHEN len(l) = 0 THEN ['general'] ELSE l END AS topics, CASE doc_type WHEN 'report' THEN 0.78::DOUBLE WHEN 'filing' THEN 0.66::DOUBLE ELSE 0.46::DOUBLE END AS confidence_weight FROM cb JOIN q USING (id) JOIN t USING (id) WHERE h <> '')"""
+
+
 @register("e1_facts", f"WITH {FACTS} SELECT id, facts FROM q")
 def e1(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("id", e.facts(F.col("body"), F.lit("")).alias("facts"))
@@ -52,7 +61,7 @@ def e3(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("id", e.risk_note(F.col("body")).alias("risk_note"))
 
 
-@register("e4_cards")
+@register("e4_cards", f"WITH {CARDS} SELECT * FROM cards")
 def e4(s: SparkSession, d: str) -> DataFrame:
     return e.cards(docs(s, d))
 
@@ -77,7 +86,13 @@ def e7_sizes(s: SparkSession, d: str) -> DataFrame:
     return e.digests(_chosen(s, d), ["entity_type", "entity_id"]).select("entity_id", "cards")
 
 
-@register("e8_digest_changes")
+def _numbered(name: str, last: str) -> str:
+    return f"""{name}0 AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY published_at DESC, item_id DESC) AS n0 FROM cards WHERE published_at IS NOT NULL AND CAST(published_at AS DATE) BETWEEN DATE '2024-01-01' AND DATE '{last}'),
+      {name} AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n0) AS n FROM {name}0 WHERE n0 <= 200 AND source_type <> 'filing')"""
+
+
+@register("e8_digest_changes", f"""WITH {CARDS}, {_numbered('ch', '2024-01-03')}, {_numbered('ea', '2024-01-02')}, fr AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n) AS k FROM ch WHERE fact_headline <> '' AND NOT EXISTS (SELECT 1 FROM ea WHERE ea.entity_id = ch.entity_id AND ea.card_id = ch.card_id))
+  SELECT entity_type, entity_id, list(CASE WHEN {_any('lower(fact_headline)', e.NEGATIVE_HEADLINES)} THEN '-' ELSE '+' END || ' ' || fact_headline || ' (cards: C' || n || ')' ORDER BY k) AS change_lines FROM fr WHERE k <= 3 GROUP BY entity_type, entity_id""")
 def e8(s: SparkSession, d: str) -> DataFrame:
     keys = ["entity_type", "entity_id"]
     earlier = e.numbered(e.cards(docs(s, d)), keys, "2024-01-01", "2024-01-02")
@@ -112,7 +127,8 @@ def a11(s: SparkSession, d: str) -> DataFrame:
     return e.keywords(view(s, d, "fx_documents"), "stock_code", F.col("body"), STOP)
 
 
-@register("d11_compressed_cards")
+@register("d11_compressed_cards", f"""WITH {CARDS}, co AS (SELECT *, row_number() OVER (PARTITION BY entity_id, left(fact_headline, 120), left(coalesce(facts[1], ''), 120), CAST(published_at AS DATE) ORDER BY published_at DESC, item_id DESC) AS r FROM cards),
+  cp AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY published_at DESC NULLS LAST, item_id DESC) AS m FROM co WHERE r = 1) SELECT entity_id, card_id, item_id FROM cp WHERE m <= 120""")
 def d11(s: SparkSession, d: str) -> DataFrame:
     return dedup.compressed_cards(e.cards(docs(s, d)), ["entity_id"], [F.col("published_at").desc(), F.col("item_id").desc()]).select("entity_id", "card_id", "item_id")
 

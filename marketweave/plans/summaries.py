@@ -12,8 +12,9 @@ from ..functions import text as t
 from ..operators import resolve
 from ..operators import summaries as m
 from .entities import market_feed
-from .evidence import NEGATIVE, POSITIVE, _chosen, docs
+from .evidence import CARDS, NEGATIVE, POSITIVE, _chosen, docs
 from .registry import register, view
+from .text import LIKE
 
 EVENT = "coalesce(published_at, collected_at)"
 
@@ -104,12 +105,19 @@ def e19(s: SparkSession, d: str) -> DataFrame:
     return snapshot.select("entity_id", "d1_preview", "d1_more", "d7_preview", "d7_more")
 
 
-@register("e6_item_lines")
+LINES = f"""{CARDS}, ra AS (SELECT *, list_filter(list_transform(['conclusion: ' || fact_headline, 'evidence: ' || facts[1], 'evidence: ' || facts[2], 'risk: ' || risk_note, 'checkpoint: ' || topics[1], 'final: ' || interpretation], lambda x: left(x, 220)), lambda x: x IS NOT NULL) AS raw FROM cards),
+lines AS (SELECT item_id, fact_headline, facts, risk_note, list_filter(raw, lambda x, i: list_position(list_transform(raw, lambda y: lower(y)), lower(x)) = i)[1:6] AS lines FROM ra),
+fe AS (SELECT item_id, unnest(facts) AS f, generate_subscripts(facts, 1) AS n, fact_headline FROM lines), fw AS (SELECT item_id, n, f, lower(f) AS a, lower(fact_headline) AS b, list_distinct(string_split(lower(f), ' ')) AS u, list_distinct(string_split(lower(fact_headline), ' ')) AS v FROM fe),
+fo AS (SELECT item_id, arg_min(f, n) AS own FROM fw WHERE NOT {LIKE} GROUP BY item_id)"""
+
+
+@register("e6_item_lines", f"WITH {LINES} SELECT item_id, lines, left(coalesce(own, risk_note), 120) AS one_liner FROM lines LEFT JOIN fo USING (item_id)")
 def e6(s: SparkSession, d: str) -> DataFrame:
     return e.item_lines(e.cards(docs(s, d)))
 
 
-@register("e18_sections")
+@register("e18_sections", f"""WITH {LINES}, sp AS (SELECT item_id, unnest(lines) AS x, generate_subscripts(lines, 1) AS n FROM lines)
+  SELECT item_id, split_part(x, ': ', 1) AS section, list(trim(x[length(split_part(x, ': ', 1)) + 2:]) ORDER BY n) AS texts FROM sp GROUP BY item_id, section""")
 def e18(s: SparkSession, d: str) -> DataFrame:
     return e.labelled_sections(e.item_lines(e.cards(docs(s, d))), "lines")
 
