@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,12 @@ SECTOR_LINES = [
     (3, "Use this as a morning context view, then verify key claims in original source links. {tag}"),
     (1, "Risk note: if multiple headlines repeat the same event, avoid over-weighting duplicated impact. {tag}"),
 ]
+REPORT = [
+    "# Agent Report: {entity}", "- Period: {first} to {last}", "\n## Executive Summary", "- Evidence volume reached {cards} cards across {topics} major topics.", "- Source mix: research {research}, filing {filing}, news {news}.",
+    "\n## Thesis", "- {headline}", "- Topic concentration indicates {topic} remains a key near-term driver.", "\n## Bear Case", "- {risk}", "\n## Key Evidence", "{evidence}",
+    "\n## What Changed Recently", "{changes}", "\n## What to Watch", "- Next confirmation on {topic} trend.",
+]
+NO_CHANGE = "No material change"
 NO_SECTOR_DOCS = "No recent sector documents were found."
 STOCK_LABELS = ["결론", "근거1", "근거2", "리스크1", "체크포인트1", "최종판단"]
 NO_BODY = "핵심 사실을 판단하기에 본문 정보가 부족합니다."
@@ -83,15 +90,12 @@ def reports(cards: DataFrame, keys: Sequence[str], first: str, last: str, change
     of = lambda k: F.count_if(F.col("source_type") == k).alias(k)
     a = kept.groupBy(*keys).agg(F.count("*").alias("k"), of("research"), of("filing"), of("news"), F.max(F.when(F.col("n") == 1, F.struct("fact_headline", "risk_note"))).alias("head"), listed.alias("evidence"))
     j = a.join(topics, list(keys)).join(changes, list(keys), "left")
-    parts = [
-        F.concat(F.lit("# Agent Report: "), F.concat_ws("/", *keys)), F.lit(f"- Period: {first} to {last}"), F.lit("\n## Executive Summary"),
-        F.format_string("- Evidence volume reached %d cards across %d major topics.", "k", "topics"), F.format_string("- Source mix: research %d, filing %d, news %d.", "research", "filing", "news"),
-        F.lit("\n## Thesis"), F.concat(F.lit("- "), "head.fact_headline"), F.concat(F.lit("- Topic concentration indicates "), "topic", F.lit(" remains a key near-term driver.")),
-        F.lit("\n## Bear Case"), F.concat(F.lit("- "), "head.risk_note"), F.lit("\n## Key Evidence"), F.col("evidence"),
-        F.lit("\n## What Changed Recently"), F.coalesce(F.nullif(F.array_join("change_lines", "\n"), F.lit("")), F.lit("No material change")),
-        F.lit("\n## What to Watch"), F.concat(F.lit("- Next confirmation on "), "topic", F.lit(" trend.")),
-    ]
-    return j.select(*keys, F.concat_ws("\n", *parts).alias("report"))
+    values = {
+        "first": F.lit(first), "last": F.lit(last), "cards": F.col("k").cast("string"), "topics": F.col("topics").cast("string"), **{k: F.col(k).cast("string") for k in ("research", "filing", "news")}, "topic": F.col("topic"),
+        "entity": F.concat_ws("/", *keys), "headline": F.col("head.fact_headline"), "risk": F.col("head.risk_note"), "evidence": F.col("evidence"), "changes": F.coalesce(F.nullif(F.array_join("change_lines", "\n"), F.lit("")), F.lit(NO_CHANGE)),
+    }
+    lines = [F.concat(*[values[x] if k % 2 else F.lit(x) for k, x in enumerate(re.split(r"\{(\w+)\}", line)) if x]) for line in REPORT]
+    return j.select(*keys, F.concat_ws("\n", *lines).alias("report"))
 
 
 def economy_score(text: Column, blob: Column, macro: Sequence[str], policy: Sequence[str], shared: Sequence[str], hints: Sequence[str]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..functions import text as t
 from ..operators import resolve
 from ..operators import summaries as m
 from .entities import market_feed
-from .evidence import CARDS, NEGATIVE, POSITIVE, _chosen, docs
+from .evidence import CARDS, NEGATIVE, POSITIVE, _chosen, _numbered, docs
 from .registry import register, view
 from .text import LIKE
 
@@ -38,7 +40,21 @@ def e11(s: SparkSession, d: str) -> DataFrame:
     return m.sector_summaries(sectors, _sector_docs(s, d)).select("sector_code", "line_no", "source_id", (F.col("text") == m.NO_SECTOR_DOCS).alias("empty"))
 
 
-@register("e9_reports")
+def _report() -> str:
+    """The lines of a report as an SQL expression."""
+    values = {"first": "'2024-01-01'", "last": "'2024-01-31'", "cards": "k", "entity": "ag.entity_type || '/' || ag.entity_id", "headline": "fact_headline", "risk": "risk_note", "changes": f"coalesce(changes, '{m.NO_CHANGE}')"}
+    return " || chr(10) || ".join(" || ".join(values.get(x, x) if k % 2 else "'" + x.replace("'", "''") + "'" for k, x in enumerate(re.split(r"\{(\w+)\}", line)) if x) for line in m.REPORT)
+
+
+@register("e9_reports", f"""WITH {CARDS}, {_numbered('ch', '2024-01-03')},
+  ag AS (SELECT entity_type, entity_id, count(*) AS k, count(*) FILTER (WHERE source_type = 'research') AS research, count(*) FILTER (WHERE source_type = 'filing') AS filing, count(*) FILTER (WHERE source_type = 'news') AS news, len(list_distinct(flatten(list(topics)))) AS kinds FROM cards GROUP BY ALL),
+  nn AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY published_at DESC NULLS LAST, item_id DESC) AS n FROM cards),
+  hd AS (SELECT entity_id, max(fact_headline) FILTER (WHERE n = 1) AS fact_headline, max(risk_note) FILTER (WHERE n = 1) AS risk_note, string_agg('- [' || left(card_id, 12) || '] ' || fact_headline, chr(10) ORDER BY n) FILTER (WHERE n <= 10) AS evidence FROM nn GROUP BY entity_id),
+  tp AS (SELECT entity_id, unnest(topics) AS topic FROM cards), tc AS (SELECT entity_id, topic, row_number() OVER (PARTITION BY entity_id ORDER BY count(*) DESC, topic) AS p FROM tp GROUP BY entity_id, topic),
+  tt AS (SELECT entity_id, least(count(*), 3) AS topics, max(topic) FILTER (WHERE p = 1) AS topic FROM tc GROUP BY entity_id),
+  fr AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n) AS o FROM ch WHERE fact_headline <> ''),
+  cl AS (SELECT entity_id, string_agg(CASE WHEN regexp_matches(lower(fact_headline), '{"|".join(e.NEGATIVE_HEADLINES)}') THEN '-' ELSE '+' END || ' ' || fact_headline || ' (cards: C' || n || ')', chr(10) ORDER BY o) AS changes FROM fr WHERE o <= 3 GROUP BY entity_id)
+  SELECT ag.entity_type, ag.entity_id, {_report()} AS report FROM ag JOIN hd USING (entity_id) JOIN tt USING (entity_id) LEFT JOIN cl USING (entity_id) WHERE k >= 12 AND (research >= 2 OR filing >= 1) AND kinds >= 2""")
 def e9(s: SparkSession, d: str) -> DataFrame:
     keys = ["entity_type", "entity_id"]
     changes = e.digest_changes(_chosen(s, d), _chosen(s, d).limit(0), keys)
