@@ -198,25 +198,35 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return kept.mapInArrow(run, T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False))]))
 
 
+def _decoded(ids: pa.Array, path: str, pattern: str) -> pa.Array:
+    ranks = _load(path, pattern)[0]
+    flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy()
+    return pa.array([ranks.decode(flat[i - ends[0] : j - ends[0]]) for i, j in zip(ends, ends[1:])], pa.binary())
+
+
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """encoded with another column, decoded (binary): the bytes of its ids."""
+    """encoded with another column, decoded (binary): the bytes of its ids. A column called decoded is replaced."""
     kept = encoded.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _load(path, pattern)[0]
         for b in batches:
-            ids = b.column("ids")
-            flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy()
-            text = [ranks.decode(flat[i - ends[0] : j - ends[0]]) for i, j in zip(ends, ends[1:])]
-            yield b.append_column("decoded", pa.array(text, pa.binary()))
+            yield b.append_column("decoded", _decoded(b.column("ids"), path, pattern))
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, ids. Empty docs give an empty result."""
-    found = decode(encode(docs.select("doc_id", "text"), path, pattern), path, pattern)
-    return found.select(
+    """Per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, ids. Empty docs give an empty result. Both ways are taken by one worker of a task, as each takes memory of its own."""
+    common.narrow_batches(docs.sparkSession)
+    kept = docs.select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = _lists(*encode_texts(b.column("text"), path, pattern))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, _decoded(ids, path, pattern)], ["doc_id", "ids", "decoded"])
+
+    fields = [kept.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())]
+    return kept.mapInArrow(run, T.StructType(fields)).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"), "ids",
     )

@@ -78,8 +78,9 @@ def fit(texts: list[str], y: list[int], how: Training) -> Model:
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio[(pos + neg < how.least_docs) | (np.abs(ratio) < how.least_ratio)] = 0
     sets = [k[ratio[k] != 0] for k in (np.unique(grams(t)) for t in texts)]
-    row, col = np.repeat(np.arange(len(sets)), [len(k) for k in sets]), np.concatenate(sets)
-    used, col = np.unique(col, return_inverse=True)
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(k) for k in sets])
+    used, col = np.unique(np.concatenate(sets), return_inverse=True)
+    col = col.astype(np.int32)
     x = ratio[used][col]
     w, b = np.zeros(len(used)), 0.0
     first, second = np.zeros(len(used) + 1), np.zeros(len(used) + 1)

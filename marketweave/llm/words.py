@@ -25,7 +25,7 @@ Single = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
 #: Words whose ids a Python worker remembers, the first that it meets: some 40 bytes each.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 600_000
 
 
 def gather(flat: np.ndarray, counts: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
