@@ -561,3 +561,20 @@ def test_pipeline_equals_its_stages_on_a_small_corpus(spark, tmp_path):
     text = {int(b): a for a, b in ranks.items()}
     decoded = b"".join(text[x] for x in got[302]["ids"])
     assert b"someone.else@" not in decoded and b"@mail" in decoded and hashlib.sha256(decoded).hexdigest() == got[302]["decoded_sha256"]
+
+
+def test_pipeline_with_nulls_repeats_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rows = [(1, "a text of its own with some words"), (1, "a text of its own with some words"), (2, None), (3, ""), (4, " \n "), (5, "another text that stands alone here"), (None, "no id but a text"), (6, 'password = "********" in it')]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    docs(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for where in (tmp_path, tmp_path / "none"):
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+    got = cp.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0) for r in got) == [0, 1, 2, 5, 6] and {r["doc_id"]: r["n_tokens"] for r in got}[2] == 0
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
+    table = docs(spark, rows)
+    for _, stage in cp.STAGES[:-1]:
+        assert stage(spark, table, str(tmp_path)).columns == table.columns
