@@ -4,7 +4,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from marketweave.functions import text as t
-from marketweave.operators import dedup, evidence, resolve, sinks
+from marketweave.operators import dedup, evidence, resolve, sinks, summaries
 from marketweave.operators import relational as r
 from marketweave.sources import payloads, schemas
 from marketweave.streaming import jobs
@@ -244,6 +244,43 @@ def test_primary_ticker_with_hint_ambiguity_and_gates(spark):
     assert got == {1: ("B", 0.82), 2: ("A", 0.92), 3: ("C", 0.88)}
 
 
+def test_like_lines_of_one_scope(spark):
+    base = "merger of north and south works approved today"
+    rows = [("s", 1, base, 0), ("s", 2, base + " again", 0), ("s", 3, "merger of north and far western plants told by an office", 24), ("s", 4, "merger of north and far western plants told by an office", 24 * 30), ("t", 5, base, 0), ("s", 6, "nothing in common", 0)]
+    docs = spark.createDataFrame(rows, "stock string, id long, line string, hour int").withColumn("event_time", F.lit(T0) + F.make_dt_interval(hours=F.col("hour")))
+    got = {(x["a"], x["b"]) for x in dedup.similar_lines(docs, "stock", "line", "event_time").collect()}
+    assert got == {(1, 2), (1, 3), (2, 3), (3, 4)}
+
+
+def test_digests_take_the_first_card_of_each_kind(spark):
+    cards = spark.createDataFrame([
+        ("ticker", "A", 1, "C1", "c1", 11, "", ["no number here"], "", "", ["general"]), ("ticker", "A", 2, "C2", "c2", 12, "Second headline", ["plain", "up 5%"], "It may rise.", "Some risk.", ["demand", "macro"]),
+        ("ticker", "A", 3, "C3", "c3", 13, "Third headline", ["down 7%"], "It may fall.", "Other risk.", ["macro"]),
+    ], "entity_type string, entity_id string, n int, alias string, card_id string, item_id long, fact_headline string, facts array<string>, interpretation string, risk_note string, topics array<string>")
+    got = evidence.digests(cards, ["entity_type", "entity_id"]).first()
+    assert got["cards"] == 3 and tuple(got["headline"]) == ("Second headline", "C2") and tuple(got["evidence"]) == ("up 5%", "C2") and tuple(got["demand"]) == ("plain", "C2")
+    assert tuple(got["risk"]) == ("Some risk.", "C2") and tuple(got["checkpoint"]) == ("general", "C1") and tuple(got["final"]) == ("It may rise.", "C2") and [tuple(x) for x in got["refs"]] == [("C1", "c1", 11), ("C2", "c2", 12), ("C3", "c3", 13)]
+
+
+def test_stock_summaries_have_six_lines_with_sources(spark):
+    docs = spark.createDataFrame([("A", 1, "Old title", "Old title The plant faces a risk of delay this year. More.", T0 - dt.timedelta(hours=2)), ("A", 2, "New title", "Sales rose strongly in the quarter. Next steps follow.", T0)], "stock_code string, id long, title string, body string, event_time timestamp")
+    got = summaries.stock_summaries(docs, ["risk"], ["next"], ["rose"], ["fell"]).orderBy("line_no").collect()
+    assert [(x["line_no"], x["source_id"]) for x in got] == [(1, 2), (2, 2), (3, 1), (4, 1), (5, 2), (6, 2)]
+    assert [x["text"].split(": ", 1)[0] for x in got] == summaries.STOCK_LABELS and got[0]["text"].endswith("Sales rose strongly in the quarter.") and got[3]["text"].endswith("The plant faces a risk of delay this year.") and "긍정" in got[5]["text"]
+
+
+def test_focus_takes_keyword_lines_and_the_next(spark):
+    text = "first\nhas Key word\nfollows it\nother\n\nkey again\nlast one"
+    docs = spark.createDataFrame([(text,), ("\n".join(f"line {i}" for i in range(20)),), (None,)], "text string")
+    got = [x["focus"] for x in evidence.focus(docs, "text", ["key"], longest=40).collect()]
+    assert got == [["has Key word", "follows it", "key again"], [f"line {i}" for i in range(10)], []]
+
+
+def test_lines_that_copy_their_title(spark):
+    rows = spark.createDataFrame([("Profit rises at the works", "Profit rises at the work"), ("Something else", "Profit rises"), ("", "x"), (None, "x")], "a string, b string")
+    assert [round(x["r"], 2) for x in rows.select(dedup.sequence_ratio("a", "b").alias("r")).collect()] == [0.98, 0.38, 0.0, 0.0]
+
+
 def test_article_text_takes_the_innermost_container():
     html = "<body><p>outer paragraph text</p><article><p>short</p><p>inner <b>paragraph</b> text</p><script>x</script></article></body>"
     assert payloads.article_text(html) == "inner paragraph text"
