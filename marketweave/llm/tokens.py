@@ -287,10 +287,10 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFr
 def write(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int | None = None) -> None:
     """Encodes docs and writes them to path in ascending order of doc_id (nulls first, ties by text).
 
-    The rows are dealt by ranges of doc_id before they are encoded: finding the ranges must not encode twice.
+    The rows are dealt by ranges before they are encoded: finding the ranges must not encode twice. The first characters of the text count, too, so that many rows of one doc_id are spread.
     """
     docs.sparkSession.dataSource.register(PackedTokens)
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id", F.left("text", F.lit(32))).sortWithinPartitions("doc_id", "text")
     encode(dealt, tokenizer, end_id).write.format("packed_tokens").option("vocabulary", vocabulary).mode("append").save(path)
 
 

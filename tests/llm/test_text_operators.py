@@ -578,3 +578,15 @@ def test_pipeline_with_nulls_repeats_and_empty_tables(spark, tmp_path):
     table = docs(spark, rows)
     for _, stage in cp.STAGES[:-1]:
         assert stage(spark, table, str(tmp_path)).columns == table.columns
+
+
+def test_token_files_of_one_doc_id_and_long_texts(spark, tmp_path):
+    """Ties of doc_id are written in the order of their texts, whatever partition they are in."""
+    path, where = tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/t"
+    rng = random.Random(2)
+    rows = [(7, "".join(rng.choice("abc ") for _ in range(rng.randint(0, 60)))) for _ in range(300)] + [(None, None), (None, "x"), (8, "word " * 100_000), (6, "six")]
+    tokens.write(docs(spark, rows), where, path, 50_257, 0)
+    got = sorted(tokens.read(spark, where).collect(), key=lambda r: r["start"])
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    assert [r["doc_id"] for r in got] == [i for i, _ in order]
+    assert [np.frombuffer(r["ids"], "<u4")[:-1].tolist() for r in got] == lists(tokens.encode_texts(pa.array([t for _, t in order]), path))
