@@ -190,9 +190,8 @@ def with_unmatched(scores: DataFrame, docs: DataFrame, stocks: DataFrame, base:
     """scores (id, code, score) and rows for stocks without an alias in a filing of docs (id, source, hint): these score base too. Only the best few and the lead of the best matter,
     so the hinted stock and the first stocks by rank (code, rank) stand for all of them."""
     filings = docs.where(F.col("source").isin("sec_edgar", "opendart"))
-    top = stocks.orderBy(F.coalesce("rank", F.lit(99999)), "code").limit(first).agg(F.collect_list("code").alias("top"))
-    pairs = filings.withColumn("one", F.lit(1)).join(F.broadcast(top.withColumn("one", F.lit(1))), "one")
-    each = pairs.select("id", F.explode(F.array_distinct(F.array_compact(F.concat("top", F.array("hint"))))).alias("code"))
+    top = [r["code"] for r in stocks.orderBy(F.coalesce("rank", F.lit(99999)), "code").limit(first).collect()]
+    each = filings.select("id", F.explode(F.array_distinct(F.array_compact(F.array(*[F.lit(c) for c in top], F.col("hint"))))).alias("code"))
     known = each.join(stocks.select("code"), "code", "left_semi")
     return scores.select("id", "code", "score").unionByName(known.join(scores, ["id", "code"], "left_anti").select("id", "code", F.lit(base).alias("score")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,9 @@ def scratch(s: SparkSession, name: str) -> str:
     if not base:
         if not s.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="marketweave-")
+        folder = tempfile.mkdtemp(prefix="marketweave-")
+        atexit.register(shutil.rmtree, folder, True)
+        base = f"file://{folder}"
     return f"{base}/marketweave-{name}-{uuid.uuid4().hex}"
 
 
