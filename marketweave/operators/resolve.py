@@ -71,8 +71,8 @@ def alias_matches(texts: DataFrame, aliases: DataFrame, fields: list[str], keep:
     if len(terms) <= MAX_TERMS:
         words = lambda inside: F.array(*[F.lit(x) for x in terms if x.startswith(INSIDE) == inside]).cast("array<string>")
         mine = F.concat(F.array_intersect(_latin_terms(everything), words(False)), F.filter(words(True), lambda x: F.contains(everything, F.substring(x, 2, 2))))
-        # Marks and terms are made below the explode: once per text, not once per term.
-        prepared = texts.select("id", *keep, *fields, *[marked(F.col(f)).alias(f"__{f}") for f in fields], mine.alias("__terms"))
+        # Marks and terms are made below the explode: once per text, not once per term. Texts are dealt once, as a file may be one split.
+        prepared = texts.repartition("id").select("id", *keep, *fields, *[marked(F.col(f)).alias(f"__{f}") for f in fields], mine.alias("__terms"))
         found = prepared.select("id", *keep, *fields, *[f"__{f}" for f in fields], F.explode("__terms").alias("term")).join(F.broadcast(known), "term")
     else:
         ids = texts.select("id", F.explode(_terms(everything)).alias("term")).join(known, "term").drop("term").distinct()
