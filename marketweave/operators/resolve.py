@@ -1,12 +1,14 @@
 """Which tickers and sectors a text is about.
 
-Texts and aliases meet by an equi-join on words (Latin aliases) or pairs of characters (others), then the exact rule decides; no text is compared with all aliases.
+All aliases go into one automaton that walks each text once and emits what it finds; no text is compared with each alias, and only hits leave the texts' rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,64 +23,102 @@ SECTOR_WORDS = {
     "FINANCE": ["은행", "증권", "보험", "금융", "bank", "finance"], "ENERGY": ["정유", "가스", "전력", "에너지", "oil", "energy"],
 }
 LATIN = r"^[a-z0-9.\-]+$"
+#: What must not touch an alias: letters and digits, digits only, or nothing.
+WORD, NUMBER, ANYWHERE = "word", "number", "anywhere"
+#: Aliases that one automaton holds. A larger dictionary is split, and each part walks the texts: only the time depends on its size.
+MOST_ALIASES = 200_000
 
 
-#: Most terms of aliases that a plan holds as constants; beyond that texts and aliases are shuffled by term.
-MAX_TERMS = 5_000
-#: Around each run of letters and digits, so that borders of words can be found by plain search; before a term that may stand inside a word.
-OPEN, CLOSE, INSIDE = "\x01", "\x02", "\x03"
-
-
-def marked(text: Column) -> Column:
-    """A lower-case text with its runs of a-z and 0-9 between marks."""
-    return F.regexp_replace(F.translate(text, OPEN + CLOSE, ""), "([a-z0-9]+)", f"{OPEN}$1{CLOSE}")
-
-
-def contains_alias(text: Column, alias: Column, text_marked: Column | None = None) -> Column:
-    """Latin aliases stand between characters that are neither letters nor digits; others anywhere. Both sides are lower case. text_marked is marked(text), if it is at hand."""
-    found = F.contains(marked(text) if text_marked is None else text_marked, marked(alias))
-    # An alias that begins or ends with a full stop or hyphen must not touch a word there.
+def contains_alias(text: Column, alias: Column) -> Column:
+    """Latin aliases stand between characters that are neither letters nor digits; others anywhere. Both sides are lower case."""
     quoted = F.concat(F.lit(r"(?<![a-z0-9])\Q"), alias, F.lit(r"\E(?![a-z0-9])"))
-    latin = F.when(alias.rlike("^[a-z0-9]") & alias.rlike("[a-z0-9]$"), found).otherwise(F.regexp_like(text, quoted))
-    return F.when((text == "") | (alias == ""), False).when(alias.rlike(LATIN), latin).otherwise(F.contains(text, alias))
-
-
-def _latin_terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)))
-
-
-def _terms(text: Column) -> Column:
-    """Words of Latin letters and digits, and all pairs of neighbouring characters of other words."""
-    other = F.filter(F.split(text, r"\s+"), lambda w: w.rlike(r"[^\x00-\x7f]"))
-    pairs = F.flatten(F.transform(other, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.concat(F.lit(INSIDE), F.substring(w, i, F.lit(2))))))
-    return F.array_distinct(F.concat(_latin_terms(text), pairs))
-
-
-def _term_of_alias(alias: Column) -> Column:
-    word = F.regexp_extract(F.regexp_extract(alias, r"[^\s]*[^\x00-\x7f][^\s]*", 0), r"..?", 0)
-    return F.when(alias.rlike(LATIN), F.regexp_extract(alias, "[a-z0-9]+", 0)).when(word != "", F.concat(F.lit(INSIDE), word)).otherwise(F.regexp_extract(alias, "[a-z0-9]+", 0))
+    return F.when((text == "") | (alias == ""), False).when(alias.rlike(LATIN), F.regexp_like(text, quoted)).otherwise(F.contains(text, alias))
+
+
+def border(alias: Column) -> Column:
+    """What must not touch an alias by contains_alias."""
+    return F.when(alias.rlike(LATIN), WORD).otherwise(ANYWHERE)
+
+
+#: Automata of this Python worker by the name of their dictionary, the newest last.
+_automata: dict[str, object] = {}
+
+
+def _finder(name: str, known: Sequence[tuple[str, str]]) -> Callable[[str, dict[int, int], int], None]:
+    """Notes in hits, by place in known (alias, border), the bit of a field in whose text an alias stands."""
+    import ahocorasick
+
+    if name not in _automata:
+        places: dict[str, list[tuple[int, str]]] = {}
+        for k, (alias, rule) in enumerate(known):
+            places.setdefault(alias, []).append((k, rule))
+        made = ahocorasick.Automaton()
+        for alias, entries in places.items():
+            made.add_word(alias, (len(alias), entries))
+        made.make_automaton()
+        while len(_automata) >= 4:
+            _automata.pop(next(iter(_automata)))
+        _automata[name] = made
+    automaton = _automata[name]
+    letters = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+    touches = {WORD: lambda c: c in letters, NUMBER: str.isdecimal, ANYWHERE: lambda c: False}
+
+    def find(text: str, hits: dict[int, int], bit: int) -> None:
+        for end, (n, entries) in automaton.iter(text):
+            for k, rule in entries:
+                if not hits.get(k, 0) & bit and not touches[rule](text[end - n : end - n + 1] if end >= n else "") and not touches[rule](text[end + 1 : end + 2]):
+                    hits[k] = hits.get(k, 0) | bit
+
+    return find
+
+
+def _walked(texts: DataFrame, known: list[tuple[str, str]], fields: list[str], keep: Sequence[str]) -> DataFrame:
+    """id, keep, alias_l, border and <field>_hit for each text and each of known that it holds."""
+    shared, name, mine = texts.sparkSession.sparkContext.broadcast(known), uuid.uuid4().hex, ["id", *keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _finder(name, shared.value)
+        aliases, rules = pa.array([a for a, _ in shared.value], pa.string()), pa.array([r for _, r in shared.value], pa.string())
+        for b in batches:
+            rows, places, masks = [], [], []
+            for i, parts in enumerate(zip(*(b.column(f).to_pylist() for f in fields))):
+                hits: dict[int, int] = {}
+                for j, text in enumerate(parts):
+                    if text:
+                        find(text, hits, 1 << j)
+                rows += [i] * len(hits)
+                places += hits.keys()
+                masks += hits.values()
+            at, which = pa.array(rows, pa.int32()), pa.array(places, pa.int32())
+            flags = [pa.array([m >> j & 1 == 1 for m in masks], pa.bool_()) for j in range(len(fields))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in mine), aliases.take(which), rules.take(which), *flags], [*mine, "alias_l", "border", *(f"{f}_hit" for f in fields)])
+
+    given = texts.select(*mine, *fields)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[: len(mine)]), "alias_l string, border string", *(f"{f}_hit boolean" for f in fields)])
+    return given.mapInArrow(run, schema)
 
 
 def alias_matches(texts: DataFrame, aliases: DataFrame, fields: list[str], keep: Sequence[str] = ()) -> DataFrame:
-    """id, the alias's columns, texts' columns keep and <field>_hit for each text (lower-case columns fields) and each alias that some field holds.
+    """id, the alias's columns, texts' columns keep and <field>_hit for each text (lower-case columns fields, null counts as empty) and each row of aliases whose alias some field holds.
 
-    aliases: alias_l (lower case) and further columns. An alias of several words, or one that starts or ends inside a word of other letters, is found if its first word or pair of
-    characters is. Where the aliases' terms are few (counted), each text looks for them in its own row and nothing of it is shuffled; the result is the same either way.
+    aliases: alias_l (lower case; empty ones are never found) and further columns, among them border (WORD, NUMBER or ANYWHERE) if the rule of contains_alias is not meant.
+    Repeated texts and aliases each give their rows. Tickers meet the hits afterwards, so an alias of many tickers is looked for once.
     """
-    known = aliases.withColumn("term", _term_of_alias(F.col("alias_l"))).where("term <> ''")
-    terms = [r["term"] for r in known.select("term").distinct().limit(MAX_TERMS + 1).collect()]
-    everything, of_alias = F.concat_ws(" ", *fields), aliases.columns
-    if len(terms) <= MAX_TERMS:
-        words = lambda inside: F.array(*[F.lit(x) for x in terms if x.startswith(INSIDE) == inside]).cast("array<string>")
-        mine = F.concat(F.array_intersect(_latin_terms(everything), words(False)), F.filter(words(True), lambda x: F.contains(everything, F.substring(x, 2, 2))))
-        # Marks and terms are made below the explode: once per text, not once per term. Texts are dealt once, as a file may be one split.
-        prepared = texts.repartition("id").select("id", *keep, *fields, *[marked(F.col(f)).alias(f"__{f}") for f in fields], mine.alias("__terms"))
-        found = prepared.select("id", *keep, *fields, *[f"__{f}" for f in fields], F.explode("__terms").alias("term")).join(F.broadcast(known), "term")
-    else:
-        ids = texts.select("id", F.explode(_terms(everything)).alias("term")).join(known, "term").drop("term").distinct()
-        found = ids.join(texts.select("id", *keep, *fields, *[marked(F.col(f)).alias(f"__{f}") for f in fields]), "id")
-    hits = [contains_alias(F.col(f), F.col("alias_l"), F.col(f"__{f}")).alias(f"{f}_hit") for f in fields]
-    return found.select("id", *keep, *of_alias, *hits).where(" OR ".join(f"{f}_hit" for f in fields))
+    ruled = aliases if "border" in aliases.columns else aliases.withColumn("border", border(F.col("alias_l")))
+    different = ruled.select("alias_l", "border").where("alias_l <> ''").distinct()
+    shards = max(1, -(-different.count() // MOST_ALIASES))
+    found = None
+    for k in range(shards):
+        part = different.where(F.pmod(F.xxhash64("alias_l"), F.lit(shards)) == k).orderBy("alias_l", "border").collect()
+        hits = _walked(texts, [tuple(r) for r in part], fields, keep)
+        found = hits if found is None else found.unionByName(hits)
+    return found.join(ruled, ["alias_l", "border"]).select("id", *keep, *aliases.columns, *[f"{f}_hit" for f in fields])
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt anew by id where they come from fewer files than there are tasks, as a file may be one split; tables of many files are not shuffled."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks, "id") if len(rows.inputFiles()) < tasks else rows
 
 
 def alias_rows(tickers: DataFrame) -> DataFrame:
@@ -93,16 +133,22 @@ def alias_rows(tickers: DataFrame) -> DataFrame:
 def fuzzy_titles(texts: DataFrame, aliases: DataFrame, least: float = 0.92) -> DataFrame:
     """id and alias_l of title words that resemble an alias of four characters at least: lengths differ by two at most.
 
-    Words that are so alike share one of their halves or a shifted piece of it: candidates meet on pieces of two characters by place.
+    Of an alias and a word with u unmatched characters in all, at most 2u of the alias's different pairs of neighbouring characters are not in the word, so any 2u + 1 of them (or all, if
+    there are fewer) hold one that is. Words meet an alias on its rarest such pairs.
     """
     words = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit("[a-zA-Z0-9가-힣]{2,}"), F.lit(0)))).alias("word"))
     known = aliases.where(F.length("alias_l") >= 4).select("alias_l").distinct()
     pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
     left = words.select("word").distinct().withColumn("p", F.explode(pieces(F.col("word"))))
-    right = known.withColumn("p", F.explode(pieces(F.col("alias_l"))))
-    # At 0.92, of n characters at most 0.16 n are unmatched, so most pieces are shared.
-    shared = left.join(right, "p").groupBy("word", "alias_l").agg(F.count("*").alias("k")).where((F.abs(F.length("word") - F.length("alias_l")) <= 2) & (F.col("k") * 2 >= F.length("alias_l") - 1))
-    close = shared.where(F.levenshtein("word", "alias_l") <= F.ceil((F.length("word") + F.length("alias_l")) * (1 - least))).withColumn("r", sequence_ratio("alias_l", "word")).where(F.col("r") >= least)
+    often = left.groupBy("p").agg(F.count("*").alias("often"))
+    right = known.withColumn("p", F.explode(pieces(F.col("alias_l")))).join(often, "p")
+    unmatched = F.floor((2 * F.length("alias_l") + 2) * (1 - least) + 1e-9)
+    rarest = F.row_number().over(Window.partitionBy("alias_l").orderBy("often", "p"))
+    # A pair that no word holds counts among the 2u + 1, though it meets nothing.
+    missing = F.size(pieces(F.col("alias_l"))) - F.count("*").over(Window.partitionBy("alias_l"))
+    probes = right.withColumn("r", rarest).withColumn("missing", missing).where(F.col("r") + F.col("missing") <= 2 * unmatched + 1).select("alias_l", "p")
+    near = left.join(probes, (left["p"] == probes["p"]) & (F.abs(F.length("word") - F.length("alias_l")) <= 2)).select("word", "alias_l").distinct()
+    close = near.where(F.levenshtein("word", "alias_l") <= F.ceil((F.length("word") + F.length("alias_l")) * (1 - least))).withColumn("r", sequence_ratio("alias_l", "word")).where(F.col("r") >= least)
     return words.join(close.select("word", "alias_l"), "word").select("id", "alias_l").distinct()
 
 
@@ -112,7 +158,7 @@ def ticker_scores(items: DataFrame, aliases: DataFrame, fuzzy: bool = False, mos
     aliases: ticker, alias, alias_type, weight. Points of an alias by where it stands, less for ambiguous ones, times its weight; a ticker's points are added in order of
     its aliases (longest first) and never exceed 12 on the way.
     """
-    texts = items.select("id", *[F.lower(t.compact(F.col(c))).alias(c) for c in ("title", "lead", "body")])
+    texts = _spread(items).select("id", *[F.lower(t.compact(F.col(c))).alias(c) for c in ("title", "lead", "body")])
     texts = texts.withColumn("numbers", t.numeric_context(F.concat_ws(" ", "title", "lead", "body")))
     known = aliases.select(F.upper("ticker").alias("ticker"), "alias", F.lower(t.compact(F.col("alias"))).alias("alias_l"), F.lower("alias_type").alias("alias_type"), "weight")
     hits = alias_matches(texts, known, ["title", "lead", "body"], ["numbers"]).withColumn("fuzzy_hit", F.lit(False))
@@ -137,7 +183,7 @@ def ticker_scores(items: DataFrame, aliases: DataFrame, fuzzy: bool = False, mos
 
 def sector_scores(items: DataFrame, words: dict[str, list[str]] = SECTOR_WORDS) -> DataFrame:
     """id, sector, score of each sector with a keyword in title, lead or body."""
-    texts = items.select("id", *[F.lower(t.compact(F.col(c))).alias(c) for c in ("title", "lead", "body")])
+    texts = _spread(items).select("id", *[F.lower(t.compact(F.col(c))).alias(c) for c in ("title", "lead", "body")])
     table = F.array(*[F.struct(F.lit(s).alias("sector"), F.array(*[F.lit(w) for w in ws]).alias("words")) for s, ws in words.items()])
     each = texts.select("*", F.inline(table))
     hits = lambda c: F.filter("words", lambda w: F.contains(F.col(c), w))
@@ -166,14 +212,14 @@ def decisions(items: DataFrame, tickers: DataFrame, sectors: DataFrame, ticker_g
 def relevance(docs: DataFrame, aliases: DataFrame) -> DataFrame:
     """id, code, score, reasons of each document (id, title, body, url, source) and stock with an alias in it.
 
-    aliases: code, alias. A code counts .62 in the title, else .48 in the body, and .22 in the address; other aliases .55, .30 and .15 times a weight by length. Filings start at
+    aliases: code, alias. Codes must not touch digits, aliases of letters no letters or digits. A code counts .62 in the title, else .48 in the body, and .22 in the address; other aliases .55, .30 and .15 times a weight by length. Filings start at
     .22; evidence from bodies alone costs .18, any from a title adds .06; scores stay within 0 and 1.
     """
-    texts = docs.select("id", F.lower(t.compact(F.col("title"))).alias("title"), F.lower(t.compact(F.col("body"))).alias("body"), F.lower(F.coalesce("url", F.lit(""))).alias("url"))
+    texts = _spread(docs.select("id", "title", "body", "url")).select("id", F.lower(t.compact(F.col("title"))).alias("title"), F.lower(t.compact(F.col("body"))).alias("body"), F.lower(F.coalesce("url", F.lit(""))).alias("url"))
+    n, latin = F.length("alias_l"), F.col("alias_l").rlike(r"^[a-z.\-]+$")
     known = aliases.select("code", F.lower(t.compact(F.col("alias"))).alias("alias_l")).distinct()
+    known = known.withColumn("border", F.when(F.col("alias_l") == F.lower("code"), NUMBER).when(latin, WORD).otherwise(ANYWHERE))
     hits = alias_matches(texts, known, ["title", "body", "url"])
-    n = F.length("alias_l")
-    latin = F.col("alias_l").rlike(r"^[a-z.\-]+$")
     weight = F.when(F.col("alias_l").rlike(r"^\d+$"), 1.0).when(latin, F.when(n >= 3, 1.0).otherwise(0.75)).when(n >= 4, 1.0).when(n == 3, 0.9).when(n == 2, 0.75).otherwise(0.6)
     code = F.col("alias_l") == F.lower("code")
     pts = lambda c, v: F.when(c, v).otherwise(0.0)

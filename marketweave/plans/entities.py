@@ -176,7 +176,7 @@ def r10(s: SparkSession, d: str) -> DataFrame:
 
 
 RELEVANCE = rf"""x AS (SELECT id, source, lower({C.format('title')}) AS title, lower({C.format('body')}) AS body, lower(url) AS url FROM fx_documents),
-k AS (SELECT DISTINCT ticker AS code, lower(alias) AS al, regexp_matches(lower(alias), '^[a-z.\-]+$') AS latin, CASE WHEN regexp_matches(lower(alias), '^[a-z0-9.\-]+$') THEN '(^|[^a-z0-9])' || regexp_escape(lower(alias)) || '($|[^a-z0-9])' ELSE regexp_escape(lower(alias)) END AS re FROM fx_aliases),
+k AS (SELECT DISTINCT ticker AS code, lower(alias) AS al, regexp_matches(lower(alias), '^[a-z.\-]+$') AS latin, CASE WHEN regexp_matches(lower(alias), '^[a-z.\-]+$') THEN '(^|[^a-z0-9])' || regexp_escape(lower(alias)) || '($|[^a-z0-9])' ELSE regexp_escape(lower(alias)) END AS re FROM fx_aliases),
 h AS (SELECT id, source, code, latin, length(al) AS n, regexp_matches(title, re) AS t, regexp_matches(body, re) AS b, regexp_matches(url, re) AS u FROM x, k WHERE contains(body, al) OR contains(title, al) OR contains(url, al)),
 g AS (SELECT id, source, code, sum((CASE WHEN latin THEN CASE WHEN n >= 3 THEN 1.0 ELSE 0.75 END WHEN n >= 4 THEN 1.0 WHEN n = 3 THEN 0.9 WHEN n = 2 THEN 0.75 ELSE 0.6 END)::DOUBLE * (CASE WHEN t THEN 0.55 ELSE 0 END + CASE WHEN b THEN 0.30 ELSE 0 END + CASE WHEN u THEN 0.15 ELSE 0 END)::DOUBLE) AS p, bool_or(t) AS t, bool_or(t OR u) AS beyond, count(*) AS aliases FROM h WHERE t OR b OR u GROUP BY ALL),
 e AS (SELECT id, code, greatest(0.0, least(1.0, round((CASE WHEN source = 'sec_edgar' THEN 0.22 ELSE 0 END + p - CASE WHEN NOT beyond AND source <> 'sec_edgar' THEN 0.18 ELSE 0 END + CASE WHEN t THEN 0.06 ELSE 0 END)::DOUBLE, 4))) AS score, aliases FROM g)"""

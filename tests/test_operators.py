@@ -1,4 +1,7 @@
 import datetime as dt
+import random
+import re
+from difflib import SequenceMatcher
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -80,6 +83,31 @@ def test_aliases_match_at_word_borders(spark):
     assert {x["alias_l"] for x in resolve.alias_matches(texts, aliases, ["title"]).collect()} == {"sk hynix", "삼성전자", "전자"}
 
 
+def test_alias_matches_equal_brute_force_at_any_size(spark, monkeypatch):
+    rng = random.Random(5)
+    alphabet = ["a", "b", "1", ".", "-", " ", "가", "나", "é", "&"]
+    texts = [(i, *("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(2))) for i in range(80)]
+    texts += [(90, "국가 b 정책 발표", "가 b 발표"), (91, None, ""), (92, "abababababababab", None), (90, "국가 b 정책 발표", "가 b 발표")]
+    aliases = ["가 b", "가", "b", "1", "ab", "abab", ".", "a.b", "-", "&", "나가", "é", "", "1b", "abababababababab"] + ["".join(rng.choice(alphabet[:8]) for _ in range(rng.randint(1, 3))) for _ in range(30)]
+    rows = [(a, f"T{k}", "xy"[k % 2]) for k, a in enumerate(aliases)] + [("가 b", "other", "x")]
+    left = spark.createDataFrame(texts, "id long, title string, body string")
+    right = spark.createDataFrame(rows, "alias_l string, ticker string, body_hit string").drop("body_hit")
+
+    def holds(text, alias):
+        if not text or not alias:
+            return False
+        return bool(re.search(rf"(?<![a-z0-9]){re.escape(alias)}(?![a-z0-9])", text)) if re.fullmatch(r"[a-z0-9.\-]+", alias) else alias in text
+
+    expected = sorted((i, k, a, holds(t, a), holds(b, a)) for i, t, b in texts for a, k, _ in rows if holds(t, a) or holds(b, a))
+    for most in (200_000, 7):
+        monkeypatch.setattr(resolve, "MOST_ALIASES", most)
+        got = resolve.alias_matches(left, right, ["title", "body"]).select("id", "ticker", "alias_l", "title_hit", "body_hit")
+        assert sorted(tuple(x) for x in got.collect()) == expected
+    codes = spark.createDataFrame([("005930", resolve.NUMBER), ("ab1", resolve.ANYWHERE)], "alias_l string, border string")
+    held = spark.createDataFrame([(1, "x005930y"), (2, "1005930"), (3, "cab12"), (4, "005930 0059301")], "id long, title string")
+    assert sorted((x["id"], x["alias_l"]) for x in resolve.alias_matches(held, codes, ["title"]).collect()) == [(1, "005930"), (3, "ab1"), (4, "005930")]
+
+
 def test_points_are_capped_on_the_way(spark):
     items = spark.createDataFrame([(1, "alpha beta group", "alpha beta group", "alpha beta group")], "id long, title string, lead string, body string")
     aliases = spark.createDataFrame([("T", "alpha", "official_name", 1.0), ("T", "beta", "short", 1.0), ("U", "group", "short", 1.0)], "ticker string, alias string, alias_type string, weight double")
@@ -101,6 +129,22 @@ def test_fuzzy_titles_find_near_spellings(spark):
     assert [(x["id"], x["alias_l"]) for x in resolve.fuzzy_titles(texts, aliases).collect()] == [(1, "microsoft")]
 
 
+def test_fuzzy_titles_equal_brute_force(spark):
+    rng = random.Random(7)
+    words = ["abababababababab", "aaaaaaaaaaaaa", "samsungelectronics", "microsoft", "abcabcabcabc", "hynixhynix", "aaaa"] + ["".join(rng.choice("ab") for _ in range(rng.randint(2, 30))) for _ in range(40)]
+
+    def changed(w):
+        k = rng.randrange(len(w))
+        return rng.choice([w[:k] + rng.choice("abx") + w[k:], w[:k] + w[k + 1 :], w[:k] + "x" + w[k + 1 :], w])
+
+    titles = [(i, " ".join(changed(changed(rng.choice(words))) for _ in range(6))) for i in range(60)]
+    titles.append((99, "ababababababababa other"))
+    alike = lambda a, b: abs(len(a) - len(b)) <= 2 and SequenceMatcher(a=a, b=b).ratio() >= 0.92
+    expected = {(i, w) for i, x in titles for w in words if len(w) >= 4 and any(len(y) >= 2 and alike(w, y) for y in x.split())}
+    got = {(x["id"], x["alias_l"]) for x in resolve.fuzzy_titles(spark.createDataFrame(titles, "id long, title string"), spark.createDataFrame([(w,) for w in words], "alias_l string")).collect()}
+    assert got == expected and (99, "abababababababab") in got
+
+
 FEED = "market string, stock string, id long, rank_score double, hour int, url string, title string, line string, source string, doc_type string, relevance_score double, matched_alias string"
 
 
