@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, quality, simhash, spans, tokens, toxicity, vptree, warc
+from . import bpe, codes, decontaminate, infill, lines, pii, quality, simhash, spans, tokens, toxicity, vptree, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,7 +69,23 @@ def op9_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(vptree.build_index(vectors), vectors.where(F.col("vec_id") % 100 == 0), k=10, factor=1.0)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_quality, op4_sentence_spans, op5_toxicity, op6_surrogates, op7_bpe, op8_warc, op9_vptree, op10_simhash)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_decontamination, op2_token_files, op3_quality, op4_sentence_spans, op5_toxicity, op6_surrogates, op7_bpe, op8_warc, op9_vptree, op10_simhash, op11_fill_in_middle, op12_vector_codes, op13_line_dedup)
+}
 
 OP1_SQL = r"""
 WITH d AS (
@@ -108,4 +124,52 @@ d AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10"""
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op8_warc": OP8_SQL, "op9_vptree": OP9_SQL}
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (
+  SELECT doc_id, t, u, len(u) AS n, list_transform(range(0, 4), lambda i: CAST('0x' || substr(h, CAST(8 * i + 1 AS BIGINT), 8) AS BIGINT)) AS h FROM d),
+c AS (
+  SELECT doc_id, t, u, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS x, array_to_string(u[a + 1:b], '') AS y, array_to_string(u[b + 1:], '') AS z FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(y) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN t ELSE x || y || z END) AS restored_sha256
+FROM p"""
+
+
+def _op12_sql() -> str:
+    """Six rounds written one after another."""
+    far = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+    sql = """WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (SELECT rid, vec_id, part, q[part * len(q) // 8 + 1:(part + 1) * len(q) // 8] AS x FROM (SELECT *, unnest(range(0, 8)) AS part FROM v)),
+c0 AS MATERIALIZED (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, x AS c FROM p WHERE vec_id IN (SELECT DISTINCT vec_id FROM v ORDER BY vec_id LIMIT 16))"""
+    for k in range(7):
+        sql += f""",
+a{k} AS MATERIALIZED (SELECT rid, p.part, any_value(x) AS x, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT rid, p.part, x, entry, {far} AS d FROM p JOIN c{k} USING (part)) AS p GROUP BY rid, p.part)"""
+        if k < 6:
+            sql += f""",
+s{k} AS (SELECT part, entry, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS i FROM a{k}) GROUP BY part, entry, i),
+m{k} AS (SELECT part, entry, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{k} GROUP BY part, entry),
+c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.c, c.c) AS c FROM c{k} AS c LEFT JOIN m{k} AS m ON m.part = c.part AND m.entry = c.entry)"""
+    return sql + """,
+e AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY rid),
+b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS h FROM c6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM v JOIN e USING (rid), b"""
+
+
+OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (
+  SELECT rid, doc_id, i, l[i] AS line, translate(trim(l[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM d)),
+g AS (SELECT k, max(doc_id) AS keep FROM e WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT rid, doc_id, i, line, coalesce(doc_id <> keep, false) AS gone FROM e LEFT JOIN g ON g.k = e.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid, doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op11_fill_in_middle": OP11_SQL, "op12_vector_codes": _op12_sql(), "op13_line_dedup": OP13_SQL, "op1_decontamination": OP1_SQL, "op8_warc": OP8_SQL, "op9_vptree": OP9_SQL}
