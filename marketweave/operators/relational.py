@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import store
+
 #: Relevance gates by source, then by type; display gates; source weights.
 SOURCE_GATES = {"naver_news": 0.56, "naver_finance_research": 0.34, "sec_edgar": 0.12, "opendart": 0.12}
 CARD_WEIGHTS = {"news": 0.46, "research": 0.78, "filing": 0.66}
@@ -142,6 +146,33 @@ def common_values(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(value).agg(F.count_distinct(key).alias("k")).join(F.broadcast(n), F.col("k") == F.col("n")).select(value)
 
 
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """df with name, the place (from 1, long) of each row by order, within its key if there are keys. order must be total.
+
+    Rows are dealt to tasks by ranges of keys and order, counted by task and key, and numbered within those; what stands before is added up from the counts. So neither the whole
+    table nor one large key is ever in one task. The dealt rows are stored, as counts and rows must see the same ranges.
+    """
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    dealt = store(df.repartitionByRange(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys, *by).withColumn("__part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("__part", *keys).agg(F.count("*").alias("__n"))
+    if keys:
+        before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offsets = counts.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], before.alias("__before"))
+    else:
+        found, total = [], 0
+        for x in counts.orderBy("__part").collect():  # a row for each task
+            found.append((x["__part"], total))
+            total += x["__n"]
+        offsets = F.broadcast(df.sparkSession.createDataFrame(found, "__p int, __before long"))
+    on = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    within = dealt.withColumn("__within", F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*by)))
+    joined = within.join(offsets, on).withColumn(name, F.col("__before") + F.col("__within"))
+    return joined.drop("__part", "__p", "__before", "__within", *[f"__k{i}" for i in range(len(keys))])
+
+
 def first_wins(parts: Sequence[DataFrame], key: str, order: str) -> DataFrame:
     """Union of ranked lists; of equal keys the first list's row stays, and all get a new rank."""
     out = None
@@ -149,7 +180,7 @@ def first_wins(parts: Sequence[DataFrame], key: str, order: str) -> DataFrame:
         p = p.withColumn("__list", F.lit(i))
         out = p if out is None else out.unionByName(p)
     one = top_per_key(out, [key], [F.col("__list"), F.col(order)])
-    return one.withColumn("rank", F.row_number().over(Window.orderBy("__list", order, key))).drop("__list")
+    return numbered(one.drop("rank") if order != "rank" else one.withColumnRenamed("rank", "__order"), ["__list", order if order != "rank" else "__order", key], "rank").withColumn("rank", F.col("rank").cast("int")).drop("__list", "__order")
 
 
 def budget_prefix(cards: DataFrame, keys: Sequence[str], order: Sequence[Column], size: Column, budget: int, most: int = 80) -> DataFrame:
@@ -171,15 +202,25 @@ def chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: in
 
 
 def greedy_batches(df: DataFrame, keys: Sequence[str], order: str, size: Column, most_rows: int = 12, most_size: int = 6000) -> DataFrame:
-    """Rows packed in order into batches of at most most_rows rows and most_size size (a larger row stands alone): keys, order, size, batch."""
-    items = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), size.cast("long").alias("s")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("t"), F.expr("cast(array() as array<bigint>)").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        full = (a["n"] > 0) & ((a["n"] >= most_rows) | (a["t"] + x["s"] > most_size))
-        b = F.when(full, a["b"] + 1).otherwise(a["b"])
-        return F.struct(b.alias("b"), F.when(full, F.lit(1).cast("long")).otherwise(a["n"] + 1).alias("n"), F.when(full, x["s"]).otherwise(a["t"] + x["s"]).alias("t"), F.concat(a["out"], F.array(b)).alias("out"))
-
-    batch = F.aggregate("items", start, step, lambda a: a["out"])
-    pairs = F.explode(F.arrays_zip(F.col("items"), batch.alias("batch")))
-    return items.select(*keys, pairs.alias("p")).select(*keys, F.col("p.items.o").alias(order), F.col("p.items.s").alias("size"), F.col("p.batch").alias("batch"))
+    """Rows packed in order into batches of at most most_rows rows and most_size size (a larger row stands alone): keys, order, size, batch (from 0 in each key). Null sizes count as 0.
+
+    Each task walks its sorted rows once and carries the open batch from one Arrow batch to the next, so a key may have any number of rows; its packing is one walk by nature.
+    """
+    rows = df.select(*keys, order, F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, order, "size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, total, number = None, 0, 0, 0
+        for b in batches:
+            own = list(zip(*(b.column(k).to_pylist() for k in range(len(keys))))) if keys else [()] * b.num_rows
+            out = np.zeros(b.num_rows, np.int64)
+            for i, (key, s) in enumerate(zip(own, b.column("size").to_pylist())):
+                if key != last:
+                    last, n, total, number = key, 0, 0, 0
+                elif n >= most_rows or total + s > most_size:
+                    n, total, number = 0, 0, number + 1
+                n, total, out[i] = n + 1, total + s, number
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "batch"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return dealt.mapInArrow(run, f"{kinds}, batch long")

@@ -1,12 +1,14 @@
-"""Writes as new table states: every function returns what the table holds afterwards, for the caller to store by partition."""
+"""Writes as new table states: every function returns what the table holds afterwards. Those at the end are merges for the commits of a stored table, which rewrite touched buckets only."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from .relational import numbered
+
 
 def _key(keys: Sequence[str]) -> list:
     return [F.col(k) for k in keys]
@@ -51,8 +53,8 @@ def guarded_upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], force: b
 
 
 def refresh_universe(old: DataFrame, new: DataFrame) -> DataFrame:
-    """code, rank, is_active after a refresh: listed stocks are active with their rank or place, all other old ones inactive. new: code, rank, pos."""
-    ranked = new.select("code", F.coalesce(F.col("rank"), F.row_number().over(Window.orderBy("pos"))).alias("new_rank"))
+    """code, rank, is_active after a refresh: listed stocks are active with their rank or place, all other old ones inactive. new: code, rank, pos (unique)."""
+    ranked = numbered(new.select("code", "rank", "pos"), ["pos"], "place").select("code", F.coalesce("rank", F.col("place").cast("int")).alias("new_rank"))
     joined = old.select("code", F.col("rank").alias("old_rank")).join(ranked, "code", "full_outer")
     return joined.select("code", F.coalesce("new_rank", "old_rank").alias("rank"), F.col("new_rank").isNotNull().alias("is_active"))
 
@@ -70,3 +72,54 @@ def canonical_merge(docs: DataFrame, children: DataFrame, key: str, child: str)
     ids = mapped.select(F.col("id").alias(child), "__to")
     moved = children.join(ids, child, "left").withColumn(child, F.coalesce("__to", child)).drop("__to").dropDuplicates()
     return mapped.where("id = __to").drop("__to"), moved
+
+
+Merge = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def _kept(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool) -> DataFrame:
+    """One whole row per key: the first or last by order among old rows (__new is 0; columns that only new has are null) and new ones."""
+    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    pick = F.max_by if last else F.min_by
+    return both.groupBy(*keys).agg(pick(F.struct(*old.columns), F.struct(*order)).alias("r")).select("r.*")
+
+
+def upserts(keys: Sequence[str], version: str | None = None) -> Merge:
+    """Last write wins, see upsert."""
+    return lambda old, new: _kept(old, new, keys, ["__new", *([version] if version else [])], True)
+
+
+def inserts(keys: Sequence[str], seq: str) -> Merge:
+    """Rows of known keys change nothing, of new ones the smallest seq is inserted. A commit's counts tell how many of the offered rows were inserted."""
+    return lambda old, new: _kept(old, new, keys, ["__new", seq], False)
+
+
+def firsts(keys: Sequence[str], order: Sequence[str]) -> Merge:
+    """The first row of each key by order (columns of the table, total within a key), whenever it comes: any order of batches gives the same table."""
+    return lambda old, new: _kept(old, new, keys, order, False)
+
+
+def guards(keys: Sequence[str], force: bool = False) -> Merge:
+    """Manual rows stay unless forced, see guarded_upsert."""
+    return lambda old, new: guarded_upsert(old, new.select(*old.columns), keys, force)
+
+
+def children(parent: str) -> Merge:
+    """New children stand for all old ones of their parent. The table's buckets must be dealt by parent."""
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.withColumn("__new", F.lit(0)).unionByName(new.select(*old.columns).withColumn("__new", F.lit(1)))
+        replaced = new.select(parent).distinct().withColumn("__replaced", F.lit(True))
+        return both.join(replaced, parent, "left").where("__new = 1 OR __replaced IS NULL").select(*old.columns)
+
+    return merge
+
+
+def richer(keys: Sequence[str], seq: str) -> Merge:
+    """Versions merged into what is stored, see merge_richer: the stored row counts as the first version. The table has no seq."""
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        first = F.lit(-(1 << 62)).cast("long").alias(seq)
+        return merge_richer(old.select("*", first).unionByName(new.select(*old.columns, F.col(seq).cast("long").alias(seq))), keys, seq)
+
+    return merge

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as r
 from ..operators import sinks
+from ..operators.stored import Table, scratch
 from .registry import AS_OF, register, view
 
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -317,8 +318,8 @@ def w3(s: SparkSession, d: str) -> DataFrame:
 
 @register("w4_rank_assignment", "SELECT code, coalesce(rank, CAST(row_number() OVER (PARTITION BY market ORDER BY price DESC, code) AS INT)) AS rank FROM fx_stocks")
 def w4(s: SparkSession, d: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("market").orderBy(F.col("price").desc(), "code"))
-    return view(s, d, "fx_stocks").select("code", F.coalesce("rank", place).alias("rank"))
+    placed = r.numbered(view(s, d, "fx_stocks").select("code", "market", "price", "rank"), [F.col("price").desc(), "code"], "place", ["market"])
+    return placed.select("code", F.coalesce("rank", F.col("place").cast("int")).alias("rank"))
 
 
 @register("w7_newest_of_type", f"SELECT id, lang FROM fx_documents WHERE doc_type = 'filing' AND lang = 'en' ORDER BY {EVENT} DESC, id DESC LIMIT 20")
@@ -358,7 +359,7 @@ def u4(s: SparkSession, d: str) -> DataFrame:
 def u5(s: SparkSession, d: str) -> DataFrame:
     stocks = view(s, d, "fx_stocks")
     listed = stocks.where("market = 'US' AND rank IS NOT NULL").select("code", "rank")
-    by_price = stocks.select("code", F.row_number().over(Window.orderBy(F.col("price").desc(), "code")).alias("rank"))
+    by_price = r.numbered(stocks.select("code", "price"), [F.col("price").desc(), "code"], "rank").select("code", F.col("rank").cast("int").alias("rank"))
     return r.first_wins([listed, by_price], "code", "rank").select("code", "rank")
 
 
@@ -452,3 +453,71 @@ def s13(s: SparkSession, d: str) -> DataFrame:
 def d7(s: SparkSession, d: str) -> DataFrame:
     docs = view(s, d, "fx_documents").withColumn("key", F.concat_ws("|", "source", "url"))
     return sinks.canonical_merge(docs, view(s, d, "labels").join(docs.select(F.col("id").alias("doc_id")), "doc_id"), "key", "doc_id")[1]
+
+
+def stored(s: SparkSession, rows: DataFrame, keys: list[str], buckets: int = 16) -> Table:
+    """A new stored table with the columns of rows, and rows as its first version."""
+    table = Table.create(s, scratch(s, "table"), rows.schema, keys, buckets)
+    table.commit(rows, lambda old, new: new)
+    return table
+
+
+@register("s7_stored_upsert", "SELECT id, title, CAST(CASE WHEN id % 3 = 0 THEN 3 WHEN id % 5 = 0 THEN 2 ELSE 1 END AS INT) AS version FROM (SELECT id, CASE WHEN id % 3 = 0 THEN 'newest' WHEN id % 5 = 0 THEN 'new' ELSE title END AS title FROM fx_documents WHERE id % 2 = 0 OR id % 3 = 0 OR id % 5 = 0) AS t")
+def s7_stored(s: SparkSession, d: str) -> DataFrame:
+    docs = view(s, d, "fx_documents").select("id", "title")
+    put = lambda k, title, n: docs.where(f"id % {k} = 0").select("id", (F.lit(title) if title else F.col("title")).alias("title"), F.lit(n).alias("version"))
+    table = stored(s, put(2, None, 1), ["id"])
+    table.commit(put(5, "new", 2).unionByName(put(3, "new", 1)), sinks.upserts(["id"], "version"))
+    table.commit(put(3, "newest", 3), sinks.upserts(["id"], "version"))
+    return table.read()
+
+
+@register("s8_counted_inserts", """WITH k AS (SELECT stock_code, source, url, bool_or(id % 4 = 0) AS known, count(*) AS n FROM fx_documents GROUP BY ALL)
+  SELECT CAST((SELECT count(*) FROM fx_documents) AS BIGINT) AS offered, count(*) FILTER (WHERE NOT known) AS inserted, CAST(sum(n) - count(*) FILTER (WHERE NOT known) AS BIGINT) AS skipped, count(*) AS in_table FROM k""")
+def s8_counted(s: SparkSession, d: str) -> DataFrame:
+    """Counted by the jobs that write."""
+    docs, keys = view(s, d, "fx_documents").select("stock_code", "source", "url", "id"), ["stock_code", "source", "url"]
+    table = Table.create(s, scratch(s, "table"), docs.schema, keys, 16)
+    table.commit(docs.where("id % 4 = 0"), sinks.inserts(keys, "id"))
+    done = table.commit(docs, sinks.inserts(keys, "id"))
+    return table.history().where(F.col("version") == done.version).select("offered", "inserted", "skipped", F.lit(done.counts["after"]).cast("long").alias("in_table"))
+
+
+@register("a7_commit_counts", """WITH d AS (SELECT *, row_number() OVER (PARTITION BY stock_code, source, url ORDER BY CASE source WHEN 'naver_news' THEN 1 WHEN 'sec_edgar' THEN 2 ELSE 3 END, id) AS n FROM fx_documents)
+  SELECT CAST(CASE source WHEN 'naver_news' THEN 1 WHEN 'sec_edgar' THEN 2 ELSE 3 END AS BIGINT) AS version, count(*) AS offered, count(*) FILTER (WHERE n = 1) AS inserted, count(*) FILTER (WHERE n > 1) AS skipped FROM d GROUP BY source""")
+def a7_commits(s: SparkSession, d: str) -> DataFrame:
+    """The documents of one source after another: what each commit of the table fetched, inserted and skipped."""
+    docs, keys = view(s, d, "fx_documents").select("stock_code", "source", "url", "id"), ["stock_code", "source", "url"]
+    table = Table.create(s, scratch(s, "table"), docs.schema, keys, 16)
+    for source in ("naver_news", "sec_edgar", "naver_finance_research"):
+        table.commit(docs.where(F.col("source") == source), sinks.inserts(keys, "id"))
+    return table.history().where("version > 0")
+
+
+@register("s9_stored_merge", """SELECT stock_code, source, url, min(id) AS id, arg_min(doc_type, id) AS doc_type, arg_max(title, (length(title), -id)) AS title, arg_max(body, (length(body), -id)) AS body, max(relevance_score) AS relevance_score,
+  arg_max(published_at, id) FILTER (WHERE published_at IS NOT NULL) AS published_at, arg_max(collected_at, id) AS collected_at FROM fx_documents GROUP BY stock_code, source, url""")
+def s9_stored(s: SparkSession, d: str) -> DataFrame:
+    """The documents in three batches, each merged into what the buckets that it touches hold."""
+    docs = view(s, d, "fx_documents").withColumn("seq", F.col("id"))
+    keys = ["stock_code", "source", "url"]
+    shape = sinks.merge_richer(docs, keys, "seq")
+    table = Table.create(s, scratch(s, "table"), shape.schema, keys, 16)
+    bounds = docs.approxQuantile("id", [1 / 3, 2 / 3], 0.01)
+    for part in (F.col("id") < bounds[0], (F.col("id") >= bounds[0]) & (F.col("id") < bounds[1]), F.col("id") >= bounds[1]):
+        table.commit(docs.where(part), sinks.richer(keys, "seq"))
+    return table.read()
+
+
+@register("s10_stored_children", "SELECT stock_code, sector_code FROM fx_stock_sector_map WHERE CAST(stock_code AS INT) % 3 <> 0 UNION ALL SELECT code, brand FROM fx_stocks WHERE CAST(code AS INT) % 3 = 0")
+def s10_stored(s: SparkSession, d: str) -> DataFrame:
+    table = stored(s, view(s, d, "fx_stock_sector_map").select("stock_code", "sector_code"), ["stock_code"])
+    table.commit(view(s, d, "fx_stocks").where("CAST(code AS INT) % 3 = 0").select(F.col("code").alias("stock_code"), F.col("brand").alias("sector_code")), sinks.children("stock_code"))
+    return table.read()
+
+
+@register("s11_stored_guard", "SELECT code, CASE WHEN is_active AND CAST(code AS INT) % 2 = 0 THEN name ELSE brand END AS name, is_active AND CAST(code AS INT) % 2 = 0 AS is_manual FROM fx_stocks")
+def s11_stored(s: SparkSession, d: str) -> DataFrame:
+    stocks = view(s, d, "fx_stocks")
+    table = stored(s, stocks.select("code", "name", (F.col("is_active") & (F.col("code").cast("int") % 2 == 0)).alias("is_manual")), ["code"])
+    table.commit(stocks.select("code", F.col("brand").alias("name"), F.lit(False).alias("is_manual")), sinks.guards(["code"]))
+    return table.read()

@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stored import scratch
 from ..sources import schemas
 from ..sources import payloads as p
 from ..streaming import jobs
 from .registry import register, view
 
 
-def scratch(s: SparkSession, name: str) -> str:
-    """A new folder that all executors see."""
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not s.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="marketweave-")
-        atexit.register(shutil.rmtree, folder, True)
-        base = f"file://{folder}"
-    return f"{base}/marketweave-{name}-{uuid.uuid4().hex}"
-
-
 def _ordered(order: str, value):
     return F.transform(F.array_sort(F.collect_list(F.struct(order, value.alias("v")))), lambda x: x["v"])
 

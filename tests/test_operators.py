@@ -3,12 +3,14 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from marketweave.functions import text as t
-from marketweave.operators import dedup, evidence, resolve, sinks, summaries
+from marketweave.operators import dedup, evidence, resolve, sinks, stored, summaries
 from marketweave.operators import relational as r
+from marketweave.operators.stored import Table
 from marketweave.sources import payloads, schemas
 from marketweave.streaming import jobs
 
@@ -63,6 +65,111 @@ def test_upsert_is_idempotent_and_the_last_version_wins(spark):
     assert sorted(once.collect()) == sorted(twice.collect()) == [Row(id=1, v="a", version=0), Row(id=2, v="d", version=2), Row(id=3, v="e", version=1)]
 
 
+def some_table(spark, path, rows, buckets=8):
+    table = Table.create(spark, path, spark.createDataFrame([], "id long, v string, version long").schema, ["id"], buckets)
+    table.commit(spark.createDataFrame(rows, "id long, v string, version long"), sinks.upserts(["id"], "version"))
+    return table
+
+
+def test_commits_touch_their_buckets_only_and_readers_keep_their_version(spark, tmp_path):
+    table = some_table(spark, f"file://{tmp_path}/t", [(i, "a", 0) for i in range(40)])
+    before = table.read()
+    old = table.snapshot()
+    done = table.commit(spark.createDataFrame([(1, "b", 1), (1, "c", 2), (99, "d", 1)], "id long, v string, version long"), sinks.upserts(["id"], "version"))
+    changed = {b for b in done.folders if done.folders[b] != old.folders.get(b)}
+    assert 1 <= len(changed) <= 2 and len(old.folders) == 8
+    assert sorted(tuple(x) for x in before.collect()) == [(i, "a", 0) for i in range(40)]
+    now = {x["id"]: x["v"] for x in table.read().collect()}
+    assert now == {**{i: "a" for i in range(40)}, 1: "c", 99: "d"} and table.read(1).count() == 40
+    assert done.counts["offered"] == 3 and done.counts["after"] - done.counts["before"] == 1
+    assert {x["id"] for x in table.changed(1).collect()} >= {1, 99} and len(set(table.changed(1).inputFiles())) == len(changed)
+    assert [tuple(x) for x in table.history().orderBy("version").collect()] == [(0, 0, 0, 0), (1, 40, 40, 0), (2, 3, 1, 2)]
+    assert table.vacuum(keep=1) > 0 and {x["id"]: x["v"] for x in table.read().collect()} == now and table.versions() == [2]
+
+
+def test_a_writer_that_dies_before_its_manifest_changes_nothing(spark, tmp_path, monkeypatch):
+    table = some_table(spark, f"file://{tmp_path}/t", [(1, "a", 0), (2, "b", 0)])
+
+    def dies(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(stored, "_put", dies)
+        with pytest.raises(OSError, match="gone"):
+            table.commit(spark.createDataFrame([(1, "x", 5)], "id long, v string, version long"), sinks.upserts(["id"]))
+    assert sorted(x["v"] for x in table.read().collect()) == ["a", "b"] and table.versions() == [0, 1]
+    with pytest.raises(Exception, match="no such"):  # nor does one that fails while it merges
+        table.commit(spark.createDataFrame([(1, "x", 5)], "id long, v string, version long"), lambda old, new: old.withColumn("v", F.raise_error(F.lit("no such")).cast("string")))
+    assert sorted(x["v"] for x in table.read().collect()) == ["a", "b"]
+
+
+def test_commits_that_meet_are_both_kept(spark, tmp_path):
+    schema = "id long, v string, version long"
+    table = some_table(spark, f"file://{tmp_path}/t", [(i, "a", 0) for i in range(20)], 4)
+    calls = []
+
+    def meets(old, new):
+        if not calls:
+            calls.append(1)
+            Table(spark, table.path).commit(spark.createDataFrame([(i, "other", 1) for i in range(20)], schema), sinks.upserts(["id"], "version"))
+        calls.append(2)
+        return sinks.upserts(["id"], "version")(old, new)
+
+    table.commit(spark.createDataFrame([(3, "mine", 2)], schema), meets)
+    assert {x["id"]: x["v"] for x in table.read().collect()} == {**{i: "other" for i in range(20)}, 3: "mine"} and calls == [1, 2, 2]
+    again = table.commit(spark.createDataFrame([(4, "once", 3)], schema), sinks.upserts(["id"]), "feed", 7)
+    assert table.commit(spark.createDataFrame([(4, "twice", 3)], schema), sinks.upserts(["id"]), "feed", 7).version == again.version
+    assert table.read().where("id = 4").first()["v"] == "once"
+    emptied = table.commit(spark.createDataFrame([(i, "", 0) for i in range(20)], schema), lambda old, new: old.where("false"))
+    assert emptied.folders == {} and table.read().count() == 0 and table.commit(table.read(), sinks.upserts(["id"])).counts["offered"] == 0
+
+
+def test_first_rows_are_the_same_in_any_order_of_batches(spark, tmp_path):
+    rng, schema = random.Random(3), "url string, published long, item long"
+    rows = [(f"u{rng.randint(0, 9)}", rng.randint(0, 5), i) for i in range(60)]
+    want = {u: min((p, i) for x, p, i in rows if x == u) for u in {r[0] for r in rows}}
+    for n in range(2):
+        rng.shuffle(rows)
+        table = Table.create(spark, f"file://{tmp_path}/t{n}", spark.createDataFrame([], schema).schema, ["url"], 4)
+        for k in range(0, 60, 20):
+            table.commit(spark.createDataFrame(rows[k : k + 20], schema), sinks.firsts(["url"], ["published", "item"]))
+        assert {x["url"]: (x["published"], x["item"]) for x in table.read().collect()} == want
+
+
+def test_places_over_ranges_of_tasks(spark):
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.5 else rng.choice("ab"), rng.randint(0, 9), i) for i in range(500)] + [(None, 1, 1_000), (None, 0, 1_001)]
+    df = spark.createDataFrame(rows, "k string, v int, id long")
+    plain = r.numbered(df, [F.col("v").desc(), "id"], "n")
+    assert [x["id"] for x in plain.orderBy("n").collect()] == [i for _, _, i in sorted(rows, key=lambda x: (-x[1], x[2]))] and plain.agg(F.max("n")).first()[0] == 502
+    assert "SinglePartition" not in plain._jdf.queryExecution().executedPlan().toString()
+    by = {}
+    for k, _, i in sorted(rows, key=lambda x: (-x[1], x[2])):
+        by.setdefault(k, []).append(i)
+    keyed = r.numbered(df, [F.col("v").desc(), "id"], "n", ["k"])
+    assert {(x["k"], x["id"]): x["n"] for x in keyed.collect()} == {(k, i): n + 1 for k, ids in by.items() for n, i in enumerate(ids)}
+    assert r.numbered(df.limit(0), ["id"], "n").count() == 0
+
+
+def test_packing_goes_on_across_arrow_batches(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "a", None]), i, rng.choice([0, 10, 500, 3000, 7000, None])) for i in range(400)]
+    expected = {}
+    for key in {k for k, _, _ in rows}:
+        batch, n, total = 0, 0, 0
+        for i, s in sorted((i, s or 0) for k, i, s in rows if k == key):
+            if n and (n >= 12 or total + s > 6000):
+                batch, n, total = batch + 1, 0, 0
+            n, total = n + 1, total + s
+            expected[key, i] = batch
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = r.greedy_batches(spark.createDataFrame(rows, "k string, id long, s int"), ["k"], "id", F.col("s")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(x["k"], x["id"]): x["batch"] for x in got} == expected
+
+
 def test_richer_text_wins_and_ties_keep_the_older(spark):
     rows = spark.createDataFrame([(1, "u", "news", "ab", None, 0.5, T0, T0, 1), (2, "u", "report", "cd", "x", 0.2, None, T0, 2)], "id long, url string, doc_type string, title string, body string, relevance_score double, published_at timestamp, collected_at timestamp, seq long")
     got = sinks.merge_richer(rows, ["url"], "seq").first()
