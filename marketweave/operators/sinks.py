@@ -99,6 +99,11 @@ def firsts(keys: Sequence[str], order: Sequence[str]) -> Merge:
     return lambda old, new: _kept(old, new, keys, order, False)
 
 
+def lasts(keys: Sequence[str], order: Sequence[str]) -> Merge:
+    """The last row of each key by order, whenever it comes."""
+    return lambda old, new: _kept(old, new, keys, order, True)
+
+
 def guards(keys: Sequence[str], force: bool = False) -> Merge:
     """Manual rows stay unless forced, see guarded_upsert."""
     return lambda old, new: guarded_upsert(old, new.select(*old.columns), keys, force)

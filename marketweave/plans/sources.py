@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.stored import scratch
+from ..operators.stored import Table, scratch
 from ..sources import schemas
 from ..sources import payloads as p
 from ..streaming import jobs
@@ -74,10 +74,10 @@ def s14(s: SparkSession, d: str) -> DataFrame:
     return p.listings(payload, stocks)
 
 
-@register("s15_company_codes", "SELECT code AS stock_code, lpad(CAST(CAST(code AS INT) * 7 AS VARCHAR), 8, '0') AS corp_code, name AS corp_name FROM fx_stocks WHERE is_active AND CAST(code AS INT) % 3 <> 0")
+@register("s15_company_codes", "SELECT code AS stock_code, lpad(CAST(CAST(code AS INT) * 7 AS VARCHAR), 8, '0') AS corp_code, name || CASE WHEN CAST(code AS INT) % 2 = 0 THEN ' & Co' ELSE ' <A> & B' END AS corp_name FROM fx_stocks WHERE is_active AND CAST(code AS INT) % 3 <> 0")
 def s15(s: SparkSession, d: str) -> DataFrame:
     n = F.col("code").cast("int")
-    item = F.concat(F.lit("<list><corp_code>"), F.lpad((n * 7).cast("string"), 8, "0"), F.lit("</corp_code><corp_name> "), "name", F.lit("</corp_name><stock_code>"), F.when(n % 3 == 0, " ").otherwise(F.col("code")), F.lit("</stock_code></list>"))
+    item = F.concat(F.lit("<list><corp_code>"), F.lpad((n * 7).cast("string"), 8, "0"), F.lit("</corp_code><corp_name> "), F.when(n % 2 == 0, F.concat("name", F.lit(" &amp; Co"))).otherwise(F.concat(F.lit("<![CDATA["), "name", F.lit(" <A> & B]]>"))), F.lit("</corp_name><stock_code>"), F.when(n % 3 == 0, " ").otherwise(F.col("code")), F.lit("</stock_code></list>"))
     xml = view(s, d, "fx_stocks").groupBy((n % 16).alias("k")).agg(F.concat(F.lit("<result>"), F.array_join(F.collect_list(item), "\n"), F.lit("</result>")).alias("xml"))
     return p.company_codes(xml, view(s, d, "fx_stocks"))
 
@@ -140,6 +140,14 @@ def t2(s: SparkSession, d: str) -> DataFrame:
     return _finished(s, jobs.first_per_url(_stream(s, d), "3650 days"), "t2").select("url_hash")
 
 
+@register("t2_first_of_all", "SELECT sha256('https://news.example.com/a/' || (doc_id // 3)) AS url_hash, min(doc_id) AS item_id FROM documents WHERE trim(regexp_replace(left(text, 60), '\\s+', ' ', 'g')) <> '' GROUP BY doc_id // 3")
+def t2_of_all(s: SparkSession, d: str) -> DataFrame:
+    """Exact, without a watermark: addresses are kept in a stored table."""
+    path = scratch(s, "t2-table")
+    jobs.first_items(_stream(s, d).select("item_id", "url_hash", "published_at"), path, f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return Table(s, path).read().select("url_hash", "item_id")
+
+
 @register("t4_mapped_batches", "SELECT doc_id AS item_id, CASE WHEN doc_id % 2 = 0 THEN 'mapped' ELSE 'skipped' END AS status FROM documents WHERE trim(regexp_replace(left(text, 60), '\\s+', ' ', 'g')) <> ''")
 def t4(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "t4")

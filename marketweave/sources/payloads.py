@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -50,57 +50,68 @@ def shaped_aliases(raw: DataFrame) -> DataFrame:
     return out.where("ticker <> '' AND alias <> ''")
 
 
-class _Article(HTMLParser):
-    """Paragraphs inside article, main and body, and all text outside scripts and styles."""
+#: Where articles stand in pages, in the order of trial; elements that hold nothing or nothing to read.
+CONTAINERS = ("article", "main", "#articletxt", "#dic_area", ".article-body", ".news_cnt_detail_wrap")
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem", "meta", "param", "source", "track", "wbr"))
+UNREAD = frozenset(("script", "style", "template"))
+
 
-    HIDDEN = {"script", "style", "noscript", "template", "title"}
-    CONTAINERS = ("article", "main", "body")
+class _Article(HTMLParser):
+    """Texts of the paragraphs inside the first element that each selector (tag, #id or .class) picks, and of the whole page, in one pass over its tags."""
 
-    def __init__(self):
+    def __init__(self, selectors: Sequence[str]):
         super().__init__()
-        self.open, self.hidden, self.inside, self.text = dict.fromkeys(self.CONTAINERS, 0), 0, False, []
-        self.parts = {c: [] for c in self.CONTAINERS}
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.HIDDEN:
-            self.hidden += 1
-        elif tag in self.open:
-            self.open[tag] += 1
-        elif tag == "p":
-            self.inside = True
-            for c, n in self.open.items():
-                if n:
-                    self.parts[c].append([])
-
-    def handle_endtag(self, tag):
-        if tag in self.HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in self.open:
-            self.open[tag] = max(0, self.open[tag] - 1)
-            self.inside = False
-        elif tag == "p":
-            self.inside = False
-
-    def handle_data(self, data):
-        if self.hidden:
-            return
-        self.text.append(data)
-        if self.inside:
-            for c, n in self.open.items():
-                if n and self.parts[c]:
-                    self.parts[c][-1].append(data)
-
-
-def article_text(html: str | None, least: int = 12, most: int = 10, longest: int = 3000) -> str:
-    """The first paragraphs of the innermost container that has any, else the page's text."""
-    parser = _Article()
+        self.selectors, self.path, self.text = selectors, [], []
+        #: Of each selector that has met its element: the paragraphs inside.
+        self.parts: dict[str, list[list[str]]] = {}
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        """An open element is its tag, the selectors that it is the first of, and, of a paragraph, the lists that its text goes to."""
+        named = dict(attrs)
+        picks = {tag, f"#{named.get('id')}", *(f".{c}" for c in (named.get("class") or "").split())}
+        first = [s for s in self.selectors if s in picks and s not in self.parts]
+        inside = [s for _, ss, _ in self.path for s in ss]
+        heard: list[list[str]] = []
+        if tag == "p":
+            for s in inside:
+                heard.append([])
+                self.parts[s].append(heard[-1])
+        for s in first:
+            self.parts[s] = []
+        if tag not in VOID:
+            self.path.append((tag, first, heard))
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.path.pop()
+
+    def handle_endtag(self, tag: str) -> None:
+        """Closes the innermost open element of this tag, and what is open inside it."""
+        at = next((k for k in reversed(range(len(self.path))) if self.path[k][0] == tag), None)
+        if at is not None:
+            del self.path[at:]
+
+    def handle_data(self, data: str) -> None:
+        data = data.strip()
+        if data and not any(tag in UNREAD for tag, _, _ in self.path):
+            self.text.append(data)
+            for _, _, heard in self.path:
+                for h in heard:
+                    h.append(data)
+
+
+def article_text(html: str | None, least: int = 12, most: int = 10, longest: int = 3000, containers: Sequence[str] = CONTAINERS) -> str:
+    """The first paragraphs of least characters inside the first container that has any, else the beginning of the page's text."""
+    parser = _Article(containers)
     parser.feed(html or "")
     parser.close()
-    for c in _Article.CONTAINERS:
-        found = [p for p in (" ".join("".join(x).split()) for x in parser.parts[c]) if len(p) >= least]
+    joined = lambda parts: " ".join(" ".join(parts).split())
+    for c in containers:
+        found = [p for p in map(joined, parser.parts.get(c, [])) if len(p) >= least]
         if found:
             return "\n".join(found[:most])
-    return " ".join("".join(parser.text).split())[:longest]
+    return joined(parser.text)[:longest]
 
 
 def articles(pages: DataFrame) -> DataFrame:
@@ -131,12 +142,16 @@ def listings(payload: DataFrame, stocks: DataFrame) -> DataFrame:
 
 
 def company_codes(xml: DataFrame, stocks: DataFrame) -> DataFrame:
-    """stock_code, corp_code, corp_name from rows of XML (column xml, an element list each) with 8-digit company and 6-digit stock codes of active stocks."""
-    field = lambda n: F.trim(F.regexp_extract("e", rf"(?s)<{n}>(.*?)</{n}>", 1))
-    each = xml.select(F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<list>(.*?)</list>"), F.lit(1))).alias("e"))
-    rows = each.select(field("stock_code").alias("stock_code"), field("corp_code").alias("corp_code"), field("corp_name").alias("corp_name"))
+    """stock_code, corp_code, corp_name from rows of XML (column xml: a root element with an element list for each company) with 8-digit company and 6-digit stock codes of active stocks.
+
+    A real reader: entities, CDATA and attributes are understood. Rows that are no XML, or null, give nothing. Of several entries of a stock the last of a row counts.
+    """
+    entries = F.from_xml(F.col("xml"), "list array<struct<corp_code:string,corp_name:string,stock_code:string>>")
+    each = xml.select(entries.alias("x")).select(F.posexplode("x.list").alias("pos", "e"))
+    rows = each.select("pos", *[t.compact(F.col(f"e.{c}")).alias(c) for c in ("stock_code", "corp_code", "corp_name")])
     good = rows.where(F.col("stock_code").rlike(r"^\d{6}$") & F.col("corp_code").rlike(r"^\d{8}$"))
-    return good.join(stocks.where("is_active").select(F.col("code").alias("stock_code")), "stock_code", "left_semi")
+    last = good.groupBy("stock_code").agg(F.max_by(F.struct("corp_code", "corp_name"), "pos").alias("r")).select("stock_code", "r.*")
+    return last.join(stocks.where("is_active").select(F.col("code").alias("stock_code")), "stock_code", "left_semi")
 
 
 def news_items(payload: DataFrame, most: int = 20) -> DataFrame:

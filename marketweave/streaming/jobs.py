@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import text as t
+from ..operators import sinks
+from ..operators.stored import Conflict, Table
 
 
 def feed_items(raw: DataFrame) -> DataFrame:
@@ -38,7 +41,9 @@ class _LastItem(StatefulProcessor):
         before, until = self.last.get() if self.last.exists() else (None, 0)
         ids = [int(x) for x in found["item_id"]]
         earlier = [before, *ids[:-1]]
-        until = max(until, int(found["published_at"].max().timestamp() * 1000) + self.remembered_ms)
+        newest = found["published_at"].max()  # items without a date count as of the watermark
+        at = timerValues.getCurrentWatermarkInMs() if pd.isna(newest) else int(newest.timestamp() * 1000)
+        until = max(until, at + self.remembered_ms)
         self.last.update((ids[-1], until))
         self.handle.registerTimer(until)
         yield pd.DataFrame({"item_id": ids, "content_hash": key[0], "duplicate_of": pd.array(earlier, dtype="Int64"), "status": ["new" if e is None else "skipped" for e in earlier]})
@@ -53,7 +58,7 @@ class _LastItem(StatefulProcessor):
 
 
 def mark_duplicates(items: DataFrame, remembered_days: float = 30, lateness: str = "7 days") -> DataFrame:
-    """item_id, content_hash, duplicate_of (the item of the same content that came before), status.
+    """item_id, content_hash, duplicate_of (the item of the same content that came before), status. Items without a date come last in their batch.
 
     A content that did not return within remembered_days (by published_at, behind a watermark of lateness) is forgotten, so state is bounded; a table never forgets.
     """
@@ -62,54 +67,80 @@ def mark_duplicates(items: DataFrame, remembered_days: float = 30, lateness: str
     return grouped.transformWithStateInPandas(_LastItem(int(remembered_days * 86_400_000)), schema, "Append", "EventTime")
 
 
+#: What tells in an error that storage or machines failed, not the work.
+NOT_THE_WORK = ("java.io.", "FileNotFound", "No space left", "OutOfMemory", "ExecutorLost", "MetadataFetchFailed", "FetchFailed")
+
+
 def per_batch(stream: DataFrame, target: str, keys: list[str], work: Callable[[DataFrame], DataFrame], checkpoint: str, keep: list[str] | None = None) -> DataStreamWriter:
     """Applies work to each micro-batch and writes the result under target by batch number. A batch that is run again replaces its own output, so a restart repeats nothing.
 
-    With keep, a batch whose work or writing fails doesn't stop the stream: its rows are written with these columns and status error, for a later attempt. Work is evaluated once.
+    With keep, a batch whose work fails doesn't stop the stream: its rows are written with these columns, status error and the message in error, for failed() to read. Errors of storage
+    or machines are raised, as the same batch may succeed later. Work is evaluated once.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         to = f"{target}/batch={number}"
+        none = F.lit(None).cast("string").alias("error")
         try:
             done = work(batch)
-            (done if keep is None else done.select(*keep, "status")).dropDuplicates(keys).write.mode("overwrite").parquet(to)
-        except Exception:
-            if keep is None:
+            (done if keep is None else done.select(*keep, "status", none)).dropDuplicates(keys).write.mode("overwrite").parquet(to)
+        except Exception as e:
+            said = str(e)
+            if keep is None or any(x in said for x in NOT_THE_WORK):
                 raise
-            batch.select(*keep).withColumn("status", F.lit("error")).dropDuplicates(keys).write.mode("overwrite").parquet(to)
+            logging.getLogger(__name__).warning("batch %s is marked as failed: %s", number, said.splitlines()[0] if said else type(e).__name__)
+            batch.select(*keep).withColumns({"status": F.lit("error"), "error": F.lit((said or type(e).__name__)[:500])}).dropDuplicates(keys).write.mode("overwrite").parquet(to)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
-BAR = ["stock_code", "trade_date"]
+def failed(spark: SparkSession, target: str) -> DataFrame:
+    """Rows that per_batch marked as failed, with the message and the batch, for another attempt."""
+    return spark.read.parquet(target).where("status = 'error'")
 
 
-def _numbers(spark: SparkSession, target: str, kind: str) -> list[int]:
-    """Numbers of the written folders <kind>=<number> under target."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/{kind}=*/_SUCCESS")
-    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
-    return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in found)
+def commits(stream: DataFrame, table: Table, merge: sinks.Merge, checkpoint: str) -> DataStreamWriter:
+    """Merges each micro-batch into a stored table. The table remembers the last batch of this checkpoint, so a batch that is run again changes nothing."""
 
+    def run(batch: DataFrame, number: int) -> None:
+        table.commit(batch, merge, checkpoint, number)
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
-def bars(spark: SparkSession, target: str) -> DataFrame:
-    """The table that upsert_bars keeps under target: the last whole state and the corrections written since, of each bar the latest version."""
-    states = _numbers(spark, target, "state")
-    paths = [f"{target}/state={states[-1]}"] if states else []
-    paths += [f"{target}/delta={n}" for n in _numbers(spark, target, "delta") if not states or n > states[-1]]
-    found = spark.read.parquet(*paths)
-    return found.groupBy(*BAR).agg(F.max_by(F.struct(*found.columns), "version").alias("r")).select("r.*")
 
+def _table(stream: DataFrame, target: str, keys: list[str], buckets: int) -> Table:
+    """The table under target; it is made if it isn't there."""
+    table = Table(stream.sparkSession, target)
+    if not table.versions():
+        try:
+            return Table.create(stream.sparkSession, target, stream.schema, keys, buckets)
+        except Conflict:  # another job made it just now
+            pass
+    return table
 
-def upsert_bars(stream: DataFrame, target: str, checkpoint: str, compact_every: int = 32) -> DataStreamWriter:
-    """Late corrections (stock_code, trade_date, close, version) overwrite earlier bars. A batch writes its own latest versions only; every compact_every batches the whole state is written.
 
-    A batch that is run again replaces its own folders. bars() reads the table.
+def first_items(items: DataFrame, target: str, checkpoint: str, buckets: int = 64) -> DataStreamWriter:
+    """Keeps under target, as a stored table, the first item (by published_at, then item_id) of each address ever met, whenever it comes back and in whatever order batches come.
+
+    Each batch meets only the buckets of its addresses. Items without a date come after those with one.
     """
+    when = F.coalesce(F.col("published_at"), F.lit("9999-12-31").cast("timestamp"))
+    shaped = items.withColumn("first_at", when)
+    return commits(shaped, _table(shaped, target, ["url_hash"], buckets), sinks.firsts(["url_hash"], ["first_at", "item_id"]), checkpoint)
 
-    def run(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy(*BAR).agg(F.max_by(F.struct(*batch.columns), "version").alias("r")).select("r.*")
-        latest.write.mode("overwrite").parquet(f"{target}/delta={number}")
-        if (number + 1) % compact_every == 0:
-            bars(batch.sparkSession, target).write.mode("overwrite").parquet(f"{target}/state={number}")
 
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+BAR = ["stock_code", "trade_date"]
+
+
+def bars(spark: SparkSession, target: str) -> DataFrame:
+    """The table that upsert_bars keeps under target: of each bar the latest version."""
+    return Table(spark, target).read().drop("trade_month")
+
+
+def upsert_bars(stream: DataFrame, target: str, checkpoint: str, buckets: int = 64) -> DataStreamWriter:
+    """Late corrections (stock_code, trade_date, close, version) overwrite earlier bars of a stored table; bars() reads it.
+
+    Buckets are dealt by stock and month, so a batch rewrites the buckets of the months that it corrects.
+    """
+    monthly = stream.withColumn("trade_month", F.trunc("trade_date", "month"))
+    return commits(monthly, _table(monthly, target, ["stock_code", "trade_month"], buckets), sinks.lasts(BAR, ["version"]), checkpoint)

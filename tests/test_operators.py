@@ -2,6 +2,7 @@ import datetime as dt
 import random
 import re
 from difflib import SequenceMatcher
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import Row
@@ -370,16 +371,45 @@ def test_a_failing_batch_is_marked_and_the_stream_goes_on(spark, tmp_path):
     jobs.per_batch(stream, f"{tmp_path}/out", ["item_id"], work, f"{tmp_path}/state", ["item_id"]).trigger(availableNow=True).start().awaitTermination(120)
     got = {x["item_id"]: x["status"] for x in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert len(got) == 6 and sorted(got.values()) == ["error"] * 3 + ["mapped"] * 3 and len(calls) == 2
+    lost = jobs.failed(spark, f"{tmp_path}/out").collect()
+    assert len(lost) == 3 and all("bad batch" in x["error"] for x in lost)
 
 
-def test_bars_are_compacted_and_corrected(spark, tmp_path):
+def test_errors_of_storage_stop_the_stream(spark, tmp_path):
+    spark.createDataFrame([(1,)], "item_id long").write.parquet(f"{tmp_path}/in")
+
+    def work(batch):
+        raise RuntimeError("java.io.IOException: No space left on device")
+
+    stream = spark.readStream.schema("item_id long").parquet(f"{tmp_path}/in")
+    query = jobs.per_batch(stream, f"{tmp_path}/out", ["item_id"], work, f"{tmp_path}/state", ["item_id"]).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="No space left"):
+        query.awaitTermination(120)
+
+
+def test_items_without_a_date_do_not_stop_the_stream(spark, tmp_path):
+    rows = [(1, "t", "s", "http://x/1", None, None), (2, "t", "s", "http://x/2", T0, None), (3, "u", "s", "http://x/1", None, None), (4, "t", "s", "http://x/4", None, None)]
+    for k in range(0, 4, 2):
+        spark.createDataFrame(rows[k : k + 2], "item_id long, title string, snippet string, link string, published timestamp, updated timestamp").coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = lambda: jobs.feed_items(spark.readStream.schema("item_id long, title string, snippet string, link string, published timestamp, updated timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    marked = jobs.mark_duplicates(stream())
+    marked.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination(120)
+    got = {x["item_id"]: x["status"] for x in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert len(got) == 4 and sorted(got.values()) == ["new", "new", "skipped", "skipped"] and got[3] == "new"
+    jobs.first_items(stream(), f"{tmp_path}/first", f"{tmp_path}/first-state", 4).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(x["item_id"] for x in Table(spark, f"{tmp_path}/first").read().collect()) == [1, 2, 4]
+
+def test_bars_are_corrected_in_their_buckets(spark, tmp_path):
     for n in range(5):
         rows = [("A", dt.date(2024, 1, d), float(10 * n + d), n) for d in range(1, 4) if (d + n) % 2] + [("B", dt.date(2024, 1, 1), float(-n), -n)]
         spark.createDataFrame(rows, "stock_code string, trade_date date, close double, version int").coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
     stream = spark.readStream.schema("stock_code string, trade_date date, close double, version int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    jobs.upsert_bars(stream, f"{tmp_path}/out", f"{tmp_path}/state", compact_every=2).trigger(availableNow=True).start().awaitTermination(120)
+    jobs.upsert_bars(stream, f"{tmp_path}/out", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination(120)
     got = {(x["stock_code"], x["trade_date"].day): x["close"] for x in jobs.bars(spark, f"{tmp_path}/out").collect()}
-    assert got == {("A", 1): 41.0, ("A", 2): 32.0, ("A", 3): 43.0, ("B", 1): 0.0} and jobs._numbers(spark, f"{tmp_path}/out", "state") == [1, 3]
+    assert got == {("A", 1): 41.0, ("A", 2): 32.0, ("A", 3): 43.0, ("B", 1): 0.0}
+    table = Table(spark, f"{tmp_path}/out")
+    assert table.versions() == list(range(6)) and all(len(table.snapshot(v).folders) <= 2 for v in range(6))
 
 
 def test_typed_scans_add_and_leave_out_columns(spark, tmp_path):
@@ -432,6 +462,86 @@ def test_lines_that_copy_their_title(spark):
     assert [round(x["r"], 2) for x in rows.select(dedup.sequence_ratio("a", "b").alias("r")).collect()] == [0.98, 0.38, 0.0, 0.0]
 
 
+def test_article_containers_in_their_order():
+    inside = lambda tag, words: f"<{tag}><p>{words} of the article text</p></{tag.split()[0]}>"
+    page = inside('div id="dic_area"', "dic area") + inside('div class="x article-body y"', "article body") + inside('div class="news_cnt_detail_wrap"', "detail wrap")
+    assert payloads.article_text(page) == "dic area of the article text"
+    assert payloads.article_text(inside('div id="articletxt"', "articletxt") + page) == "articletxt of the article text"
+    assert payloads.article_text(page.replace("dic_area", "other")) == "article body of the article text"
+    assert payloads.article_text("<main><p>too short</p></main>" + page) == "dic area of the article text"  # a container without paragraphs is passed over
+    assert payloads.article_text("<article><p>first article of the page</p></article><article><p>second article of the page</p></article>") == "first article of the page"
+    assert payloads.article_text("<body><p>only the body has a paragraph</p></body>") == "only the body has a paragraph"
+    assert payloads.article_text("<article><p>one<br>two <b>thr</b>ee four five<p>unclosed paragraph here</article><p>outside of the article") == "one two thr ee four five unclosed paragraph here\nunclosed paragraph here"
+    assert payloads.article_text("<div>a</div></p></article><script>var x = '<p>no</p>'</script><p>b &amp; c</p>") == "a b & c"
+
+
+def test_article_text_equals_a_tree(spark):
+    """Against a tree that is built whole and searched selector by selector."""
+    rng = random.Random(11)
+    tags = ["article", "main", "p", "p", "p", "b", "div", 'div id="dic_area"', 'div id="articletxt"', 'section class="a article-body"', 'div class="news_cnt_detail_wrap"', "br", "script", "article"]
+
+    def made(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(tags)
+            body = made(depth - 1) if depth and tag not in ("br", "script") else f"words {rng.randint(0, 999)} here"
+            closed = "" if tag == "br" or rng.random() < 0.1 and tag != "script" else f"</{tag.split()[0]}>"
+            out.append(f"text {rng.randint(0, 99)} <{tag}>{'' if tag == 'br' else body}{closed}")
+        return "".join(out)
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.root = {"tag": "", "attrs": {}, "kids": [], "up": None}
+            self.at = self.root
+
+        def handle_starttag(self, tag, attrs):
+            node = {"tag": tag, "attrs": dict(attrs), "kids": [], "up": self.at}
+            self.at["kids"].append(node)
+            self.at = self.at if tag == "br" else node
+
+        def handle_endtag(self, tag):
+            node = self.at
+            while node["up"] is not None and node["tag"] != tag:
+                node = node["up"]
+            self.at = node["up"] if node["up"] is not None else self.at
+
+        def handle_data(self, data):
+            self.at["kids"].append(data)
+
+    every = lambda n: [n] + [y for k in n["kids"] if isinstance(k, dict) for y in every(k)]
+    strings = lambda n: [s for k in n["kids"] for s in (strings(k) if isinstance(k, dict) else [k] if n["tag"] != "script" else [])]
+    text = lambda n: " ".join(" ".join(s.strip() for s in strings(n) if s.strip()).split())
+    for _ in range(150):
+        html = made(4)
+        tree = Tree()
+        tree.feed(html)
+        tree.close()
+        want = None
+        for c in payloads.CONTAINERS:
+            hit = next((n for n in every(tree.root)[1:] if n["tag"] == c or f"#{n['attrs'].get('id')}" == c or c[0] == "." and c[1:] in (n["attrs"].get("class") or "").split()), None)
+            found = [x for x in (text(n) for n in every(hit)[1:] if n["tag"] == "p") if len(x) >= 12] if hit else []
+            if found:
+                want = "\n".join(found[:10])
+                break
+        assert payloads.article_text(html) == (text(tree.root)[:3000] if want is None else want), html
+
+
+def test_company_codes_from_real_xml(spark):
+    one = lambda corp, name, stock: f'<list kind="x"><corp_code>{corp}</corp_code><corp_name>{name}</corp_name><stock_code> {stock} </stock_code></list>'
+    xml = f"<?xml version='1.0'?><result>{one('00000001', 'A&amp;B  <![CDATA[<C>]]>', '000001')}{one('00000002', 'old', '000002')}{one('00000003', 'new', '000002')}{one('123', 'bad', '000003')}{one('00000004', 'idle', '000004')}<!-- {one('00000005', 'no', '000001')} --></result>"
+    stocks = spark.createDataFrame([(f"00000{k}", k != 4) for k in range(1, 6)], "code string, is_active boolean")
+    got = {x["stock_code"]: (x["corp_code"], x["corp_name"]) for x in payloads.company_codes(spark.createDataFrame([(xml,), (None,), ("no xml",), ("<result></result>",)], "xml string"), stocks).collect()}
+    assert got == {"000001": ("00000001", "A&B <C>"), "000002": ("00000003", "new")}
+
+
+def test_declared_schemas(spark, tmp_path):
+    assert len(schemas.SCHEMAS) >= 26 and all(len(schemas.struct(n)) >= 3 for n in schemas.SCHEMAS)
+    table = schemas.new_table(spark, f"file://{tmp_path}/t", "summary_sources", ["summary_id"], 2)
+    table.commit(schemas.typed(spark.createDataFrame([(1, "2")], "summary_id long, line_no string"), "summary_sources"), sinks.children("summary_id"))
+    assert [tuple(x) for x in table.read().collect()] == [(1, 2, None)]
+
+
 def test_article_text_takes_the_innermost_container():
     html = "<body><p>outer paragraph text</p><article><p>short</p><p>inner <b>paragraph</b> text</p><script>x</script></article></body>"
     assert payloads.article_text(html) == "inner paragraph text"
