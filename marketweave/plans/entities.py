@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import dedup, resolve
+from ..operators import dedup, resolve, similar
 from ..operators import relational as r
 from .registry import register, view
 from .text import WORDS, C
@@ -86,6 +86,25 @@ def d10(s: SparkSession, d: str) -> DataFrame:
     return dedup.ranked(feed(s, d), "stock_code").select("stock_code", "id", "rank_score", "place")
 
 
+#: Words of all titles, none cut off, as classes of equal ones.
+CLASSES = f"""t AS (SELECT stock_code, id, list_filter({WORDS}, lambda w: length(w) > 1)[1:20] AS l FROM fx_documents), m AS (SELECT stock_code, id, array_to_string(l, ' ') AS x, list_distinct(l) AS w FROM t WHERE len(l) > 0),
+  c AS (SELECT stock_code, x, min(id) AS id, any_value(w) AS w, count(*) AS n FROM m GROUP BY stock_code, x),
+  p AS (SELECT a.stock_code, a.id AS a, b.id AS b, b.n AS n, a.x AS x, b.x AS y, len(list_intersect(a.w, b.w)) AS o, least(len(a.w), len(b.w)) AS lo, greatest(len(a.w), len(b.w)) AS hi FROM c a JOIN c b ON a.stock_code = b.stock_code AND a.id <> b.id)"""
+
+
+@register("d4_title_classes", f"""WITH {CLASSES}, k AS (SELECT stock_code, a, sum(n) AS n FROM p WHERE (length(x) >= 12 AND length(y) >= 12 AND (contains(x, y) OR contains(y, x))) OR (o >= 3 AND o / lo >= 0.8) OR (o >= 4 AND o / hi >= 0.67) GROUP BY ALL)
+  SELECT m.stock_code, m.id, c.id AS class_id, CAST(c.n - 1 + coalesce(k.n, 0) AS BIGINT) AS links FROM m JOIN c ON c.stock_code = m.stock_code AND c.x = m.x LEFT JOIN k ON k.stock_code = c.stock_code AND k.a = c.id""")
+def d4_classes(s: SparkSession, d: str) -> DataFrame:
+    """All documents of a stock, not only those of its feed."""
+    return similar.title_links(docs(s, d), "stock_code")
+
+
+@register("d8_title_degrees", f"""WITH {CLASSES}, k AS (SELECT stock_code, a, sum(n * least(o / lo, 1.0)) AS n FROM p WHERE o >= 2 AND o / lo >= 0.34 GROUP BY ALL)
+  SELECT m.stock_code, m.id, c.id AS class_id, round(CASE WHEN len(c.w) >= 2 THEN c.n - 1 ELSE 0 END + coalesce(k.n, 0), 6) AS degree FROM m JOIN c ON c.stock_code = m.stock_code AND c.x = m.x LEFT JOIN k ON k.stock_code = c.stock_code AND k.a = c.id""")
+def d8_all_degrees(s: SparkSession, d: str) -> DataFrame:
+    return similar.title_degrees(docs(s, d), "stock_code").withColumn("degree", F.round("degree", 6))
+
+
 def market_feed(s: SparkSession, d: str, limit: int = 100) -> DataFrame:
     """What each market's feed shows."""
     found = docs(s, d).join(view(s, d, "fx_stocks").select(F.col("code").alias("stock_code"), "market"), "stock_code")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.stored import Table, scratch
 from ..sources import schemas
 from ..sources import payloads as p
+from ..sources.logs import PeriodLog
 from ..streaming import jobs
 from .registry import register, view
 
@@ -24,6 +25,26 @@ def s1(s: SparkSession, d: str) -> DataFrame:
     return schemas.scan(s, path, "documents")
 
 
+@register("p3_pruned_range", "SELECT stock_code, trade_date, round(close, 9) AS close FROM fx_price_bars WHERE trade_date BETWEEN DATE '1998-03-15' AND DATE '1998-06-20'")
+def p3_pruned(s: SparkSession, d: str) -> DataFrame:
+    """Bars by month: only the folders of four months are read."""
+    bars = view(s, d, "fx_price_bars").select("stock_code", "trade_date", "close")
+    log = PeriodLog(s, scratch(s, "bars"), bars.schema, "trade_date")
+    log.append(bars)
+    return log.between(F.lit("1998-03-15").cast("date"), F.lit("1998-06-20").cast("date")).select("stock_code", "trade_date", F.round("close", 9).alias("close"))
+
+
+@register("p9_new_rows", "SELECT id, collected_at FROM fx_documents WHERE id % 3 = 2")
+def p9_new(s: SparkSession, d: str) -> DataFrame:
+    """Documents arrive in three batches; a reader that is done with two gets the files of the third."""
+    docs = view(s, d, "fx_documents").select("id", "collected_at")
+    log, got = PeriodLog(s, scratch(s, "documents"), docs.schema, "collected_at", "day"), []
+    for k in range(3):
+        log.append(docs.where(F.col("id") % 3 == k))
+        log.new_rows("query", got.append)
+    return got[-1].select("id", "collected_at")
+
+
 @register("s2_price_payload", "SELECT stock_code, trade_date, round(close, 9) AS close, CAST(volume AS DOUBLE) AS volume FROM fx_price_bars WHERE dayofyear(trade_date) % 13 <> 0")
 def s2(s: SparkSession, d: str) -> DataFrame:
     bars = view(s, d, "fx_price_bars").withColumn("at", F.unix_timestamp(F.col("trade_date").cast("timestamp")) + 3600)

@@ -9,10 +9,10 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from marketweave.functions import text as t
-from marketweave.operators import dedup, evidence, resolve, sinks, stored, summaries
+from marketweave.operators import dedup, evidence, resolve, similar, sinks, stored, summaries
 from marketweave.operators import relational as r
 from marketweave.operators.stored import Table
-from marketweave.sources import payloads, schemas
+from marketweave.sources import logs, payloads, schemas
 from marketweave.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 4, 12)
@@ -253,6 +253,71 @@ def test_fuzzy_titles_equal_brute_force(spark):
     assert got == expected and (99, "abababababababab") in got
 
 
+def alike_titles(x, y):
+    u, v = set(x.split()), set(y.split())
+    o, small, large = len(u & v), min(len(u), len(v)), max(len(u), len(v))
+    return x == y or (min(len(x), len(y)) >= 12 and (x in y or y in x)) or (o >= 3 and o / small >= 0.8) or (o >= 4 and o / large >= 0.67)
+
+
+def test_similar_titles_of_whole_tables_equal_brute_force(spark):
+    rng = random.Random(8)
+    words = [a + b for a in ("al", "be", "ga", "de") for b in ("pha", "ta", "mma", "lta", "zeta")]
+    rows = []
+    for i in range(220):
+        base = [rng.choice(words) for _ in range(rng.randint(1, 9))]
+        rows.append((rng.choice("st"), i, " ".join(base)))
+        if rng.random() < 0.4:
+            k = rng.randrange(len(base))
+            rows.append((rows[-1][0], 1_000 + i, rng.choice([" ".join(base), " ".join(base[:k] + [rng.choice(words)] + base[k + 1 :]), " ".join([*base, rng.choice(words)]), "x" + " ".join(base) + "y"])))
+    rows += [("s", 5_000, None), ("s", 5_001, ""), ("s", 5_002, "a"), ("t", 5_003, "onesinglelongword"), ("t", 5_004, "theonesinglelongwords"), ("s", 5_005, rows[0][2])]
+    docs = spark.createDataFrame(rows, "stock string, id long, title string")
+    norm = {(s, i): " ".join((x or "").split()) for s, i, x in rows if any(len(w) > 1 for w in (x or "").split())}
+    want = {}
+    for (s, i), x in norm.items():
+        want[s, i] = (min(j for (r_, j), y in norm.items() if r_ == s and y == x), sum(alike_titles(x, y) for (r_, j), y in norm.items() if r_ == s) - 1)
+    assert {(x["stock"], x["id"]): (x["class_id"], x["links"]) for x in similar.title_links(docs, "stock").collect()} == want
+    weight = lambda x, y: (lambda o, n: o / n if o >= 2 and o / n >= 0.34 else 0.0)(len(set(x.split()) & set(y.split())), min(len(set(x.split())), len(set(y.split()))))
+    degree = {(s, i): sum(weight(x, y) for (r_, j), y in norm.items() if r_ == s and j != i) for (s, i), x in norm.items()}
+    got = {(x["stock"], x["id"]): x["degree"] for x in similar.title_degrees(docs, "stock").collect()}
+    assert got.keys() == degree.keys() and all(abs(got[k] - degree[k]) < 1e-9 for k in got)
+
+
+def test_a_word_in_a_third_of_all_titles_makes_no_candidates(spark):
+    def met(n):
+        rows = [("s", i, ("common " if i % 3 == 0 else "") + " ".join(f"w{(i * 7 + k) % (n * 4)}x{k}" for k in range(5))) for i in range(n)]
+        _, classes = similar.title_classes(spark.createDataFrame(rows, "stock string, id long, title string"), "stock")
+        pairs = similar.candidates(classes, "stock", lambda x: F.greatest(F.lit(2), F.ceil(0.34 * x)))
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        return classes.where(F.array_contains("w", "common")).count(), pairs.count()
+
+    small, large = met(150), met(600)
+    assert large[0] == 4 * small[0] == 200 and large[1] <= 4 * max(small[1], 5)  # of 200 titles with the word, all pairs would be 19,900
+
+
+def test_logs_are_read_by_period_and_by_arrival(spark, tmp_path):
+    rows = [(i, dt.datetime(2024, 1 + i % 6, 1 + i % 28, 3)) for i in range(120)] + [(500, None)]
+    schema = "id long, at timestamp"
+    log = logs.PeriodLog(spark, f"file://{tmp_path}/log", spark.createDataFrame([], schema).schema, "at")
+    assert log.read().count() == 0 and log.new_rows("r", lambda x: None) == -1
+    for k in range(3):
+        assert log.append(spark.createDataFrame(rows[40 * k : 40 * k + 40 + k // 2], schema)) == k
+    assert log.append(spark.createDataFrame(rows, schema), 1) == 1 and log.read().count() == 121  # offered again
+    lit = lambda x: F.lit(x).cast("timestamp")
+    some = log.between(lit("2024-02-10 00:00:00"), lit("2024-03-05 12:00:00"))
+    assert {x["id"] for x in some.collect()} == {i for i, at in rows if at and dt.datetime(2024, 2, 10) <= at <= dt.datetime(2024, 3, 5, 12)}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(period" in plan and "PushedFilters: [IsNotNull(at)" in plan
+    seen = []
+    work = lambda x: seen.append((sorted(r["id"] for r in x.collect()), {f.split("batch=")[1][0] for f in x.inputFiles()}))
+    assert log.new_rows("r", work) == 2 and seen[-1][0] == sorted(i for i, _ in rows)
+    log.append(spark.createDataFrame([(900, T0)], schema))
+    with pytest.raises(RuntimeError):
+        log.new_rows("r", lambda x: (_ for _ in ()).throw(RuntimeError("late")))
+    assert log.new_rows("r", work) == 3 and seen[-1] == ([900], {"3"}) and log.new_rows("r", work) == 3 and len(seen) == 2
+    assert log.new_rows("other", work, F.col("period") >= F.lit("2024-06-01").cast("date")) == 3 and set(seen[-1][0]) == {i for i, at in rows if at and at.month == 6}
+
+
 FEED = "market string, stock string, id long, rank_score double, hour int, url string, title string, line string, source string, doc_type string, relevance_score double, matched_alias string"
 
 
