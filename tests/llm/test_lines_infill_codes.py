@@ -170,3 +170,20 @@ def test_codes_decode_and_large_components_are_refused(spark):
     assert width == 2 and sum((x - y) ** 2 for x, y in zip(codes.decode(row["code"], books).tolist(), row["mine"])) == row["error"]
     with pytest.raises(ValueError, match="too large"):
         codes.compressed(vectors(spark, [(1, [1e30] * 8, 1)]))
+
+
+def test_rare_pairs_hold_all_links(spark):
+    from marketweave.llm import copies
+
+    rng = random.Random(12)
+    base = [rng.getrandbits(40) for _ in range(60)]
+    sets = [base] + [[rng.getrandbits(40) if rng.random() < p else x for x in base] for p in (0.02, 0.05, 0.08, 0.1, 0.15, 0.3) for _ in range(12)]
+    sets += [sets[k][: rng.randint(48, 60)] for k in range(20)] + [[1], [1], [1, 2], [3, 4, 5, 6, 7], [3, 4, 5, 6, 8], [3, 4, 5, 6], [rng.getrandbits(40)]]
+    sets = [sorted(set(s)) for s in sets]
+    sets = [s for k, s in enumerate(sets) if s not in sets[:k]]
+    roots = [0 if len(set(s) & set(base)) > 54 else k for k, s in enumerate(sets)]
+    alike = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)) - 1e-9
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if roots[i] != roots[j] and alike(sets[i], sets[j])}
+    df = spark.createDataFrame(list(enumerate(sets)), "sig long, s array<long>")
+    got = {(r["a"], r["b"]) for r in copies.rare_pairs(df, spark.createDataFrame(list(enumerate(roots)), "sig long, root long")).collect()}
+    assert want <= got and len(want) > 20 and len(got) < len(sets) * (len(sets) - 1) / 8
