@@ -27,7 +27,7 @@ from . import common
 from .tokens import _fs
 
 WRITE_SCHEMA = "page_id long, url string, payload binary, refers_to long"
-READ_SCHEMA = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, headers map<string,string>, payload binary"
+READ_SCHEMA = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, headers map<string,string>, payload binary, damaged boolean"
 HTTP, REVISIT = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC, SPLIT, STEP, HEAD_STEP, ROWS, BATCH_BYTES = b"\x1f\x8b\x08", 64 << 20, 1 << 16, 1 << 12, 2000, 16 << 20
 MAX_DIGESTS = 500_000
@@ -180,8 +180,8 @@ def _tells_length(b: bytes) -> bool:
 
 
 def _starts_member(b: bytes, at: int, size: int) -> bool:
-    """Whether these bytes, at this place of a file of this size, can begin a gzip member: no reserved flag is set, and a told length ends inside the file."""
-    return len(b) >= 18 and b[:3] == MAGIC and b[3] < 32 and (not _tells_length(b) or 24 <= struct.unpack_from("<Q", b, 16)[0] <= size - at)
+    """Whether these bytes, at this place of a file of this size, can begin a gzip member: no reserved flag is set, and a told length is possible. One beyond the end of the file is that of a cut record, if headers follow."""
+    return len(b) >= 18 and b[:3] == MAGIC and b[3] < 32 and (not _tells_length(b) or struct.unpack_from("<Q", b, 16)[0] >= 24)
 
 
 def _head(m) -> tuple[dict[str, str], int, int] | None:
@@ -273,19 +273,24 @@ class _Reader(DataSourceReader):
                 if not gz:
                     m.length = at + size + 4
                 row = _columns(h)
+                cut = m.length is not None and m.start + m.length > s.size + (0 if gz else 4)  # the blank lines behind the last record may be missing
+                row["payload"], row["damaged"] = None, cut
+                wanted = self._wanted(row)
+                if wanted:
+                    rows.append(row)
                 try:
-                    if self._wanted(row):
-                        row["payload"] = None
-                        rows.append(row)
-                        if row["record_type"] != "revisit" and (self.payload or row["payload_bytes"] is None or row["payload_digest"] is None):
-                            block = m.until(at + size)
-                            body = block[block.find(b"\r\n\r\n", at) + 4 :] if "msgtype=response" in h.get("Content-Type", "") else block[at:]
-                            if self.payload:
-                                row["payload"] = body
-                            row["payload_bytes"], row["payload_digest"] = len(body), digest(body)
-                            held += len(body)
+                    if wanted and not cut and row["record_type"] != "revisit" and (self.payload or row["payload_bytes"] is None or row["payload_digest"] is None):
+                        block = m.until(at + size)
+                        body = block[block.find(b"\r\n\r\n", at) + 4 :] if "msgtype=response" in h.get("Content-Type", "") else block[at:]
+                        sha, told = digest(body), row["payload_digest"]
+                        row["damaged"] = len(block) < at + size or told is not None and len(told) == len(sha) and told.upper() != sha
+                        if not row["damaged"]:
+                            row["payload"] = body if self.payload else None
+                            row["payload_bytes"], row["payload_digest"] = len(body), sha
+                        held += len(body)
                     m.end()
-                except zlib.error:  # a damaged record: what its headers say stays, without payload
+                except zlib.error:  # what its headers say stays, without payload
+                    row["damaged"] = True
                     s.move(m.start + (m.length or 1))
                 if len(rows) >= ROWS or held >= BATCH_BYTES:
                     yield self._batch(rows)
@@ -309,7 +314,7 @@ class _Reader(DataSourceReader):
 
     @staticmethod
     def _batch(rows: list[dict]) -> pa.RecordBatch:
-        kinds = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "headers": pa.map_(pa.string(), pa.string()), "payload": pa.binary()}
+        kinds = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "headers": pa.map_(pa.string(), pa.string()), "payload": pa.binary(), "damaged": pa.bool_()}
         return pa.RecordBatch.from_arrays([pa.array([list(r[c].items()) if c == "headers" else r[c] for r in rows], k) for c, k in kinds.items()], list(kinds))
 
 
@@ -349,9 +354,10 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
 
 def read(spark: SparkSession, path: str, payload: bool = True, split: int = SPLIT) -> DataFrame:
-    """All records under path; filters on record_type, url, ids, digest and headers['...'] reach the reader, for which the session's push-down for Python sources is set.
+    """All records under path: page_id, url, record_type, payload_digest, payload_bytes, refers_to, headers, payload, damaged. Filters on record_type, url, ids, digest and headers['...'] reach the reader, for which the session's push-down for Python sources is set.
 
-    split is the size of a partition in bytes.
+    A record that ends before its told length, or whose payload doesn't have the told digest, is damaged: it has what its headers say and no payload. A record cut within its headers
+    has no name and gives nothing. split is the size of a partition in bytes.
     """
     spark.dataSource.register(Warc)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -359,7 +365,10 @@ def read(spark: SparkSession, path: str, payload: bool = True, split: int = SPLI
 
 
 def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Writes pages, reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to, url. Empty pages give an empty result, repeated rows a record each."""
+    """Writes pages, reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to, url. Empty pages give an empty result, repeated rows a record each.
+
+    Headers tell all of this, so payloads are passed over undecoded.
+    """
     path = common.scratch(pages.sparkSession, "warc")
     write(pages, path, least_bytes)
-    return read(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    return read(pages.sparkSession, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

@@ -82,6 +82,52 @@ def test_damaged_records_do_not_stop_a_reader(spark, tmp_path):
     assert whole == sorted(2 * [0, 2, 3] + [0, 2]) and [r["url"] for r in got if r["payload"] is None] == 2 * ["http://x/1"]
 
 
+def test_cut_and_short_records_are_told(spark, tmp_path):
+    raw = [random.Random(i).randbytes(50_000) for i in range(2)]
+    records = [warc.record(i, f"http://x/{i}", x, None, "2024-01-01T00:00:00Z") for i, x in enumerate(raw)]
+    half = lambda x: x[: len(x) * 3 // 4]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "own.warc.gz").write_bytes(half(b"".join(map(warc.member, records))))
+    (tmp_path / "w" / "other.warc.gz").write_bytes(half(b"".join(map(gzip.compress, records))))
+    (tmp_path / "w" / "plain.warc").write_bytes(half(b"".join(records)))
+    (tmp_path / "w" / "wrong.warc").write_bytes(records[0].replace(raw[0], raw[1]))  # not the payload of its digest
+    for payload in (True, False):
+        got = warc.read(spark, str(tmp_path / "w"), payload).collect()
+        assert sorted((r["page_id"], r["damaged"]) for r in got) == [(0, False)] * 3 + [(0, payload)] + [(1, True)] * 3 if payload else len(got) == 7
+        assert all(r["payload"] is None for r in got if r["damaged"]) and {r["payload_bytes"] for r in got} == {50_000}
+    assert warc.read(spark, str(tmp_path / "w")).where("damaged AND page_id = 1").count() == 3
+
+
+def test_unwanted_payloads_are_not_read(tmp_path):
+    class Counted:
+        def __init__(self, f):
+            self.f, self.read_bytes = f, 0
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n):
+            got = self.f.read(n)
+            self.read_bytes += len(got)
+            return got
+
+    raw = [random.Random(i).randbytes(4 << 20) for i in range(4)]
+    whole = b"".join(warc.member(warc.record(i, None, x, None, "2024-01-01T00:00:00Z")) for i, x in enumerate(raw))
+    (tmp_path / "a.warc.gz").write_bytes(whole)
+    for payload, most in ((True, len(whole) * 2), (False, 8 * warc.STEP)):
+        with open(tmp_path / "a.warc.gz", "rb") as f:
+            counted, reader, ids = Counted(f), warc._Reader(f"file://{tmp_path}", payload, 1 << 40), []
+            s = warc._Stream(counted, 0, len(whole))
+            while reader._seek(s, len(whole), True):
+                m = warc._Member(s)
+                h, at, size = warc._head(m)
+                ids.append(warc._columns(h)["page_id"])
+                if payload:
+                    assert len(m.until(at + size)) == at + size
+                m.end()
+        assert ids == [0, 1, 2, 3] and counted.read_bytes <= most
+
+
 def test_large_payloads_are_read_in_linear_time(tmp_path):
     raw = random.Random(0).randbytes(64 << 20)
     (tmp_path / "a.warc.gz").write_bytes(stored(warc.record(1, None, raw, None, "2024-01-01T00:00:00Z")))
