@@ -233,6 +233,8 @@ def without_spans(rows):
         n = [len(x.split()) for x in u]
         for a in range(len(u)):
             e = next((e for e in range(a + spans.LEAST_UNITS, len(u) + 1) if sum(n[a:e]) >= spans.LEAST_WORDS), None)
+            if sum(n) < spans.LEAST_WORDS:  # the whole text is one run
+                e = None if a else len(u)
             if e:
                 words = tuple(w for x in u[a:e] for w in re.sub("[A-Z]", lambda m: m[0].lower(), x).split())
                 where.setdefault(words, []).append((d, a))
@@ -242,8 +244,9 @@ def without_spans(rows):
         u, gone = list(units(d[1])), set()
         for a in range(len(u)):
             words, e = runs.get((d, a), (None, 0))
-            if words and len({x for x, _ in where[words]}) > 1 and where[words][0] != (d, a):
-                gone |= set(range(a, e))
+            if words and len({x for x, _ in where[words]}) > 1:
+                first, at = where[words][0]
+                gone |= set(range(max(a, at + e - a) if first == d else a, e))
         out[d] = "".join(x for k, x in enumerate(u) if k not in gone) if u else d[1], len(gone)
     return out
 
@@ -288,6 +291,16 @@ def test_passages_of_over_fifty_words_are_caught_anywhere(spark):
     assert changed <= planted and len(changed) / len(planted) >= 0.97
 
 
+def test_short_copies_texts_without_blanks_and_periodic_texts(spark):
+    japanese = "".join(chr(0x4E00 + k * 37 % 5000) + ("。" if k % 20 == 19 else "") for k in range(160))
+    seventeen = "seventeen words that stand in two documents and are no more than these few words at all here"
+    rows = [(1, seventeen), (2, seventeen.upper()), (3, japanese), (4, japanese), (5, "ほかの文章です。" + japanese[20:120] + "終わりの文です。"), (6, "other short words"), (7, ""), (8, "word " * 60), (9, "word " * 60), (10, "one"), (11, "one"), (12, "それは違う文章です。")]
+    got = {r["doc_id"]: r["text"] for r in spans.dedup(docs(spark, rows)).collect()}
+    assert (got[1], got[2], got[3], got[4], got[6], got[7], got[10], got[11], got[12]) == (seventeen, "", japanese, "", "other short words", "", "one", "", "それは違う文章です。")
+    assert got[5].startswith("ほかの文章です。") and got[5].endswith("終わりの文です。") and len(got[5]) < 100
+    assert got[8].count("word") >= spans.LEAST_WORDS and got[9] == ""  # the first keeps a whole run
+
+
 ODD = list("aaab  \n\n\t'sté한국😀1 9!!.-_<|>\x1c\x85\xa0᠎​　ABthe")
 
 
