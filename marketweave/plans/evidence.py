@@ -75,28 +75,46 @@ def _chosen(s: SparkSession, d: str) -> DataFrame:
     return e.numbered(e.cards(docs(s, d)), ["entity_type", "entity_id"], "2024-01-01", "2024-01-03")
 
 
+def _numbered(name: str, last: str) -> str:
+    return f"""{name}0 AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY published_at DESC, item_id DESC) AS n0 FROM cards WHERE published_at IS NOT NULL AND CAST(published_at AS DATE) BETWEEN DATE '2024-01-01' AND DATE '{last}'),
+      {name} AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n0) AS n FROM {name}0 WHERE n0 <= 200 AND source_type <> 'filing')"""
+
+
 @register("e7_digests")
 def e7(s: SparkSession, d: str) -> DataFrame:
     return e.digests(_chosen(s, d), ["entity_type", "entity_id"])
 
 
+@register("e7_digest_texts", f"""WITH {CARDS}, {_numbered('ch', '2024-01-03')} SELECT entity_type, entity_id, count(*) AS cards,
+  arg_min(fact_headline, n) FILTER (WHERE fact_headline <> '') AS headline, 'C' || min(n) FILTER (WHERE fact_headline <> '') AS headline_card,
+  arg_min(list_filter(facts, lambda x: regexp_matches(x, '[0-9]'))[1], n) FILTER (WHERE len(list_filter(facts, lambda x: regexp_matches(x, '[0-9]'))) > 0) AS evidence, 'C' || min(n) FILTER (WHERE len(list_filter(facts, lambda x: regexp_matches(x, '[0-9]'))) > 0) AS evidence_card,
+  arg_min(coalesce(facts[1], fact_headline), n) FILTER (WHERE list_has_any(topics, ['demand', 'supply_chain'])) AS demand, 'C' || min(n) FILTER (WHERE list_has_any(topics, ['demand', 'supply_chain'])) AS demand_card,
+  arg_min(risk_note, n) FILTER (WHERE risk_note <> '') AS risk, arg_min(topics[1], n) AS checkpoint, arg_min(interpretation, n) FILTER (WHERE interpretation <> '') AS final, list(item_id ORDER BY n) AS items
+  FROM ch GROUP BY entity_type, entity_id""")
+def e7_texts(s: SparkSession, d: str) -> DataFrame:
+    """What the digests say, and of which card."""
+    found = e.digests(_chosen(s, d), ["entity_type", "entity_id"])
+    texts = [F.col(f"{k}.text").alias(k) for k in ("headline", "evidence", "demand", "risk", "checkpoint", "final")]
+    cards = [F.col(f"{k}.alias").alias(f"{k}_card") for k in ("headline", "evidence", "demand")]
+    return found.select("entity_type", "entity_id", "cards", *texts, *cards, F.col("refs.item_id").alias("items"))
+
+
 @register("e7_digest_sizes", """SELECT stock_code AS entity_id, count(*) AS cards FROM (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY published_at DESC, id DESC) AS n FROM fx_documents
   WHERE published_at IS NOT NULL AND CAST(published_at AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-03') AS t WHERE n <= 200 AND doc_type IN ('news', 'report') GROUP BY stock_code""")
 def e7_sizes(s: SparkSession, d: str) -> DataFrame:
     return e.digests(_chosen(s, d), ["entity_type", "entity_id"]).select("entity_id", "cards")
 
 
-def _numbered(name: str, last: str) -> str:
-    return f"""{name}0 AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY published_at DESC, item_id DESC) AS n0 FROM cards WHERE published_at IS NOT NULL AND CAST(published_at AS DATE) BETWEEN DATE '2024-01-01' AND DATE '{last}'),
-      {name} AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n0) AS n FROM {name}0 WHERE n0 <= 200 AND source_type <> 'filing')"""
+def changes(s: SparkSession, d: str, keys: list[str]) -> DataFrame:
+    """What a digest has that the one of the day before hasn't."""
+    earlier = e.numbered(e.cards(docs(s, d)), ["entity_type", "entity_id"], "2024-01-01", "2024-01-02")
+    return e.digest_changes(_chosen(s, d), earlier, keys)
 
 
 @register("e8_digest_changes", f"""WITH {CARDS}, {_numbered('ch', '2024-01-03')}, {_numbered('ea', '2024-01-02')}, fr AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n) AS k FROM ch WHERE fact_headline <> '' AND NOT EXISTS (SELECT 1 FROM ea WHERE ea.entity_id = ch.entity_id AND ea.card_id = ch.card_id))
   SELECT entity_type, entity_id, list(CASE WHEN {_any('lower(fact_headline)', e.NEGATIVE_HEADLINES)} THEN '-' ELSE '+' END || ' ' || fact_headline || ' (cards: C' || n || ')' ORDER BY k) AS change_lines FROM fr WHERE k <= 3 GROUP BY entity_type, entity_id""")
 def e8(s: SparkSession, d: str) -> DataFrame:
-    keys = ["entity_type", "entity_id"]
-    earlier = e.numbered(e.cards(docs(s, d)), keys, "2024-01-01", "2024-01-02")
-    return e.digest_changes(_chosen(s, d), earlier, keys)
+    return changes(s, d, ["entity_type", "entity_id"])
 
 
 @register("a8_report_ready", f"""WITH {TOPICS}, k AS (SELECT d.stock_code AS entity_id, CASE doc_type WHEN 'filing' THEN 'filing' WHEN 'report' THEN 'research' ELSE 'news' END AS kind, CASE WHEN len(l) = 0 THEN ['general'] ELSE l END AS topics FROM fx_documents d JOIN t USING (id))
@@ -157,7 +175,10 @@ def e15(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "documents").select("doc_id", e.parse_status(F.col("text")).alias("status"))
 
 
-@register("e15_focus")
+@register("e15_focus", f"""WITH l AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {C.format('x')}), lambda x: x <> '') AS l FROM documents),
+  h AS (SELECT *, list_transform(l, lambda x: {_any('lower(x)', POSITIVE)}) AS h FROM l), k AS (SELECT doc_id, rid, l, list_filter(l, lambda x, i: h[i] OR (i > 1 AND h[i - 1])) AS k FROM h),
+  u AS (SELECT rid, unnest(k) AS x, generate_subscripts(k, 1) AS i FROM k), c AS (SELECT rid, x, i, sum(length(x) + 1) OVER (PARTITION BY rid ORDER BY i) AS total FROM u),
+  o AS (SELECT rid, list(x ORDER BY i) AS f FROM c WHERE total <= 600 GROUP BY rid) SELECT doc_id, CASE WHEN f IS NOT NULL THEN f ELSE l[1:10] END AS focus FROM k LEFT JOIN o USING (rid)""")
 def e15_focus(s: SparkSession, d: str) -> DataFrame:
     return e.focus(view(s, d, "documents"), "text", POSITIVE).select("doc_id", "focus")
 

@@ -14,7 +14,7 @@ from ..functions import text as t
 from ..operators import resolve
 from ..operators import summaries as m
 from .entities import market_feed
-from .evidence import CARDS, NEGATIVE, POSITIVE, _chosen, _numbered, docs
+from .evidence import CARDS, NEGATIVE, POSITIVE, _numbered, changes, docs
 from .registry import register, view
 from .text import LIKE
 
@@ -46,19 +46,18 @@ def _report() -> str:
     return " || chr(10) || ".join(" || ".join(values.get(x, x) if k % 2 else "'" + x.replace("'", "''") + "'" for k, x in enumerate(re.split(r"\{(\w+)\}", line)) if x) for line in m.REPORT)
 
 
-@register("e9_reports", f"""WITH {CARDS}, {_numbered('ch', '2024-01-03')},
+@register("e9_reports", f"""WITH {CARDS}, {_numbered('ch', '2024-01-03')}, {_numbered('ea', '2024-01-02')},
   ag AS (SELECT entity_type, entity_id, count(*) AS k, count(*) FILTER (WHERE source_type = 'research') AS research, count(*) FILTER (WHERE source_type = 'filing') AS filing, count(*) FILTER (WHERE source_type = 'news') AS news, len(list_distinct(flatten(list(topics)))) AS kinds FROM cards GROUP BY ALL),
   nn AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY published_at DESC NULLS LAST, item_id DESC) AS n FROM cards),
   hd AS (SELECT entity_id, max(fact_headline) FILTER (WHERE n = 1) AS fact_headline, max(risk_note) FILTER (WHERE n = 1) AS risk_note, string_agg('- [' || left(card_id, 12) || '] ' || fact_headline, chr(10) ORDER BY n) FILTER (WHERE n <= 10) AS evidence FROM nn GROUP BY entity_id),
   tp AS (SELECT entity_id, unnest(topics) AS topic FROM cards), tc AS (SELECT entity_id, topic, row_number() OVER (PARTITION BY entity_id ORDER BY count(*) DESC, topic) AS p FROM tp GROUP BY entity_id, topic),
   tt AS (SELECT entity_id, least(count(*), 3) AS topics, max(topic) FILTER (WHERE p = 1) AS topic FROM tc GROUP BY entity_id),
-  fr AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n) AS o FROM ch WHERE fact_headline <> ''),
+  fr AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n) AS o FROM ch WHERE fact_headline <> '' AND NOT EXISTS (SELECT 1 FROM ea WHERE ea.entity_id = ch.entity_id AND ea.card_id = ch.card_id)),
   cl AS (SELECT entity_id, string_agg(CASE WHEN regexp_matches(lower(fact_headline), '{"|".join(e.NEGATIVE_HEADLINES)}') THEN '-' ELSE '+' END || ' ' || fact_headline || ' (cards: C' || n || ')', chr(10) ORDER BY o) AS changes FROM fr WHERE o <= 3 GROUP BY entity_id)
   SELECT ag.entity_type, ag.entity_id, {_report()} AS report FROM ag JOIN hd USING (entity_id) JOIN tt USING (entity_id) LEFT JOIN cl USING (entity_id) WHERE k >= 12 AND (research >= 2 OR filing >= 1) AND kinds >= 2""")
 def e9(s: SparkSession, d: str) -> DataFrame:
     keys = ["entity_type", "entity_id"]
-    changes = e.digest_changes(_chosen(s, d), _chosen(s, d).limit(0), keys)
-    return m.reports(e.cards(docs(s, d)), keys, "2024-01-01", "2024-01-31", changes)
+    return m.reports(e.cards(docs(s, d)), keys, "2024-01-01", "2024-01-31", changes(s, d, keys))
 
 
 @register("r5_economy_scores", "SELECT id, least(10.0, 4 + CAST(contains(b, 'rate') AS INT) + CAST(contains(b, 'ment') AS INT) * 2 + CAST(contains(b, 'tion') AS INT) + CAST(source = 'naver_news' AS INT))::DOUBLE AS score FROM (SELECT id, source, lower(title || ' ' || body) AS b FROM fx_documents) AS t")
@@ -112,12 +111,13 @@ def f14(s: SparkSession, d: str) -> DataFrame:
   w AS (SELECT entity_id, list_filter([CASE WHEN a + b > 0 THEN '+ 최근 7일 이벤트 ' || a || '건 (직전 7일 ' || b || '건, 변화 ' || CASE WHEN a > b THEN '+' ELSE '' END || (a - b) || ')' END, CASE WHEN ra + rb > 0 THEN '+ 리포트 ' || ra || '건 (직전 7일 ' || rb || '건)' END, CASE WHEN na + nb > 0 THEN '− 부정 신호 ' || na || '건 (직전 7일 ' || nb || '건)' END], lambda x: x IS NOT NULL) AS l FROM c),
   n AS (SELECT stock_code AS entity_id, id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS h, doc_type, row_number() OVER (PARTITION BY stock_code ORDER BY published_at DESC, id DESC) AS n FROM fx_documents WHERE published_at IS NOT NULL AND CAST(published_at AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-03' AND trim(regexp_replace(title, '\\s+', ' ', 'g')) <> ''),
   m AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n) AS k FROM n WHERE n <= 200 AND doc_type <> 'filing'),
-  g AS (SELECT entity_id, max(CASE WHEN regexp_matches(lower(h), 'risk|downgrade|decline|weak|cut|하락|악화') THEN '-' ELSE '+' END || ' ' || h || ' (cards: C1)') FILTER (WHERE k = 1) AS d1, count(*) AS lines FROM m GROUP BY entity_id)
+  p AS (SELECT entity_id, id FROM (SELECT stock_code AS entity_id, id, doc_type, row_number() OVER (PARTITION BY stock_code ORDER BY published_at DESC, id DESC) AS n FROM fx_documents WHERE published_at IS NOT NULL AND CAST(published_at AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-02' AND trim(regexp_replace(title, '\\s+', ' ', 'g')) <> '') AS x WHERE n <= 200 AND doc_type <> 'filing'),
+  f AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY k) AS o FROM m WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.entity_id = m.entity_id AND p.id = m.id)),
+  g AS (SELECT entity_id, max(CASE WHEN regexp_matches(lower(h), 'risk|downgrade|decline|weak|cut|하락|악화') THEN '-' ELSE '+' END || ' ' || h || ' (cards: C' || k || ')') FILTER (WHERE o = 1) AS d1, count(*) AS lines FROM f GROUP BY entity_id)
   SELECT w.entity_id, CASE WHEN d1 IS NULL THEN CAST([] AS VARCHAR[]) ELSE [d1] END AS d1_preview, coalesce(lines, 0) > 1 AS d1_more, CASE WHEN len(l) = 0 THEN ['유의미한 변화 없음'] ELSE l[1:1] END AS d7_preview, len(l) > 1 AS d7_more FROM w LEFT JOIN g USING (entity_id)""")
 def e19(s: SparkSession, d: str) -> DataFrame:
     events = docs(s, d).select(F.col("stock_code").alias("entity_id"), "event_time", F.col("doc_type").alias("kind"), e.impact(F.col("body"), [], ["reing"]).alias("impact"))
-    changes = e.digest_changes(_chosen(s, d), _chosen(s, d).limit(0), ["entity_id"])
-    snapshot = e.change_snapshots(events, changes, ["entity_id"], "2024-01-04")
+    snapshot = e.change_snapshots(events, changes(s, d, ["entity_id"]), ["entity_id"], "2024-01-04")
     return snapshot.select("entity_id", "d1_preview", "d1_more", "d7_preview", "d7_more")
 
 
