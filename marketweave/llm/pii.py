@@ -16,34 +16,40 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Titles by gender, words before a quoted secret, and patterns by kind, tried from left to right at each place. A title, such a word or the first line of
+#: Titles by gender, words before a secret (values without quotation marks hold a digit), and patterns by kind, tried from left to right at each place. A title, such a word or the first line of
 #: a private key belongs to the match, as its prefix, and stays. Each pattern fails at its first character almost everywhere, as whole texts are searched; no secret is too
 #: long to be found, and repetitions without an upper bound give nothing back, so long texts cost no more than their length.
 MEN, WOMEN, BOTH = r"Mr\.?|Mister|Herrn?|Monsieur|Señor|Signor|господин|г-н", r"Mrs\.?|Ms\.?|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Signora|госпожа|г-жа", r"Dr\.?|Prof\.?|Professor"
-KEYWORD = r"(?i:token|secret|password|passwd|api_key|apikey) ?[=:] ?[\"']"
+SETS = r"(?i:token|secret|password|passwd|pwd|api[_-]?key)[\"']?\s{0,2}(?:=>|:=|[=:])\s{0,2}"
+KEYWORD = SETS + r"[\"']?"
+#: What the name of a street ends in; it stays.
+STREETS = r"Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive"
+#: A word of a name, and how a name is cut into its words.
+NAME, NAME_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{L}+", r"\p{L}+(?:['’]\p{L}+)*"
 PEM = "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
 HEX4 = "[0-9A-Fa-f]{1,4}"
 KINDS = {
     "pem": PEM + r"[A-Za-z0-9+/=\s]++(?=-----END )",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}](?:[\p{L}\p{N}.-]{0,252}[\p{L}\p{N}])?\.\p{L}{2,24}(?![\p{L}\p{N}])",
-    "keyword": KEYWORD + r"[^\"'\s]{6,}+(?=[\"'])",
-    "secret": r"\b(?:AKIA[0-9A-Z]{16,}+|gh[pousr]_[0-9A-Za-z]{36,}+|github_pat_[0-9A-Za-z_]{22,}+|sk-[0-9A-Za-z_-]{20,}+|(?=[0-9A-Fa-f]{32})(?=[A-Fa-f]*+[0-9])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{32,}+)(?![0-9A-Za-z])",
+    "keyword": SETS + r"""(?:"[^"\n]{6,}+(?=")|'[^'\n]{6,}+(?=')|(?=[^\s"'<>,;&()\[\]{}=:]*?[0-9])[^\s"'<>,;&()\[\]{}]{6,}+)""",
+    "secret": r"\b(?:AKIA[0-9A-Z]{16,}+|gh[pousr]_[0-9A-Za-z]{36,}+|github_pat_[0-9A-Za-z_]{22,}+|sk-[0-9A-Za-z_-]{20,}+|xox[abeoprs]-[0-9A-Za-z-]{10,}+|AIza[0-9A-Za-z_-]{30,}+|(?<!-)eyJ[0-9A-Za-z_-]{8,}+\.eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+|(?=[0-9A-Fa-f]{32})(?=[A-Fa-f]*+[0-9])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{32,}+)(?![0-9A-Za-z])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b",
     "card": r"(?=\d)(?<![\w.-])(?:\d{13,19}|\d{4}(?<sep>[ -])\d{4}\k<sep>\d{4}\k<sep>\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]|\.\d)",
     "ssn": r"(?=\d)(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?=\d)(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "ipv6": rf"(?=[23f])(?<![\w:.])(?:[23][0-9a-f]{{3}}|fe[89ab][0-9a-f]|f[cd][0-9a-f]{{2}})(?=(?::{HEX4}){{0,6}}::|(?::{HEX4}){{7}}(?![\w:]))(?:::?{HEX4}){{1,7}}(?![\w:])",
+    "ipv6": rf"(?=[23fF])(?<![\w:.])(?:[23][0-9A-Fa-f]{{3}}|[fF][eE][89ABab][0-9A-Fa-f]|[fF][CDcd][0-9A-Fa-f]{{2}})(?=(?::{HEX4}){{0,6}}::|(?::{HEX4}){{7}}(?![\w:]))(?:::?{HEX4}){{1,7}}(?![\w:])",
     "phone": r"(?=[+(\d])(?:(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])(?:\d{3}-\d{3}-\d{4}|0\d{1,2}-\d{3,4}-\d{4})(?![\w-])"
              r"|(?<![\w.,/-])(?:\d{3}\.\d{3}\.\d{4}|0\d{2,4}[ /]\d{5,8})(?![\w/-]|[.,]\d))",
-    "name": rf"(?=[MHSFDPг])(?<![\p{{L}}\p{{N}}])(?:{MEN}|{WOMEN}|{BOTH}) (?:\p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}}|\p{{IsHangul}}{{2,4}}(?!\p{{L}}))",
+    "name": rf"(?=[MHSFDPг])(?<![\p{{L}}\p{{N}}])(?:{MEN}|{WOMEN}|{BOTH}) (?:{NAME}(?:[ -]{NAME}){{0,2}}|\p{{IsHangul}}{{2,4}}(?!\p{{L}}))",
+    "street": rf"(?=\d)(?<![\w.,/-])\d{{1,5}}(?: \p{{Lu}}\p{{Ll}}+){{1,3}}(?= (?:{STREETS})(?!\w))",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 PREFIX = rf"^(?:(?:{MEN}|{WOMEN}|{BOTH}) (?=[\p{{Lu}}\p{{IsHangul}}])|{KEYWORD}|{PEM})"
-#: What every match holds: a digit, an at sign, a quotation mark, or one of these words. Most documents have none of them.
-MARKS = "[0-9@\"']"
+#: What every match holds: a digit, an at sign, a quotation mark, two colons with at most four letters between, or one of these words. Most documents have none of them.
+MARKS = "[0-9@\"']|:[A-Fa-f]{0,4}:"
 STARTS = (
     "Mr", "Mister", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mademoiselle", "Señor", "Signor", "господин", "госпожа", "г-н", "г-жа", "Dr", "Prof",
-    "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "-----BEGIN ",
+    "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "xox", "AIza", "eyJ", "-----BEGIN ",
 )
 DIGITS = ("card", "ssn", "phone")
 #: Given names that surrogates are drawn from, and syllables of their family names, by script.
@@ -77,10 +83,11 @@ def kind_of(prefix: Column, mention: Column) -> Column:
     """The kind of what ANY has matched behind its prefix."""
     digits = F.regexp_replace(mention, r"\D", "")
     return (
-        F.when(prefix.rlike("[\"'-]$"), "secret")
+        F.when(prefix.rlike(r"[\"'=:>-]\s*$"), "secret")
         .when(prefix != "", "name")
         .when(F.contains(mention, F.lit("@")) & mention.rlike(r"^[^\s@]+@[^\s@]+\.\p{L}+$"), "email")
         .when(mention.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
+        .when(mention.rlike(r"^\d{1,5} \p{Lu}\p{Ll}"), "street")
         .when(mention.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ipv6")
         .when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(mention.rlike(r"^\d[\d -]*$") & (F.length(digits) >= 13) & (F.length(digits) <= 19), "card")
@@ -142,7 +149,9 @@ def _propose(key: str, d: DataFrame) -> Column:
     email = F.concat(_shaped(local, s, F.lit(0)), F.lit("@"), domain)
     v6 = F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.substring(s, 1 + 4 * i, 4)) for i in range(6)])
     v4 = F.array_join(F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: (_byte(s, i) % 254 + 1).cast("string")), ".")
-    ip = F.when(F.col("attempt") >= LONGER, v6).when(kind == "ip", v4).when(F.col("attempt") >= WIDER, v6).otherwise(_shaped(entity, s, F.lit(4)))
+    ip = F.when(F.col("attempt") >= LONGER, v6).when(kind == "ip", v4).when(F.col("attempt") >= WIDER, v6).when(
+        entity.rlike("^[23]"), F.concat(F.lit("2001:db8"), _shaped(F.regexp_replace(entity, "^[0-9a-f]{4}(:[0-9a-f]+)?", ""), s, F.lit(0)))
+    ).otherwise(_shaped(entity, s, F.lit(4)))
     number = _shaped(entity, s, F.when(kind == "phone", F.length(entity) - F.least(F.length(entity), F.lit(9))).when(kind == "card", 1).otherwise(0))
     base = F.concat(F.substring(number, F.lit(1), F.length(number) - 1), F.lit("0"))
     card = F.when(F.col("checked"), F.concat(F.substring(base, F.lit(1), F.length(base) - 1), ((F.lit(10) - _luhn(base)) % 10).cast("string"))).otherwise(number)
@@ -155,10 +164,11 @@ def _propose(key: str, d: DataFrame) -> Column:
     # A longer name each few attempts: names never run out.
     more = F.lit(3) + F.floor(F.col("attempt") / 3).cast("int")
     family = reduce(lambda rest, script: F.when(F.col("script") == script, syllables(script, more)).otherwise(rest), SYLLABLES, F.lit(""))
+    street = F.concat(_shaped(F.regexp_extract(entity, r"^\d+", 0), s, F.lit(0)), F.lit(" "), syllables("latin", more))
     given = F.when(given == "", family).otherwise(F.concat(given, F.when(F.col("attempt") >= 2, F.concat(F.lit("-"), F.initcap(family))).otherwise(F.lit(""))))
     name = F.when(F.col("part") == "given", F.lower(given)).otherwise(family)
     iban = F.concat(F.substring(entity, 1, 2), F.substring(_shaped(entity, s, F.lit(2)), F.lit(3), F.length(entity)))
-    return F.when(kind == "email", email).when(kind.isin("ip", "ipv6"), ip).when(kind == "card", card).when(kind.isin("phone", "ssn"), number).when(kind == "name", name).when(kind == "iban", iban).otherwise(_shaped(entity, s, F.lit(0)))
+    return F.when(kind == "email", email).when(kind.isin("ip", "ipv6"), ip).when(kind == "card", card).when(kind.isin("phone", "ssn"), number).when(kind == "name", name).when(kind == "iban", iban).when(kind == "street", street).otherwise(_shaped(entity, s, F.lit(0)))
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -174,7 +184,7 @@ def mentions(docs: DataFrame) -> DataFrame:
 def _words(found: DataFrame) -> DataFrame:
     """Mentions by the entities they consist of: names word by word, the others whole. Adds j, word, entity, part, script."""
     name = F.col("kind") == "name"
-    split = F.when(name, F.regexp_extract_all("mention", F.lit(r"\p{L}+"), F.lit(0))).otherwise(F.array("mention"))
+    split = F.when(name, F.regexp_extract_all("mention", F.lit(NAME_WORD), F.lit(0))).otherwise(F.array("mention"))
     each = found.select("*", F.size(split).alias("n"), F.posexplode(split).alias("j", "word"))
     part = F.when(name, F.when(F.col("j") == F.col("n") - 1, "family").otherwise("given")).otherwise("")
     script = F.when(name & F.col("word").rlike(r"\p{IsCyrillic}"), "cyrillic").when(name & F.col("word").rlike(r"\p{IsHangul}"), "hangul").otherwise("latin")
@@ -215,7 +225,7 @@ def _spelled(kind: Column, mention: Column, surrogate: Column) -> Column:
     digits = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike(r"\d"), F.substring(surrogate, place(i, r"\D"), F.lit(1))).otherwise(c)), "")
     digits = F.concat(digits, F.substring(surrogate, F.length(F.regexp_replace(mention, r"\D", "")) + 1, F.length(surrogate)))
     iban = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c != " ", F.substring(surrogate, place(i, " "), F.lit(1))).otherwise(c)), "")
-    cased = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(surrogate)).when((kind == "name") & mention.rlike(r"^\p{Lu}"), F.initcap(surrogate)).otherwise(surrogate)
+    cased = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(surrogate)).when((kind == "street") | (kind == "name") & mention.rlike(r"^\p{Lu}"), F.initcap(surrogate)).otherwise(surrogate)
     mixed = F.array_join(F.zip_with(F.split(mention, ""), F.split(surrogate, ""), lambda m, c: F.when(m.rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
     return F.when(kind.isin(*DIGITS), digits).when(kind == "iban", iban).when(kind == "secret", mixed).otherwise(cased)
 
@@ -235,7 +245,7 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     spelled = named.withColumn("new", _spelled(F.col("kind"), F.col("word"), F.col("surrogate")))
     # Put names together again: the separators between their words are those of the mention.
     whole = spelled.groupBy(*DOC, "i", "prefix", "mention", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "new"))), lambda x: x["new"]).alias("parts"))
-    gaps = F.split("mention", r"\p{L}+", -1)
+    gaps = F.split("mention", NAME_WORD, -1)
     name = F.array_join(F.zip_with(gaps, F.concat(F.col("parts"), F.array(F.lit(""))), lambda g, p: F.concat(g, p)), "")
     whole = whole.withColumn("new", F.concat("prefix", F.when(F.col("kind") == "name", name).otherwise(F.element_at("parts", 1))))
     per_doc = whole.groupBy(*DOC).agg(
