@@ -25,7 +25,7 @@ BLOCK = 1024
 
 @dataclass(frozen=True)
 class Training:
-    """per_class and max_bytes bound the sample that is brought to the driver; the other values steer the fit."""
+    """per_class and max_bytes bound the sample that one task learns from; the other values steer the fit."""
 
     per_class: int = 1000
     max_bytes: int = 32_000_000
@@ -126,17 +126,31 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, how: Training) -> Model:
+    """The model of the labelled sample among docs; it is fitted in a task, and only its weights come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((i, t, y) for b in batches for i, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y"))))
+        m = fit([t for _, t, _ in rows], [y for *_, y in rows], how)
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (m.table, m.bias, m.weight)] + [pa.array([m.shift])], ["table", "bias", "weight", "shift"])
+
+    sample = common.labelled_sample(docs, labels, "quality", ~held_out(), how.per_class, how.max_bytes)
+    found = sample.repartition(1).mapInArrow(run, "table binary, bias binary, weight binary, shift double").first()
+    if not found:
+        return fit([], [], how)
+    table, bias, weight = (np.frombuffer(found[c]) for c in ("table", "bias", "weight"))
+    return Model(table.reshape(WIDTH, 256, FILTERS).astype(np.float32), bias.astype(np.float32), weight, found["shift"])
+
+
 def scores(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted (1 from 0.7). The score sees the whole text and nothing else.
 
     Null and empty texts are scored as one chunk of zero bytes. labels with null or other values than 0 and 1 are ignored; with one label or none the
     score is constant. Repeated rows score alike; empty docs give an empty result; other columns are ignored.
     """
-    rows = common.labelled_sample(docs, labels, "quality", ~held_out(), how.per_class, how.max_bytes).orderBy("doc_id").toPandas()
-    texts, y = rows["text"].tolist(), rows["y"].astype(int).tolist()
-    model = docs.sparkSession.sparkContext.broadcast(fit(texts, y, how))
-
     common.narrow_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(_fitted(docs, labels, how))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:

@@ -22,7 +22,7 @@ SIZES, HASH_BITS = (3, 4, 5), 20
 
 @dataclass(frozen=True)
 class Training:
-    """per_class and max_bytes bound the sample that is brought to the driver; the other values steer the fit."""
+    """per_class and max_bytes bound the sample that one task learns from; the other values steer the fit."""
 
     per_class: int = 1500
     max_bytes: int = 48_000_000
