@@ -6,7 +6,10 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of its own; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        return base.rstrip("/")
+        return qualified(spark, base).rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = "file://" + tempfile.mkdtemp(prefix="marketweave-")
@@ -28,6 +31,32 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its file system, as Spark understands it: a path without scheme lies in the cluster's default file system, which Python workers don't know."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+def arrow_uri(path: str) -> str:
+    """A qualified path as Arrow writes it; s3a and s3n are its s3. Raises ValueError for a path without scheme, which would be another folder on each machine."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        raise ValueError(f"{path} names no file system: give its scheme, such as hdfs:// or file://")
+    scheme = "s3" if scheme in ("s3a", "s3n") else scheme
+    return f"{scheme}:{quote('//' + '/' + rest.lstrip('/') if scheme == 'file' else rest, safe='/:@?&=%+')}"
+
+
+def arrow_fs(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a qualified path, and the path in it, for Python workers. Raises ValueError for schemes that Arrow doesn't know."""
+    uri = arrow_uri(path)
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.partition(":")[2].lstrip("/")
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"Python workers cannot reach {path}: use a folder in hdfs, viewfs, s3a, gs, abfss or a shared file:// path") from e
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder. :func:`forget` removes what was made, at the latest when the driver's Python ends."""
     path = f"{shared_dir(spark)}/marketweave-{name}-{uuid.uuid4().hex}"

@@ -51,12 +51,6 @@ def unpack(raw: bytes, n: int, bits: int) -> np.ndarray:
     return each.astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
-def _fs(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 @dataclass
 class Shard(WriterCommitMessage, InputPartition):
     name: str
@@ -137,7 +131,7 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Shard:
         from pyspark import TaskContext
 
-        fs, where = _fs(self.path)
+        fs, where = common.arrow_fs(self.path)
         fs.create_dir(where, recursive=True)
         task = TaskContext.get().partitionId()
         name, docs = f"part-{task:06d}-{uuid.uuid4().hex}.tokens", 0
@@ -150,7 +144,7 @@ class _Writer(DataSourceArrowWriter):
             return Shard(name, task, docs, shard.close())
 
     def commit(self, messages: list) -> None:
-        fs, where = _fs(self.path)
+        fs, where = common.arrow_fs(self.path)
         base, shards = 0, []
         for s in sorted((m for m in messages if m is not None), key=lambda m: m.task):
             shards.append({"name": s.name, "docs": s.docs, "ids": s.ids, "base": base})
@@ -160,14 +154,14 @@ class _Writer(DataSourceArrowWriter):
             out.write(json.dumps({"bits": self.bits, "shards": shards}).encode())
 
     def abort(self, messages: list) -> None:
-        fs, where = _fs(self.path)
+        fs, where = common.arrow_fs(self.path)
         for m in messages:
             if m is not None:
                 fs.delete_file(f"{where}/{m.name}")
 
 
 def manifest(path: str) -> list[dict]:
-    fs, where = _fs(path)
+    fs, where = common.arrow_fs(path)
     with fs.open_input_stream(f"{where}/manifest.json") as f:
         return json.loads(f.read())["shards"]
 
@@ -182,7 +176,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: Shard) -> Iterator[pa.RecordBatch]:
         if not partition.name:
             return
-        fs, where = _fs(self.path)
+        fs, where = common.arrow_fs(self.path)
         with fs.open_input_file(f"{where}/{partition.name}") as f:
             r = ShardReader(f)
             ends = np.cumsum(r.counts)
@@ -200,7 +194,7 @@ class _Reader(DataSourceReader):
 
 
 class PackedTokens(DataSource):
-    """Format "packed_tokens": option path, and for writing vocabulary (number of different ids)."""
+    """Format "packed_tokens": option path (with its scheme), and for writing vocabulary (number of different ids)."""
 
     @classmethod
     def name(cls) -> str:
@@ -217,8 +211,8 @@ class PackedTokens(DataSource):
 
 
 def read_range(path: str, start: int, stop: int) -> np.ndarray:
-    """Ids start to stop - 1 of the whole corpus; opens only the shards and blocks that hold them."""
-    fs, where = _fs(path)
+    """Ids start to stop - 1 of the whole corpus at path, which names its file system; opens only the shards and blocks that hold them."""
+    fs, where = common.arrow_fs(path)
     parts = []
     for s in manifest(path):
         a, b = max(start, s["base"]), min(stop, s["base"] + s["ids"])
@@ -291,13 +285,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: i
     """
     docs.sparkSession.dataSource.register(PackedTokens)
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id", F.left("text", F.lit(32))).sortWithinPartitions("doc_id", "text")
-    encode(dealt, tokenizer, end_id).write.format("packed_tokens").option("vocabulary", vocabulary).mode("append").save(path)
+    encode(dealt, tokenizer, end_id).write.format("packed_tokens").option("vocabulary", vocabulary).mode("append").save(common.qualified(docs.sparkSession, path))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit integers)."""
     spark.dataSource.register(PackedTokens)
-    return spark.read.format("packed_tokens").load(path)
+    return spark.read.format("packed_tokens").load(common.qualified(spark, path))
 
 
 def digests(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int) -> DataFrame:

@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import _fs
 
 #: Trees of a task, at most but for chance, where there are more than the session has tasks at once.
 LEAF, SHARD_ROWS, QUERY_BLOCK, TREES = 128, 8192, 4096, 8
@@ -156,7 +155,7 @@ def _blocks(path: str, block: int) -> Iterator[dict[int, tuple[np.ndarray, np.nd
     import pyarrow.parquet as pq
     from pyarrow import fs as pafs
 
-    fs, where = _fs(path)
+    fs, where = common.arrow_fs(path)
     for info in sorted((x for x in fs.get_file_info(pafs.FileSelector(where)) if x.path.endswith(".parquet")), key=lambda x: x.path):
         with fs.open_input_file(info.path) as f:
             for b in pq.ParquetFile(f).iter_batches(block, columns=["query_id", "v"]):

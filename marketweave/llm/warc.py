@@ -24,7 +24,6 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from . import common
-from .tokens import _fs
 
 WRITE_SCHEMA = "page_id long, url string, payload binary, refers_to long"
 READ_SCHEMA = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, headers map<string,string>, payload binary, damaged boolean"
@@ -73,7 +72,7 @@ class _Writer(DataSourceArrowWriter):
         self.path, self.date = path, date
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
-        fs, where = _fs(self.path)
+        fs, where = common.arrow_fs(self.path)
         fs.create_dir(where, recursive=True)
         name = f"{where}/part-{uuid.uuid4().hex}.warc.gz"
         with fs.open_output_stream(f"{name}.writing") as out:
@@ -83,14 +82,14 @@ class _Writer(DataSourceArrowWriter):
         return Part(name)
 
     def commit(self, messages: list) -> None:  # a file gets its name only when its task has won
-        fs, where = _fs(self.path)
+        fs, where = common.arrow_fs(self.path)
         fs.create_dir(where, recursive=True)
         for m in messages:
             if m is not None:
                 fs.move(f"{m.file}.writing", m.file)
 
     def abort(self, messages: list) -> None:
-        fs, _ = _fs(self.path)
+        fs, _ = common.arrow_fs(self.path)
         for m in messages:
             if m is not None:
                 fs.delete_file(f"{m.file}.writing")
@@ -234,7 +233,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[Part]:
         from pyarrow import fs as pafs
 
-        fs, where = _fs(self.path)
+        fs, where = common.arrow_fs(self.path)
         found = fs.get_file_info(pafs.FileSelector(where, recursive=True))
         parts = []
         for i in sorted((x for x in found if x.is_file and x.path.endswith((".warc", ".warc.gz"))), key=lambda x: x.path):
@@ -256,7 +255,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         if not partition.file:
             return
-        fs, _ = _fs(self.path)
+        fs, _ = common.arrow_fs(self.path)
         gz, rows, held = partition.file.endswith(".gz"), [], 0
         with fs.open_input_file(partition.file) as f:
             s = _Stream(f, partition.start, f.size())
@@ -319,7 +318,7 @@ class _Reader(DataSourceReader):
 
 
 class Warc(DataSource):
-    """Options: path; payload (default true; false leaves payload null and skips it); split (bytes of a partition); date of written records."""
+    """Options: path (with its scheme); payload (default true; false leaves payload null and skips it); split (bytes of a partition); date of written records."""
 
     @classmethod
     def name(cls) -> str:
@@ -350,7 +349,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     twice = common.small(common.store(twice, "digests"), MAX_DIGESTS)
     refers = F.when(F.col("page_id") != F.col("last"), F.col("last"))
     records = keyed.join(twice, "key", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
-    records.write.format("warc").mode("append").save(path)
+    records.write.format("warc").mode("append").save(common.qualified(spark, path))
 
 
 def read(spark: SparkSession, path: str, payload: bool = True, split: int = SPLIT) -> DataFrame:
@@ -361,7 +360,7 @@ def read(spark: SparkSession, path: str, payload: bool = True, split: int = SPLI
     """
     spark.dataSource.register(Warc)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").option("payload", str(payload).lower()).option("split", split).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("split", split).load(common.qualified(spark, path))
 
 
 def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marketweave.llm import bpe, copies, decontaminate, pii, quality, simhash, spans, tokens, toxicity
+from marketweave.llm import bpe, common, copies, decontaminate, pii, quality, simhash, spans, tokens, toxicity
 
 tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, term string, pos int, fp long, score double"
@@ -377,7 +377,7 @@ def test_token_files_round_trip_and_random_access(spark, tmp_path):
     stream = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in got])
     assert [r["start"] for r in got] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in got])[:-1]]).tolist()
     for a, b in ((0, 5), (100, 101), (50, len(stream)), (len(stream), len(stream) + 5)):
-        assert (tokens.read_range(where, a, b) == stream[a:b]).all()
+        assert (tokens.read_range(common.qualified(spark, where), a, b) == stream[a:b]).all()
     one = next(r for r in got if r["doc_id"] is None)
     assert zlib.crc32(one["ids"]) == zlib.crc32(np.array(lists(tokens.encode_texts(pa.array(["no id"]), path))[0] + [0], "<u4").tobytes())
     assert tokens.digests(docs(spark, []), path, 50_257, 0).count() == 0
@@ -632,3 +632,21 @@ def test_token_files_of_one_doc_id_and_long_texts(spark, tmp_path):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     assert [r["doc_id"] for r in got] == [i for i, _ in order]
     assert [np.frombuffer(r["ids"], "<u4")[:-1].tolist() for r in got] == lists(tokens.encode_texts(pa.array([t for _, t in order]), path))
+
+
+def test_paths_of_spark_and_of_python_workers(spark, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "hdfs://127.0.0.1:9")
+        assert common.qualified(spark, "/shared/ck") == "hdfs://127.0.0.1:9/shared/ck"  # not a folder of each machine
+        assert common.qualified(spark, "file:///a/b").startswith("file:/")
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert common.arrow_uri("s3a://bucket/a b/c") == "s3://bucket/a%20b/c" and common.arrow_uri("file:/a/b") == "file:///a/b"
+    where, path = common.arrow_fs(common.qualified(spark, str(tmp_path / "a b%20")))
+    assert where.type_name == "local" and path == str(tmp_path / "a b%20")
+    with pytest.raises(ValueError, match="names no file system"):
+        common.arrow_fs("/shared/ck")
+    with pytest.raises(ValueError, match="cannot reach dbfs"):
+        common.arrow_fs("dbfs:/shared/ck")
