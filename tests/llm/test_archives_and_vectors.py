@@ -188,6 +188,36 @@ def test_repeated_rows_and_ids_with_several_vectors(spark, shard_rows):
     assert found(rows + near) == sorted(expected)
 
 
+def test_cells_are_left_out_and_lose_nothing(spark, monkeypatch):
+    """Thirty far clusters: queries go to few cells. One vector has a third of all ids, some vectors have a length that no pivot has, some clusters hold fewer rows than k."""
+    rng = random.Random(8)
+    centres = [[rng.uniform(-100, 100) for _ in range(6)] for _ in range(30)]
+    rows = [(i, [float(np.float32(x + rng.gauss(0, 1))) for x in centres[min(29, i % 40)]]) for i in range(600)]
+    rows += [(1000 + i, rows[3][1]) for i in range(300)] + [(2000 + i, [500.0 + i] * 6) for i in range(3)] + [(3000 + i, [float(i + 1), 2.0]) for i in range(14)]
+    monkeypatch.setattr(vptree, "LEAF", 16)
+    df = table(spark, rows)
+    index = vptree.build_index(df, 30)
+    cells = vptree._directory(index)
+    assert set(cells) <= {2, 6} and len(cells[6].number) > 15
+    assert index.agg({"rows": "max"}).first()[0] < 100
+    ids = [0, 3, 7, 39, 1000, 2001, 3005]
+    queries = df.where(df.vec_id.isin(ids))
+    found = vptree.nearest(index, queries).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in found) == brute(rows, ids, 10)
+    limited = queries.selectExpr("vec_id AS query_id", "cast(embedding AS array<double>) AS v").join(spark.createDataFrame(found).groupBy("query_id").agg(F.max("score").alias("far")), "query_id")
+    visited = vptree._visits(limited.where("size(v) = 6 AND query_id < 2000"), cells, 10, 1.0, False).count()
+    assert visited < 5 * len(cells[6].number) / 3
+
+
+def test_lengths_without_a_pivot(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "PIVOTS", 1)
+    rows = [(i, [float(i), 1.0] if i % 2 else [float(i), 1.0, 2.0]) for i in range(200)]
+    index = vptree.build_index(table(spark, rows), 20)
+    assert {r["cell"] for r in index.select("cell").collect()} == {0, -1}
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in vptree.nearest(index, table(spark, [rows[4], rows[5]])).collect())
+    assert got == sorted(brute([r for r in rows if r[0] % 2 == 0], [4], 10) + brute([r for r in rows if r[0] % 2], [5], 10))
+
+
 def test_relaxed_search_keeps_most_neighbours(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(2000)]
