@@ -16,7 +16,7 @@ from ..operators import summaries as m
 from .entities import market_feed
 from .evidence import CARDS, NEGATIVE, POSITIVE, _numbered, changes, docs
 from .registry import register, view
-from .text import LIKE
+from .text import LIKE, C
 
 EVENT = "coalesce(published_at, collected_at)"
 
@@ -26,7 +26,21 @@ def _sector_docs(s: SparkSession, d: str) -> DataFrame:
     return mapped.withColumn("stocks", F.size(F.collect_set("stock_code").over(Window.partitionBy("sector_code"))))
 
 
-@register("e10_stock_summaries")
+def _fact() -> str:
+    """CTEs x to f over k (id, title, body): the fact of each document."""
+    clean = lambda c: f"rtrim(left({C.format("regexp_replace(" + C.format(c) + r", '\[[^\]]{1,60}\]', '', 'g')")}, 220))"
+    return rf"""x AS (SELECT *, {C.format('title')} AS head, CASE WHEN {C.format('body')} <> '' THEN {C.format('body')} ELSE {C.format('title')} END AS whole FROM k),
+  y AS (SELECT *, CASE WHEN head <> '' AND starts_with(whole, head) AND trim(substr(whole, length(head) + 1)) <> '' THEN trim(substr(whole, length(head) + 1)) ELSE whole END AS rest FROM x),
+  f AS (SELECT *, CASE WHEN rest = '' THEN '{m.NO_BODY}' ELSE coalesce(list_filter(list_transform(string_split(regexp_replace(rest, '([.!?다]) +', '\1' || chr(1), 'g'), chr(1)), lambda s: {clean('s')}), lambda s: length(s) >= 16)[1], {clean('rest')}) END AS fact FROM y)"""
+
+
+@register("e10_stock_summaries", f"""WITH k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY {EVENT} DESC, id DESC) AS n, lower(title || ' ' || body) AS low FROM fx_documents) AS t WHERE n <= 30), {_fact()},
+  p AS (SELECT *, {{'fact': fact, 'id': id}} AS s, contains(low, 'risk') OR contains(low, 'reing') AS risky, contains(low, 'next') OR contains(low, 'tion') AS due FROM f),
+  g AS (SELECT stock_code, arg_min(s, n) FILTER (WHERE n = 1) AS a, arg_min(s, n) FILTER (WHERE n = 2) AS b, arg_min(s, n) FILTER (WHERE risky) AS r, arg_min(s, n) FILTER (WHERE due) AS c,
+    sum({" + ".join(f"CAST(contains(low, '{w}') AS INT)" for w in POSITIVE)} - ({" + ".join(f"CAST(contains(low, '{w}') AS INT)" for w in NEGATIVE)})) AS gap FROM p GROUP BY stock_code),
+  h AS (SELECT stock_code, a, coalesce(b, a) AS b, coalesce(r, a) AS r, coalesce(c, b, a) AS c, CASE WHEN gap > 0 THEN '긍정' WHEN gap < 0 THEN '부정' ELSE '중립' END || printf(' (신뢰도 %.2f)', CAST(least(0.9, 0.55 + 0.04 * abs(gap)) AS DOUBLE)) AS verdict FROM g)
+  SELECT stock_code, CAST(i AS INT) AS line_no, CASE i WHEN 1 THEN '결론: ' || a.fact WHEN 2 THEN '근거1: ' || a.fact WHEN 3 THEN '근거2: ' || b.fact WHEN 4 THEN '리스크1: ' || r.fact WHEN 5 THEN '체크포인트1: ' || c.fact ELSE '최종판단: ' || verdict END AS text,
+    CASE i WHEN 3 THEN b.id WHEN 4 THEN r.id WHEN 5 THEN c.id ELSE a.id END AS source_id FROM h, (SELECT unnest(generate_series(1, 6)) AS i) AS l""")
 def e10(s: SparkSession, d: str) -> DataFrame:
     return m.stock_summaries(docs(s, d), ["risk", "reing"], ["next", "tion"], POSITIVE, NEGATIVE)
 

@@ -136,7 +136,8 @@ def f10(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "documents").select("doc_id", F.size(t.fact_tokens(F.col("text"))).alias("tokens"), F.round(t.preservation(F.col("text"), F.substring_index("text", "\n", 1)), 6).alias("kept"))
 
 
-@register("f23_packed_lines")
+@register("f23_packed_lines", f"""WITH k AS (SELECT doc_id, list_transform(string_split({C.format("coalesce(text, '')")}, ' '), lambda x: [x]) AS w FROM documents)
+  SELECT doc_id, list_filter(list_reduce(w, lambda a, x: CASE WHEN len(a) > 5 THEN a WHEN length(a[-1]) + 1 + length(x[1]) > 110 THEN list_concat(a, x) ELSE list_concat(a[:-2], [a[-1] || ' ' || x[1]]) END), lambda x: x <> '')[1:5] AS lines FROM k""")
 def f23(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "documents").select("doc_id", t.pack_words(F.col("text")).alias("lines"))
 
