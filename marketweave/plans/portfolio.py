@@ -116,9 +116,21 @@ def b11(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(p.ledger(p.states(_aligned(spark, d), "monthly", cost=0.001)))
 
 
-@register("b11_turnover")
+#: The gap of each asset to its weight on every event day, and what is held and paid behind it, when a trade costs a thousandth.
+TRADED = """v AS (SELECT portfolio_id, CAST(segment AS BIGINT) AS k, list(entry ORDER BY asset_pos) AS px, list(weight ORDER BY asset_pos) AS wt FROM o GROUP BY portfolio_id, segment),
+t AS (SELECT portfolio_id, k, 10000.0 - 10000.0 * list_sum(wt) AS cash, list_transform(range(1, len(px) + 1), lambda i: 10000.0 * wt[i] / (px[i] * 1.001)) AS held, list_transform(wt, lambda y: 10000.0 * y) AS gap FROM v WHERE k = 0
+  UNION ALL SELECT portfolio_id, k, cash - list_sum(list_transform(gap, lambda y: CASE WHEN abs(y) < 1e-8 THEN 0.0 WHEN y > 0 THEN y ELSE y * 0.999 END)),
+    list_transform(range(1, len(px) + 1), lambda i: CASE WHEN abs(gap[i]) < 1e-8 THEN held[i] WHEN gap[i] > 0 THEN held[i] + gap[i] / (px[i] * 1.001) ELSE held[i] - least(held[i], -gap[i] / px[i]) END), gap
+  FROM (SELECT portfolio_id, k, px, cash, held, list_transform(range(1, len(px) + 1), lambda i: equity * wt[i] - held[i] * px[i]) AS gap
+    FROM (SELECT v.portfolio_id, v.k, v.px, v.wt, t.cash, t.held, t.cash + list_sum(list_transform(range(1, len(v.px) + 1), lambda i: t.held[i] * v.px[i])) AS equity FROM t JOIN v ON v.portfolio_id = t.portfolio_id AND v.k = t.k + 1) AS q) AS r),
+z AS (SELECT * FROM (SELECT portfolio_id, k, unnest(gap) AS gap FROM t) AS q WHERE abs(gap) >= 1e-8)"""
+
+
+@register("b11_turnover", f"""WITH RECURSIVE {ALIGNED}, {FREE}, {TRADED}, n AS (SELECT portfolio_id, max(k) AS events FROM t GROUP BY portfolio_id)
+  SELECT portfolio_id, count(*) AS trades, round(ln(sum(CASE WHEN gap > 0 THEN gap / 1.001 ELSE -gap END)), 6) AS traded, min(events) AS events, CAST(0 AS DOUBLE) AS paid_in, round(ln(sum(CASE WHEN gap > 0 THEN gap / 1.001 ELSE -gap END) / 10000), 6) AS turnover_ratio
+  FROM z JOIN n USING (portfolio_id) GROUP BY portfolio_id""")
 def b11_turnover(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(p.turnover(p.states(_aligned(spark, d), "monthly", cost=0.001)))
+    return _rounded(_log(_log(p.turnover(p.states(_aligned(spark, d), "monthly", cost=0.001)), "traded"), "turnover_ratio"))
 
 
 @register("b12_comparison", f"""WITH {ALIGNED}, {HELD}, f AS (SELECT portfolio_id, trade_date, equity FROM e), h AS (WITH {FREE} SELECT portfolio_id, trade_date, equity FROM e)
