@@ -111,11 +111,6 @@ def b10_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(p.benchmark_metrics(p.benchmark(p.buy_and_hold(_aligned(spark, d)), view(spark, d, "fx_price_bars"), code)))
 
 
-@register("b11_ledger")
-def b11(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(p.ledger(p.states(_aligned(spark, d), "monthly", cost=0.001)))
-
-
 #: The gap of each asset to its weight on every event day, and what is held and paid behind it, when a trade costs a thousandth.
 TRADED = """v AS (SELECT portfolio_id, CAST(segment AS BIGINT) AS k, list(entry ORDER BY asset_pos) AS px, list(weight ORDER BY asset_pos) AS wt FROM o GROUP BY portfolio_id, segment),
 t AS (SELECT portfolio_id, k, 10000.0 - 10000.0 * list_sum(wt) AS cash, list_transform(range(1, len(px) + 1), lambda i: 10000.0 * wt[i] / (px[i] * 1.001)) AS held, list_transform(wt, lambda y: 10000.0 * y) AS gap FROM v WHERE k = 0
@@ -133,6 +128,16 @@ def b11_turnover(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_log(_log(p.turnover(p.states(_aligned(spark, d), "monthly", cost=0.001)), "traded"), "turnover_ratio"))
 
 
+@register("b11_ledger", f"""WITH RECURSIVE {ALIGNED}, {FREE}, {TRADED}, days AS (SELECT portfolio_id, segment AS k, min(trade_date) AS trade_date FROM c GROUP BY portfolio_id, segment),
+  codes AS (SELECT portfolio_id, code, row_number() OVER (PARTITION BY portfolio_id ORDER BY asset_pos) AS i FROM w), u AS (SELECT portfolio_id, k, unnest(gap) AS gap, generate_subscripts(gap, 1) AS i FROM t),
+  f AS (SELECT portfolio_id, trade_date, CAST(row_number() OVER (PARTITION BY portfolio_id, u.k ORDER BY i) - 1 AS INT) AS n, code, gap, px[i] AS price FROM u JOIN v USING (portfolio_id, k) JOIN days USING (portfolio_id, k) JOIN codes USING (portfolio_id, i) WHERE abs(gap) >= 1e-8)
+  SELECT portfolio_id, trade_date, n, code, CASE WHEN gap > 0 THEN 'buy' ELSE 'sell' END AS side, round(ln(gross / price), 6) AS quantity, round(price, 6) AS price, round(ln(gross), 6) AS gross, round(ln(gross * 0.001), 6) AS cost
+  FROM (SELECT *, CASE WHEN gap > 0 THEN gap / 1.001 ELSE -gap END AS gross FROM f) AS q""")
+def b11(spark: SparkSession, d: str) -> DataFrame:
+    made = p.ledger(p.states(_aligned(spark, d), "monthly", cost=0.001))
+    return _rounded(_log(_log(_log(made, "quantity"), "gross"), "cost"))
+
+
 @register("b12_comparison", f"""WITH {ALIGNED}, {HELD}, f AS (SELECT portfolio_id, trade_date, equity FROM e), h AS (WITH {FREE} SELECT portfolio_id, trade_date, equity FROM e)
   SELECT series, portfolio_id, trade_date, round(ln(equity / first_value(equity) OVER (PARTITION BY series, portfolio_id ORDER BY trade_date) * 100), 6) AS index FROM (SELECT 'held' AS series, * FROM f UNION ALL SELECT 'monthly', * FROM h) AS t""")
 def b12(spark: SparkSession, d: str) -> DataFrame:
