@@ -76,9 +76,25 @@ def b6_fold(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_log(p.rebalanced(_aligned(spark, d), "monthly"), "equity"))
 
 
-@register("b7_contributions_with_costs")
+#: Rebalancing by quarter, 500 paid in by month and spent in the order of assets while there is cash; a trade costs 0.0015.
+PAID = """c AS (SELECT *, CAST(sum(CASE WHEN reb OR con THEN 1 ELSE 0 END) OVER (PARTITION BY portfolio_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS BIGINT) AS k FROM (
+  SELECT portfolio_id, trade_date, coalesce(date_trunc('quarter', trade_date) <> date_trunc('quarter', before), FALSE) AS reb, coalesce(date_trunc('month', trade_date) <> date_trunc('month', before), FALSE) AS con
+  FROM (SELECT portfolio_id, trade_date, lag(trade_date) OVER (PARTITION BY portfolio_id ORDER BY trade_date) AS before FROM (SELECT DISTINCT portfolio_id, trade_date FROM a) AS q) AS q) AS q),
+b AS (SELECT portfolio_id, k, min(trade_date) AS trade_date, arg_min(reb, trade_date) AS reb, arg_min(con, trade_date) AS con FROM c GROUP BY portfolio_id, k),
+v AS (SELECT portfolio_id, k, any_value(reb) AS reb, any_value(con) AS con, list(price ORDER BY asset_pos) AS px, list(weight ORDER BY asset_pos) AS wt FROM b JOIN a USING (portfolio_id, trade_date) GROUP BY portfolio_id, k),
+t AS (SELECT portfolio_id, k, 10000.0 - 10000.0 * list_sum(wt) AS cash, list_transform(range(1, len(px) + 1), lambda i: 10000.0 * wt[i] / (px[i] * 1.0015)) AS held FROM v WHERE k = 0
+  UNION ALL SELECT portfolio_id, k, cash - list_sum(list_transform(gap, lambda y: CASE WHEN abs(y) < 1e-8 THEN 0.0 WHEN y > 0 THEN y ELSE y * 0.9985 END)),
+    list_transform(range(1, len(px) + 1), lambda i: CASE WHEN abs(gap[i]) < 1e-8 THEN held[i] WHEN gap[i] > 0 THEN held[i] + gap[i] / (px[i] * 1.0015) ELSE held[i] + gap[i] / px[i] END)
+  FROM (SELECT *, list_transform(range(1, len(px) + 1), lambda i: CASE WHEN reb THEN (cash + list_sum(list_transform(range(1, len(px) + 1), lambda j: held[j] * px[j]))) * wt[i] - held[i] * px[i] ELSE 0.0 END) AS gap
+    FROM (SELECT portfolio_id, k, reb, px, wt, cash - list_sum(paid) AS cash, list_transform(range(1, len(px) + 1), lambda i: held[i] + paid[i] / (px[i] * 1.0015)) AS held
+      FROM (SELECT *, list_transform(range(1, len(px) + 1), lambda i: CASE WHEN con THEN greatest(0.0, least(500.0 * wt[i], cash - 500.0 * (list_sum(wt[1:i]) - wt[i]))) ELSE 0.0 END) AS paid
+        FROM (SELECT v.portfolio_id, v.k, v.reb, v.con, v.px, v.wt, t.held, t.cash + CASE WHEN v.con THEN 500.0 ELSE 0.0 END AS cash FROM t JOIN v ON v.portfolio_id = t.portfolio_id AND v.k = t.k + 1) AS q) AS q) AS q) AS q)"""
+
+
+@register("b7_contributions_with_costs", f"""WITH RECURSIVE {ALIGNED}, {PAID}, p AS (SELECT portfolio_id, trade_date, k, con, list(price ORDER BY asset_pos) AS px FROM a JOIN c USING (portfolio_id, trade_date) GROUP BY ALL)
+  SELECT portfolio_id, trade_date, round(ln(cash + list_sum(list_transform(range(1, len(px) + 1), lambda i: held[i] * px[i]))), 6) AS equity, CAST(CASE WHEN con THEN 500 ELSE 0 END AS DOUBLE) AS flow FROM p JOIN t USING (portfolio_id, k)""")
 def b7(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(p.rebalanced(_aligned(spark, d), "quarterly", "monthly", 500.0, cost=0.0015))
+    return _rounded(_log(p.rebalanced(_aligned(spark, d), "quarterly", "monthly", 500.0, cost=0.0015), "equity"))
 
 
 @register("b8_daily_points", f"WITH {ALIGNED}, {HELD}, {DAILY} SELECT portfolio_id, trade_date, round(equity + 1e-7, 3) AS equity, n, round(daily_return, 6) AS daily_return, round(drawdown, 6) AS drawdown FROM d")

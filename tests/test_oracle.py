@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from marketweave.plans.registry import ORACLE_SQL, QUERIES, TABLES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SOME = ["b5_buy_and_hold", "b6_rebalanced_by_fold", "b9_metrics", "p7_displayable", "j5_pending_items", "a4_sector_documents", "w2_pending_top_n", "o6_greedy_batches", "s9_merge_richer", "f7_sentences", "d4_similar_titles", "r6_ticker_scores", "r10_routes", "e1_facts", "s2_price_payload", "t3_marked_duplicates", "e10_stock_summaries", "f23_packed_lines"]
+SOME = ["b5_buy_and_hold", "b6_rebalanced_by_fold", "b9_metrics", "p7_displayable", "j5_pending_items", "a4_sector_documents", "w2_pending_top_n", "o6_greedy_batches", "s9_merge_richer", "f7_sentences", "d4_similar_titles", "r6_ticker_scores", "r10_routes", "e1_facts", "s2_price_payload", "t3_marked_duplicates", "e10_stock_summaries", "f23_packed_lines", "b7_contributions_with_costs", "b11_ledger", "b11_turnover"]
 
 
 def plain(v):
