@@ -183,6 +183,14 @@ def test_manual_rows_stay_unless_forced(spark):
     assert sinks.guarded_upsert(old, new, ["k"]).first()["v"] == "mine" and sinks.guarded_upsert(old, new, ["k"], force=True).first()["v"] == "theirs"
 
 
+def test_children_move_to_the_newest_document_of_a_key(spark):
+    docs = spark.createDataFrame([(1, "k", T0), (2, "k", T0), (3, "k", T0 - dt.timedelta(1)), (4, "l", T0)], "id long, key string, collected_at timestamp")
+    children = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "x"), (9, "z")], "doc_id long, v string")
+    kept, moved = sinks.canonical_merge(docs, children, "key", "doc_id")
+    assert {x["id"] for x in kept.collect()} == {2, 4}
+    assert sorted((x["doc_id"], x["v"]) for x in moved.collect()) == [(2, "x"), (2, "y"), (4, "x"), (9, "z")]
+
+
 def test_aliases_match_at_word_borders(spark):
     for text, alias, hit in [("sk hynix up", "sk", True), ("risk up", "sk", False), ("삼성전자가", "삼성전자", True), ("a.b", "a.b", True), ("005930x", "005930", False)]:
         assert value(spark, resolve.contains_alias(F.lit(text), F.lit(alias))) is hit
