@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import relational as r
 from ..operators import sinks
 from ..operators.stored import Table, scratch
-from .registry import AS_OF, register, view
+from .registry import AS_OF, keyed_stocks, register, view
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 EVENT = "coalesce(published_at, collected_at)"
@@ -428,9 +428,9 @@ def s10(s: SparkSession, d: str) -> DataFrame:
 
 @register("s11_guarded_upsert", "SELECT code, CASE WHEN is_active AND CAST(code AS INT) % 2 = 0 THEN name ELSE brand END AS name, is_active AND CAST(code AS INT) % 2 = 0 AS is_manual FROM fx_stocks")
 def s11(s: SparkSession, d: str) -> DataFrame:
-    stocks = view(s, d, "fx_stocks")
-    old = stocks.select("code", "name", (F.col("is_active") & (F.col("code").cast("int") % 2 == 0)).alias("is_manual"))
-    return sinks.guarded_upsert(old, stocks.select("code", F.col("brand").alias("name"), F.lit(False).alias("is_manual")), ["code"])
+    stocks = keyed_stocks(s, d)
+    old = stocks.select("id", "code", "name", (F.col("is_active") & (F.col("code").cast("int") % 2 == 0)).alias("is_manual"))
+    return sinks.guarded_upsert(old, stocks.select("id", "code", F.col("brand").alias("name"), F.lit(False).alias("is_manual")), ["id"]).drop("id")
 
 
 @register("s12_universe_refresh", """SELECT coalesce(o.code, n.code) AS code, coalesce(n.rank, o.rank) AS rank, n.code IS NOT NULL AS is_active FROM (SELECT code, rank FROM fx_stocks WHERE CAST(code AS INT) % 2 = 0) AS o
