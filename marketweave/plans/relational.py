@@ -517,7 +517,7 @@ def s10_stored(s: SparkSession, d: str) -> DataFrame:
 
 @register("s11_stored_guard", "SELECT code, CASE WHEN is_active AND CAST(code AS INT) % 2 = 0 THEN name ELSE brand END AS name, is_active AND CAST(code AS INT) % 2 = 0 AS is_manual FROM fx_stocks")
 def s11_stored(s: SparkSession, d: str) -> DataFrame:
-    stocks = view(s, d, "fx_stocks")
-    table = stored(s, stocks.select("code", "name", (F.col("is_active") & (F.col("code").cast("int") % 2 == 0)).alias("is_manual")), ["code"])
-    table.commit(stocks.select("code", F.col("brand").alias("name"), F.lit(False).alias("is_manual")), sinks.guards(["code"]))
-    return table.read()
+    stocks = keyed_stocks(s, d)
+    table = stored(s, stocks.select("id", "code", "name", (F.col("is_active") & (F.col("code").cast("int") % 2 == 0)).alias("is_manual")), ["id"])
+    table.commit(stocks.select("id", "code", F.col("brand").alias("name"), F.lit(False).alias("is_manual")), sinks.guards(["id"]))
+    return table.read().drop("id")

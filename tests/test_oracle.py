@@ -41,7 +41,7 @@ def equals_sql(spark, name, data):
 
 
 #: Queries of a row per stock.
-PER_STOCK = ["e17_profile_priority", "s11_guarded_upsert"]
+PER_STOCK = ["e17_profile_priority", "s11_guarded_upsert", "s11_stored_guard"]
 
 
 @pytest.fixture(scope="module")
