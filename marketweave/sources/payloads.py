@@ -129,15 +129,18 @@ def json_strings(value: Column) -> Column:
     return F.coalesce(F.from_json(value, T.ArrayType(T.StringType())), F.expr("array()").cast("array<string>"))
 
 
-def listings(payload: DataFrame, stocks: DataFrame) -> DataFrame:
-    """ticker, name, market from rows (pos, item as JSON, an object or an array of objects) with alternative key names; the last row of a ticker wins; stocks (code, name, market) where there are none at all."""
+def listings(payload: DataFrame, stocks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """ticker, name, market from rows (pos, item as JSON, an object or an array of objects) with alternative key names; the last row of a ticker wins; stocks (code, name, market) where there are none at all.
+
+    keys are columns of payload that tell stocks apart where several share a ticker: the last row of each counts.
+    """
     text = F.trim("item")
     wrapped = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
-    each = payload.select("pos", F.posexplode(F.from_json(wrapped, "array<map<string,string>>")).alias("k", "m"))
+    each = payload.select(*keys, "pos", F.posexplode(F.from_json(wrapped, "array<map<string,string>>")).alias("k", "m"))
     pick = lambda *names: F.coalesce(*[F.when(F.trim(F.element_at("m", n)) != "", F.trim(F.element_at("m", n))) for n in names])
-    rows = each.select(F.struct("pos", "k").alias("at"), pick("srtnCd", "isuSrtCd", "ticker").alias("ticker"), pick("itmsNm", "isuAbbrv", "name").alias("name"), pick("mrktCtg", "marketName", "market").alias("market")).where("ticker IS NOT NULL AND name IS NOT NULL")
+    rows = each.select(*keys, F.struct("pos", "k").alias("at"), pick("srtnCd", "isuSrtCd", "ticker").alias("ticker"), pick("itmsNm", "isuAbbrv", "name").alias("name"), pick("mrktCtg", "marketName", "market").alias("market")).where("ticker IS NOT NULL AND name IS NOT NULL")
     rows = rows.withColumn("ticker", F.upper(F.regexp_replace("ticker", "^A(?=\\d{6}$)", "")))
-    found = rows.groupBy("ticker").agg(F.max_by(F.struct("name", "market"), "at").alias("r")).select("ticker", "r.*")
+    found = rows.groupBy(*keys, "ticker").agg(F.max_by(F.struct("name", "market"), "at").alias("r")).select("ticker", "r.*")
     return stocks.select(F.col("code").alias("ticker"), "name", "market") if found.isEmpty() else found
 
 
