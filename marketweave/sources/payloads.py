@@ -144,17 +144,18 @@ def listings(payload: DataFrame, stocks: DataFrame, keys: Sequence[str] = ()) ->
     return stocks.select(F.col("code").alias("ticker"), "name", "market") if found.isEmpty() else found
 
 
-def company_codes(xml: DataFrame, stocks: DataFrame) -> DataFrame:
+def company_codes(xml: DataFrame, stocks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """stock_code, corp_code, corp_name from rows of XML (column xml: a root element with an element list for each company) with 8-digit company and 6-digit stock codes of active stocks.
 
     A real reader: entities, CDATA and attributes are understood. Rows that are no XML, or null, give nothing. Of several entries of a stock the last of a row counts.
+    keys are columns of xml and stocks that tell stocks apart where several share a code.
     """
     entries = F.from_xml(F.col("xml"), "list array<struct<corp_code:string,corp_name:string,stock_code:string>>")
-    each = xml.select(entries.alias("x")).select(F.posexplode("x.list").alias("pos", "e"))
-    rows = each.select("pos", *[t.compact(F.col(f"e.{c}")).alias(c) for c in ("stock_code", "corp_code", "corp_name")])
+    each = xml.select(*keys, entries.alias("x")).select(*keys, F.posexplode("x.list").alias("pos", "e"))
+    rows = each.select(*keys, "pos", *[t.compact(F.col(f"e.{c}")).alias(c) for c in ("stock_code", "corp_code", "corp_name")])
     good = rows.where(F.col("stock_code").rlike(r"^\d{6}$") & F.col("corp_code").rlike(r"^\d{8}$"))
-    last = good.groupBy("stock_code").agg(F.max_by(F.struct("corp_code", "corp_name"), "pos").alias("r")).select("stock_code", "r.*")
-    return last.join(stocks.where("is_active").select(F.col("code").alias("stock_code")), "stock_code", "left_semi")
+    last = good.groupBy(*keys, "stock_code").agg(F.max_by(F.struct("corp_code", "corp_name"), "pos").alias("r")).select(*keys, "stock_code", "r.*")
+    return last.join(stocks.where("is_active").select(*keys, F.col("code").alias("stock_code")), [*keys, "stock_code"], "left_semi").select("stock_code", "corp_code", "corp_name")
 
 
 def news_items(payload: DataFrame, most: int = 20) -> DataFrame:

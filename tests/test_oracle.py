@@ -41,7 +41,7 @@ def equals_sql(spark, name, data):
 
 
 #: Queries of a row per stock.
-PER_STOCK = ["e17_profile_priority", "s11_guarded_upsert", "s11_stored_guard", "s14_listings"]
+PER_STOCK = ["e17_profile_priority", "s11_guarded_upsert", "s11_stored_guard", "s14_listings", "s15_company_codes"]
 
 
 @pytest.fixture(scope="module")
