@@ -318,7 +318,7 @@ def w3(s: SparkSession, d: str) -> DataFrame:
 
 @register("w4_rank_assignment", "SELECT code, coalesce(rank, CAST(row_number() OVER (PARTITION BY market ORDER BY price DESC, code) AS INT)) AS rank FROM fx_stocks")
 def w4(s: SparkSession, d: str) -> DataFrame:
-    placed = r.numbered(view(s, d, "fx_stocks").select("code", "market", "price", "rank"), [F.col("price").desc(), "code"], "place", ["market"])
+    placed = r.numbered(keyed_stocks(s, d).select("id", "code", "market", "price", "rank"), [F.col("price").desc(), "code", "id"], "place", ["market"])
     return placed.select("code", F.coalesce("rank", F.col("place").cast("int")).alias("rank"))
 
 

@@ -61,6 +61,14 @@ def test_stocks_that_share_a_code_stay_apart(spark, shared_codes, name):
     equals_sql(spark, name, shared_codes)
 
 
+def test_equal_stocks_are_placed_by_their_key(spark, tmp_path):
+    keys = [1000006 + 14 * k for k in range(8)]  # without a rank of their own, in one market
+    values = ", ".join(f"({k}, 'n', 't', 'b', 5, 9.5)" for k in [*reversed(keys), 100000])
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {values}) AS t(p_partkey, p_name, p_type, p_brand, p_size, p_retailprice)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    got = sorted((x["code"], x["rank"]) for x in QUERIES["w4_rank_assignment"](spark, str(tmp_path)).collect())
+    assert got == [("100000", 2), ("100000", 5), *[(str(k)[:6], n) for n, k in enumerate(keys[1:], 3)]]
+
+
 def test_no_cartesian_product_in_text_joins(spark):
     for name in ("j9_alias_matches", "r6_ticker_scores", "d4_similar_titles", "d8_title_graph"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
