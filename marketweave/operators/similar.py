@@ -17,14 +17,17 @@ from .stored import store
 
 #: Characters from which on a title within another one counts as the same story.
 GRAM = 12
-#: Tasks that share a hot word while its frequency is looked up.
-SALT = 16
+#: Rows from which on a member is hot, and tasks that share a hot one while its frequency is looked up.
+HOT, SALT = 10_000, 16
 
 
 def _with_frequency(each: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """each with often, the number of its rows with the same keys. Counts combine before they are shuffled, and rows of a hot key are spread over SALT tasks."""
-    counts = each.groupBy(*keys).agg(F.count("*").alias("often")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return each.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(counts, [*keys, "__salt"]).drop("__salt")
+    """each with often, the number of its rows with the same keys. Counts combine before they are shuffled; hot keys, few by nature, are looked up in each task and their rows spread over SALT tasks."""
+    counts = each.groupBy(*keys).agg(F.count("*").alias("often"))
+    hot = each.join(F.broadcast(counts.where(F.col("often") >= HOT).withColumnRenamed("often", "__hot")), list(keys), "left")
+    salted = hot.withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")))
+    cold = counts.where(F.col("often") < HOT).withColumn("__salt", F.lit(0))
+    return salted.join(cold, [*keys, "__salt"], "left").withColumn("often", F.coalesce("__hot", "often")).drop("__salt", "__hot")
 
 
 def title_classes(docs: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
@@ -40,36 +43,53 @@ def title_classes(docs: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
     return members, classes
 
 
-def candidates(sets: DataFrame, scope: str, least: Callable[[Column], Column]) -> DataFrame:
-    """Pairs scope, a, b, among them all that sharing() keeps, of sets that meet on a rare member."""
-    each = _with_frequency(sets.select(scope, "id", F.size("w").alias("n"), F.explode("w").alias("member")), [scope, "member"])
-    ranked = each.withColumn("pos", F.row_number().over(Window.partitionBy(scope, "id").orderBy("often", "member")))
-    small = ranked.where(F.col("pos") <= F.col("n") - least(F.col("n")) + 1).select(F.col(scope).alias("__s"), F.col("member").alias("__m"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
-    large = ranked.where(F.col("pos") <= F.col("n") - least(F.lit(1)) + 1).select(scope, "member", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
-    k = least(F.col("n_a"))
+def _met(sets: DataFrame, scope: str, least: Callable[[Column], Column]) -> DataFrame:
+    """scope, a, b, u, v (members, rarest first), size_a, size_b of sets (scope, id, w; size where they have one) that meet on a rare member, a pair once: at the rarest member of both.
+
+    Members travel with the sets that meet, so pairs are decided where they arise and none is shuffled.
+    """
+    size = F.col("size") if "size" in sets.columns else F.lit(1).cast("long")
+    each = _with_frequency(sets.select(scope, "id", size.alias("size"), F.explode("w").alias("member")), [scope, "member"])
+    ordered = each.groupBy(scope, "id").agg(F.array_sort(F.collect_list(F.struct("often", "member"))).alias("o"), F.first("size").alias("size"))
+    ordered = ordered.select(scope, "id", "size", F.transform("o", lambda x: x["member"]).alias("w"), F.size("o").alias("n"))
+
+    def front(k: Column, side: str, words: str) -> DataFrame:
+        first = F.slice("w", F.lit(1), F.greatest(F.lit(0), (F.col("n") - k + 1).cast("int")))
+        return ordered.select(F.col(scope).alias(f"__s_{side}"), F.col("id").alias(side), F.col("w").alias(words), F.col("n").alias(f"n_{side}"), F.col("size").alias(f"size_{side}"), F.posexplode(first).alias(f"pos_{side}", f"__m_{side}"))
+
+    small, large = front(least(F.col("n")), "a", "u"), front(least(F.lit(1)), "b", "v")
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     # At the first common member, none is before it: what is left behind it in both must be enough.
-    room = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= k
-    return small.join(large, (F.col("__s") == F.col(scope)) & (F.col("__m") == F.col("member")) & smaller & room).select(scope, "a", "b").distinct()
+    room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= least(F.col("n_a"))
+    met = small.join(large, (F.col("__s_a") == F.col("__s_b")) & (F.col("__m_a") == F.col("__m_b")) & smaller & room)
+    return met.where(F.element_at(F.array_intersect("u", "v"), 1) == F.col("__m_a")).select(F.col("__s_a").alias(scope), "a", "b", "u", "v", "size_a", "size_b")
+
+
+def candidates(sets: DataFrame, scope: str, least: Callable[[Column], Column]) -> DataFrame:
+    """Pairs scope, a, b, among them all that sharing() keeps, of sets that meet on a rare member."""
+    return _met(sets, scope, least).select(scope, "a", "b")
 
 
 def sharing(sets: DataFrame, scope: str, least: Callable[[Column], Column]) -> DataFrame:
-    """Pairs scope, a, b, overlap, n_a, n_b of sets (scope, id, w) of one scope that share least(n) members, where n is the number of members of the smaller one, a (of equal ones that with the smaller id).
+    """Pairs scope, a, b, overlap, n_a, n_b, size_a, size_b of sets (scope, id, w; size, else 1) of one scope that share least(n) members, where n is the number of members of the smaller one, a (of equal ones that with the smaller id).
 
     least must not fall as n grows. Sets that share nothing are never paired.
     """
-    met = candidates(sets, scope, least)
-    left, right = sets.select(scope, F.col("id").alias("a"), F.col("w").alias("u")), sets.select(scope, F.col("id").alias("b"), F.col("w").alias("v"))
-    sized = met.join(left, [scope, "a"]).join(right, [scope, "b"]).select(scope, "a", "b", F.size(F.array_intersect("u", "v")).alias("overlap"), F.size("u").alias("n_a"), F.size("v").alias("n_b"))
+    sized = _met(sets, scope, least).select(scope, "a", "b", F.size(F.array_intersect("u", "v")).alias("overlap"), F.size("u").alias("n_a"), F.size("v").alias("n_b"), "size_a", "size_b")
     return sized.where(F.col("overlap") >= least(F.col("n_a")))
 
 
 def within(texts: DataFrame, scope: str, least: int = GRAM) -> DataFrame:
-    """Pairs scope, a, b of texts (scope, id, norm; no two norms of a scope are equal) where a's text stands in b's and has least characters or more."""
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("norm") - least + 1), lambda i: F.substring("norm", i, F.lit(least))))
-    each = _with_frequency(texts.where(F.length("norm") >= least).select(scope, "id", F.explode(grams).alias("gram")), [scope, "gram"])
-    probes = each.groupBy(scope, "id").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram")).select(F.col(scope).alias("__s"), F.col("gram").alias("__g"), F.col("id").alias("a"))
-    met = probes.join(each.select(scope, "gram", F.col("id").alias("b")), (F.col("__s") == F.col(scope)) & (F.col("__g") == F.col("gram")) & (F.col("a") != F.col("b"))).select(scope, "a", "b")
+    """Pairs scope, a, b of texts (scope, id, norm; no two norms of a scope are equal) where a's text stands in b's and has least characters or more.
+
+    Runs of characters are compared by hash, which only adds candidates. A text with a run of its own stands in no other, so only texts whose every run is shared look for others.
+    """
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("norm") - least + 1), lambda i: F.xxhash64(F.substring("norm", i, F.lit(least)))))
+    each = texts.where(F.length("norm") >= least).select(scope, "id", grams.alias("g")).select(scope, "id", F.size("g").alias("k"), F.explode("g").alias("gram"))
+    shared = each.join(each.groupBy(scope, "gram").agg(F.count("*").alias("often")).where("often > 1"), [scope, "gram"])
+    rarest = shared.groupBy(scope, "id").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"), F.count("*").alias("held"), F.max("k").alias("k")).where("held >= k")
+    probes = rarest.select(F.col(scope).alias("__s"), F.col("gram").alias("__g"), F.col("id").alias("a"))
+    met = probes.join(shared.select(scope, "gram", F.col("id").alias("b")), (F.col("__s") == F.col(scope)) & (F.col("__g") == F.col("gram")) & (F.col("a") != F.col("b"))).select(scope, "a", "b")
     left, right = texts.select(scope, F.col("id").alias("a"), F.col("norm").alias("x")), texts.select(scope, F.col("id").alias("b"), F.col("norm").alias("y"))
     return met.join(left, [scope, "a"]).join(right, [scope, "b"]).where(F.contains("y", "x")).select(scope, "a", "b")
 
@@ -79,28 +99,38 @@ def _same_story(n: Column) -> Column:
     return F.least(F.greatest(F.lit(3), F.ceil(0.8 * n - 1e-9)), F.greatest(F.lit(4), F.ceil(0.67 * n - 1e-9)))
 
 
+def _alike(o: Column, small: Column, large: Column) -> Column:
+    """Whether titles of small and large words that have o in common tell the same story."""
+    return ((o >= 3) & (o / small >= 0.8)) | ((o >= 4) & (o / large >= 0.67))
+
+
 def similar_classes(classes: DataFrame, scope: str) -> DataFrame:
-    """Pairs scope, a, b (a < b) of classes whose titles tell the same story: one within the other, or enough common words of the smaller or of the larger."""
-    o, small, large = F.col("overlap"), F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    words = sharing(classes, scope, _same_story).where(((o >= 3) & (o / small >= 0.8)) | ((o >= 4) & (o / large >= 0.67))).select(scope, "a", "b")
-    both = words.unionByName(within(classes, scope))
-    return both.select(scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Pairs scope, a, b, size_a, size_b of classes whose titles tell the same story: enough common words of the smaller or of the larger, or one within the other. Each pair once."""
+    kept = [scope, "a", "b", "size_a", "size_b"]
+    words = sharing(classes, scope, _same_story).where(_alike(F.col("overlap"), F.least("n_a", "n_b"), F.greatest("n_a", "n_b"))).select(*kept)
+    side = lambda x: classes.select(scope, F.col("id").alias(x), F.col("w").alias(f"w_{x}"), F.col("size").alias(f"size_{x}"))
+    held = within(classes, scope).select(scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), [scope, "a"]).join(side("b"), [scope, "b"])
+    n_a, n_b = F.size("w_a"), F.size("w_b")
+    return words.unionByName(held.where(~_alike(F.size(F.array_intersect("w_a", "w_b")), F.least(n_a, n_b), F.greatest(n_a, n_b))).select(*kept))
 
 
 def class_graph(classes: DataFrame, scope: str) -> DataFrame:
-    """Edges scope, a, b (a < b), weight of classes that share two words and 0.34 of the smaller one."""
+    """Edges scope, a, b, weight, size_a, size_b of classes that share two words and 0.34 of the smaller one."""
     least = lambda n: F.greatest(F.lit(2), F.ceil(0.34 * n - 1e-9))
     share = F.col("overlap") / F.least("n_a", "n_b")
-    return sharing(classes, scope, least).where(share >= 0.34).select(scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least(share, F.lit(1.0)).alias("weight"))
+    return sharing(classes, scope, least).where(share >= 0.34).select(scope, "a", "b", F.least(share, F.lit(1.0)).alias("weight"), "size_a", "size_b")
+
+
+def _beyond(pairs: DataFrame, scope: str, weight: Column) -> DataFrame:
+    """scope, class_id, beyond: weight times the size of the other class, summed over the pairs (scope, a, b, size_a, size_b) of each class. Sums combine before they are shuffled."""
+    end = lambda own, other: F.struct(F.col(own).alias("class_id"), (F.col(f"size_{other}") * weight).alias("w"))
+    return pairs.select(scope, F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e")).groupBy(scope, F.col("e.class_id").alias("class_id")).agg(F.sum("e.w").alias("beyond"))
 
 
 def title_links(docs: DataFrame, scope: str) -> DataFrame:
     """scope, id, class_id and links (other documents whose titles tell the same story, copies among them) of each document whose title has words that count."""
     members, classes = title_classes(docs, scope)
-    pairs = similar_classes(classes, scope)
-    both = pairs.select(scope, F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(scope, F.col("b").alias("id"), F.col("a").alias("other")))
-    sizes = classes.select(scope, F.col("id").alias("other"), "size")
-    linked = both.join(sizes, [scope, "other"]).groupBy(scope, F.col("id").alias("class_id")).agg(F.sum("size").alias("beyond"))
+    linked = _beyond(similar_classes(classes, scope), scope, F.lit(1))
     counted = classes.select(scope, F.col("id").alias("class_id"), "size").join(linked, [scope, "class_id"], "left").select(scope, "class_id", (F.col("size") - 1 + F.coalesce("beyond", F.lit(0))).alias("links"))
     return members.join(counted, [scope, "class_id"]).select(scope, "id", "class_id", "links")
 
@@ -108,10 +138,7 @@ def title_links(docs: DataFrame, scope: str) -> DataFrame:
 def title_degrees(docs: DataFrame, scope: str) -> DataFrame:
     """scope, id, class_id and degree (weights of a document's edges in the whole title graph of its scope, where copies with two words or more have weight 1) of documents whose title has words that count."""
     members, classes = title_classes(docs, scope)
-    edges = class_graph(classes, scope)
-    both = edges.select(scope, F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(edges.select(scope, F.col("b").alias("id"), F.col("a").alias("other"), "weight"))
-    sizes = classes.select(scope, F.col("id").alias("other"), "size")
-    beyond = both.join(sizes, [scope, "other"]).groupBy(scope, F.col("id").alias("class_id")).agg(F.sum(F.col("size") * F.col("weight")).alias("beyond"))
+    beyond = _beyond(class_graph(classes, scope), scope, F.col("weight"))
     copies = F.when(F.size("w") >= 2, F.col("size") - 1).otherwise(0)
     counted = classes.select(scope, F.col("id").alias("class_id"), copies.alias("copies")).join(beyond, [scope, "class_id"], "left").select(scope, "class_id", (F.col("copies") + F.coalesce("beyond", F.lit(0.0))).alias("degree"))
     return members.join(counted, [scope, "class_id"]).select(scope, "id", "class_id", "degree")

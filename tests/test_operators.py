@@ -303,6 +303,14 @@ def test_a_word_in_a_third_of_all_titles_makes_no_candidates(spark):
     assert large[0] == 4 * small[0] == 200 and large[1] <= 4 * max(small[1], 5)  # of 200 titles with the word, all pairs would be 19,900
 
 
+def test_candidate_titles_meet_once_and_are_not_shuffled(spark):
+    rows = [("s", i, f"alpha beta gamma own{i % 40}") for i in range(80)]
+    classes = similar.title_classes(spark.createDataFrame(rows, "stock string, id long, title string"), "stock")[1]
+    pairs = similar.candidates(classes, "stock", lambda n: F.lit(2))
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+    assert pairs.count() == pairs.distinct().count() == 40 * 39 // 2
+
+
 def test_logs_are_read_by_period_and_by_arrival(spark, tmp_path):
     rows = [(i, dt.datetime(2024, 1 + i % 6, 1 + i % 28, 3)) for i in range(120)] + [(500, None)]
     schema = "id long, at timestamp"
