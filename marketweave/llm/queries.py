@@ -29,7 +29,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spans.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), alone=True)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

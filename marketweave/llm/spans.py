@@ -4,7 +4,7 @@ Texts are cut into units: sentences, cut again at words that a rule picks by the
 same inner borders wherever it stands. A run begins at each unit and takes as many consecutive ones as it needs for LEAST_WORDS words, two at least. Every run is hashed; of
 hashes that several documents hold, the first occurrence over the whole corpus (smallest doc_id, then place) stays, and units that any later occurrence covers are removed, but
 for those that the first itself covers (as in a text that repeats one word). A text of fewer words is one run, so short copies are found whole. Characters of scripts without
-blanks count as words. What repeats in one document alone (refrains, junk) is not a passage that documents share and stays.
+blanks count as words. What repeats in one document alone (refrains, junk) goes where the caller asks for it, as the registered query does; else it is not a passage that documents share and stays.
 
 Work is shuffled in two steps: counts by the first half of the hash, which combine before the shuffle, then only runs whose half repeats, with whole hashes. So a passage
 in a third of all documents costs no more than another, and what is shuffled grows in proportion to the input. Only documents that lose units are rebuilt.
@@ -112,10 +112,10 @@ def runs(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, text_hash long, h1 array<long>, h2 array<long>, n array<int>")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, alone: bool = False) -> DataFrame:
     """doc_id, text_hash, at and n (first unit and number of units of spans) of what later occurrences of runs cover in each document that has any.
 
-    Rows alike in doc_id and text count as one document and are treated alike.
+    Rows alike in doc_id and text count as one document and are treated alike. With alone, runs that repeat in one document only count, too.
     """
     found = common.store(runs(docs), "runs")
     twice = common.store(found.select(F.explode("h1").alias("h1")).groupBy("h1").count().where("count > 1").select("h1"), "repeated-halves")
@@ -124,7 +124,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "at")
     ends = some.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     # Stored, so that the join has nothing but shuffles on both sides and a hot hash can be split.
-    firsts = common.store(ends.where("NOT (first.doc_id <=> last.doc_id AND first.text_hash = last.text_hash)").select("h1", "h2", "first"), "first-runs")
+    several = "NOT (first <=> last)" if alone else "NOT (first.doc_id <=> last.doc_id AND first.text_hash = last.text_hash)"
+    firsts = common.store(ends.where(several).select("h1", "h2", "first"), "first-runs")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     # In the document of the first, what the first covers stays; equal runs have as many units.
     begin = F.when(own, F.greatest("at", F.col("first.at") + F.col("n"))).otherwise(F.col("at"))
@@ -162,14 +163,15 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
     return b"".join(kept).decode("utf-8", "surrogatepass"), int(gone.sum())
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, alone: bool = False) -> DataFrame:
     """docs with repeated passages removed from text, and two more columns: n_removed (units, long) and changed.
 
+    With alone, every occurrence of a run but the first goes, also where one document alone holds them; else such refrains stay.
     Null texts stay null; a text all of whose units repeat earlier ones becomes empty; texts without repeats stay as they are, to the
     byte. Words lie between ASCII white space, and Chinese characters and kana are words themselves. Empty docs give an empty result; doc_id may be null (such rows come last in order). Columns called like the new ones are replaced.
     """
     kept = docs.drop("n_removed", "changed")
-    gone = common.store(repeated(kept), "spans")
+    gone = common.store(repeated(kept, alone), "spans")
     key = common.small(gone, MAX_DOCS).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.arrays_zip("at", "n").alias("__spans"))
     keyed = kept.withColumn("__own", F.xxhash64("text"))
     joined = keyed.join(key, keyed["doc_id"].cast("long").eqNullSafe(key["__doc"]) & (keyed["__own"] == key["__hash"]), "left").drop("__own", "__doc", "__hash")

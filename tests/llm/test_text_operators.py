@@ -276,6 +276,16 @@ def test_repeated_spans_equal_brute_force(spark):
     assert spans.dedup(docs(spark, [])).count() == 0
 
 
+def test_repeats_inside_one_document_go_where_asked(spark):
+    rng = random.Random(3)
+    passage, other = prose(rng, 60), prose(rng, 60)
+    rows = [(1, " ".join([passage] * 5)), (2, other), (2, other), (3, "word " * 60)]
+    got = {r["doc_id"]: (r["text"], r["changed"]) for r in spans.dedup(docs(spark, rows), alone=True).collect()}
+    assert got[1][1] and 60 <= len(got[1][0].split()) < 120 and got[1][0].startswith(passage[:200])
+    assert got[2] == (other, False)
+    assert got[3][1] and spans.LEAST_WORDS <= got[3][0].count("word") < 60
+
+
 def test_passages_of_over_fifty_words_are_caught_anywhere(spark):
     """Passages that begin and end inside sentences, long sentences, and sentences of a word."""
     rng = random.Random(5)
