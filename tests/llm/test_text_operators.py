@@ -196,6 +196,22 @@ def test_pipeline_stage_drops_near_copies_that_simhash_misses(spark):
     assert copies.groups(docs(spark, [])).count() == 0
 
 
+def test_pipeline_stage_links_fingerprints(spark, monkeypatch):
+    """The stage takes candidates from the links of operator 10, and an exact check follows: texts of like fingerprints alone stay."""
+    import corpus_pipeline as cp
+
+    sets = [(1, 0b1), (2, 0b1), (3, 0b111), (4, 0b1 << 40 | 0b111), (5, 0b1111 << 20), (6, 0b111)]
+    pairs = {tuple(sorted(p)) for p in copies.fingerprint_pairs(spark.createDataFrame(sets, "sig long, fp long")).collect()}
+    near = {(a, b) for a, x in sets for b, y in sets if a < b and bin(x ^ y).count("1") <= 2}
+    assert pairs <= near and len(set(groups(range(1, 7), pairs).values())) == len(set(groups(range(1, 7), near).values())) == 2
+    linked, met = simhash.links, []
+    monkeypatch.setattr(simhash, "links", lambda fps: met.append({r["fp"] for r in fps.collect()}) or linked(fps))
+    words = [f"w{k}" for k in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, " ".join(words[::-1])), (4, None)]
+    assert {r["doc_id"] for r in cp.near_duplicates(spark, docs(spark, rows), "").collect()} == {1, 3, 4}
+    assert met == [{simhash.fingerprint(t) for _, t in rows}]
+
+
 def test_near_copies_of_the_test_data(spark):
     path = "/root/testdata/sf0.01/documents.parquet"
     if not os.path.exists(path):
