@@ -5,8 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
@@ -36,19 +35,19 @@ class _LastItem(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.last = handle, handle.getValueState("last", "item_id long, until_ms long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(rows)).sort_values(["published_at", "item_id"])
-        before, until = self.last.get() if self.last.exists() else (None, 0)
-        ids = [int(x) for x in found["item_id"]]
-        earlier = [before, *ids[:-1]]
-        newest = found["published_at"].max()  # items without a date count as of the watermark
-        at = timerValues.getCurrentWatermarkInMs() if pd.isna(newest) else int(newest.timestamp() * 1000)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        found = sorted((x["at_ms"] is None, x["at_ms"] or 0, x["item_id"]) for x in rows)
+        before, until = self.last.get() or (None, 0)  # each call costs a trip to the state store
+        dated = [at for undated, at, _ in found if not undated]
+        at = dated[-1] if dated else timerValues.getCurrentWatermarkInMs()  # items without a date count as of the watermark
         until = max(until, at + self.remembered_ms)
-        self.last.update((ids[-1], until))
+        self.last.update((found[-1][2], until))
         self.handle.registerTimer(until)
-        yield pd.DataFrame({"item_id": ids, "content_hash": key[0], "duplicate_of": pd.array(earlier, dtype="Int64"), "status": ["new" if e is None else "skipped" for e in earlier]})
+        for _, _, item in found:
+            yield Row(item_id=item, content_hash=key[0], duplicate_of=before, status="new" if before is None else "skipped")
+            before = item
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.last.exists() and self.last.get()[1] <= expiredTimerInfo.getExpiryTimeInMs():
             self.last.clear()
         yield from ()
@@ -63,8 +62,8 @@ def mark_duplicates(items: DataFrame, remembered_days: float = 30, lateness: str
     A content that did not return within remembered_days (by published_at, behind a watermark of lateness) is forgotten, so state is bounded; a table never forgets.
     """
     schema = "item_id long, content_hash string, duplicate_of long, status string"
-    grouped = items.withWatermark("published_at", lateness).groupBy("content_hash")
-    return grouped.transformWithStateInPandas(_LastItem(int(remembered_days * 86_400_000)), schema, "Append", "EventTime")
+    shaped = items.withWatermark("published_at", lateness).select("item_id", "content_hash", "published_at", F.unix_millis("published_at").alias("at_ms"))
+    return shaped.groupBy("content_hash").transformWithState(_LastItem(int(remembered_days * 86_400_000)), schema, "Append", "EventTime")
 
 
 #: What tells in an error that storage or machines failed, not the work.
