@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -90,21 +90,22 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, so the number of rounds grows with the logarithm of the size of a component even for chains. Every
     round is a join and a minimum by node, stored in the shared folder; only a count and a checksum reach the driver.
     """
-    spark = edges.sparkSession
+    both_ways = lambda x, y: F.inline(F.array(F.struct(F.col(x[0]).alias("a"), F.col(x[1]).alias("b")), F.struct(F.col(y[0]).alias("a"), F.col(y[1]).alias("b"))))
     now = common.store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = now.select(both_ways("ab", "ba"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        tied = large.join(least, "a")
-        small = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(tied.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = common.store(small, "edges")
-        row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if mark == (row["n"], row["h"]):
+        small = large.join(least, "a").select(both_ways("bm", "am")).where("a <> b").distinct()
+        # Counted as they are written: no job of its own.
+        seen = Observation()
+        now = common.store(small.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "edges")
+        row = (seen.get.get("n", 0), seen.get.get("h"))
+        if mark == row:
             break
-        mark = (row["n"], row["h"])
+        mark = row
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 

@@ -141,6 +141,19 @@ def test_components_of_long_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(50)}}
 
 
+def test_a_round_of_components_takes_seven_jobs_at_most(spark):
+    context, before = spark.sparkContext, len(simhash.common._made)
+    context.setJobGroup("components", "")
+    try:
+        simhash.components(spark.createDataFrame([(0, i) for i in range(1, 40)], "a long, b long"))
+        jobs = len(context.statusTracker().getJobIdsForGroup("components"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    rounds = len(simhash.common._made) - before - 1  # the first table is that of the edges
+    assert jobs <= 2 + 7 * rounds  # every job costs the driver memory
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_dedup_keeps_one_row_of_each_group(spark):
     rows = some_texts(8, 20)
     kept = simhash.dedup(docs(spark, rows))
