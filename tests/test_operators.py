@@ -640,3 +640,21 @@ def test_first_bar_of_a_local_day_wins(spark):
     payload = spark.createDataFrame(rows, "stock_code string, tz string, timestamp array<long>, open array<double>, high array<double>, low array<double>, close array<double>, adjclose array<double>, volume array<long>")
     got = payloads.price_bars(payload).orderBy("trade_date").collect()
     assert [(x["trade_date"], x["close"]) for x in got] == [(dt.date(1970, 1, 1), 5.0), (dt.date(1970, 1, 2), 6.0)]
+
+
+def test_whole_words_are_found_without_the_automaton_and_hits_move_once(spark):
+    known = [(a, b) for a in ("the", "a1", "x-1", "été", "12") for b in (resolve.WORD, resolve.NUMBER, resolve.ANYWHERE)]
+    find = resolve._finder("whole words", known)
+    runs, automaton = resolve._automata["whole words"]
+    assert set(runs) == {"the", "a1", "12"} and sum(len(e) for _, e in automaton.values()) == len(known) - 3
+    outside = {resolve.WORD: "[a-z0-9]", resolve.NUMBER: r"\d", resolve.ANYWHERE: "(?!)"}
+    for text in ("the", "other the.", "thea1 a1", "x-1", "x-12", "ététhe", "éa1é", "112 12a", "", "12", "a1-the-x-1y"):
+        hits: dict[int, int] = {}
+        find(text, hits, 2)
+        assert hits == {k: 2 for k, (a, b) in enumerate(known) if re.search(f"(?<!{outside[b]}){re.escape(a)}(?!{outside[b]})", text)}, text
+    items = spark.createDataFrame([(1, "the a1", "body")], "id long, title string, body string")
+    aliases = spark.sql("SELECT * FROM VALUES ('T', 'the', 'short', 0.9D), ('U', 'the', 'short', 0.9D) AS t(ticker, alias, alias_type, weight)")
+    scores = resolve.ticker_scores(items, aliases)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" in plan and not re.search(r"hashpartitioning\(id#\d+L?, ticker#", plan)
+    assert [r["ticker"] for r in scores.orderBy("place").collect()] == ["T", "U"]
