@@ -70,3 +70,43 @@ def test_leads_are_worked_out_after_texts_are_dealt(spark):
 
 def test_duplicates_are_marked_by_rows(spark):
     assert not hasattr(jobs, "pd")  # a frame for each content cost more than its state
+
+
+def test_fuzzy_scores_move_hits_once_and_no_texts(spark):
+    lines = plan(QUERIES["r7_fuzzy_ticker_scores"](spark, DATA)).splitlines()
+    assert not [x for x in lines if "FullOuter" in x or ("Exchange" in x and "ticker" in x and "alias_l" in x)]
+    scans = [k for k, x in enumerate(lines) if "FileScan" in x and "documents" in x and "text#" in x]
+    depth = lambda k: len(lines[k]) - len(lines[k].lstrip(" :+-|"))
+    for k in scans:  # a join above a text, on the way to its scan, has lost the text
+        for j in range(k, -1, -1):
+            if "MapInArrow" in lines[j] or "Generate" in lines[j]:
+                break
+            assert not (depth(j) < depth(k) and "Join" in lines[j])
+
+
+def test_repeated_ids_count_as_often_as_they_stand(spark):
+    rows = [(1, "alpha 5% up", "alpha"), (2, "beta", "gamma delta")]
+    aliases = spark.createDataFrame([("T", "alpha", "short", 0.2), ("U", "delta", "corp_name", 0.5), ("V", "microsoft", "short", 1.0)], "ticker string, alias string, alias_type string, weight double")
+    items = spark.createDataFrame(rows, "id long, title string, body string")
+    own = spark.createDataFrame([(1,), (1,), (3,)], "id long")
+    repeated = items.join(own, "id")
+    expected = sorted(map(str, resolve.ticker_scores(repeated, aliases).collect()))
+    assert expected and sorted(map(str, resolve.ticker_scores(items, aliases, among=own).collect())) == expected
+    # Fuzzy hits multiplied a repeated text with itself.
+    assert sorted(map(str, resolve.ticker_scores(repeated, aliases, fuzzy=True).collect())) == expected
+    assert sorted(map(str, resolve.ticker_scores(items, aliases, fuzzy=True, among=own).collect())) == expected
+
+
+def test_fuzzy_hits_join_those_of_other_fields(spark):
+    items = spark.createDataFrame([(1, "microsofft", "about microsoft 5%"), (2, "microsofft", "none"), (3, "microsoft microsofft", "")], "id long, title string, body string")
+    aliases = spark.createDataFrame([("T", "microsoft", "short", 1.0)], "ticker string, alias string, alias_type string, weight double")
+    got = {r["id"]: r["score"] for r in resolve.ticker_scores(items, aliases, fuzzy=True).collect()}
+    # 1: lead 4, body 2, fuzzy 2, numbers 2; 2: fuzzy alone; 3: title 5 and, as the lead is the title, 4, and no fuzzy points beside the title's.
+    assert got == {1: 10.0, 2: 2.0, 3: 9.0}
+
+
+def test_numbers_of_a_body_are_those_of_the_whole(spark):
+    parts = ["", "up 5", "원", "5", "% x", "조 a", "ep", "s", "eps", "전", "망", "7 만", "a 3%", "x"]
+    rows = [(a, b, c) for a in parts for b in parts for c in parts]
+    df = spark.createDataFrame(rows, "title string, lead string, body string")
+    assert df.where(resolve._numbers() != t.numeric_context(F.concat_ws(" ", "title", "lead", "body"))).count() == 0
