@@ -110,3 +110,8 @@ def test_numbers_of_a_body_are_those_of_the_whole(spark):
     rows = [(a, b, c) for a in parts for b in parts for c in parts]
     df = spark.createDataFrame(rows, "title string, lead string, body string")
     assert df.where(resolve._numbers() != t.numeric_context(F.concat_ws(" ", "title", "lead", "body"))).count() == 0
+
+
+def test_decisions_send_no_events_to_all(spark):
+    for name in ("r9_status_counts", "r9_mapping_decisions", "r10_routes", "r8_sector_scores"):
+        assert not [x for x in plan(QUERIES[name](spark, DATA)).splitlines() if "BroadcastHashJoin" in x and ("event_id" in x or "doc_id" in x.split("]")[0])]
