@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from .stored import store
 GRAM = 12
 #: Rows from which on a member is hot, and tasks that share a hot one while its frequency is looked up.
 HOT, SALT = 10_000, 16
+#: Classes of a scope, about, that a task holds on each of its two sides.
+BLOCK = 16_384
 
 
 def _with_frequency(each: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -31,16 +36,14 @@ def _with_frequency(each: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def title_classes(docs: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
-    """Members (scope, id, class_id: the smallest id with the same words in the same order) and classes (scope, id, norm, w: different words, size) of docs (scope, id, title), both stored.
+    """Members (scope, id, norm: the words in order) and classes (scope, id: the smallest one with that norm, norm, w: different words, size) of docs (scope, id, title), both stored.
 
     Titles without words that count are in neither. Rows that share scope and id each count.
     """
     norm = docs.select(F.col(scope).alias(scope), "id", t.title_tokens(F.col("title")).alias("tokens")).where(F.size("tokens") > 0).select(scope, "id", F.array_join("tokens", " ").alias("norm"))
     norm = store(norm, "titles")
     classes = norm.groupBy(scope, "norm").agg(F.min("id").alias("id"), F.count("*").alias("size"))
-    classes = store(classes.select(scope, "id", "norm", F.array_distinct(F.split("norm", " ")).alias("w"), "size"), "title-classes")
-    members = norm.join(classes.select(scope, "norm", F.col("id").alias("class_id")), [scope, "norm"]).select(scope, "id", "class_id")
-    return members, classes
+    return norm, store(classes.select(scope, "id", "norm", F.array_distinct(F.split("norm", " ")).alias("w"), "size"), "title-classes")
 
 
 def _met(sets: DataFrame, scope: str, least: Callable[[Column], Column]) -> DataFrame:
@@ -114,11 +117,60 @@ def similar_classes(classes: DataFrame, scope: str) -> DataFrame:
     return words.unionByName(held.where(~_alike(F.size(F.array_intersect("w_a", "w_b")), F.least(n_a, n_b), F.greatest(n_a, n_b))).select(*kept))
 
 
-def class_graph(classes: DataFrame, scope: str) -> DataFrame:
-    """Edges scope, a, b, weight, size_a, size_b of classes that share two words and 0.34 of the smaller one."""
-    least = lambda n: F.greatest(F.lit(2), F.ceil(0.34 * n - 1e-9))
-    share = F.col("overlap") / F.least("n_a", "n_b")
-    return sharing(classes, scope, least).where(share >= 0.34).select(scope, "a", "b", F.least(share, F.lit(1.0)).alias("weight"), "size_a", "size_b")
+def _shares(block: pa.Table, scope: str) -> pa.Table:
+    """scope, class_id, beyond of two blocks of a scope (scope, id, w, size, own: the block that a row is of, i, j: the two): sums of size times weight over the classes of the other block (if both are one, over its other classes) that
+    share two words and 0.34 of the smaller one, with the share as weight. Classes without any are absent.
+
+    Common words with a whole block are counted at once, by the places of a class's words in it.
+    """
+    block = block.combine_chunks()
+    i, j = block["i"][0].as_py(), block["j"][0].as_py()
+    sets = block["w"].chunk(0)
+    n = pc.list_value_length(sets).to_numpy(zero_copy_only=False).astype(np.int64)
+    word = sets.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+    ids, size, own = block["id"].chunk(0).dictionary_encode().indices.to_numpy(), block["size"].to_numpy().astype(np.float64), block["own"].to_numpy()
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    sums = np.zeros(block.num_rows)
+    if len(right):
+        row, at = np.repeat(np.arange(len(n)), n), np.full(len(n), -1)
+        at[right] = np.arange(len(right))
+        here = at[row] >= 0
+        order = np.argsort(word[here], kind="stable")
+        places = at[row[here]][order]
+        ends = np.searchsorted(word[here][order], np.arange(word.max(initial=0) + 2)).tolist()
+        # The fewest common words that link, by the words of the smaller set.
+        few = np.array([next((o for o in range(2, k + 1) if o / k >= 0.34), k + 1) for k in range(n.max() + 1)])
+        n_r, size_r, ids_r, gained = n[right], size[right], ids[right], np.zeros(len(right))
+        enough = {k: few[np.minimum(k, n_r)] for k in np.unique(n[left]).tolist()}
+        words, starts = word.tolist(), np.concatenate([[0], np.cumsum(n)]).tolist()
+        for a in left.tolist():
+            own_words = words[starts[a] : starts[a + 1]]
+            common = np.bincount(np.concatenate([places[ends[x] : ends[x + 1]] for x in own_words]), minlength=len(right))
+            hit = np.flatnonzero(common >= enough[len(own_words)])
+            hit = hit[ids_r[hit] != ids[a]]
+            weight = common[hit] / np.minimum(len(own_words), n_r[hit])
+            sums[a] += weight @ size_r[hit]
+            if i != j:
+                gained[hit] += weight * size[a]
+        sums[right] += gained
+    found = np.flatnonzero(sums)
+    return pa.table({scope: block[scope].take(pa.array(found)), "class_id": block["id"].take(pa.array(found)), "beyond": pa.array(sums[found])})
+
+
+def class_degrees(classes: DataFrame, scope: str) -> DataFrame:
+    """scope, class_id, beyond (weights of a class's edges to documents of other classes) of classes (scope, id, w, size) with edges; two that share two words and 0.34 of the smaller one have their share as weight. Rows of one id share its sum, and no edge.
+
+    Each two blocks of a scope meet in one task, which returns a sum for each class. So no pair is a row, a task holds two blocks whatever the size of the scope, and a class moves once for each block of its scope. The comparisons themselves grow with the square of a scope.
+    """
+    blocks = classes.groupBy(scope).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = classes.select(scope, "id", "w", F.col("size").cast("long").alias("size")).join(blocks, scope).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = own.withColumn("other", other).select(scope, "id", "w", "size", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    spark = classes.sparkSession
+    dealt = met.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), scope, "i", "j")
+    kinds = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
+    each = dealt.groupBy(scope, "i", "j").applyInArrow(lambda t: _shares(t, scope), f"`{scope}` {kinds[scope]}, class_id {kinds['id']}, beyond double")
+    return each.groupBy(scope, "class_id").agg(F.sum("beyond").alias("beyond"))
 
 
 def _beyond(pairs: DataFrame, scope: str, weight: Column) -> DataFrame:
@@ -131,14 +183,13 @@ def title_links(docs: DataFrame, scope: str) -> DataFrame:
     """scope, id, class_id and links (other documents whose titles tell the same story, copies among them) of each document whose title has words that count."""
     members, classes = title_classes(docs, scope)
     linked = _beyond(similar_classes(classes, scope), scope, F.lit(1))
-    counted = classes.select(scope, F.col("id").alias("class_id"), "size").join(linked, [scope, "class_id"], "left").select(scope, "class_id", (F.col("size") - 1 + F.coalesce("beyond", F.lit(0))).alias("links"))
-    return members.join(counted, [scope, "class_id"]).select(scope, "id", "class_id", "links")
+    counted = classes.select(scope, F.col("id").alias("class_id"), "norm", "size").join(linked, [scope, "class_id"], "left").select(scope, "norm", "class_id", (F.col("size") - 1 + F.coalesce("beyond", F.lit(0))).alias("links"))
+    return members.join(counted, [scope, "norm"]).select(scope, "id", "class_id", "links")
 
 
 def title_degrees(docs: DataFrame, scope: str) -> DataFrame:
     """scope, id, class_id and degree (weights of a document's edges in the whole title graph of its scope, where copies with two words or more have weight 1) of documents whose title has words that count."""
     members, classes = title_classes(docs, scope)
-    beyond = _beyond(class_graph(classes, scope), scope, F.col("weight"))
     copies = F.when(F.size("w") >= 2, F.col("size") - 1).otherwise(0)
-    counted = classes.select(scope, F.col("id").alias("class_id"), copies.alias("copies")).join(beyond, [scope, "class_id"], "left").select(scope, "class_id", (F.col("copies") + F.coalesce("beyond", F.lit(0.0))).alias("degree"))
-    return members.join(counted, [scope, "class_id"]).select(scope, "id", "class_id", "degree")
+    counted = classes.select(scope, F.col("id").alias("class_id"), "norm", copies.alias("copies")).join(class_degrees(classes, scope), [scope, "class_id"], "left").select(scope, "norm", "class_id", (F.col("copies") + F.coalesce("beyond", F.lit(0.0))).alias("degree"))
+    return members.join(counted, [scope, "norm"]).select(scope, "id", "class_id", "degree")

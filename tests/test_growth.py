@@ -2,12 +2,13 @@
 
 import datetime as dt
 import os
+import random
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketweave.functions import text as t
-from marketweave.operators import dedup, resolve
+from marketweave.operators import dedup, resolve, similar
 from marketweave.plans.registry import QUERIES
 import marketweave.plans.all  # noqa: F401  registers the queries
 from marketweave.streaming import jobs
@@ -115,3 +116,30 @@ def test_numbers_of_a_body_are_those_of_the_whole(spark):
 def test_decisions_send_no_events_to_all(spark):
     for name in ("r9_status_counts", "r9_mapping_decisions", "r10_routes", "r8_sector_scores"):
         assert not [x for x in plan(QUERIES[name](spark, DATA)).splitlines() if "BroadcastHashJoin" in x and ("event_id" in x or "doc_id" in x.split("]")[0])]
+
+
+def test_degrees_make_no_pairs_and_move_no_texts(spark):
+    lines = plan(QUERIES["d8_title_degrees"](spark, DATA)).splitlines()
+    assert [x for x in lines if "FlatMapGroupsInArrow" in x] and not [x for x in lines if "array_intersect" in x or "posexplode" in x]
+    lines = plan(QUERIES["d8_title_degrees"].__globals__["titles"](spark, DATA)).splitlines()
+    at = lambda word: min(k for k, x in enumerate(lines) if word in x)
+    assert at("substring(text") > at("SortMergeJoin")  # below it
+
+
+def test_degrees_of_many_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 9)
+    rng = random.Random(4)
+    words = [a + b for a in "abcdefg" for b in "xyz"]
+    rows = [(rng.choice("ssst"), k // 2 if k > 190 else k, " ".join(sorted(rng.sample(words, rng.choice((1, 2, 3, 6, 9, 12)))))) for k in range(200)] + [("u", 1, "ax bx"), ("v", 1, "ax"), ("v", 2, "ax")]
+    classes = {}
+    for s, i, x in rows:
+        classes.setdefault((s, x), []).append(i)
+    want = {}
+    for (s, x), held in classes.items():
+        for (z, y), others in classes.items():
+            o, k = len(set(x.split()) & set(y.split())), min(len(x.split()), len(y.split()))
+            if s == z and min(held) != min(others) and o >= 2 and o / k >= 0.34:
+                want[s, min(held)] = want.get((s, min(held)), 0) + len(others) * o / k
+    found = similar.title_classes(spark.createDataFrame(rows, "stock string, id long, title string"), "stock")[1]
+    got = {(x["stock"], x["class_id"]): x["beyond"] for x in similar.class_degrees(found, "stock").collect()}
+    assert got.keys() == want.keys() and len(got) > 100 and all(abs(got[k] - want[k]) < 1e-9 for k in got)

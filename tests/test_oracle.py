@@ -86,6 +86,11 @@ def test_documents_without_title_count(spark, odd_documents, name):
     equals_sql(spark, name, odd_documents)
 
 
+@pytest.mark.parametrize("name", ["d8_title_degrees", "d4_title_classes"])
+def test_titles_of_one_id_are_classes_of_their_own(spark, odd_documents, name):
+    equals_sql(spark, name, odd_documents)
+
+
 def test_no_cartesian_product_in_text_joins(spark):
     for name in ("j9_alias_matches", "r6_ticker_scores", "d4_similar_titles", "d8_title_graph"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
