@@ -225,6 +225,22 @@ def test_pipeline_stage_links_fingerprints(spark, monkeypatch):
     assert met == [{simhash.fingerprint(t) for _, t in rows}]
 
 
+def test_every_link_of_fingerprints_is_checked(spark):
+    """No band is shared here: near copies meet by their fingerprints alone, also where the least text of these is like none of them, and by each fingerprint of texts that have the same runs."""
+    rng = random.Random(3)
+    text = lambda: [rng.choice("abcdefghij") + str(rng.randint(0, 999)) for _ in range(60)]
+    y = text()
+    y, z = " ".join(y), " ".join([*y[:-1], "end"])
+    sig = lambda x: copies._signature(copies.shingles(x))
+    u = min((" ".join(text()) for _ in range(40)), key=sig)
+    assert sig(u) < min(sig(y), sig(z))
+    for rows, fps in (([(1, u), (2, y), (3, z)], {1: 5, 2: 5, 3: 5}), ([(1, u), (2, y), (3, z)], {1: 5, 2: 7, 3: 13}), ([(1, y), (2, y), (3, z)], {1: 0, 2: 0b11111 << 20, 3: 0b11101 << 20})):
+        own = copies.bands(docs(spark, rows)).withColumn("keys", F.array(F.xxhash64("doc_id"))).withColumn("fp", F.element_at(F.create_map(*[F.lit(v).cast("long") for kv in fps.items() for v in kv]), F.col("doc_id")))
+        got = copies.links(docs(spark, rows), common.store(own, "own")).collect()
+        at = groups({sig(x) for _, x in rows}, [(r["a"], r["b"]) for r in got])
+        assert at[sig(y)] == at[sig(z)] and (sig(u) not in at or at[sig(u)] != at[sig(y)])
+
+
 def test_near_copies_of_the_test_data(spark):
     path = "/root/testdata/sf0.01/documents.parquet"
     if not os.path.exists(path):
